@@ -1,6 +1,69 @@
-STAGES = []
+"""A corpus pipeline: documents in, the mixed training set out, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir), works on all its predecessor kept, and is written before the next
+reads it. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferrograph.llm.decontaminate import decontaminate
+from ferrograph.llm.lines import dedup_lines
+from ferrograph.llm.minhash import near_duplicates
+from ferrograph.llm.mixing import WEIGHTS, mix, source_domain
+from ferrograph.llm.quality import quality_rules
+from ferrograph.llm.shared import shared_dir
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id a verdict keeps. Both sides are hashed by doc_id; verdicts are one narrow row each."""
+    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their host's verdict keep."""
+    return _kept(docs, quality_rules(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated runs of lines, n_chars brought up to date; those with nothing left go."""
+    found = dedup_lines(docs)
+    changed = F.col("n_lines_removed") > 0
+    found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return found.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    return _kept(docs, near_duplicates(docs))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _kept(docs, found.withColumn("kept", ~F.col("contaminated")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights, with their epoch and their leaf's quota."""
+    return mix(docs, WEIGHTS, source_domain())
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("mixture", mixture)]
+
+#: Near duplicates come from MinHash and components, which SQL does not express; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed documents; each stage's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

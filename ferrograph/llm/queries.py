@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .html_text import extract_text
+from .lines import dedup_lines
+from .minhash import near_duplicates
+from .mixing import WEIGHTS, mix, mix_sql, source_domain
 from .pii import personal_data
 from .quality import QUALITY_SQL, quality_rules
 from .tokens import token_counts
@@ -28,14 +31,29 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), WEIGHTS, source_domain())
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    return found.select("doc_id", "lang", "source", n_words, "mix_epoch", "mix_quota")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -47,8 +65,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op5_quality_rules, op7_decontaminate, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL}
+    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op8_mix": mix_sql()}
