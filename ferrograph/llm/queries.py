@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import WEIGHTS, mix, mix_sql, source_domain
 from .pii import personal_data
 from .quality import QUALITY_SQL, quality_rules
+from .substrings import repeated_substrings
 from .tokens import token_counts
 from .toxicity import toxicity
 
@@ -31,6 +32,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -65,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_repeated_substrings, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +31,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver drop what finished steps no longer need: Spark deletes shuffle files once their owners are collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts ('' for null), each of about BLOCK_CHARS at most."""
     for batch in batches:
