@@ -1,0 +1,12 @@
+"""The operators bound to the supplied tables."""
+
+from . import graphs, ordered, similarity, textual, written  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
