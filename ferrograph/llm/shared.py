@@ -1,34 +1,27 @@
-"""What the operators share: shared-folder tables, block iteration over Arrow batches, connected components."""
+"""What the operators share: shared-folder tables and block iteration over Arrow batches."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components  # noqa: F401
+from ..tables import shared_dir  # noqa: F401
+from ..tables import stash as write_table
+
 #: Code points of text that one block of Python work holds at most (one longer text is a block by itself).
 BLOCK_CHARS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is named (local tests) a temporary one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ferrograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A written table in the shared folder, after which the driver drops what the finished step no longer needs."""
+    out = write_table(df, name)
+    release(out)
+    return out
 
 
 def release(df: DataFrame) -> None:
@@ -80,31 +73,3 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row (a lambda's variable), however often body mentions it."""
     return F.transform(F.array(value), body)[0]
-
-
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
-    """(node, component) for each node of undirected edges (a, b); component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds: each keeps connectivity and moves every node towards its
-    smallest neighbour, so chains halve in length and no node's neighbours are ever gathered in one row.
-    Each round is a written table; ends when a round changes no edge. Raises if `rounds` do not suffice.
-    """
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
-    for _ in range(rounds):
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: each larger neighbour is linked to the smallest of the neighbourhood
-        large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small star: smaller neighbours and the node itself are linked to the smallest
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        now = stash(small, name)
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("d")).first()
-        if got == seen and got["n"] == got["d"]:
-            break
-        seen = got
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return ends.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -4,12 +4,14 @@ A byte goes if a string of `size` bytes that covers it also starts earlier. A fu
 a row for each byte at every level of naming, many times the input; names are recursed on here as in difference-cover
 sorting, but places are sampled by content and only what a level leaves open reaches the next one:
 
-1. the sample: each string of `size` bytes names the place of its least gram, so equal strings name equal grams. The
-   strings that name one place are a stretch. A gram that occurs once in the corpus settles its stretch.
+1. the sample: each string of `size` bytes names the place of its least gram of 32 bytes, so equal strings name equal
+   grams. The strings that name one place are a stretch. A gram that occurs once in the corpus settles its stretch.
 2. names of stretches: stretches whose bytes are equal share a name. All but the first stretch of a name go. If a
    gram has one name only, that settles it.
-3. names of strings: for a gram with several names, the strings of each name's first stretch are named one by one, and
-   neighbours of equal name are compared by place: all but the first go.
+3. recursion: the first stretches of the names that share a gram are cut out, and 1 and 2 are done on them again with
+   grams of 80 bytes, which nearly all strings that differ do not share.
+4. names of strings: what is still open is named string by string, and equal names are compared by place: all but
+   the first go.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, release, stash
+from .shared import blocks, stash
 
 U = np.uint64
-GRAM = 32
+#: Bytes of the grams of each level.
+GRAMS = (32, 80)
 #: Odd multipliers of the two rolling hashes, and the mixing constants.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 PLACES = 32  # low bits of a choice that hold the place
@@ -61,22 +64,22 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row, and where each begins and ends."""
-    raw = [t.encode() for t in texts]
+def joined(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts (or bytes) in a row, and where each begins and ends."""
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
     ends = np.cumsum([len(b) for b in raw], dtype=np.int64)
     return np.frombuffer(b"".join(raw), np.uint8), ends - [len(b) for b in raw], ends
 
 
-def stretches(texts: list[str], size: int) -> tuple[np.ndarray, ...]:
+def stretches(texts: list, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """For each stretch: text, first string's place, number of strings, gram's hash, and the hash of the bytes."""
     data, starts, ends = joined(texts)
     if len(data) < size:
         return (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     roll, n = Rolling(data, 0), len(data)
-    grams = mixed((roll.sums[GRAM:] - roll.sums[:-GRAM]) * roll.down[: n - GRAM + 1])
+    grams = mixed((roll.sums[gram:] - roll.sums[:-gram]) * roll.down[: n - gram + 1])
     least = (grams & ~U((1 << PLACES) - 1)) | np.arange(len(grams), dtype=U)
-    width, have = size - GRAM + 1, 1
+    width, have = size - gram + 1, 1
     while have * 2 <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -94,60 +97,78 @@ def stretches(texts: list[str], size: int) -> tuple[np.ndarray, ...]:
     return owner, (first - starts[owner]).astype(np.int32), count.astype(np.int32), grams[named[begins]].view(np.int64), bytes_of.view(np.int64)
 
 
+def settle(source: DataFrame, size: int, gram: int, level: str) -> tuple[DataFrame, DataFrame]:
+    """One level over source (id, base, t): strings (id, p, n) that start earlier, and those (id, p, n) still open."""
+
+    def sampled(batches):
+        for _, texts in blocks(batches, 2):
+            grams, counts = np.unique(stretches(texts, size, gram)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["f", "c"])
+
+    def cut(batches):
+        for batch, texts in blocks(batches, 2):
+            owner, first, count, grams, name = stretches(texts, size, gram)
+            place = np.asarray(batch.column(1))[owner] + first
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(count), pa.array(grams), pa.array(name)], ["id", "p", "n", "f", "h"])
+
+    common = source.mapInArrow(sampled, "f bigint, c bigint").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f")
+    common = stash(common, f"grams-{level}")
+    met = stash(source.mapInArrow(cut, "id bigint, p int, n int, f bigint, h bigint").join(common, "f", "left_semi"), f"stretches-{level}")
+    names = stash(met.groupBy("f", "h").agg(F.min(F.struct("id", "p", "n")).alias("first"), F.count("*").alias("c")), f"names-{level}")
+    later = met.join(names.where("c > 1").select("f", "h", "first"), ["f", "h"]).where("id > first.id or id = first.id and p > first.p").select("id", "p", "n")
+    several = names.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
+    return stash(later, f"later-{level}"), stash(names.join(several, "f", "left_semi").select("first.*"), f"open-{level}")
+
+
+def of_pieces(source: DataFrame, pieces: DataFrame, size: int, schema: str, made) -> DataFrame:
+    """made(ids, bases, starts in data, places, counts, data) for the pieces (id, p, n) that lie in the rows of source."""
+    listed = pieces.groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("pieces"))
+
+    def run(batches):
+        for batch, texts in blocks(batches, 2):
+            data, starts, ends = joined(texts)
+            ids, bases, of = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+            flat = of.flatten()
+            row = np.repeat(np.arange(len(texts)), np.asarray(of.value_lengths()))
+            p, n = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
+            start = starts[row] + p - bases[row]
+            inside = (p >= bases[row]) & (start + n + size - 1 <= ends[row])
+            yield made(ids[row[inside]], start[inside], p[inside], n[inside], data)
+
+    return source.join(listed, "id").select("id", "base", "t", "pieces").mapInArrow(run, schema)
+
+
 def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 100) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay, joined), spans.
 
     Texts are UTF-8 bytes, null is empty; no string crosses documents; "earlier" is a smaller key, or the same document
     and an earlier start, judged on the input as it stands. `spans` lists start and end of each removed run in turn.
     Keys must be whole numbers; rows of one key are compared at equal places as one document (an equal row is no
-    earlier copy of itself); a null key takes no part. Other columns are ignored.
+    earlier copy of itself); a null key takes no part. Other columns are ignored. `size` is at least 80.
 
     Names are 64-bit hashes (a stretch's with its gram's beside it). No group of equal names is ever gathered: first
     places are partial minima, and the rows are joined back with them, a join that Spark splits where a name is hot.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    live = source.where("id is not null")
-
-    def sampled(batches):
-        for _, texts in blocks(batches, 1):
-            grams, counts = np.unique(stretches(texts, size)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["f", "c"])
-
-    def cut(batches):
-        for batch, texts in blocks(batches, 1):
-            owner, first, count, gram, name = stretches(texts, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(first), pa.array(count), pa.array(gram), pa.array(name)], ["id", "p", "n", "f", "h"])
-
-    common = stash(live.mapInArrow(sampled, "f bigint, c bigint").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f"), "grams")
-    release(docs)
-    met = stash(live.mapInArrow(cut, "id bigint, p int, n int, f bigint, h bigint").join(common, "f", "left_semi"), "stretches")
-    release(docs)
-    names = stash(met.groupBy("f", "h").agg(F.min(F.struct("id", "p", "n")).alias("first"), F.count("*").alias("c")), "names")
-    later = met.join(names.where("c > 1").select("f", "h", "first"), ["f", "h"]).where("id > first.id or id = first.id and p > first.p").select("id", "p", "n")
-    later = stash(later, "later")
-    release(docs)
-    open_ = names.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
-    pieces = names.join(open_, "f", "left_semi").select("first.*").groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("pieces"))
-
-    def strings(batches):
-        for batch, texts in blocks(batches, 1):
-            data, starts, _ = joined(texts)
-            roll, of = Rolling(data, 0), batch.column(2)
-            at = np.asarray(of.value_lengths())
-            flat = of.flatten()
-            p, n = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
-            row = np.repeat(np.arange(len(texts)), at)
-            each = np.repeat(np.arange(len(p)), n)
-            place = p[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            start = starts[row[each]] + place
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[each])), pa.array(place.astype(np.int32)), pa.array(roll.of(start, start + size).view(np.int64))], ["id", "p", "g"])
-
-    single = stash(live.join(pieces, "id").select("id", "t", "pieces").mapInArrow(strings, "id bigint, p int, g bigint"), "strings")
-    release(docs)
+    live = source.where("id is not null").select("id", F.lit(0).alias("base"), "t")
+
+    def sliced(ids, start, p, n, data):
+        bytes_of = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + n + size - 1).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p.astype(np.int32)), pa.array(bytes_of, pa.binary())], ["id", "base", "t"])
+
+    def strings(ids, start, p, n, data):
+        each, step = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = start[each] + step
+        names = Rolling(data, 0).of(begin, begin + size).view(np.int64) if len(each) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[each]), pa.array((p[each] + step).astype(np.int32)), pa.array(names)], ["id", "p", "g"])
+
+    later, open_ = settle(live, size, GRAMS[0], "1")
+    cuts = stash(of_pieces(live, open_, size, "id bigint, base int, t binary", sliced), "cuts")
+    more, open_ = settle(cuts, size, GRAMS[1], "2")
+    single = stash(of_pieces(cuts, open_, size, "id bigint, p int, g bigint", strings).distinct(), "strings")
     firsts = single.groupBy("g").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
     again = single.join(firsts, "g").where("id > first.id or id = first.id and p > first.p").select("id", "p", F.lit(1).alias("n"))
-    gone = stash(later.union(again).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("gone")), "gone")
-    release(docs)
+    gone = stash(later.union(more).union(again).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("gone")), "gone")
 
     def removed(batches):
         for batch, texts in blocks(batches, 1):
