@@ -2,14 +2,14 @@
 
 A document's shingles are dealt to bins by one hash; the least hash of each bin is its signature, and an empty bin
 borrows from a bin that a universal hash names (optimal densification). Bands of bins name buckets. A bucket is not
-paired out but made a star around its smallest document; what the star leaves open goes round again without its centre.
-Every candidate is confirmed on the full shingle sets, and connected components of the confirmed links are the groups.
+paired out but made a star around its smallest document, and every candidate is confirmed on the full shingle sets.
+Where a star's links leave a bucket in several components that may still be linked, its members are compared in blocks
+of bounded size, which return at most one link for each two components they join. The connected components of all
+confirmed links are the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -83,10 +83,6 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def text_bytes(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    return np.frombuffer(batch.column(i).as_py() or b"", np.uint64)
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """pairs (a, b) with `shared` and `total` shingles of their full sets, which are made again from the texts named."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -114,7 +110,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(compared, "a bigint, b bigint, shared bigint, total bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, pairs_up_to: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block: int = 96) -> DataFrame:
     """Per document: key, n_shingles, component_id, kept (key = component_id).
 
     Documents are linked if 100 * shared >= percent * all shingles of `size` words; component_id is the smallest key
@@ -122,11 +118,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     numbers (null keys: no links). Other columns are ignored.
 
     Copies (equal sets) are folded into their smallest document first, with a partial minimum, so groups of copies of any
-    size cost one node. Each bucket then has one candidate edge a member and round. A member goes round again while
-    the distances to the centres seen leave a link to another open member possible: after a star, a pair that still may
-    be linked has a member that is not linked to the centre, and by the triangle inequality its other member's distance
-    to the centre is at most 1 - percent / 100 away. Open buckets of at most `pairs_up_to` members are settled
-    pair by pair in their next round. Rounds end when nothing is open, so no link is missed but those the bands miss.
+    size cost one node. Stars have one candidate edge a member. Links that stars cannot show are found in blocks (see
+    `linked_blocks`), so none is missed but those that share no band.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
@@ -147,9 +140,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     signatures = stash(source.mapInArrow(signed, "id bigint, n bigint, sig binary, bands array<bigint>"), "signatures")
     alive = signatures.where("sig is not null and id is not null")
     folded = alive.groupBy("sig").agg(F.min("id").alias("rep"))
-    heads = stash(alive.join(folded, (alive["id"] == folded["rep"]) & (alive["sig"] == folded["sig"]), "left_semi").select("id", F.explode("bands").alias("bucket")).distinct(), "heads")
-    edges = linked_stars(heads, source, size, percent, pairs_up_to)
-    groups = components(edges, "groups")
+    heads = alive.join(folded, (alive["id"] == folded["rep"]) & (alive["sig"] == folded["sig"]), "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
+    crowd = heads.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    spokes = stash(heads.join(crowd.select("bucket", "hub"), "bucket").where("id > hub"), "spokes")
+    judged = stash(confirmed(spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), source, size), "judged")
+    links = judged.where(f"100 * shared >= {percent} * total").select("a", "b")
+    first = stash(components(links, "stars"), "stars")
+    links = links.union(linked_blocks(spokes, judged, first, source, size, percent, block))
+    groups = components(links, "groups")
     # a document's representative, and that one's group
     group_of = folded.join(groups, folded["rep"] == groups["node"], "left").select("sig", F.coalesce("component", "rep").alias("g"))
     out = signatures.select("id", F.col("n").alias("n_shingles"), F.coalesce("sig", F.lit(b"")).alias("sig")).join(group_of, "sig", "left")
@@ -157,32 +155,77 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def linked_stars(heads: DataFrame, docs: DataFrame, size: int, percent: int, pairs_up_to: int) -> DataFrame:
-    """Confirmed links (a, b) among the members (id, bucket) of buckets, round by round."""
+def open_members(spokes: DataFrame, judged: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, id, c: component so far) of buckets in which two members of different components may be linked.
+
+    The centre is settled with all. By the triangle inequality of the Jaccard distance, a member linked to the centre can
+    be linked to one that is not only if it is itself far enough from the centre.
+    """
     reach = 1 - percent / 100
-    link = F.expr(f"100 * shared >= {percent} * total")
-    far = (F.lit(1.0) - F.col("shared") / F.col("total")).alias("far")
-    members, links, known = heads, None, None
-    for turn in range(10_000):
-        hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
-        spokes = members.join(hubs, "bucket").where("id > hub")
-        small = F.lit(turn > 0) & (F.col("c") <= pairs_up_to)
-        pairs = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        if turn:  # few members: all pairs at once, so that the bucket is settled
-            few = spokes.where(small).select("bucket", "id")
-            pairs = pairs.union(few.alias("x").join(few.withColumnRenamed("id", "b").alias("y"), "bucket").where("id < b").select("id", "b"))
-        pairs = pairs.distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        judged = stash(confirmed(stash(pairs, "pairs"), docs, size), "judged")
-        known = judged if known is None else known.unionByName(judged)
-        new = judged.where(link).select("a", "b")
-        links = new if links is None else links.union(new)
-        # open: a bucket's members but its centre, while two of them may be linked
-        seen = spokes.where(~small).join(known.select(F.col("a").alias("hub"), F.col("b").alias("id"), link.alias("near"), far), ["hub", "id"])
-        nearest = seen.groupBy("bucket").agg(F.min(F.when(~F.col("near"), F.col("far"))).alias("least"))
-        left = seen.join(nearest.where("least is not null"), "bucket").where(~F.col("near") | (F.col("far") >= F.col("least") - reach - 1e-9))
-        members = stash(left.select("id", "bucket"), "open")
-        if members.limit(1).count() == 0:
-            return links
-    raise RuntimeError("buckets did not settle")
+    far = F.lit(1.0) - F.col("shared") / F.col("total")
+    seen = spokes.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), far.alias("far"), F.expr(f"100 * shared >= {percent} * total").alias("near")), ["hub", "id"])
+    seen = seen.join(first.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    least = seen.groupBy("bucket").agg(F.min(F.when(~F.col("near"), F.col("far"))).alias("least")).where("least is not null")
+    left = seen.join(least, "bucket").where(~F.col("near") | (F.col("far") >= F.col("least") - reach - 1e-9)).select("bucket", "id", "c")
+    mixed_ = left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    return left.join(mixed_.select("bucket"), "bucket", "left_semi")
+
+
+def linked_blocks(spokes: DataFrame, judged: DataFrame, first: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components that the stars left apart, among documents that share an open bucket.
+
+    Documents joined by open buckets are a crowd, dealt by hash into blocks of about `block`. Each pair of a crowd's
+    blocks is one group of bounded size: it compares the full sets of documents that share a band and are not yet of one
+    component, and returns a link only where it joins two.
+    """
+    left = stash(open_members(spokes, judged, first, percent), "open")
+    hubs = left.groupBy("bucket").agg(F.min("id").alias("a"))
+    crowds = components(left.join(hubs, "bucket").select("a", F.col("id").alias("b")), "crowds")
+    crowds = stash(left.select("id", "c").distinct().join(crowds.withColumnsRenamed({"node": "id", "component": "crowd"}), "id"), "crowds")
+    parts = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = crowds.join(parts, "crowd").withColumn("x", F.pmod(F.xxhash64("id"), "parts"))
+
+    def sets(batches):
+        hashes = WordHashes()
+        for batch, texts in blocks(batches, 5):
+            made = [s.tobytes() for s in shingle_sets(texts, size, hashes)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(made, pa.binary())], ["id", "c", "crowd", "x", "parts", "s"])
+
+    schema = "id bigint, c bigint, crowd bigint, x bigint, parts bigint, s binary"
+    whole = stash(docs.join(dealt, "id").select("id", "c", "crowd", "x", "parts", "t").mapInArrow(sets, schema), "members")
+    pairs = whole.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("id", "c", "crowd", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "s")
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, c, x = (np.asarray(table.column(k).combine_chunks()) for k in ("id", "c", "x"))
+        i = table.column("i")[0].as_py()
+        within = i == table.column("j")[0].as_py()
+        made = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("s")]
+        keys, n = np.array([band_keys(s) for s in made]), np.array([len(s) for s in made])
+        parent = {k: k for k in c.tolist()}
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        found = []
+        for a in range(len(ids)):
+            rest = np.arange(a + 1, len(ids))
+            if not within:
+                rest = rest[x[rest] != x[a]]
+            least = np.minimum(n[a], n[rest])
+            rest = rest[(100 * least >= percent * np.maximum(n[a], n[rest])) & (c[rest] != c[a])]
+            rest = rest[(keys[rest] == keys[a]).any(1)]
+            for b in rest.tolist():
+                one, two = root(int(c[a])), root(int(c[b]))
+                if one != two:
+                    shared = len(np.intersect1d(made[a], made[b], assume_unique=True))
+                    if 100 * shared >= percent * (n[a] + n[b] - shared):
+                        parent[max(one, two)] = min(one, two)
+                        found.append((ids[a], ids[b]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stash(pairs.groupBy("crowd", "i", "j").applyInArrow(compared, "a bigint, b bigint"), "blocks")
