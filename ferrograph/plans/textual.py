@@ -185,12 +185,12 @@ def fnv_ids(spark, sf_dir):
 
 @query("""
 with s as (select l_orderkey, sum(l_quantity) as q, sum(l_extendedprice::decimal(18, 4))::double as e, sum((l_extendedprice * l_discount)::decimal(18, 4))::double as d from lineitem group by 1)
-select l_orderkey, round(d * 100 / e, 4) as discount_percent, round(e / q, 4) as unit_price, case when q >= 150 then 'high' when q >= 60 then 'medium' else 'low' end as band from s""")
+select l_orderkey, round(d * 100 / e, 4) as discount_percent, round(d / e, 6) as discount_ratio, case when q >= 150 then 'high' when q >= 60 then 'medium' else 'low' end as band from s""")
 def derived_fields(spark, sf_dir):
     """Percent, ratio and band of sums, added up as decimals so that their order does not matter."""
     money = lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
     s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), money(F.col("l_extendedprice")).alias("e"), money(F.col("l_extendedprice") * F.col("l_discount")).alias("d"))
-    return s.select("l_orderkey", F.round(expressions.percent(F.col("d"), F.col("e")), 4).alias("discount_percent"), F.round(expressions.ratio(F.col("e"), F.col("q")), 4).alias("unit_price"), scalars.band(F.col("q"), 150, 60).alias("band"))
+    return s.select("l_orderkey", F.round(expressions.percent(F.col("d"), F.col("e")), 4).alias("discount_percent"), F.round(expressions.ratio(F.col("d"), F.col("e")), 6).alias("discount_ratio"), scalars.band(F.col("q"), 150, 60).alias("band"))
 
 
 @query("select p_partkey, concat_ws('|', 'brand=' || p_brand, 'type=' || nullif(p_type, ''), 'size=' || p_size) as condition_signature from part")
