@@ -260,7 +260,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
 
         for _ in range(r.randint(0, 3)):
             out.append(junk())
-        tag, attributes = r.choice([("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", "")])
+        tag, attributes = r.choice([("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", ""), ("", "")])
         inside = []
         if r.random() < 0.8:
             kept.append(title := say(3, 10))
@@ -273,7 +273,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
             inside.append(part())
             if r.random() < 0.1:
                 inside.append(junk())
-        body = f"<{tag}{attributes}>{''.join(inside)}</{tag}>"
+        body = f"<{tag}{attributes}>{''.join(inside)}</{tag}>" if tag else "".join(inside)
         out.append(r.choice([body, body, f"<div>{body}</div>", f"<main>{body}</main>"]))
         for _ in range(r.randint(0, 4)):
             out.append(junk())

@@ -1,0 +1,299 @@
+"""The training-data operators on small fixtures against brute force, and on rows that are hard: nulls, repeats, clashes."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ferrograph.llm import html_text, pii, quality, substrings
+from ferrograph.llm.decontaminate import decontaminate
+from ferrograph.llm.html_text import extract_text
+from ferrograph.llm.lines import dedup_lines
+from ferrograph.llm.minhash import near_duplicates
+from ferrograph.llm.mixing import mix
+from ferrograph.llm.pii import personal_data
+from ferrograph.llm.quality import quality_rules
+from ferrograph.llm.substrings import repeated_substrings
+from ferrograph.llm.tokens import machine, token_counts
+from ferrograph.llm.toxicity import Index, toxicity
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+
+
+def hard(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns named as the operators' own."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    long = " ".join(r.choice(words) for _ in range(40_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two", "en", "s", 7), (3, "one two", "en", "s", 7), (4, long, "fr", "s", 1), (5, " \n\t ", None, "s", 4), (None, "no id", "en", None, 5), (6, "日本 😀 é\x00", "en", "t", 8)]
+    rows = [(*x, 1, 2, True, "q", "u") for x in rows]
+    return spark.createDataFrame(rows, SCHEMA + ", n int, k int, kept boolean, id string, n_lines_removed string")
+
+
+def labels(spark):
+    return spark.createDataFrame([(3, 1, 1), (3, 0, 0), (4, 1, 0), (None, 1, 1), (6, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+def benchmark(spark):
+    return spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (None, "no id"), (4, "a b c d e f g h i j k")], "item_id bigint, text string")
+
+
+OPERATORS = {
+    "toxicity": lambda s, d: toxicity(d, labels(s)),
+    "html": lambda s, d: extract_text(d, key="doc_id", keep=("source",), html_column="text"),
+    "substrings": lambda s, d: repeated_substrings(d),
+    "lines": lambda s, d: dedup_lines(d),
+    "quality": lambda s, d: quality_rules(d),
+    "minhash": lambda s, d: near_duplicates(d),
+    "decontaminate": lambda s, d: decontaminate(d, benchmark(s)),
+    "pii": lambda s, d: personal_data(d),
+    "tokens": lambda s, d: token_counts(d, tokenizer()),
+}
+
+
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_hard_rows_and_empty_tables(spark, name):
+    df = hard(spark)
+    out = OPERATORS[name](spark, df)
+    rows = out.collect()
+    assert sorted(str(x["doc_id"]) for x in rows) == sorted(str(x["doc_id"]) for x in df.select("doc_id").collect())
+    twins = [x.asDict() for x in rows if x["doc_id"] == 3]
+    assert twins[0] == twins[1]
+    empty = OPERATORS[name](spark, df.where("false"))
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_mix_of_hard_rows(spark):
+    out = mix(hard(spark), {}, F.lit(None).cast("string"), share=1.0, epochs=1)
+    assert {x["doc_id"] for x in out.collect()} == {3, 4, 6, None}
+    assert mix(hard(spark).where("false"), {}, F.lit("d")).count() == 0
+
+
+def test_toxicity_without_labels(spark):
+    out = toxicity(hard(spark), labels(spark).where("false")).collect()
+    assert all(0 <= x["score"] <= 0.01 and x["predicted"] == 0 for x in out)
+
+
+def test_nearest_examples_are_exact():
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, r.randint(0, 1), {w: r.randint(1, 3) for w in r.sample(words, r.randint(0, 9))}) for i in range(300)]
+    df = {w: sum(w in x[2] for x in rows) for w in words}
+    index = Index(rows, {w: n for w, n in df.items() if n}, 0.3, 7)
+    vectors = {n: index.vector(c) for n, _, c in rows}
+    for _ in range(60):
+        q = {w: r.randint(1, 2) for w in r.sample(list(index.at), r.randint(1, 12))}
+        terms, weights = index.vector(q)
+        found, cosine = index.nearest(terms, weights)
+        own = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+        every = sorted((-round(sum(own.get(t, 0) * w for t, w in zip(*map(list, vectors[n]), strict=True)), 9) for n in index.names.tolist()))[:7]
+        assert [-round(c, 9) for c in cosine.tolist()] == pytest.approx([x for x in every if x < 0][: len(cosine)] + [0.0] * max(0, len(cosine) - sum(x < 0 for x in every)), abs=1e-8)
+
+
+def test_toxicity_learns_words(spark):
+    r = random.Random(8)
+    common, bad = [f"c{i}" for i in "abcdefghijklmnopqrst"], ["vile", "rotten", "foul"]
+    texts = [" ".join([*r.choices(common, k=60), *(r.choices(bad, k=3) if i % 5 == 0 else [])]) for i in range(400)]
+    df = documents(spark, texts)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id bigint, toxic int")
+    out = {x["doc_id"]: x["predicted"] for x in toxicity(df, known).collect()}
+    assert sum(out[i] == int(i % 5 == 0) for i in range(1, 400, 2)) >= 195
+
+
+def test_pages_held_out():
+    weights = html_text.trained()
+    pages = html_text.labelled_pages(200, 77)
+    assert sum(html_text.main_text(p, weights) == t for p, t in pages) >= 180
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("", ""),
+        ("<p>Only a piece of text that is long enough to be read as such, &amp; ends.", "Only a piece of text that is long enough to be read as such, & ends."),
+        ("<script>var a='</p>';</script><article><h1>A head</h1><p>One  two<br>three.</p><p>A &lt; b</article><nav><a href=x>Menu</a></nav>", "A head One two three. A < b"),
+    ],
+)
+def test_pages_by_hand(page, text):
+    assert html_text.main_text(page, html_text.trained()) == text
+
+
+def test_substrings_against_brute_force(spark):
+    r = random.Random(9)
+    parts = ["".join(r.choice("abc é") for _ in range(r.randint(30, 260))) for _ in range(12)]
+    texts = ["".join(r.choice([*parts, "x" * r.randint(1, 9)]) for _ in range(r.randint(0, 9))) for _ in range(60)] + ["a" * 350, "ab" * 150, "a" * 99, "a" * 100]
+    got = {x["doc_id"]: x for x in repeated_substrings(documents(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        raw, gone = t.encode(), set()
+        for p in range(len(raw) - 99):
+            s = raw[p : p + 100]
+            if s in seen:
+                gone.update(range(p, p + 100))
+            seen.add(s)
+        kept = bytes(b for k, b in enumerate(raw) if k not in gone)
+        spans = sum(k - 1 not in gone for k in gone)
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(raw), len(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_stretches_name_equal_strings_alike():
+    text = "".join(random.Random(1).choice("abcd") for _ in range(700))
+    for gram in substrings.GRAMS:
+        one, two = (substrings.stretches([t], 100, gram) for t in (text, "zz" + text))
+        assert one[2].sum() == 601 and two[2].sum() == 603
+        assert set(one[3].tolist()) <= set(two[3].tolist())
+
+
+def test_lines_against_brute_force(spark):
+    r = random.Random(4)
+    pool = [f"line {i} of the pool" for i in range(12)]
+    texts = ["\n".join(r.choice([*pool, f"own {r.random()}", ""]) for _ in range(r.randint(0, 14))) for _ in range(60)]
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(documents(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        width, gone = min(3, len(at)), set()
+        for p in range(len(at) - width + 1 if width else 0):
+            run = (width, *(lines[k].strip() for k in at[p : p + width]))
+            if run in seen:
+                gone.update(range(at[p], at[p + width - 1] + 1))
+            seen.add(run)
+        assert got[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(6)
+    base = [[f"w{r.randrange(4000)}" for _ in range(200)] for _ in range(4)]
+    texts = []
+    for i in range(260):  # graded copies: some are linked only through others, many are just too far apart
+        words = list(base[i % 4])
+        for _ in range(r.choice([0, 0, 1, 2, 3, 5, 8, 12])):
+            words[r.randrange(200)] = f"x{r.randrange(9999)}"
+        texts.append(" ".join(words))
+    texts += ["", "one", "ONE", "one two", None]
+    got = {x["doc_id"]: x for x in near_duplicates(documents(spark, texts), size=3, percent=85, block=20).collect()}
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        k = min(3, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {i: x["component_id"] for i, x in got.items()} == {i: root(i) for i in range(len(texts))}
+    assert all(x["kept"] == (x["component_id"] == i) and x["n_shingles"] == len(sets[i]) for i, x in got.items())
+
+
+@pytest.mark.parametrize("pass_bytes", [16_000_000, 60])
+def test_decontamination_against_brute_force(spark, pass_bytes):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(9)] + ["É", "Ünd"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, say(r.choice([1, 2, 5, 9, 10, 11, 14]) if i else 0)) for i in range(12)]
+    texts = [say(r.randint(0, 30)) + " " + r.choice(items)[1].upper().replace("É", "É") + ", " + say(5) for _ in range(40)]
+    got = {x["doc_id"]: x for x in decontaminate(documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), pass_bytes=pass_bytes).collect()}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+    for i, t in enumerate(texts):
+        doc, hit, names = split(t), set(), set()
+        for name, item in items:
+            w = split(item)
+            n = min(10, len(w))
+            for a in range(len(w) - n + 1 if n else 0):
+                for b in range(len(doc) - n + 1):
+                    if doc[b : b + n] == w[a : a + n]:
+                        hit.update(range(b, b + n))
+                        names.add(str(name))
+        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (len(doc), len(hit), len(names), digest)
+
+
+BASE = [
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+]
+
+
+def test_plain_spans_are_those_of_the_patterns():
+    r = random.Random(2)
+    pieces = [*"ab1290.@-+ _()é", "4539 1488 0343 6467", "x@y.z", "1.2.3.4", "+1 234 567 8901", "256.1.1.1"]
+
+    def holds(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        return [True, all(int(x) <= 255 for x in s.split(".")) if kind == 1 else True, 13 <= len(digits) <= 19 and pii.luhn(digits), 9 <= len(digits) <= 15][kind]
+
+    for _ in range(20_000):
+        t = "".join(r.choice(pieces) for _ in range(r.randrange(25)))
+        assert pii.plain_spans(t) == [(k, *m.span()) for k, p in enumerate(BASE) for m in re.finditer(p, t) if holds(k, m[0])]
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("mail jоhn.doe＠exаmple.com now", "jоhn.doe＠exаmple.com"),
+        ("write to john [at] example [dot] com please", "john [at] example [dot] com"),
+        ("john at example dot com", "john at example dot com"),
+        ("call plus one two one two five five five one two three four ok", "plus one two one two five five five one two three four"),
+        ("phone ＋１ ２１２ ５５５ １２３４", "＋１ ２１２ ５５５ １２３４"),
+        ("look at the dot matrix, it is at four of five", None),
+        ("un deux trois, et puis rien", None),
+    ],
+)
+def test_disguises(text, hidden):
+    base, added = pii.spans(text)
+    assert [text[a:b] for _, a, b in added] == ([hidden] if hidden else [])
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer())
+    r = random.Random(1)
+    pieces = ["'", "s", "re", "ll", "ve", " ", "  ", "\n", "\t", "a", "Z", "é", "7", "٣", "!", "'m", "<|endoftext|>", " ", " ", "中", "😀", "the", "'r", "\x1c", "\x85", "\0"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(60))) for _ in range(3000)] + ["a" * 5000, "ab" * 2500, " " * 3000, "=" * 1500, ""]
+    texts += ["".join(r.choice(["th", "e", "ing", "xq"]) for _ in range(500)) for _ in range(10)]
+    assert machine(tokenizer()).counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = {x["doc_id"]: x for x in token_counts(documents(spark, texts), tokenizer()).collect()}
+    assert got[3000]["n_bytes"] == 5000 and got[3000]["over_limit"] == (got[3000]["n_tokens"] > 512)
+
+
+def test_host_verdict_rejects_a_bad_host_and_spares_small_ones(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, good, "en", "fine", 1) for i in range(60)] + [(100 + i, "bad bad", "en", "junk", 1) for i in range(40)] + [(200, good, "en", "junk", 1), (300, "bad", "en", "tiny", 1), (301, good, "en", None, 1)]
+    out = {x["doc_id"]: x for x in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0]["kept"] and not out[100]["kept"] and not out[200]["kept"] and out[301]["kept"]
+    assert not out[200]["base_failed"] and out[200]["host"] == "junk" and out[301]["host"] == ""
+    assert quality.SYMBOLS == "#*$%&|<>"
+
+
+def test_mix_follows_weights_and_hands_on_shortages(spark):
+    text = " ".join(["w"] * 10)
+    rows = [(i, text, "en", "big", 1) for i in range(100)] + [(1000 + i, text, "en", "small", 1) for i in range(5)] + [(2000 + i, text, "fr", "other", 1) for i in range(100)]
+    out = mix(spark.createDataFrame(rows, SCHEMA), {"lang": {"en": 3, "fr": 1}}, F.lit("d"), share=0.5, epochs=2)
+    n = {(x["lang"], x["source"]): x["n"] for x in out.groupBy("lang", "source").agg(F.count("*").alias("n")).collect()}
+    # budget 1025 words: 768 for en, of which small can use 100 (twice its 50) and big the rest, 256 for fr
+    assert n == {("en", "small"): 10, ("en", "big"): 67, ("fr", "other"): 26}
+    assert out.where("mix_epoch = 2").count() == 5
