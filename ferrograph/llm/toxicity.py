@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples (operator 1).
 
-A bounded sample of labelled rows is the index: TF-IDF vectors over the words that tell the labels apart, in inverted
-lists cut into blocks of examples, each list with its greatest weight per block. A query adds these up to bounds on
+A bounded sample of labelled rows is the index: TF-IDF vectors over the terms (words, and beginnings of words) that tell
+the labels apart, in inverted lists cut into blocks of examples, each list with its greatest weight per block. A query adds these up to bounds on
 the blocks' cosines, opens blocks from the best bound down, and stops when no bound reaches the k-th best cosine found,
 so the k nearest are exact. Their distance-weighted votes are turned into probabilities by a logistic curve fitted to
 the votes that the examples get from one another.
@@ -22,13 +22,27 @@ from .shared import blocks, per_text
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Lengths of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
+BEGINNINGS = (4, 5, 6)
+
+
+def terms_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
+
+
+def counted_terms(text: str) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for term in terms_of(word):
+            out[term] += n
+    return out
 
 
 class Index:
     """Labelled examples with block-max inverted lists."""
 
     def __init__(self, rows: list[tuple[int, int, dict[str, int]]], words: dict[str, int], prior: float, k: int):
-        """rows: id, label and counts of the chosen words; words: their document frequency among the rows."""
+        """rows: id, label and counts of the chosen terms; words: their document frequency among the rows."""
         self.k, self.prior, n = k, prior, len(rows)
         self.at = {w: i for i, w in enumerate(sorted(words))}
         self.idf = np.array([math.log((n + 1) / (words[w] + 0.5)) for w in self.at]) if words else np.zeros(0)
@@ -51,6 +65,7 @@ class Index:
         np.maximum.at(top, slot, self.weights)
         self.top = top.reshape(len(self.at), self.blocks)
         self.curve = (0.0, 0.0)
+        self.known: dict[str, tuple[str, ...]] = {}
         self.fit(vectors)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +125,16 @@ class Index:
 
     def score(self, text: str) -> tuple[float, str]:
         """P(label 1) of a text, and its evidence: id, label and cosine of the nearest three examples."""
-        counts = Counter(filter(self.at.__contains__, WORD.findall(text.lower())))
+        counts: Counter = Counter()
+        known = self.known
+        if len(known) > 300_000:
+            known.clear()
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            terms = known.get(word)
+            if terms is None:
+                terms = known[word] = tuple(t for t in terms_of(word) if t in self.at)
+            for t in terms:
+                counts[t] += n
         found, cosine = self.nearest(*self.vector(counts))
         z = self.curve[0] + self.curve[1] * (self.vote(found, cosine) if len(self.labels) else 0.0)
         shown = " ".join(f"{self.names[i]}:{self.labels[i]}:{c:.3f}" for i, c in zip(found[:3].tolist(), cosine[:3].tolist(), strict=True))
@@ -135,7 +159,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
 
     def counted(batches):
         for batch, whole in blocks(batches, 2):
-            out = [(i, y, w, c) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), whole, strict=True) for w, c in Counter(WORD.findall(t.lower())).items()]
+            out = [(i, y, w, c) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), whole, strict=True) for w, c in counted_terms(t).items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["id", "y", "w", "c"])
 
@@ -152,13 +176,13 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     return Index([(r["id"], r["y"], rows[r["id"]]) for r in chosen], best, prior, k)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, vocabulary: int = 1024, k: int = 15) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, vocabulary: int = 1024, k: int = 31) -> DataFrame:
     """Per document: key, score (P(label 1), also for null and empty texts), predicted (1 if score >= threshold), evidence.
 
     `labels` holds the rows to learn from; unlabelled and repeated ids are no trouble (a repeated id counts once, with
     its greatest label). Without labelled rows every score is 0. Only the texts of the chosen examples and a document's
     own text enter its score. Other columns are ignored; repeated rows are scored each by itself. The index holds at
-    most 2 * examples vectors over `vocabulary` words and is broadcast; documents are read once, without a shuffle.
+    most 2 * examples vectors over `vocabulary` terms and is broadcast; documents are read once, without a shuffle.
     """
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, key, text, label, examples, vocabulary, k))
 
