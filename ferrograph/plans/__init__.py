@@ -1,6 +1,6 @@
 """The operators bound to the supplied tables."""
 
-from . import graphs, lookups, ordered, similarity, streams, textual, written  # noqa: F401
+from . import graphs, lookups, notations, ordered, similarity, streams, textual, written  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
