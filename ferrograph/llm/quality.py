@@ -86,7 +86,7 @@ def host_verdicts(rules: DataFrame, host_limit: float = 2 / 3) -> DataFrame:
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = 2 / 3) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host, host_rate.
 
-    kept is false if base_failed, else the host's verdict. Null texts count as empty (and fail), null hosts as "".
+    kept is false if the document fails any rule itself or its host is rejected. Null texts count as empty (and fail), null hosts as "".
     Repeated rows are judged each by itself; other columns of docs are ignored. The counts are worked out once and
     written to the shared folder; hosts are summed before they are shuffled, and the verdicts (one row a host) join
     back by Spark's own choice of join, which splits a host that holds many of the rows.
@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     verdicts = host_verdicts(rules, host_limit)
     return rules.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host", F.round("rate", 9).alias("host_rate"),
+        (~F.col("failed") & ~F.col("host_rejected")).alias("kept"), "host", F.round("rate", 9).alias("host_rate"),
     )
 
 
@@ -123,7 +123,7 @@ h as (select host, count(*) as n, sum((base_failed or more)::bigint) as bad from
 p as (select sum(bad) / sum(n) as mean, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) as variance from h),
 q as (select mean, case when variance > 0 then least(1000, greatest(1, mean * (1 - mean) / variance - 1)) else 1000 end as weight from p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not ((bad + mean * weight) / (n + weight) > 2.0 / 3) as kept, host,
+       not base_failed and not more and not ((bad + mean * weight) / (n + weight) > 2.0 / 3) as kept, host,
        round((bad + mean * weight) / (n + weight), 9) as host_rate
 from f join h using (host), q
 """
