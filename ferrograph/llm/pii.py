@@ -49,11 +49,20 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT_WORDS = {w: str(i) for line in SPELLED for i, w in enumerate(line.split())} | {"oh": "0"}
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-RUN = re.compile(rf"(?<!\w)(?:(?:{PLUS})[ -]+)?(?:{WORD})(?:[ ,-]+(?:(?:{WORD}|{DOT})(?!\w)|[0-9](?![0-9]))){{3,}}", re.I)
-PART = re.compile(rf"({WORD})|({DOT})|({PLUS})|[0-9]|[ ,-]+", re.I)
+TIMES = {"double": 2, "triple": 3}
+ONE = rf"(?:(?:double|triple)[ -]+)?(?:{WORD})"
+RUN = re.compile(rf"(?<!\w)(?:(?:{PLUS})[ -]+)?{ONE}(?:[ ,-]+(?:(?:{ONE}|{DOT})(?!\w)|[0-9](?![0-9]))){{3,}}", re.I)
+PART = re.compile(rf"(?:(double|triple)[ -]+)?({WORD})|({DOT})|({PLUS})|[0-9]|[ ,-]+", re.I)
 BRACKET = re.compile(rf"[\[({{<]\s*(?:({AT}|@)|(?:{DOT}|\.))\s*[\])}}>]\s*", re.I)
-PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ _]+(?:{AT})[ _]+)(?:[A-Za-z0-9-]++[ _]+(?:{DOT})[ _]+)+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
+ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|&(?:#0*46|#x0*2e|period);", re.I)
+PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ _]+(?:{AT})[ _]+|@)(?:[A-Za-z0-9-]++[ _]+(?:{DOT})[ _]+)+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
+# "name at host.com" is read as an address only if the name does not look like a word of a sentence
+HALF = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9]*[0-9._+])[A-Za-z0-9._%+-]++(?P<at> (?:{AT}) )(?:[A-Za-z0-9-]++\.)+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
+APART = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at> ?@ ?)[A-Za-z0-9-]++(?: ?\. ?[A-Za-z0-9-]++)* ?\. ?(?:{ENDINGS})(?![A-Za-z0-9-])")
+GROUPS = re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
+LETTER = re.compile(r"(?<=[0-9])[OoIl](?=[0-9])")
 TOKEN, BARE_DOT = re.compile(r"[^\W_]+"), re.compile(rf"[ _](?:{DOT})[ _]")
+HALF_SIGN, SPACED_DOT = re.compile(rf" (?:{AT}) [A-Za-z0-9-]+\.", re.I), re.compile(r" ?\. ?")
 PLAIN_DOT = re.compile(rf"[ _]+(?:{DOT})[ _]+", re.I)
 
 
@@ -141,12 +150,32 @@ def spelled(run: re.Match) -> list[tuple[int, int, str]]:
     edits = []
     for m in PART.finditer(run[0]):
         low = m[0].lower()
-        new = DIGIT_WORDS[low] if m[1] else "." if m[2] else "+" if m[3] else low if low.isdigit() else ""
+        new = DIGIT_WORDS[m[2].lower()] * TIMES.get((m[1] or "").lower(), 1) if m[2] else "." if m[3] else "+" if m[4] else low if low.isdigit() else ""
         if new != m[0]:
             edits.append((run.start() + m.start(), run.start() + m.end(), new))
     return edits
 
 
+def rewritings(written: Written):
+    """The edits of each further disguise, one after another, each on what the last has left."""
+    digit = {"O": "0", "o": "0", "I": "1", "l": "1"}
+    yield [(m.start(), m.end(), "@" if re.search("64|40|commat", m[0], re.I) else ".") for m in (ENTITY.finditer(written.text) if "&" in written.text else ())]
+    edits = []
+    for m in PLAIN.finditer(written.text) if BARE_DOT.search(written.text.lower()) else ():
+        edits.append((*m.span("at"), "@"))
+        edits += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(written.text, m.end("at"), m.end())]
+    yield edits
+    yield [(*m.span("at"), "@") for m in HALF.finditer(written.text)] if HALF_SIGN.search(written.text) else []
+    edits = []
+    for m in APART.finditer(written.text) if "@" in written.text else ():
+        if " " in m[0]:
+            edits.append((*m.span("at"), "@"))
+            edits += [(*d.span(), ".") for d in SPACED_DOT.finditer(written.text, m.end("at"), m.end())]
+    yield edits
+    yield [(m.start() + k, m.start() + k + 1, "-") for m in GROUPS.finditer(written.text) for k in (4, 9, 14)]
+    yield [(m.start(), m.end(), digit[m[0]]) for m in LETTER.finditer(written.text)]
+
+
 def hidden_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in source characters of identifiers that only the rewritten text shows."""
     written, touched = Written(text), False
@@ -168,13 +197,10 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
     if edits:
         written.rewrite(edits)
         touched = True
-    edits = []
-    for m in PLAIN.finditer(written.text) if BARE_DOT.search(low) else ():
-        edits.append((*m.span("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(written.text, m.end("at"), m.end())]
-    if edits:
-        written.rewrite(edits)
-        touched = True
+    for edits in map(list, rewritings(written)):
+        if edits:
+            written.rewrite(edits)
+            touched = True
     if not touched:
         return []
     marks, found = sorted(written.changed), []

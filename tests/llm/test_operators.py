@@ -258,6 +258,13 @@ def test_plain_spans_are_those_of_the_patterns():
         ("john at example dot com", "john at example dot com"),
         ("call plus one two one two five five five one two three four ok", "plus one two one two five five five one two three four"),
         ("phone ＋１ ２１２ ５５５ １２３４", "＋１ ２１２ ５５５ １２３４"),
+        ("john [at] example dot com", "john [at] example dot com"),
+        ("hnp.46 at mail3.example.com", "hnp.46 at mail3.example.com"),
+        ("hnp.46 @ mail3 . example . com ok", "hnp.46 @ mail3 . example . com"),
+        ("a&#64;b&#46;com", "a&#64;b&#46;com"),
+        ("4035.0659.4308.8454", "4035.0659.4308.8454"),
+        ("+1 two six nine double five five three two nine six x", "+1 two six nine double five five three two nine six"),
+        ("He came @ noon. The end. Look at example.com, we met at 5.30 com", None),
         ("look at the dot matrix, it is at four of five", None),
         ("un deux trois, et puis rien", None),
     ],
