@@ -121,13 +121,13 @@ def semantic_pairs(spark, sf_dir):
 @query("""
 with s as (select user_id, list_sort(list(distinct strftime(ts, '%j') || event_type)) as s from events group by 1),
 c as (select s, min(user_id) as c, count(*) as n from s group by 1),
-l as (select x.c, sum(y.n) as m from c x join c y on x.c <> y.c and 100 * len(list_intersect(x.s, y.s)) >= 40 * len(list_distinct(list_concat(x.s, y.s))) group by 1)
+l as (select x.c, sum(y.n) as m from c x join c y on x.c <> y.c and 100 * len(list_intersect(x.s, y.s)) >= 70 * len(list_distinct(list_concat(x.s, y.s))) group by 1)
 select user_id, c.c as class_id, (coalesce(m, 0) + n - 1)::bigint as n_links from s join c using (s) left join l using (c)""")
 def tanimoto_links(spark, sf_dir):
-    """Users by the set of their (day, event type) bits: class of equal sets, and number of users of Tanimoto 0.4 or more."""
+    """Users by the set of their (day, event type) bits: class of equal sets, and number of users of Tanimoto 0.7 or more."""
     bits = F.collect_set(F.concat(F.date_format("ts", "DDD"), "event_type"))
     sets = table(spark, sf_dir, "events").groupBy("user_id").agg(bits.alias("bits"))
-    return similarity.tanimoto_links(sets, "user_id", "bits", 40)
+    return similarity.tanimoto_links(sets, "user_id", "bits", 70)
 
 
 HYBRID = f"""
