@@ -20,8 +20,8 @@ from ferrograph.llm.shared import shared_dir
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id a verdict keeps. Both sides are hashed by doc_id; verdicts are one narrow row each."""
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Rows of docs whose doc_id a verdict keeps. A merge join at every size: verdicts grow with the documents."""
+    return docs.join(verdicts.where("kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             made = [s.tobytes() for s in shingle_sets(texts, size, hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "s"])
 
-    whole = stash(docs.join(named, "id", "left_semi").mapInArrow(sets, "id bigint, s binary"), "sets")
+    whole = stash(docs.join(named.hint("merge"), "id", "left_semi").mapInArrow(sets, "id bigint, s binary"), "sets")
     one = pairs.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = one.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
@@ -192,7 +192,7 @@ def linked_blocks(spokes: DataFrame, judged: DataFrame, first: DataFrame, docs:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(made, pa.binary())], ["id", "c", "crowd", "x", "parts", "s"])
 
     schema = "id bigint, c bigint, crowd bigint, x bigint, parts bigint, s binary"
-    whole = stash(docs.join(dealt, "id").select("id", "c", "crowd", "x", "parts", "t").mapInArrow(sets, schema), "members")
+    whole = stash(docs.join(dealt.hint("merge"), "id").select("id", "c", "crowd", "x", "parts", "t").mapInArrow(sets, schema), "members")
     pairs = whole.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("id", "c", "crowd", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "s")
 
     def compared(table: pa.Table) -> pa.Table:
