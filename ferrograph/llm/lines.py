@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     docs = docs.drop("n_lines_removed")
     columns, at = docs.columns, docs.columns.index(text)
-    joined = docs.join(gone.withColumnRenamed("k", "__k"), F.col(key).cast("bigint") == F.col("__k"), "left").drop("__k")
+    # a merge join at every size: the list of windows grows with the documents
+    joined = docs.join(gone.withColumnRenamed("k", "__k").hint("merge"), F.col(key).cast("bigint") == F.col("__k"), "left").drop("__k")
 
     def delete(batches):
         for batch in batches:
