@@ -92,7 +92,7 @@ def span_overlap(spark, sf_dir):
 
 
 @query("""
-select doc_id, trim(coalesce(text, '')) <> '' as rag_eligible, trim(coalesce(text, '')) <> '' and e = 0 as sft_eligible, e > 0 or w >= 5 as review_required, round(greatest(0, 1 - 0.02 * w - 0.1 * e), 4) as confidence,
+select doc_id, trim(coalesce(text, '')) <> '' as rag_eligible, trim(coalesce(text, '')) <> '' and e = 0 as sft_eligible, e > 0 or w >= 5 as review_required, round(greatest(0, 1 - 0.02 * w - 0.1 * e), 4)::double as confidence,
   concat_ws('+', case when e > 0 then 'has_errors' end, case when trim(coalesce(text, '')) = '' then 'blank_text' end, case when w >= 5 then 'many_warnings' end) as reasons
 from (select d.doc_id, text, coalesce(l.toxic, 0) + (1 - coalesce(l.quality, 1)) as e, d.n_chars // 2000 as w from documents d left join labels l using (doc_id))""")
 def quality_flags(spark, sf_dir):
