@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components  # noqa: F401
-from ..tables import shared_dir  # noqa: F401
+from ..tables import drop, shared_dir  # noqa: F401
 from ..tables import stash as write_table
 
 #: Code points of text that one block of Python work holds at most (one longer text is a block by itself).
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

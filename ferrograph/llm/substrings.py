@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, stash
+from .shared import blocks, drop, stash
 
 U = np.uint64
 #: Bytes of the grams of each level.
@@ -117,7 +117,9 @@ def settle(source: DataFrame, size: int, gram: int, level: str) -> tuple[DataFra
     names = stash(met.groupBy("f", "h").agg(F.min(F.struct("id", "p", "n")).alias("first"), F.count("*").alias("c")), f"names-{level}")
     later = met.join(names.where("c > 1").select("f", "h", "first"), ["f", "h"]).where("id > first.id or id = first.id and p > first.p").select("id", "p", "n")
     several = names.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
-    return stash(later, f"later-{level}"), stash(names.join(several, "f", "left_semi").select("first.*"), f"open-{level}")
+    found = stash(later, f"later-{level}"), stash(names.join(several, "f", "left_semi").select("first.*"), f"open-{level}")
+    drop(common, met, names)
+    return found
 
 
 def of_pieces(source: DataFrame, pieces: DataFrame, size: int, schema: str, made) -> DataFrame:
@@ -135,7 +137,7 @@ def of_pieces(source: DataFrame, pieces: DataFrame, size: int, schema: str, made
             inside = (p >= bases[row]) & (start + n + size - 1 <= ends[row])
             yield made(ids[row[inside]], start[inside], p[inside], n[inside], data)
 
-    return source.join(listed, "id").select("id", "base", "t", "pieces").mapInArrow(run, schema)
+    return source.join(listed.hint("merge"), "id").select("id", "base", "t", "pieces").mapInArrow(run, schema)
 
 
 def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 100) -> DataFrame:
@@ -169,6 +171,7 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     firsts = single.groupBy("g").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
     again = single.join(firsts, "g").where("id > first.id or id = first.id and p > first.p").select("id", "p", F.lit(1).alias("n"))
     gone = stash(later.union(more).union(again).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("gone")), "gone")
+    drop(later, more, open_, cuts, single)
 
     def removed(batches):
         for batch, texts in blocks(batches, 1):
@@ -189,5 +192,5 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    whole = source.join(gone, "id", "left").select("id", "t", "gone")
+    whole = source.join(gone.hint("merge"), "id", "left").select("id", "t", "gone")
     return whole.mapInArrow(removed, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
