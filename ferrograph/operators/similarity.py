@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, tanimoto
+from ..tables import stash
 from .graphs import components
 
 
@@ -150,3 +151,64 @@ def neighbour_scores(rows: DataFrame, key: str, vector: str, label: str, reach:
         )
     )
     return both.select("a", "b", F.explode(parts).alias("p")).select("a", "b", "p.component", "p.score")
+
+
+def all_scores(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
+    """Component scores (a, b, component, score) of all pairs of rows, however far apart, whose "hybrid" score is `least` or more.
+
+    Rows of equal vector and label are folded to a class, named by its smallest key: classes are paired with each other, and
+    a class with each of its further members, so copies are linked but never paired out. Classes are packed into blocks;
+    each pair of blocks is one matrix product, and only pairs that reach `least` leave it. Null vectors meet by label only.
+    """
+    from ..functions.scalars import cosine, sign_bits
+
+    known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("l")).where("v is not null or l is not null")
+    classes = stash(known.groupBy("v", "l").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
+    n = max(1, -(-classes.count() // block))
+    packed = classes.select(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("p"), F.struct(F.col("c").alias("id"), "l", "v").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows"))
+    left = packed.withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(n - 1))))
+    pairs = left.join(packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows")), "q")
+    w = WEIGHTS["hybrid"]
+
+    def unpacked(side, width):
+        size = np.array([-1 if r["v"] is None else len(r["v"]) for r in side])
+        v = np.zeros((len(side), width))
+        for i, r in enumerate(side):
+            v[i, : max(0, size[i])] = r["v"] if size[i] > 0 else 0
+        return np.array([r["id"] for r in side], np.int64), np.array([r["l"] for r in side], object), size, v, (v > 0).astype(float)
+
+    def product(batches):
+        for pdf in batches:
+            for p, q, x, y in zip(pdf["p"], pdf["q"], pdf["p_rows"], pdf["q_rows"], strict=True):
+                width = max(len(r["v"]) if r["v"] is not None else 0 for r in (*x, *y))
+                (a, la, na, va, ba), (b, lb, nb, vb, bb) = unpacked(x, width), unpacked(y, width)
+                norm = np.linalg.norm(va, axis=1)[:, None] * np.linalg.norm(vb, axis=1)[None]
+                shared = ba @ bb.T
+                every = ba.sum(1)[:, None] + bb.sum(1)[None] - shared
+                emb = np.where((norm > 0) & (na[:, None] == nb[None]), np.round(np.clip(va @ vb.T / np.where(norm > 0, norm, 1), -1, 1), 9), 0)
+                fp = np.round(shared / np.maximum(every, 1), 9)
+                same = (la[:, None] == lb[None]) & np.array([s is not None for s in la], bool)[:, None]
+                both = (na >= 0)[:, None] & (nb >= 0)[None]
+                total = same * w["semantic"] + w["fingerprint"] + w["embedding"]
+                score = same * w["semantic"] * 0.95 + w["fingerprint"] * fp + w["embedding"] * emb + (1 - total) * fp
+                score = np.where(both, score, np.where(same, 0.95, -np.inf))
+                i, j = np.nonzero((score >= least - 1e-6) & ((a[:, None] < b[None]) | (p != q) & (a[:, None] != b[None])))
+                for name, value, has in (("embedding", emb[i, j], both[i, j]), ("fingerprint", fp[i, j], both[i, j]), ("semantic", np.full(len(i), 0.95), same[i, j])):
+                    yield pd.DataFrame({"a": a[i][has], "b": b[j][has], "component": name, "score": value[has]})
+
+    between = pairs.select("p", "q", "p_rows", "q_rows").mapInPandas(product, "a bigint, b bigint, component string, score double")
+    copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c")
+    parts = F.array_compact(
+        F.array(
+            F.when(F.col("v").isNotNull(), F.struct(F.lit("embedding").alias("component"), F.round(cosine(F.col("v"), F.col("v")), 9).alias("score"))),
+            F.when(F.col("v").isNotNull(), F.struct(F.lit("fingerprint").alias("component"), F.round(tanimoto(sign_bits(F.col("v")), sign_bits(F.col("v"))), 9).alias("score"))),
+            F.when(F.col("l").isNotNull(), F.struct(F.lit("semantic").alias("component"), F.lit(0.95).alias("score"))),
+        )
+    )
+    within = copies.select(F.col("c").alias("a"), F.col("id").alias("b"), F.explode(parts).alias("p")).select("a", "b", "p.component", "p.score")
+    return between.unionByName(within)
+
+
+def similar_edges(rows: DataFrame, key: str, vector: str, label: str, least: float = CANDIDATE, block: int = 1024) -> DataFrame:
+    """The hybrid edges of score `least` or more among all pairs of classes of equal rows, and from a class to its copies."""
+    return hybrid_edges(all_scores(rows, key, vector, label, least, block)).where(F.col("score") >= least)

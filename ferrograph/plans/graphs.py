@@ -51,10 +51,10 @@ def components(spark, sf_dir):
 
 @query()
 def spanning_forest(spark, sf_dir):
-    """The maximum spanning forest of the edges between vectors of nearby ids."""
-    from .similarity import hybrid_edges
+    """The maximum spanning forest of the edges of 0.35 or more between all vectors."""
+    from .similarity import similar_edges
 
-    return graphs.spanning_forest(hybrid_edges(spark, sf_dir).select("a", "b", F.col("score").alias("w")))
+    return graphs.spanning_forest(similar_edges(spark, sf_dir).select("a", "b", F.col("score").alias("w")))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, similarity
 from ..operators.quality import common_value
-from ..tables import table
+from ..tables import stash, table
 from .registry import query
 
 COS = "(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::double * p[2]::double)) / sqrt(list_sum(list_transform({a}, lambda x: x::double * x::double))) / sqrt(list_sum(list_transform({b}, lambda x: x::double * x::double))))"
@@ -141,7 +141,7 @@ h as (select a, b, round(coalesce(0.2 * sem, 0) + 0.3 * fp + 0.25 * emb + (1 - (
 
 @query(f"with {HYBRID} select a, b, score, basis, true as computed, false as conflict, case when score >= 0.75 then 'strict' when score >= 0.55 then 'candidate' else 'none' end as class from h")
 def hybrid_edges(spark, sf_dir):
-    """Edges between vectors of nearby ids, scored by what is known of them: cosine, sign bits, equal labels."""
+    """Edges between vectors at most 3 ids apart (similar_edges has all pairs), scored by cosine, sign bits, equal labels."""
     return similarity.hybrid_edges(similarity.neighbour_scores(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 3))
 
 
@@ -155,6 +155,22 @@ rep as (select c, count(*) as n_members, arg_max(node, (d, s, -node)) as represe
 select rep.c as cluster, n_members, count(*) as n_edges, round(avg(score), 6) as mean_score, min(score) as min_score, representative
 from rep join m using (c) join g on g.a = m.node group by all having n_members >= 2""")
 def semantic_groups(spark, sf_dir):
-    """Connected components of the edges of 0.35 or more, with a representative each."""
+    """Connected components of the edges of 0.35 or more between nearby ids (similar_groups: all), with a representative each."""
     edges = hybrid_edges(spark, sf_dir).where("score >= 0.35")
     return similarity.clusters(edges)
+
+
+#: The least score of an edge between any two vectors, that of semantic_groups.
+LEAST = 0.35
+
+
+@query()
+def similar_edges(spark, sf_dir):
+    """Edges of 0.35 or more between all vectors, whatever their ids; copies are linked to the first of their class."""
+    return similarity.similar_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", LEAST)
+
+
+@query()
+def similar_groups(spark, sf_dir):
+    """Connected components of similar_edges, with a representative each."""
+    return similarity.clusters(stash(similar_edges(spark, sf_dir), "edges"))

@@ -156,3 +156,28 @@ def test_rank_leaves_nulls_out(spark):
 def test_common_value(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2)], "g int, x string, y int")
     assert quality.common_value(df, "g", ["x", "y"]).first().asDict() == {"g": 1, "n": 2, "x": "a", "y": None}
+
+
+def test_similar_edges_against_all_pairs(spark):
+    r = random.Random(5)
+    rows = [(10 * i, [round(r.random() - 0.3, 3) for _ in range(6)], r.choice([1, 2, None])) for i in range(40)]
+    rows += [(1000, rows[0][1], rows[0][2]), (1003, rows[0][1], rows[0][2]), (1006, [0.0] * 6, 1), (1009, None, 1), (1012, None, 2), (1015, None, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {(x["a"], x["b"]): x["score"] for x in similarity.similar_edges(df, "vec_id", "embedding", "label", 0.5, block=7).collect()}
+    scores, first = [], {}
+    for i, v, k in rows:
+        first.setdefault((str(v), k), i)
+    for a, va, la in rows:
+        for b, vb, lb in rows:
+            ca, cb = first[str(va), la], first[str(vb), lb]
+            if a < b and (ca == a and cb == b or ca == cb == a):
+                if la is not None and la == lb:
+                    scores.append((a, b, "semantic", 0.95))
+                if va and vb:
+                    x, y = ({i for i, z in enumerate(v) if z > 0} for v in (va, vb))
+                    length = (sum(z * z for z in va) * sum(z * z for z in vb)) ** 0.5
+                    scores.append((a, b, "embedding", round(sum(s * t for s, t in zip(va, vb, strict=True)) / length, 9) if length else 0.0))
+                    scores.append((a, b, "fingerprint", round(len(x & y) / len(x | y), 9) if x | y else 0.0))
+    every = similarity.hybrid_edges(spark.createDataFrame(scores, "a bigint, b bigint, component string, score double")).where("score >= 0.5").collect()
+    assert got == pytest.approx({(x["a"], x["b"]): x["score"] for x in every})
+    assert (0, 1003) in got and any(b - a > 100 for a, b in got)
