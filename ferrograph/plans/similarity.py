@@ -130,6 +130,14 @@ def tanimoto_links(spark, sf_dir):
     return similarity.tanimoto_links(sets, "user_id", "bits", 70)
 
 
+@query()
+def tanimoto_links_40(spark, sf_dir):
+    """As tanimoto_links, with a Tanimoto of 0.4 or more; all pairs in SQL take too long, so a test has brute force."""
+    bits = F.collect_set(F.concat(F.date_format("ts", "DDD"), "event_type"))
+    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(bits.alias("bits"))
+    return similarity.tanimoto_links(sets, "user_id", "bits", 40)
+
+
 HYBRID = f"""
 n as (select a.vec_id as a, b.vec_id as b, a.label as la, b.label as lb, a.embedding as va, b.embedding as vb from embeddings a join embeddings b on b.vec_id - a.vec_id between 1 and 3),
 bits as (select a, b, list_filter(range(64), lambda i: va[i + 1] > 0) as x, list_filter(range(64), lambda i: vb[i + 1] > 0) as y from n),

@@ -92,6 +92,18 @@ def test_tanimoto_links_against_all_pairs(spark):
         assert x["class_id"] == min(j for j, t in sets.items() if t == sets[x["id"]])
 
 
+def test_links_between_users_from_a_tanimoto_of_40(spark, tmp_path):
+    from ferrograph import plans
+
+    r = random.Random(12)
+    events = [(u, f"2024-03-{r.randrange(1, 6):02d} 10:00:00", r.choice(["view", "error"])) for u in range(25) for _ in range(r.randrange(1, 8))]
+    spark.createDataFrame(events, "user_id bigint, at string, event_type string").selectExpr("user_id", "cast(at as timestamp) as ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    sets = {u: {(t, e) for v, t, e in events if v == u} for u, _, _ in events}
+    links = {u: sum(10 * len(s & t) >= 4 * len(s | t) for v, t in sets.items() if v != u) for u, s in sets.items()}
+    found = {n: {x["user_id"]: x["n_links"] for x in plans.queries()[n](spark, str(tmp_path)).collect()} for n in ("tanimoto_links", "tanimoto_links_40")}
+    assert found["tanimoto_links_40"] == links != found["tanimoto_links"]
+
+
 def test_neighbours_of_small_blocks(spark):
     r = random.Random(2)
     rows = [(i, [r.random() - 0.5 for _ in range(4)]) for i in range(40)] + [(40, [0.0] * 4), (41, None)]
