@@ -12,10 +12,12 @@ from ..tables import stash
 from .graphs import components
 
 
-def nearest(rows: DataFrame, vector: list[float], metric: str, k: int, where: list[Column] = (), vector_column: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k rows nearest a query vector, with `distance`, after all conditions; ties by key. No shuffle: a top-k a task."""
+def nearest(rows: DataFrame, vector: list[float] | None, metric: str, k: int, where: list[Column] = (), vector_column: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The k rows nearest a query vector, with `distance`, after all conditions; ties by key; none without a vector. No shuffle: a top-k a task."""
     from ..functions.scalars import distance
 
+    if vector is None:
+        rows, vector = rows.where("false"), [0.0]
     for condition in where:
         rows = rows.where(condition)
     query = F.array(*[F.lit(float(x)) for x in vector])
@@ -23,9 +25,12 @@ def nearest(rows: DataFrame, vector: list[float], metric: str, k: int, where: li
     return found.orderBy("distance", key).limit(k)
 
 
-def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024, metric: str | None = None, where: list[Column] = ()) -> DataFrame:
     """For each query row (key, vector) its k rows of greatest cosine among rows, itself left out: key, other, cosine, place.
 
+    With a metric ("cosine", "l2" or "inner_product") its k nearest rows instead: key, other, distance, place. Conditions
+    restrict the rows that are found, not the queries.
+
     Both sides are packed into blocks of `block` vectors; each pair of blocks is one matrix product and keeps k rows a
     query, so what is shuffled is a block a pair and then k rows a query and block. Null vectors and zero vectors have none.
     """
@@ -34,6 +39,8 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
         parts = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // block)))).alias(name)
         return df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(parts, F.struct(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("r")).groupBy(name).agg(F.collect_list("r").alias(name + "_rows"))
 
+    for condition in where:
+        rows = rows.where(condition)
     left, right = packed(queries, "q"), packed(rows, "d")
     n = F.lit(max(1, -(-queries.count() // block)))
     pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))).join(left, "q")
@@ -45,15 +52,22 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 others, b = np.array([r["id"] for r in d_rows]), np.array([np.asarray(r["v"]) for r in d_rows])
                 a_length, b_length = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
                 with np.errstate(all="ignore"):
-                    cos = np.round((a @ b.T) / a_length[:, None] / b_length[None], 9)
-                cos[(ids[:, None] == others[None]) | ~np.isfinite(cos)] = -2
+                    if metric == "l2":  # dimension by dimension: the product's form loses small distances
+                        cos = -np.round(np.sqrt(sum((x[:, None] - y[None]) ** 2 for x, y in zip(a.T, b.T, strict=True))), 9)
+                    else:
+                        cos = np.round(a @ b.T if metric == "inner_product" else (a @ b.T) / a_length[:, None] / b_length[None], 9)
+                cos[(ids[:, None] == others[None]) | ~np.isfinite(cos)] = -np.inf
                 order = np.lexsort((np.broadcast_to(others, cos.shape), -cos), axis=1)[:, :k]
                 got = pd.DataFrame({key: np.repeat(ids, order.shape[1]), "other": others[order].reshape(-1), "cosine": np.take_along_axis(cos, order, 1).reshape(-1)})
-                yield got[got["cosine"] >= -1]
+                yield got[got["cosine"] > -np.inf]
 
     found = pairs.select("q_rows", "d_rows").mapInPandas(product, f"{key} bigint, other bigint, cosine double")
     best = Window.partitionBy(key).orderBy(F.desc("cosine"), "other")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    if metric is None:
+        return found
+    distance = F.lit(1.0) - F.col("cosine") if metric == "cosine" else -F.col("cosine")
+    return found.select(key, "other", distance.alias("distance"), "place")
 
 
 def class_pairs(items: DataFrame, key: str, bases: dict[str, Column], scores: dict[str, float]) -> DataFrame:

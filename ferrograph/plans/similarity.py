@@ -18,10 +18,14 @@ DISTANCE = {
 }
 
 
+def first_vector(rows: DataFrame) -> list[float] | None:
+    row = rows.where("vec_id = 0").select("embedding").first()
+    return row and row["embedding"]
+
+
 def knn(spark: SparkSession, sf_dir: str, metric: str, where=()) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    vector = rows.where("vec_id = 0").select("embedding").first()["embedding"]
-    return similarity.nearest(rows, vector, metric, 8, where).select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
+    return similarity.nearest(rows, first_vector(rows), metric, 8, where).select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def knn_sql(metric: str, where: str = "") -> str:
@@ -79,13 +83,56 @@ from h left join documents on doc_id = vec_id left join pages on page_id = vec_i
 def retrieval_with_citations(spark, sf_dir):
     """The nearest vectors with their documents and pages; hits that lack a field are not citable."""
     rows = table(spark, sf_dir, "embeddings")
-    vector = rows.where("vec_id = 0").select("embedding").first()["embedding"]
-    hits = similarity.nearest(rows, vector, "cosine", 50).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
+    hits = similarity.nearest(rows, first_vector(rows), "cosine", 50).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("vec_id"), "url")
     return chunks.citations(hits.join(docs, "vec_id", "left").join(pages, "vec_id", "left"), ["lang", "url"])
 
 
+def searches(spark: SparkSession, sf_dir: str, metric: str, k: int, where=()) -> DataFrame:
+    """The k nearest of every row whose id is divisible by 20, itself left out."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = similarity.top_neighbours(rows, rows.where("vec_id % 20 = 0"), k, metric=metric, where=where)
+    return found.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+def searches_sql(metric: str, k: int, where: str = "true") -> str:
+    return f"select vec_id, other, round(d, 6) + 0.0 as distance, place from (select *, row_number() over (partition by vec_id order by d, other)::int as place from (select q.vec_id, e.vec_id as other, round({DISTANCE[metric]}, 9) as d from embeddings e, (select vec_id, embedding as v from embeddings where vec_id % 20 = 0) q where e.vec_id <> q.vec_id and {where})) where place <= {k}"
+
+
+@query(searches_sql("cosine", 8))
+def searches_cosine(spark, sf_dir):
+    return searches(spark, sf_dir, "cosine", 8)
+
+
+@query(searches_sql("l2", 8))
+def searches_l2(spark, sf_dir):
+    return searches(spark, sf_dir, "l2", 8)
+
+
+@query(searches_sql("inner_product", 8))
+def searches_inner_product(spark, sf_dir):
+    return searches(spark, sf_dir, "inner_product", 8)
+
+
+@query(searches_sql("cosine", 8, "label in (1, 2, 3)"))
+def searches_filtered(spark, sf_dir):
+    return searches(spark, sf_dir, "cosine", 8, [F.col("label").isin(1, 2, 3)])
+
+
+@query(f"""
+with h as ({searches_sql('cosine', 50)})
+select h.vec_id, other, distance, place, lang, url,
+  concat_ws('+', case when lang is null or trim(lang) = '' then 'lang' end, case when url is null or trim(url) = '' then 'url' end) as missing,
+  not (lang is null or trim(lang) = '' or url is null or trim(url) = '') as citable
+from h left join documents on doc_id = other left join pages on page_id = other""")
+def searches_with_citations(spark, sf_dir):
+    """retrieval_with_citations for every row whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), "lang")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("other"), "url")
+    return chunks.citations(searches(spark, sf_dir, "cosine", 50).join(docs, "other", "left").join(pages, "other", "left"), ["lang", "url"])
+
+
 @query("""
 with k as (select p_partkey, unnest([{'basis': 'brand', 'value': p_brand}, {'basis': 'type', 'value': p_type}, {'basis': 'size', 'value': p_size::varchar}]) as k from part)
 select k.basis as basis, k.value as value, count(distinct p_partkey) as n_members, min(p_partkey) as first_member, max(p_partkey) as last_member

@@ -118,6 +118,25 @@ def test_neighbours_of_small_blocks(spark):
         assert [(x["other"]) for x in sorted(got, key=lambda x: x["place"]) if x["vec_id"] == q] == [i for _, i in best]
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product"])
+def test_searches_by_metric_and_condition(spark, metric):
+    r = random.Random(6)
+    rows = [(i, [r.random() - 0.5 for _ in range(4)], i % 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = similarity.top_neighbours(df, df.where("vec_id % 20 = 0"), 3, block=7, metric=metric, where=[F.col("label") != 1]).collect()
+    far = {"l2": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, "inner_product": lambda a, b: -sum(x * y for x, y in zip(a, b, strict=True))}[metric]
+    best = {(q, p + 1): (i, d) for q in (0, 20, 40) for p, (d, i) in enumerate(sorted((round(far(rows[q][1], v), 9), i) for i, v, label in rows if i != q and label != 1)[:3])}
+    assert {(x["vec_id"], x["place"]): x["other"] for x in got} == {k: i for k, (i, _) in best.items()}
+    assert {(x["vec_id"], x["place"]): x["distance"] for x in got} == pytest.approx({k: d for k, (_, d) in best.items()})
+
+
+def test_search_without_its_query_vector(spark, tmp_path):
+    from ferrograph import plans
+
+    spark.createDataFrame([(7, [1.0, 2.0], 1)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert plans.queries()["knn_cosine"](spark, str(tmp_path)).count() == 0
+
+
 def test_diff_treats_nulls_as_equal(spark):
     a = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "k int, v string")
     b = spark.createDataFrame([(1, None), (2, None), (4, "z")], "k int, v string")
