@@ -101,13 +101,26 @@ def minimal_set_status(spark, sf_dir):
     return out.select("c_custkey", "n_orders", "n_priorities", "finished", F.when(F.col("n_orders") == 0, "needs_author_input").when(F.col("p") > 0, "fixable_by_suggestion").otherwise("complete").alias("completeness"))
 
 
-@query("""
-with x as (select vec_id as id, 'local' as origin, label / 10.0::double as score, null::double as distance from embeddings where vec_id % 3 = 0 union all select vec_id, 'remote', null, label / 10.0::double from embeddings where vec_id % 3 = 1)
-select id, origin, round(coalesce(score, -distance, 0), 6) + 0.0 as rank from x order by coalesce(score, -distance, 0) desc, origin, id limit 30""")
+RANKING = """
+with x as (select vec_id as id, 'local' as origin, label / 10.0::double as score, null::double as distance from embeddings where vec_id % 3 = 0 union all select vec_id, 'remote', null, label / 10.0::double from embeddings where vec_id % 3 {remote})
+select id, origin, round(coalesce(score, -distance, 0), 6) + 0.0 as rank from x order by coalesce(score, -distance, 0) desc, origin, id limit {n}"""
+
+
+@query(RANKING.format(remote="= 1", n=30))
 def hybrid_ranking(spark, sf_dir):
-    """Local and remote hits in one ranking: score, else minus distance; local first on ties."""
+    """Local and remote hits in one ranking: score, else minus distance; local first on ties. Ids of remainder 2 by 3 are out."""
+    return ranking(spark, sf_dir, F.col("vec_id") % 3 == 1).limit(30)
+
+
+@query(RANKING.format(remote="<> 0", n=1000000000))
+def hybrid_ranking_all(spark, sf_dir):
+    """hybrid_ranking with every vector, local or remote, ranked."""
+    return ranking(spark, sf_dir, F.col("vec_id") % 3 != 0)
+
+
+def ranking(spark, sf_dir, remote):
     e = table(spark, sf_dir, "embeddings")
-    part = lambda k, origin, s, d: e.where(F.col("vec_id") % 3 == k).select(F.col("vec_id").alias("id"), F.lit(origin).alias("origin"), s.cast("double").alias("score"), d.cast("double").alias("distance"))
-    x = part(0, "local", F.col("label") / 10, F.lit(None)).unionByName(part(1, "remote", F.lit(None), F.col("label") / 10))
+    part = lambda held, origin, s, d: e.where(held).select(F.col("vec_id").alias("id"), F.lit(origin).alias("origin"), s.cast("double").alias("score"), d.cast("double").alias("distance"))
+    x = part(F.col("vec_id") % 3 == 0, "local", F.col("label") / 10, F.lit(None)).unionByName(part(remote, "remote", F.lit(None), F.col("label") / 10))
     rank = F.coalesce("score", -F.col("distance"), F.lit(0.0))
-    return x.orderBy(rank.desc(), "origin", "id").limit(30).select("id", "origin", (F.round(rank, 6) + 0.0).alias("rank"))
+    return x.orderBy(rank.desc(), "origin", "id").select("id", "origin", (F.round(rank, 6) + 0.0).alias("rank"))

@@ -35,6 +35,26 @@ def test_components_match_a_model(spark, seed):
     assert {x["node"]: x["component"] for x in found.collect()} == model_components(edges)
 
 
+def test_components_of_every_line(spark):
+    from ferrograph import plans
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey", "l_partkey + 1000000000 as p").distinct().collect()
+    found = {x["node"]: x["component"] for x in plans.queries()["components_all"](spark, sf).collect()}
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for a, b in lines:
+        x, y = sorted((root(a), root(b)))
+        above[y] = x
+    assert found == {x: root(x) for x in above}
+
+
 def test_components_of_no_edges(spark):
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
