@@ -1,9 +1,8 @@
 """Line dedup by winnowing (operator 4).
 
-A document is the sequence of its lines' hashes. Each window of `width` consecutive lines selects its least hash as a
-fingerprint, so any repeated run of that many lines shares one. Fingerprints that occur once anywhere settle their
-windows; the others' positions are joined with the windows that extend from them to both sides, equal windows find
-their first place, and the lines of all later ones are deleted.
+A document is the sequence of its lines' hashes. Each window of `width` consecutive lines, and each shorter one of enough
+words, has its least hash as fingerprint, so any repeated run shares one. Fingerprints that occur once anywhere settle
+their windows; of the others' windows the equal ones find their first place, and the lines of all later ones are deleted.
 """
 
 from __future__ import annotations
@@ -40,16 +39,36 @@ def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return view.min(1), (whole + np.uint64(width)).view(np.int64)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def long_windows(lines: list[str], hashes: np.ndarray, numbers: list[int], width: int, words: int) -> tuple[list[int], list[int], list[int]]:
+    """Windows of fewer than `width` lines, and not the whole text, that have `words` words or more: fingerprint, hash of all, place and size as one number."""
+    found: tuple[list[int], list[int], list[int]] = ([], [], [])
+    chars = [len(lines[i]) for i in numbers]
+    counts: dict[int, int] = {}
+    for size in range(1, min(width, len(numbers))):
+        for p in range(len(numbers) - size + 1):
+            if sum(chars[p : p + size]) < 2 * words - size:  # each word but a line's last has white space after it
+                continue
+            for q in range(p, p + size):
+                if q not in counts:
+                    counts[q] = len(lines[numbers[q]].split())
+            if sum(counts[q] for q in range(p, p + size)) >= words:
+                low, whole = windows(hashes[p : p + size], size)
+                found[0].append(int(low[0]))
+                found[1].append(int(whole[0]))
+                found[2].append(p * (width + 1) + size)
+    return found
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, words: int = 50) -> DataFrame:
     """docs with text without repeated runs, and n_lines_removed; all columns and rows of docs are kept.
 
-    A run of `width` non-blank lines that occurs earlier (smaller key, or same document and earlier) is deleted, so are
-    overlapping runs; what is compared are the lines of the input. A text of fewer lines is one window, which only an
-    equal text of as many lines repeats. Blank lines neither count nor separate; those between deleted lines go with
+    A run of `width` non-blank lines, or of fewer that have `words` words together, that occurs earlier (smaller key, or
+    same document and earlier) is deleted, so are overlapping runs; what is compared are the lines of the input. A text
+    of fewer lines is one window besides, which, if of fewer words, only an equal text of as many lines repeats. Blank lines neither count nor separate; those between deleted lines go with
     them. Null and empty texts stay. Rows with equal keys count as one document by order of their window positions
     only: equal rows keep their text. Keys must be whole numbers.
 
-    Shuffled are fingerprints (counted before the shuffle) and 28 bytes for each window whose fingerprint repeats; first
+    Shuffled are fingerprints (counted before the shuffle) and 32 bytes for each window whose fingerprint repeats; first
     places are found by a partial minimum, so a line that a third of the documents share is never gathered. Each
     document then gets back only the list of its deleted windows.
     """
@@ -59,15 +78,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         for batch, texts in blocks(batches, 1):
             keys, prints, wholes, places = [], [], [], []
             for i, t in enumerate(texts):
-                low, whole = windows(line_hashes(t)[1], width)
-                keys.append(np.full(len(low), batch.column(0)[i].as_py() or 0, np.int64))
-                prints.append(low)
-                wholes.append(whole)
-                places.append(np.arange(len(low), dtype=np.int32))
+                lines, hashes, numbers = line_hashes(t)
+                low, whole = windows(hashes, width)
+                more = long_windows(lines, hashes, numbers, width, words)
+                keys.append(np.full(len(low) + len(more[0]), batch.column(0)[i].as_py() or 0, np.int64))
+                prints += [low, np.array(more[0], np.int64)]
+                wholes += [whole, np.array(more[1], np.int64)]
+                places += [np.arange(len(low), dtype=np.int64) * (width + 1) + min(width, len(hashes)), np.array(more[2], np.int64)]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, prints, wholes, places)], ["k", "f", "w", "p"])
 
-    cuts = stash(source.where("k is not null and t is not null").mapInArrow(cut, "k bigint, f bigint, w bigint, p int"), "windows")
+    cuts = stash(source.where("k is not null and t is not null").mapInArrow(cut, "k bigint, f bigint, w bigint, p bigint"), "windows")
     common = cuts.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
     met = cuts.join(common, "f", "left_semi")
     first = met.groupBy("f", "w").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -87,9 +108,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 for t, places in zip(part.column(at), part.column(len(columns)).to_pylist(), strict=True):
                     t, dead = t.as_py(), set()
                     if places:
-                        lines, hashes, numbers = line_hashes(t or "")
-                        size = min(width, len(hashes))
-                        for p in places:
+                        lines, _, numbers = line_hashes(t or "")
+                        for p, size in (divmod(x, width + 1) for x in places):
                             if p + size <= len(numbers):
                                 dead.update(range(numbers[p], numbers[p + size - 1] + 1))
                         t = "\n".join(x for i, x in enumerate(lines) if i not in dead)

@@ -174,6 +174,14 @@ def test_lines_against_brute_force(spark):
         assert got[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
 
 
+def test_long_lines_within_longer_documents(spark):
+    long, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 30), ("c", 25)))
+    texts = [f"own 1\n{long}\nown 2\nown 3", f"own 4\nown 5\n {long}\nown 6", f"own 7\n{half}\n\n{other}\nown 8", f"own 9\n{half}\n{other}\nown 10\nown 11", f"{half}\nown 12\nown 13\nown 14", long, half]
+    got = {x["doc_id"]: (x["text"], x["n_lines_removed"]) for x in dedup_lines(documents(spark, texts)).collect()}
+    assert got[1] == ("own 4\nown 5\nown 6", 1) and got[3] == ("own 9\nown 10\nown 11", 2) and got[5] == ("", 1)
+    assert all(got[i] == (texts[i], 0) for i in (0, 2, 4, 6))
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(6)
     base = [[f"w{r.randrange(4000)}" for _ in range(200)] for _ in range(4)]
