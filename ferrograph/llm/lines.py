@@ -45,6 +45,7 @@ def long_windows(lines: list[str], hashes: np.ndarray, numbers: list[int], width
     chars = [len(lines[i]) for i in numbers]
     counts: dict[int, int] = {}
     for size in range(1, min(width, len(numbers))):
+        places = []
         for p in range(len(numbers) - size + 1):
             if sum(chars[p : p + size]) < 2 * words - size:  # each word but a line's last has white space after it
                 continue
@@ -52,10 +53,12 @@ def long_windows(lines: list[str], hashes: np.ndarray, numbers: list[int], width
                 if q not in counts:
                     counts[q] = len(lines[numbers[q]].split())
             if sum(counts[q] for q in range(p, p + size)) >= words:
-                low, whole = windows(hashes[p : p + size], size)
-                found[0].append(int(low[0]))
-                found[1].append(int(whole[0]))
-                found[2].append(p * (width + 1) + size)
+                places.append(p)
+        if places:
+            low, whole = windows(hashes, size)
+            found[0].extend(low[places].tolist())
+            found[1].extend(whole[places].tolist())
+            found[2].extend(p * (width + 1) + size for p in places)
     return found
 
 
