@@ -183,9 +183,8 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
         table = glyphs()
         written.rewrite([(i, i + 1, table[c]) for i, c in enumerate(text) if c in table])
         touched = True
-    low = written.text.lower()
-    few = sum(map(DIGIT_WORDS.__contains__, TOKEN.findall(low))) < 3  # too few for a run, which spares the costly pattern
-    edits = [] if few else [e for run in RUN.finditer(written.text) for e in spelled(run)]
+    none = DIGIT_WORDS.keys().isdisjoint(TOKEN.findall(written.text.lower()))  # no run, which spares the costly pattern
+    edits = [] if none else [e for run in RUN.finditer(written.text) for e in spelled(run)]
     if edits:
         written.rewrite(edits)
         touched = True

@@ -282,6 +282,16 @@ def test_disguises(text, hidden):
     assert [text[a:b] for _, a, b in added] == ([hidden] if hidden else [])
 
 
+@pytest.mark.parametrize("hidden", ["plus one 5 5 5 0 1 2 3 4", "one dot 2 dot 3 dot 4"])
+def test_disguises_with_few_spelled_digits(hidden):
+    text = f"see {hidden} now"
+    edits = [e for run in pii.RUN.finditer(text) for e in pii.spelled(run)]
+    written = pii.Written(text)
+    written.rewrite(edits)
+    wanted = [(k, written.starts[a], written.ends[b - 1]) for k, a, b in pii.plain_spans(written.text)]
+    assert edits and pii.hidden_spans(text) == wanted
+
+
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
 
