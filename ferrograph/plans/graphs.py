@@ -60,10 +60,14 @@ def linked(lines):
 
 @query()
 def spanning_forest(spark, sf_dir):
-    """The maximum spanning forest of the edges of 0.35 or more between all vectors."""
-    from .similarity import similar_edges
-
-    return graphs.spanning_forest(similar_edges(spark, sf_dir).select("a", "b", F.col("score").alias("w")))
+    """The maximum spanning forest of the edges between all vectors; those under 0.35 are worked out only if the others do not span."""
+    from ..operators.similarity import similar_edges
+    from .similarity import LEAST
+
+    rows = table(spark, sf_dir, "embeddings")
+    forest = lambda least: graphs.spanning_forest(similar_edges(rows, "vec_id", "embedding", "label", least).select("a", "b", F.col("score").alias("w")))
+    found = forest(LEAST)
+    return found if found.count() >= rows.count() - 1 else forest(-1.0)
 
 
 DEPENDENTS = """

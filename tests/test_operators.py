@@ -78,6 +78,15 @@ def test_spanning_forest_has_the_greatest_weight(spark):
     assert sum(x["w"] for x in found) == total
 
 
+def test_spanning_forest_of_unlike_vectors(spark, tmp_path):
+    from ferrograph import plans
+
+    rows = [(0, [1.0, -1.0], 1), (50, [-1.0, 1.0], 2), (90, [1.0, -1.0], 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(x["a"], x["b"]): x["w"] for x in plans.queries()["spanning_forest"](spark, str(tmp_path)).collect()}
+    assert found == pytest.approx({(0, 90): 0.99, (0, 50): -0.25})
+
+
 def test_cycles_and_reachability(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "a bigint, b bigint")
     assert sorted(x["path"] for x in graphs.cycles(edges, 4).collect()) == [[1, 2, 3], [5]]
