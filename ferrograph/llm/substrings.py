@@ -148,7 +148,7 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Keys must be whole numbers; rows of one key are compared at equal places as one document (an equal row is no
     earlier copy of itself); a null key takes no part. Other columns are ignored. `size` is at least 80.
 
-    Names are 64-bit hashes (a stretch's with its gram's beside it). No group of equal names is ever gathered: first
+    Names are pairs of 64-bit hashes (a stretch's and its gram's, or a string's two). No group of equal names is ever gathered: first
     places are partial minima, and the rows are joined back with them, a join that Spark splits where a name is hot.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -161,15 +161,15 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     def strings(ids, start, p, n, data):
         each, step = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = start[each] + step
-        names = Rolling(data, 0).of(begin, begin + size).view(np.int64) if len(each) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[each]), pa.array((p[each] + step).astype(np.int32)), pa.array(names)], ["id", "p", "g"])
+        names = [Rolling(data, k).of(begin, begin + size).view(np.int64) if len(each) else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[each]), pa.array((p[each] + step).astype(np.int32)), *map(pa.array, names)], ["id", "p", "g", "h"])
 
     later, open_ = settle(live, size, GRAMS[0], "1")
     cuts = stash(of_pieces(live, open_, size, "id bigint, base int, t binary", sliced), "cuts")
     more, open_ = settle(cuts, size, GRAMS[1], "2")
-    single = stash(of_pieces(cuts, open_, size, "id bigint, p int, g bigint", strings).distinct(), "strings")
-    firsts = single.groupBy("g").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    again = single.join(firsts, "g").where("id > first.id or id = first.id and p > first.p").select("id", "p", F.lit(1).alias("n"))
+    single = stash(of_pieces(cuts, open_, size, "id bigint, p int, g bigint, h bigint", strings).distinct(), "strings")
+    firsts = single.groupBy("g", "h").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = single.join(firsts, ["g", "h"]).where("id > first.id or id = first.id and p > first.p").select("id", "p", F.lit(1).alias("n"))
     gone = stash(later.union(more).union(again).groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("gone")), "gone")
     drop(later, more, open_, cuts, single)
 
