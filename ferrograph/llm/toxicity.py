@@ -1,20 +1,21 @@
 """Toxicity scores from the nearest labelled examples (operator 1).
 
-A bounded sample of labelled rows is the index: TF-IDF vectors over the terms (words, and beginnings of words) that tell
-the labels apart, in inverted lists cut into blocks of examples, each list with its greatest weight per block. A query adds these up to bounds on
-the blocks' cosines, opens blocks from the best bound down, and stops when no bound reaches the k-th best cosine found,
-so the k nearest are exact. Their distance-weighted votes are turned into probabilities by a logistic curve fitted to
-the votes that the examples get from one another.
+A bounded sample of labelled rows is the index: TF-IDF vectors over every term (word, or beginning of a word) that the
+sample holds, each term also weighted by how far its frequencies in the two classes lie apart. Document frequencies are
+counted over all documents. The inverted lists are cut into blocks of examples, each list with its greatest weight a
+block. A query reads the lists that matter, adds the block maxima of the others as a bound, settles examples from the best
+bound down, and stops when no bound reaches the k-th best cosine found, so the k nearest are exact. Their distance-weighted votes become
+probabilities by a monotone curve, fitted to the votes that each fold of the examples gets from the others.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,170 +25,236 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Lengths of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
 BEGINNINGS = (4, 5, 6)
+#: A term's weight is halved where its z between the classes is this (rare and even terms weigh little, none is left out).
+HALF_Z = 10.0
+FOLDS = 4
+#: Share of a cosine's bound that the lists read whole must hold; what the others add is bounded by block.
+ESSENTIAL = 0.99
 
 
 def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
 
 
-def counted_terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for term in terms_of(word):
-            out[term] += n
-    return out
+def term_hash(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode()) - (1 << 63)
+
+
+class Terms:
+    """Texts as (terms, counts); a term is its 64-bit hash, or its place in `vocabulary` (sorted), others left out."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.at = None if vocabulary is None else {h: i for i, h in enumerate(vocabulary.tolist())}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        known, found = self.known, []
+        if len(known) > 300_000:
+            known.clear()
+        for word in WORD.findall(text.lower()):
+            terms = known.get(word)
+            if terms is None:
+                terms = [term_hash(t) for t in terms_of(word)]
+                terms = known[word] = tuple(terms if self.at is None else (self.at[t] for t in terms if t in self.at))
+            found += terms
+        return np.unique(np.array(found, np.int64), return_counts=True)
+
+
+def relevance(terms: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """z * z / (z * z + HALF_Z ** 2) of each term: z is the distance of its document frequencies in the classes, in standard errors."""
+    d = [np.bincount(np.concatenate([t for t, y in zip(terms, labels, strict=True) if y == c] or [np.zeros(0, np.int64)]), minlength=size) for c in (0, 1)]
+    n = [max(1, int((labels == c).sum())) for c in (0, 1)]
+    p = (d[0] + d[1]) / max(1, len(labels))
+    z2 = (d[1] / n[1] - d[0] / n[0]) ** 2 / (p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    return z2 / (z2 + HALF_Z**2)
+
+
+def spread(first: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges first to end, one range after another, and the range's value at each."""
+    size = end - first
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(values, size)
 
 
 class Index:
     """Labelled examples with block-max inverted lists."""
 
-    def __init__(self, rows: list[tuple[int, int, dict[str, int]]], words: dict[str, int], prior: float, k: int):
-        """rows: id, label and counts of the chosen terms; words: their document frequency among the rows."""
-        self.k, self.prior, n = k, prior, len(rows)
-        self.at = {w: i for i, w in enumerate(sorted(words))}
-        self.idf = np.array([math.log((n + 1) / (words[w] + 0.5)) for w in self.at]) if words else np.zeros(0)
-        heavy = {}
-        for name, label, counts in rows:  # examples that share a label and a heaviest word share blocks
-            heavy[name] = (label, max(((self.idf[self.at[w]], w) for w in counts), default=(0, "")))
-        rows = sorted(rows, key=lambda r: (heavy[r[0]], r[0]))
-        self.names, self.labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        self.blocks = -(-n // BLOCK)
-        vectors = [self.vector(r[2]) for r in rows]
-        terms = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, int)
-        docs = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-        weights = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-        order = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[order], weights[order]
-        slot = terms[order] * self.blocks + self.docs // BLOCK
-        size = len(self.at) * self.blocks
-        self.start = np.searchsorted(slot, np.arange(size + 1)).reshape(-1)
-        top = np.zeros(size)
-        np.maximum.at(top, slot, self.weights)
-        self.top = top.reshape(len(self.at), self.blocks)
-        self.curve = (0.0, 0.0)
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.fit(vectors)
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(self.at[w] for w in counts), int)
-        names = {self.at[w]: c for w, c in counts.items()}
-        weights = np.array([1 + math.log(names[t]) for t in terms]) * self.idf[terms]
+    def __init__(self, names: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, prior: float, k: int):
+        """rows: places and counts of each example's terms; idf: of each place; prior: share of label 1 among all labelled rows."""
+        self.k, self.prior, self.names, self.labels = k, prior, names, labels
+        self.weight = idf * relevance([t for t, _ in rows], labels, len(idf))
+        vectors = [self.vector(t, c) for t, c in rows]
+        heavy = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(rows)), key=lambda i: (labels[i], heavy[i], names[i]))  # examples alike share blocks
+        self.names, self.labels, vectors = names[order], labels[order], [vectors[i] for i in order]
+        self.blocks = -(-len(rows) // BLOCK)
+        terms = np.concatenate([t for t, _ in vectors]) if rows else np.zeros(0, np.int64)
+        docs = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in vectors])
+        weights = np.concatenate([w for _, w in vectors]) if rows else np.zeros(0)
+        by = np.lexsort((docs, terms))
+        self.docs, self.weights = docs[by].astype(np.int64), weights[by]
+        slot = terms[by] * self.blocks + self.docs // BLOCK
+        self.start = np.searchsorted(terms[by], np.arange(len(idf) + 1))
+        # a slot is a pair of term and block that holds postings, with the greatest weight among them
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+        self.top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.slot_block = (slot[first] % max(1, self.blocks)).astype(np.int32)
+        self.slots = np.searchsorted(slot[first] // max(1, self.blocks), np.arange(len(idf) + 1))
+        self.greatest, self.query = np.zeros(len(idf)), np.zeros(len(idf))
+        np.maximum.at(self.greatest, terms, weights)
+        # the examples' own vectors, one after another
+        self.row, self.row_terms, self.row_weights = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64), terms, weights
+        self.curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, prior))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.weight[terms]
         length = math.sqrt(float(weights @ weights))
         return terms, weights / length if length else weights
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine (ties: the earlier one) and the cosines; `leave` is left out."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest cosine (ties: the earlier one) and the cosines; fewer where no more have one above 0.
+
+        Lists that may add much are read whole; the others, most of them long, only bound what they may add to a block's
+        examples. Examples are then settled on their own vectors from the best bound down, until none left can be nearer.
+        """
         if not len(terms) or not len(self.labels):
-            return np.zeros(0, int), np.zeros(0)
-        bound = weights @ self.top[terms]
+            return np.zeros(0, np.int64), np.zeros(0)
+        most = weights * self.greatest[terms]
+        by = np.argsort(-most, kind="stable")
+        upto = np.cumsum(most[by])
+        cut = int(np.searchsorted(upto, ESSENTIAL * upto[-1])) + 1
+        long, short = by[cut:], by[:cut]
+        places, own = spread(self.start[terms[short]], self.start[terms[short] + 1], weights[short])
+        bound = np.bincount(self.docs[places], own * self.weights[places], self.blocks * BLOCK)
+        slots, own = spread(self.slots[terms[long]], self.slots[terms[long] + 1], weights[long])
+        bound += np.repeat(np.bincount(self.slot_block[slots], own * self.top[slots], self.blocks), BLOCK)
+        bound = bound[: len(self.labels)]
         order = np.argsort(-bound, kind="stable")
-        score, seen = np.zeros(self.blocks * BLOCK), np.zeros(0, int)
-        opened, least = 0, -1.0
-        while opened < len(order) and bound[order[opened]] > 0 and bound[order[opened]] + 1e-9 >= least:
-            now = order[opened : opened + 4]
+        self.query[terms] = weights
+        seen, score, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, self.k
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 1e-9 >= least:
+            now = order[at : at + step]
             now = now[bound[now] + 1e-9 >= least]
-            opened += len(now) or 1
-            slots = (terms[:, None] * self.blocks + now).reshape(-1)
-            first, size = self.start[slots], self.start[slots + 1] - self.start[slots]
-            places = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            score += np.bincount(self.docs[places], np.repeat(np.repeat(weights, len(now)), size) * self.weights[places], len(score))
-            seen = np.concatenate([seen, (now[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)])
-            seen = seen[(seen < len(self.labels)) & (seen != leave)]
-            seen = seen[np.lexsort((seen, -np.round(score[seen], 9)))][: self.k]
+            at, step = at + len(now), step * 2
+            places, which = spread(self.row[now], self.row[now + 1], np.arange(len(now)))
+            exact = np.bincount(which, self.query[self.row_terms[places]] * self.row_weights[places], len(now))
+            seen, score = np.concatenate([seen, now]), np.concatenate([score, exact])
+            best = np.lexsort((seen, -np.round(score, 9)))
+            best = best[score[best] > 0][: self.k]
+            seen, score = seen[best], score[best]
             if len(seen) == self.k:
-                least = score[seen[-1]]
-        return seen, score[seen]
+                least = score[-1]
+        self.query[terms] = 0
+        return seen, score
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Log-odds of the distance-weighted share of label 1, with the prior as one more neighbour."""
-        weight = np.maximum(cosine, 0) / (0.05 + 1 - np.minimum(cosine, 1))
+        weight = cosine / (0.05 + 1 - np.minimum(cosine, 1))
         share = (float(weight @ self.labels[found]) + 0.2 * self.prior) / (float(weight.sum()) + 0.2)
         share = min(max(share, 1e-6), 1 - 1e-6)
         return math.log(share / (1 - share))
 
-    def fit(self, vectors: list) -> None:
-        """The logistic curve over votes, each class weighted to its share among all labelled rows."""
-        if not len(self.labels) or self.labels.min() == self.labels.max():
-            p = min(max(self.prior, 1e-6), 1 - 1e-6)
-            self.curve = (math.log(p / (1 - p)), 0.0)
-            return
-        x = np.array([self.vote(*self.nearest(*v, leave=i)) for i, v in enumerate(vectors)])
-        y = self.labels
-        w = np.where(y == 1, self.prior / y.mean(), (1 - self.prior) / (1 - y.mean()))
-        design, beta = np.stack([np.ones(len(x)), x], 1), np.zeros(2)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-design @ beta))
-            step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (w * (y - p)) - 1e-3 * beta)
-            beta += step
-            if abs(step).max() < 1e-9:
-                break
-        self.curve = (float(beta[0]), float(beta[1]))
-
-    def score(self, text: str) -> tuple[float, str]:
-        """P(label 1) of a text, and its evidence: id, label and cosine of the nearest three examples."""
-        counts: Counter = Counter()
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            terms = known.get(word)
-            if terms is None:
-                terms = known[word] = tuple(t for t in terms_of(word) if t in self.at)
-            for t in terms:
-                counts[t] += n
-        found, cosine = self.nearest(*self.vector(counts))
-        z = self.curve[0] + self.curve[1] * (self.vote(found, cosine) if len(self.labels) else 0.0)
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, str]:
+        """P(label 1), and its evidence: id, label and cosine of the nearest three examples."""
+        found, cosine = self.nearest(*self.vector(terms, counts))
         shown = " ".join(f"{self.names[i]}:{self.labels[i]}:{c:.3f}" for i, c in zip(found[:3].tolist(), cosine[:3].tolist(), strict=True))
-        return 1 / (1 + math.exp(-z)), shown
+        return float(np.interp(self.vote(found, cosine), *self.curve)), shown
+
+
+def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, least: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """A rising curve of P(label 1) over x: runs of `least` rows, pooled while they fall, each pool drawn to the prior by one row's weight."""
+    order, pools = np.argsort(x, kind="stable"), []
+    for run in np.array_split(order, max(1, len(order) // least)):
+        pools.append(np.array([w[run].sum(), (w[run] * y[run]).sum(), (w[run] * x[run]).sum()]))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = pools[-1] + last
+    one = float(w.mean())
+    at = np.array([p[2] / p[0] for p in pools])
+    value = np.maximum.accumulate([(p[1] + one * prior) / (p[0] + one) for p in pools])
+    # rising beyond both ends too, so that different votes give different scores
+    at = np.concatenate([[min(at[0], -14.0) - 1e-3], at, [max(at[-1], 14.0) + 1e-3]])
+    return at, np.concatenate([[value[0] * 0.5], value, [(value[-1] + 1) / 2]])
+
 
+def fitted(names: np.ndarray, labels: np.ndarray, rows: list, idf: np.ndarray, prior: float, k: int) -> Index:
+    """The index with its curve: each fold (by place in the order of names) is voted on by an index of the others."""
+    index = Index(names, labels, rows, idf, prior, k)
+    if len(labels) and labels.min() != labels.max():
+        votes, fold = np.zeros(len(labels)), np.argsort(np.argsort(names, kind="stable"), kind="stable") % FOLDS
+        for f in range(FOLDS):
+            rest = np.flatnonzero(fold != f)
+            other = Index(names[rest], labels[rest], [rows[i] for i in rest], idf, prior, k)
+            for i in np.flatnonzero(fold == f):
+                votes[i] = other.vote(*other.nearest(*other.vector(*rows[i])))
+        weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
+        index.curve = monotone(votes, labels, weight, prior)
+    return index
 
-def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, examples: int, vocabulary: int, k: int) -> Index:
-    """The index over at most `examples` labelled rows of each class and `vocabulary` words.
 
-    Rows are chosen by a hash of the id; words by how far their document frequencies in the two classes lie apart
-    (standard errors, 4 at least). Word frequencies are counted in Spark; only the bounded choice reaches the driver.
+def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, examples: int, k: int) -> tuple[np.ndarray, Index]:
+    """The vocabulary (sorted hashes of all terms of the examples) and the index over at most `examples` labelled rows of each class.
+
+    Rows are chosen by a hash of the id. The document frequencies of the vocabulary are counted over all documents in
+    Spark; the driver gets the examples' hashed terms and one count a term, which the number of examples bounds.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(examples).collect()]
+    none = np.zeros(0, np.int64)
     if not chosen:
-        return Index([], {}, prior, k)
+        return none, Index(none, none, [], np.zeros(0), prior, k)
     few = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id bigint, y int")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(few), "id").select("id", "y", "t")
+    every = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
 
     def counted(batches):
+        terms = Terms()
         for batch, whole in blocks(batches, 2):
-            out = [(i, y, w, c) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), whole, strict=True) for w, c in counted_terms(t).items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["id", "y", "w", "c"])
-
-    pairs = texts.mapInArrow(counted, "id bigint, y int, w string, c int")
-    n1, n0 = sum(r["y"] for r in chosen), sum(1 - r["y"] for r in chosen)
-    words = pairs.groupBy("w").agg(F.sum("y").alias("d1"), F.count("*").alias("d")).where("d >= 5")
-    p = F.col("d") / F.lit(float(n1 + n0))
-    apart = (F.col("d1") / F.lit(max(1.0, n1)) - (F.col("d") - F.col("d1")) / F.lit(max(1.0, n0))) / F.sqrt(p * (1 - p) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    best = {r["w"]: r["d"] for r in words.where(F.abs(apart) >= 4).orderBy(F.abs(apart).desc(), "w").limit(vocabulary).collect()}
-    picked = spark.createDataFrame([(w,) for w in best] or [("",)], "w string")
-    rows: dict[int, dict[str, int]] = {r["id"]: {} for r in chosen}
-    for r in pairs.join(F.broadcast(picked), "w").collect():
-        rows[r["id"]][r["w"]] = rows[r["id"]].get(r["w"], 0) + r["c"]
-    return Index([(r["id"], r["y"], rows[r["id"]]) for r in chosen], best, prior, k)
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, vocabulary: int = 1024, k: int = 31) -> DataFrame:
+            found = [terms.of(t) for t in whole]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
+
+    sample = every.join(F.broadcast(few), "id").select("id", "y", "t").mapInArrow(counted, "id bigint, y int, terms array<bigint>, counts array<bigint>").toArrow().sort_by("id")
+    names, ys = np.asarray(sample["id"], np.int64), np.asarray(sample["y"], np.int64)
+    rows = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(sample["terms"], sample["counts"], strict=True)]
+    vocabulary = np.unique(np.concatenate([t for t, _ in rows])) if rows else none
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def frequencies(batches):
+        terms, found, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for _, whole in blocks(batches, 1):
+            n += len(whole)
+            for t in whole:
+                found[terms.of(t)[0]] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["term", "n"])
+
+    df = every.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = np.asarray(df["term"], np.int64), np.asarray(df["n"], np.float64)
+    count = np.zeros(len(vocabulary) + 1)  # the last place holds the number of documents
+    count[at] = n
+    idf = np.log((count[-1] + 1) / (count[:-1] + 0.5))
+    places = [(np.searchsorted(vocabulary, t), c) for t, c in rows]
+    return vocabulary, fitted(names, ys, places, idf, prior, k)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, k: int = 31) -> DataFrame:
     """Per document: key, score (P(label 1), also for null and empty texts), predicted (1 if score >= threshold), evidence.
 
     `labels` holds the rows to learn from; unlabelled and repeated ids are no trouble (a repeated id counts once, with
-    its greatest label). Without labelled rows every score is 0. Only the texts of the chosen examples and a document's
-    own text enter its score. Other columns are ignored; repeated rows are scored each by itself. The index holds at
-    most 2 * examples vectors over `vocabulary` terms and is broadcast; documents are read once, without a shuffle.
+    its greatest label; documents that share it are examples each). Without labelled rows every score is 0. Only the
+    texts of the chosen examples, document frequencies and a document's own text enter its score. Other columns are
+    ignored; repeated rows are scored each by itself. The index holds the whole vocabulary of at most 2 * examples
+    labelled ids and is broadcast; documents are read twice (frequencies, scores), and only counts are shuffled.
     """
-    index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, key, text, label, examples, vocabulary, k))
+    index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, key, text, label, examples, k))
+    readers: list[Terms] = []
 
     def work(texts: list[str]) -> list[list]:
-        found = [index.value.score(t) for t in texts]
+        vocabulary, known = index.value
+        if not readers:
+            readers.append(Terms(vocabulary))
+        found = [known.score(*readers[0].of(t)) for t in texts]
         return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
     return per_text(docs, [key], text, "score double, predicted int, evidence string", work)

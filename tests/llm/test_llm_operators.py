@@ -1,9 +1,11 @@
 """The training-data operators on small fixtures against brute force, and on rows that are hard: nulls, repeats, clashes."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from ferrograph.llm.pii import personal_data
 from ferrograph.llm.quality import quality_rules
 from ferrograph.llm.substrings import repeated_substrings
 from ferrograph.llm.tokens import machine, token_counts
-from ferrograph.llm.toxicity import Index, toxicity
+from ferrograph.llm import toxicity as toxicity_module
+from ferrograph.llm.toxicity import toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -86,20 +89,56 @@ def test_toxicity_without_labels(spark):
     assert all(0 <= x["score"] <= 0.01 and x["predicted"] == 0 for x in out)
 
 
-def test_nearest_examples_are_exact():
+def test_toxicity_from_text_to_score_against_brute_force(spark):
     r = random.Random(3)
-    words = [f"w{i}" for i in range(60)]
-    rows = [(i, r.randint(0, 1), {w: r.randint(1, 3) for w in r.sample(words, r.randint(0, 9))}) for i in range(300)]
-    df = {w: sum(w in x[2] for x in rows) for w in words}
-    index = Index(rows, {w: n for w, n in df.items() if n}, 0.3, 7)
-    vectors = {n: index.vector(c) for n, _, c in rows}
-    for _ in range(60):
-        q = {w: r.randint(1, 2) for w in r.sample(list(index.at), r.randint(1, 12))}
-        terms, weights = index.vector(q)
-        found, cosine = index.nearest(terms, weights)
-        own = dict(zip(terms.tolist(), weights.tolist(), strict=True))
-        every = sorted((-round(sum(own.get(t, 0) * w for t, w in zip(*map(list, vectors[n]), strict=True)), 9) for n in index.names.tolist()))[:7]
-        assert [-round(c, 9) for c in cosine.tolist()] == pytest.approx([x for x in every if x < 0][: len(cosine)] + [0.0] * max(0, len(cosine) - sum(x < 0 for x in every)), abs=1e-8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(90)]
+    texts = [" ".join(r.choices(words, k=r.choice([0, 1, 5, 30, 60]))) + (" Vile9rottenness" if i % 4 == 0 and r.random() < 0.9 else "") for i in range(160)] + [None]
+    docs, known = documents(spark, texts), {i: int(i % 4 == 0) for i in range(0, 150)}
+    vocabulary, index = toxicity_module.build_index(docs, spark.createDataFrame(list(known.items()), "doc_id bigint, toxic int"), "doc_id", "text", "toxic", 60, 7)
+    names = index.names.tolist()
+    assert sum(known[i] for i in names) == 38 and len(names) == 98  # all of label 1, 60 of label 0
+
+    def counted(t):
+        found = {}
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            for term in [w, *(w[:k] + "~" for k in (4, 5, 6) if len(w) > k)]:
+                found[term] = found.get(term, 0) + 1
+        return found
+
+    counts = [counted(t) for t in texts]
+    own, n1 = {i: counts[i] for i in names}, sum(known[i] for i in names)
+    n0, weight = len(names) - n1, {}
+    for w in {w for c in own.values() for w in c}:
+        d1, d0 = (sum(w in own[i] for i in names if known[i] == y) for y in (1, 0))
+        p = (d1 + d0) / (n1 + n0)
+        z2 = (d1 / n1 - d0 / n0) ** 2 / (p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
+        weight[w] = math.log((len(texts) + 1) / (sum(w in c for c in counts) + 0.5)) * z2 / (z2 + 100)
+    assert len(vocabulary) == len(weight)
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / length for w, x in v.items()}
+
+    vectors, got = {i: vector(own[i]) for i in names}, toxicity_module.Terms(vocabulary)
+    for t, c in zip(texts, counts, strict=True):
+        v = vector(c)
+        near = sorted(((-round(sum(x * vectors[i].get(w, 0) for w, x in v.items()), 9), k) for k, i in enumerate(names)))[:7]
+        near = [(-s, known[names[k]], names[k]) for s, k in near if s < 0]
+        votes = [(s / (0.05 + 1 - min(s, 1)), y) for s, y, _ in near]
+        share = (sum(x for x, y in votes if y) + 0.2 * 38 / 150) / (sum(x for x, _ in votes) + 0.2)
+        score, shown = index.score(*got.of(t or ""))
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        assert score == pytest.approx(float(np.interp(math.log(share / (1 - share)), *index.curve)), abs=1e-6)
+        assert [float(x.split(":")[2]) for x in shown.split()] == pytest.approx([s for s, _, _ in near[:3]], abs=1e-3)
+    assert (np.diff(index.curve[1]) >= 0).all()
+
+
+def test_monotone_curve_pools_what_falls():
+    x, y = np.arange(60.0), np.array([0] * 20 + [1] * 15 + [0] * 10 + [1] * 15)
+    at, value = toxicity_module.monotone(x, y, np.ones(60), 0.5, least=5)
+    assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all()
+    assert np.interp(30, at, value) == pytest.approx((15 + 0.5) / (25 + 1), abs=0.15) and np.interp(55, at, value) > 0.9
 
 
 def test_toxicity_learns_words(spark):
