@@ -60,9 +60,25 @@ class Terms:
         return np.unique(np.array(found, np.int64), return_counts=True)
 
 
-def relevance(terms: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+class Rows:
+    """Examples' terms (places in the vocabulary) and counts, one row after another."""
+
+    def __init__(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        self.first, self.terms, self.counts = first, terms.astype(np.int32), counts.astype(np.int32)
+
+    def of(self, which: np.ndarray) -> Rows:
+        size = self.first[which + 1] - self.first[which]
+        places, _ = spread(self.first[which], self.first[which + 1], which)
+        return Rows(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), self.terms[places], self.counts[places])
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
+
+
+def relevance(rows: Rows, labels: np.ndarray, size: int) -> np.ndarray:
     """z * z / (z * z + HALF_Z ** 2) of each term: z is the distance of its document frequencies in the classes, in standard errors."""
-    d = [np.bincount(np.concatenate([t for t, y in zip(terms, labels, strict=True) if y == c] or [np.zeros(0, np.int64)]), minlength=size) for c in (0, 1)]
+    of = labels[rows.owners()]
+    d = [np.bincount(rows.terms[of == c], minlength=size) for c in (0, 1)]
     n = [max(1, int((labels == c).sum())) for c in (0, 1)]
     p = (d[0] + d[1]) / max(1, len(labels))
     z2 = (d[1] / n[1] - d[0] / n[0]) ** 2 / (p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
@@ -78,32 +94,43 @@ def spread(first: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.n
 class Index:
     """Labelled examples with block-max inverted lists."""
 
-    def __init__(self, names: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, prior: float, k: int):
-        """rows: places and counts of each example's terms; idf: of each place; prior: share of label 1 among all labelled rows."""
-        self.k, self.prior, self.names, self.labels = k, prior, names, labels
-        self.weight = idf * relevance([t for t, _ in rows], labels, len(idf))
-        vectors = [self.vector(t, c) for t, c in rows]
-        heavy = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(rows)), key=lambda i: (labels[i], heavy[i], names[i]))  # examples alike share blocks
-        self.names, self.labels, vectors = names[order], labels[order], [vectors[i] for i in order]
-        self.blocks = -(-len(rows) // BLOCK)
-        terms = np.concatenate([t for t, _ in vectors]) if rows else np.zeros(0, np.int64)
-        docs = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in vectors])
-        weights = np.concatenate([w for _, w in vectors]) if rows else np.zeros(0)
-        by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by].astype(np.int64), weights[by]
-        slot = terms[by] * self.blocks + self.docs // BLOCK
-        self.start = np.searchsorted(terms[by], np.arange(len(idf) + 1))
+    def __init__(self, names: np.ndarray, labels: np.ndarray, rows: Rows, idf: np.ndarray, prior: float, k: int, curve: tuple | None = None):
+        """rows: the examples' terms; idf: of each term; prior: share of label 1 among all labelled rows; curve: from votes to P(label 1)."""
+        self.made_of = (names, labels, rows, idf, prior, k)
+        self.curve = curve or (np.zeros(1), np.full(1, prior))
+        self.k, self.prior = k, prior
+        self.weight = idf * relevance(rows, labels, len(idf))
+        owners = rows.owners()
+        weights = (1 + np.log(rows.counts)) * self.weight[rows.terms]
+        length = np.sqrt(np.bincount(owners, weights * weights, len(labels)))
+        weights /= np.where(length > 0, length, 1)[owners]
+        by = np.lexsort((rows.terms, -weights, owners))  # each example's heaviest term comes first
+        empty = np.diff(rows.first) == 0
+        heavy = np.full(len(labels), -1)
+        heavy[~empty] = rows.terms[by[rows.first[:-1][~empty]]]
+        order = np.lexsort((names, heavy, labels))  # examples alike share blocks
+        self.names, self.labels, self.blocks = names[order], labels[order], max(1, -(-len(labels) // BLOCK))
+        # the examples' own vectors, one after another
+        own = rows.of(order)
+        self.row, self.row_terms = own.first, own.terms
+        self.row_weights = weights[spread(rows.first[order], rows.first[order + 1], order)[0]].astype(np.float32)
+        # the inverted lists, term after term
+        docs = own.owners()
+        by = np.lexsort((docs, self.row_terms))
+        self.docs, self.weights, terms = docs[by].astype(np.int64), self.row_weights[by], self.row_terms[by]
+        self.start = np.searchsorted(terms, np.arange(len(idf) + 1))
+        self.greatest, self.query = np.zeros(len(idf), np.float32), np.zeros(len(idf))
+        np.maximum.at(self.greatest, terms, self.weights)
         # a slot is a pair of term and block that holds postings, with the greatest weight among them
+        slot = terms.astype(np.int64) * self.blocks + self.docs // BLOCK
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-        self.top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.slot_block = (slot[first] % max(1, self.blocks)).astype(np.int32)
-        self.slots = np.searchsorted(slot[first] // max(1, self.blocks), np.arange(len(idf) + 1))
-        self.greatest, self.query = np.zeros(len(idf)), np.zeros(len(idf))
-        np.maximum.at(self.greatest, terms, weights)
-        # the examples' own vectors, one after another
-        self.row, self.row_terms, self.row_weights = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64), terms, weights
-        self.curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, prior))
+        self.top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0, np.float32)
+        self.slot_block = (slot[first] % self.blocks).astype(np.int32)
+        self.slots = np.searchsorted(slot[first] // self.blocks, np.arange(len(idf) + 1))
+
+    def __reduce__(self):
+        """Only what it is made of travels; the lists are made again where it arrives."""
+        return Index, (*self.made_of, self.curve)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(counts)) * self.weight[terms]
@@ -176,19 +203,20 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, least: i
     return at, np.concatenate([[value[0] * 0.5], value, [(value[-1] + 1) / 2]])
 
 
-def fitted(names: np.ndarray, labels: np.ndarray, rows: list, idf: np.ndarray, prior: float, k: int) -> Index:
+def fitted(names: np.ndarray, labels: np.ndarray, rows: Rows, idf: np.ndarray, prior: float, k: int) -> Index:
     """The index with its curve: each fold (by place in the order of names) is voted on by an index of the others."""
-    index = Index(names, labels, rows, idf, prior, k)
+    curve = None
     if len(labels) and labels.min() != labels.max():
         votes, fold = np.zeros(len(labels)), np.argsort(np.argsort(names, kind="stable"), kind="stable") % FOLDS
         for f in range(FOLDS):
             rest = np.flatnonzero(fold != f)
-            other = Index(names[rest], labels[rest], [rows[i] for i in rest], idf, prior, k)
-            for i in np.flatnonzero(fold == f):
-                votes[i] = other.vote(*other.nearest(*other.vector(*rows[i])))
+            other = Index(names[rest], labels[rest], rows.of(rest), idf, prior, k)
+            for i in np.flatnonzero(fold == f).tolist():
+                own = slice(rows.first[i], rows.first[i + 1])
+                votes[i] = other.vote(*other.nearest(*other.vector(rows.terms[own], rows.counts[own])))
         weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
-        index.curve = monotone(votes, labels, weight, prior)
-    return index
+        curve = monotone(votes, labels, weight, prior)
+    return Index(names, labels, rows, idf, prior, k, curve)
 
 
 def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, examples: int, k: int) -> tuple[np.ndarray, Index]:
@@ -204,7 +232,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(examples).collect()]
     none = np.zeros(0, np.int64)
     if not chosen:
-        return none, Index(none, none, [], np.zeros(0), prior, k)
+        return none, Index(none, none, Rows(np.zeros(1, np.int64), none, none), np.zeros(0), prior, k)
     few = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id bigint, y int")
     every = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
 
@@ -216,8 +244,11 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
 
     sample = every.join(F.broadcast(few), "id").select("id", "y", "t").mapInArrow(counted, "id bigint, y int, terms array<bigint>, counts array<bigint>").toArrow().sort_by("id")
     names, ys = np.asarray(sample["id"], np.int64), np.asarray(sample["y"], np.int64)
-    rows = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(sample["terms"], sample["counts"], strict=True)]
-    vocabulary = np.unique(np.concatenate([t for t, _ in rows])) if rows else none
+    lists = sample["terms"].combine_chunks()
+    first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64) if len(names) else np.zeros(1, np.int64)
+    vocabulary, places = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    rows = Rows(first, places, np.asarray(sample["counts"].combine_chunks().flatten()))
+    del sample, lists, places
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
@@ -234,8 +265,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     count = np.zeros(len(vocabulary) + 1)  # the last place holds the number of documents
     count[at] = n
     idf = np.log((count[-1] + 1) / (count[:-1] + 0.5))
-    places = [(np.searchsorted(vocabulary, t), c) for t, c in rows]
-    return vocabulary, fitted(names, ys, places, idf, prior, k)
+    return vocabulary, fitted(names, ys, rows, idf, prior, k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, k: int = 31) -> DataFrame:
