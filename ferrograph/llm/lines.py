@@ -1,8 +1,11 @@
 """Line dedup by winnowing (operator 4).
 
-A document is the sequence of its lines' hashes. Each window of `width` consecutive lines, and each shorter one of enough
-words, has its least hash as fingerprint, so any repeated run shares one. Fingerprints that occur once anywhere settle
-their windows; of the others' windows the equal ones find their first place, and the lines of all later ones are deleted.
+A document is the sequence of its lines' hashes. Of each window of `width` consecutive lines, and of each shorter one of
+enough words, the place of the least hash is selected; windows that overlap mostly select the same place, which is kept
+once, with the lines around it. Any repeated run selects the same places in all its copies. Places join by their hash
+if it occurs twice or more; a match is extended to the left and to the right over the windows that selected the
+place, and of equal extents all but the first are repeats. What they cover together are the later repeated runs, which
+are deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import blocks, stash
+from .shared import blocks, drop, free_name, stash
 
 
 def line_hashes(text: str) -> tuple[list[str], np.ndarray, list[int]]:
@@ -26,26 +29,12 @@ def line_hashes(text: str) -> tuple[list[str], np.ndarray, list[int]]:
     return lines, hashes, [i for i, _ in kept]
 
 
-def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: its fingerprint (least hash) and the hash of all its lines; a shorter text is one window."""
-    width = min(width, len(hashes))
-    if not width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, width)
-    whole = np.zeros(len(view), np.uint64)
-    for column in view.T:
-        whole = (whole ^ column.view(np.uint64) if column.flags.c_contiguous else whole ^ np.ascontiguousarray(column).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        whole ^= whole >> np.uint64(29)
-    return view.min(1), (whole + np.uint64(width)).view(np.int64)
-
-
-def long_windows(lines: list[str], hashes: np.ndarray, numbers: list[int], width: int, words: int) -> tuple[list[int], list[int], list[int]]:
-    """Windows of fewer than `width` lines, and not the whole text, that have `words` words or more: fingerprint, hash of all, place and size as one number."""
-    found: tuple[list[int], list[int], list[int]] = ([], [], [])
+def long_windows(lines: list[str], numbers: list[int], width: int, words: int) -> list[tuple[int, int]]:
+    """Start and size of the windows of fewer than `width` lines that have `words` words or more."""
     chars = [len(lines[i]) for i in numbers]
     counts: dict[int, int] = {}
-    for size in range(1, min(width, len(numbers))):
-        places = []
+    found = []
+    for size in range(1, min(width, len(numbers) + 1)):
         for p in range(len(numbers) - size + 1):
             if sum(chars[p : p + size]) < 2 * words - size:  # each word but a line's last has white space after it
                 continue
@@ -53,72 +42,98 @@ def long_windows(lines: list[str], hashes: np.ndarray, numbers: list[int], width
                 if q not in counts:
                     counts[q] = len(lines[numbers[q]].split())
             if sum(counts[q] for q in range(p, p + size)) >= words:
-                places.append(p)
-        if places:
-            low, whole = windows(hashes, size)
-            found[0].extend(low[places].tolist())
-            found[1].extend(whole[places].tolist())
-            found[2].extend(p * (width + 1) + size for p in places)
+                found.append((p, size))
     return found
 
 
+def selected(hashes: np.ndarray, short: list[tuple[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct places that windows select, and the extents of those windows, one place after another: how many a place has, and each as a code.
+
+    A code is (size * width + lines to the left) * 2, and 1 more if the window is a whole text of fewer than `width` lines.
+    """
+    n, none = len(hashes), np.zeros(0, np.int64)
+    windows = [(np.arange(n - width + 1), width, 0)] if n >= width else []
+    windows += [(np.array([p for p, size in short if size == s], np.int64), s, 0) for s in sorted({size for _, size in short})]
+    if 0 < n < width and (0, n) not in short:
+        windows.append((np.zeros(1, np.int64), n, 1))
+    if not windows:
+        return none, none, none
+    places, codes = [], []
+    for starts, size, whole in windows:
+        left = np.lib.stride_tricks.sliding_window_view(hashes, size)[starts].argmin(1)
+        places.append(starts + left)
+        codes.append((size * width + left) * 2 + whole)
+    places, codes = np.concatenate(places), np.concatenate(codes)
+    order = np.argsort(places, kind="stable")
+    distinct, counts = np.unique(places, return_counts=True)
+    return distinct, counts, codes[order]
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, words: int = 50) -> DataFrame:
     """docs with text without repeated runs, and n_lines_removed; all columns and rows of docs are kept.
 
-    A run of `width` non-blank lines, or of fewer that have `words` words together, that occurs earlier (smaller key, or
-    same document and earlier) is deleted, so are overlapping runs; what is compared are the lines of the input. A text
-    of fewer lines is one window besides, which, if of fewer words, only an equal text of as many lines repeats. Blank lines neither count nor separate; those between deleted lines go with
-    them. Null and empty texts stay. Rows with equal keys count as one document by order of their window positions
-    only: equal rows keep their text. Keys must be whole numbers.
-
-    Shuffled are fingerprints (counted before the shuffle) and 32 bytes for each window whose fingerprint repeats; first
-    places are found by a partial minimum, so a line that a third of the documents share is never gathered. Each
-    document then gets back only the list of its deleted windows.
+    A run of `width` non-blank lines or more, or of fewer that have `words` words together, that occurs earlier (smaller
+    key, or same document and earlier) is deleted, so are overlapping runs; what is compared are the lines of the input.
+    A text of fewer lines and words is one window besides, which only an equal text of as many lines repeats. Blank lines
+    neither count nor separate; those between deleted lines go with them. Null and empty texts stay, so do rows with a
+    null key. Rows with equal keys count as one document by order of their places only: equal rows keep their text. Keys
+    must be whole numbers. Columns of docs may have any names: n_lines_removed gets underscores until it is free.
+
+    Shuffled are the selected places (about half of the lines, counted by hash first) and, of those whose hash repeats,
+    the windows; first places are partial minima, so a line that a third of the documents share is never gathered. What
+    is joined back is written first, so that Spark may split a hot key's rows in the join. Each document then gets back
+    only the list of its deleted windows.
     """
     source = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    side = 2 * width - 1
 
-    def cut(batches):
+    def select(batches):
         for batch, texts in blocks(batches, 1):
-            keys, prints, wholes, places = [], [], [], []
+            columns: list[list] = [[] for _ in range(6)]
             for i, t in enumerate(texts):
                 lines, hashes, numbers = line_hashes(t)
-                low, whole = windows(hashes, width)
-                more = long_windows(lines, hashes, numbers, width, words)
-                keys.append(np.full(len(low) + len(more[0]), batch.column(0)[i].as_py() or 0, np.int64))
-                prints += [low, np.array(more[0], np.int64)]
-                wholes += [whole, np.array(more[1], np.int64)]
-                places += [np.arange(len(low), dtype=np.int64) * (width + 1) + min(width, len(hashes)), np.array(more[2], np.int64)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, prints, wholes, places)], ["k", "f", "w", "p"])
-
-    cuts = stash(source.where("k is not null and t is not null").mapInArrow(cut, "k bigint, f bigint, w bigint, p bigint"), "windows")
-    common = cuts.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
-    met = cuts.join(common, "f", "left_semi")
-    first = met.groupBy("f", "w").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = met.join(first, ["f", "w"]).where(F.struct("k", "p") > F.col("first")).select("k", "p")
-    gone = stash(later.groupBy("k").agg(F.sort_array(F.collect_set("p")).alias("__gone")), "gone")
-
-    docs = docs.drop("n_lines_removed")
-    columns, at = docs.columns, docs.columns.index(text)
+                places, counts, codes = selected(hashes, long_windows(lines, numbers, width, words), width)
+                if len(places):
+                    around = np.lib.stride_tricks.sliding_window_view(np.pad(hashes, width - 1), side)[places]
+                    for column, value in zip(columns, (np.full(len(places), batch.column(0)[i].as_py(), np.int64), hashes[places], places, around.reshape(-1), counts, codes), strict=True):
+                        column.append(value)
+            if columns[0]:
+                k, f, p, around, counts, codes = map(np.concatenate, columns)
+                lists = [pa.ListArray.from_arrays(np.arange(0, len(around) + 1, side, dtype=np.int32), around)]
+                lists.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), codes.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(p.astype(np.int32)), *lists], ["k", "f", "p", "around", "spans"])
+
+    places = stash(source.where("k is not null and t is not null").mapInArrow(select, "k bigint, f bigint, p int, around array<bigint>, spans array<int>"), "places")
+    prints = stash(places.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f"), "prints")
+    met = stash(places.join(prints.hint("merge"), "f", "left_semi"), "met")
+    drop(places, prints)
+    size, left = F.expr(f"s div 2 div {width}"), F.expr(f"s div 2 % {width}")
+    windows = met.select("k", "f", "p", "around", F.explode("spans").alias("s"))
+    windows = windows.select("k", "f", F.xxhash64("s", F.slice("around", F.lit(width) - left, size)).alias("w"), (F.col("p") - left).cast("int").alias("start"), size.cast("int").alias("size"))
+    first = stash(windows.groupBy("f", "w").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
+    later = windows.join(first.hint("merge"), ["f", "w"]).where(F.struct("k", "start") > F.col("first"))
+    gone = stash(later.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("gone")), "gone")
+    drop(met, first)
+
+    names, at, removed = docs.columns, docs.columns.index(text), free_name(docs.columns, "n_lines_removed")
     # a merge join at every size: the list of windows grows with the documents
-    joined = docs.join(gone.withColumnRenamed("k", "__k").hint("merge"), F.col(key).cast("bigint") == F.col("__k"), "left").drop("__k")
+    joined = docs.select(F.struct(*names).alias("row"), F.col(key).cast("bigint").alias("k")).join(gone.hint("merge"), "k", "left").select("row", "gone")
 
     def delete(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts, counts = [], []
-                for t, places in zip(part.column(at), part.column(len(columns)).to_pylist(), strict=True):
-                    t, dead = t.as_py(), set()
-                    if places:
-                        lines, _, numbers = line_hashes(t or "")
-                        for p, size in (divmod(x, width + 1) for x in places):
-                            if p + size <= len(numbers):
-                                dead.update(range(numbers[p], numbers[p + size - 1] + 1))
-                        t = "\n".join(x for i, x in enumerate(lines) if i not in dead)
-                    texts.append(t)
-                    counts.append(len(dead))
-                arrays = [pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], [*columns, "n_lines_removed"])
-
-    return joined.mapInArrow(delete, StructType([*docs.schema.fields, StructField("n_lines_removed", LongType())]))
+        flat = (pa.RecordBatch.from_arrays([*b.column(0).flatten(), b.column(1)], [*names, "gone"]) for b in batches)
+        for part, whole in blocks(flat, at):
+            texts, counts = [], []
+            for t, was, runs in zip(whole, part.column(at), part.column(len(names)).to_pylist(), strict=True):
+                dead: set[int] = set()
+                if runs:
+                    lines, _, numbers = line_hashes(t)
+                    for run in runs:
+                        if run["start"] + run["size"] <= len(numbers):
+                            dead.update(range(numbers[run["start"]], numbers[run["start"] + run["size"] - 1] + 1))
+                    t = "\n".join(x for i, x in enumerate(lines) if i not in dead)
+                texts.append(t if was.is_valid else None)
+                counts.append(len(dead))
+            arrays = [pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], [*names, removed])
+
+    return joined.mapInArrow(delete, StructType([*docs.schema.fields, StructField(removed, LongType())]))

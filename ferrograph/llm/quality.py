@@ -1,7 +1,8 @@
 """Host-level quality rules (operator 5): DataFrame functions only.
 
 Rules judge documents; failures are summed by host, each host's failure rate is shrunk towards the corpus by a
-beta prior fitted to the hosts themselves (method of moments), and the verdict on the host joins back to its documents.
+beta prior fitted to the hosts themselves (method of moments), which also says how high a rate is out of the ordinary,
+and the verdict on the host joins back to its documents.
 """
 
 from __future__ import annotations
@@ -67,35 +68,41 @@ def document_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
     return counts.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | more)
 
 
-def host_verdicts(rules: DataFrame, host_limit: float = 2 / 3) -> DataFrame:
-    """Per host: n_docs, n_failed, rate (shrunk) and host_rejected (rate over host_limit).
+def host_verdicts(rules: DataFrame) -> DataFrame:
+    """Per host: n_docs, n_failed, rate (shrunk) and host_rejected.
 
-    The prior's mean is the corpus failure rate; its weight follows from the variance of the hosts' rates (1 to 1000
-    documents), so that a host with few documents is not rejected for them alone.
+    The prior is a beta distribution with the mean and variance of the hosts' rates (each host weighs as its documents do,
+    50 at most, so that a host of a third of all rows does not set it; the variance is less what chance adds to it), of a
+    weight of 1 to 1000 documents. A host is rejected if its rate is surely too high: the posterior mean less two
+    standard deviations is over twice the prior's mean and over its mean plus three standard deviations, or over two thirds.
     """
     hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    w, rate = F.least("n_docs", F.lit(50)).cast("double"), F.col("n_failed").cast("double") / F.col("n_docs")
     prior = (
-        hosts.agg(F.sum("n_docs").alias("n"), (F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("squares"))
-        .withColumn("variance", F.col("squares") / F.col("n") - F.col("mean") * F.col("mean"))
-        .select("mean", F.expr("case when variance > 0 then least(1000d, greatest(1d, mean * (1 - mean) / variance - 1)) else 1000d end").alias("weight"))
+        hosts.agg(F.sum(w).alias("w"), F.sum(w * rate).alias("wr"), F.sum(w * rate * rate).alias("wrr"), F.sum(w / F.col("n_docs")).alias("wn"))
+        .withColumn("mean", F.expr("wr / w"))
+        .withColumn("variance", F.expr("wrr / w - mean * mean - mean * (1 - mean) * wn / w"))
+        .withColumn("weight", F.expr("case when variance > 0 then least(1000d, greatest(1d, mean * (1 - mean) / variance - 1)) else 1000d end"))
+        .select("mean", "weight", F.expr("least(2d / 3, greatest(2 * mean, mean + 3 * sqrt(mean * (1 - mean) / (weight + 1))))").alias("most"))
     )
-    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > host_limit).alias("host_rejected"))
+    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", F.expr("(n_failed + mean * weight) / (n_docs + weight)"))
+    return shrunk.select("host", "n_docs", "n_failed", "rate", F.expr("rate - 2 * sqrt(rate * (1 - rate) / (n_docs + weight + 1)) > most").alias("host_rejected"))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = 2 / 3) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host, host_rate.
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host, host_rate.
 
-    kept is false if the document fails any rule itself or its host is rejected. Null texts count as empty (and fail), null hosts as "".
-    Repeated rows are judged each by itself; other columns of docs are ignored. The counts are worked out once and
-    written to the shared folder; hosts are summed before they are shuffled, and the verdicts (one row a host) join
-    back by Spark's own choice of join, which splits a host that holds many of the rows.
+    kept is false if the base rules fail the document or its host is rejected, whose rate counts failures of any rule.
+    Null texts count as empty (and fail), null hosts as "". Repeated rows are judged each by itself, whatever their key;
+    other columns of docs are ignored; the key may be of any type. The counts are worked out once and written to the
+    shared folder; hosts are summed before they are shuffled, and their verdicts are written too, so that Spark knows
+    their size: it broadcasts them while they are small and else splits a hot host's rows in the join.
     """
     rules = stash(document_rules(docs, key, text, host), "rules")
-    verdicts = host_verdicts(rules, host_limit)
+    verdicts = stash(host_verdicts(rules).select("host", "rate", "host_rejected"), "hosts")
     return rules.join(verdicts, "host", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("failed") & ~F.col("host_rejected")).alias("kept"), "host", F.round("rate", 9).alias("host_rate"),
+        F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host", F.round("rate", 9).alias("host_rate"),
     )
 
 
@@ -119,11 +126,13 @@ m as (
 f as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
          10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * n_lines as more from m),
-h as (select host, count(*) as n, sum((base_failed or more)::bigint) as bad from f group by host),
-p as (select sum(bad) / sum(n) as mean, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) as variance from h),
-q as (select mean, case when variance > 0 then least(1000, greatest(1, mean * (1 - mean) / variance - 1)) else 1000 end as weight from p)
+h as (select host, count(*) as n, sum((base_failed or more)::bigint) as bad, least(count(*), 50)::double as w, sum((base_failed or more)::bigint)::double / count(*) as r from f group by host),
+p as (select sum(w * r) / sum(w) as mean, sum(w * r * r) / sum(w) as squares, sum(w / n) / sum(w) as wn from h),
+v as (select mean, squares - mean * mean - mean * (1 - mean) * wn as variance from p),
+q as (select mean, case when variance > 0 then least(1000, greatest(1, mean * (1 - mean) / variance - 1)) else 1000 end as weight from v),
+m2 as (select mean, weight, least(2.0 / 3, greatest(2 * mean, mean + 3 * sqrt(mean * (1 - mean) / (weight + 1)))) as most from q),
+k as (select host, n, weight, most, (bad + mean * weight) / (n + weight) as rate from h, m2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not more and not ((bad + mean * weight) / (n + weight) > 2.0 / 3) as kept, host,
-       round((bad + mean * weight) / (n + weight), 9) as host_rate
-from f join h using (host), q
+       not base_failed and not (rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > most) as kept, host, round(rate, 9) as host_rate
+from f join k using (host)
 """

@@ -70,6 +70,14 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
     return source.mapInArrow(run, out)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores after it until no column is called so (case apart, as in Spark)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row (a lambda's variable), however often body mentions it."""
     return F.transform(F.array(value), body)[0]

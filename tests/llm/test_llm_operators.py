@@ -344,15 +344,46 @@ def test_token_counts_equal_the_library(spark):
     assert got[3000]["n_bytes"] == 5000 and got[3000]["over_limit"] == (got[3000]["n_tokens"] > 512)
 
 
+GOOD = " ".join(f"word{i}" for i in range(80))
+
+
+def hosts(spark, counts):
+    """Documents of hosts, of which (good, bad) ones each; ids are in order."""
+    rows = [(i, t, "en", h, 1) for i, (h, t) in enumerate((h, t) for h, (good, bad) in counts.items() for t in [GOOD] * good + ["bad bad"] * bad)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
 def test_host_verdict_rejects_a_bad_host_and_spares_small_ones(spark):
-    good = " ".join(f"word{i}" for i in range(80))
-    rows = [(i, good, "en", "fine", 1) for i in range(60)] + [(100 + i, "bad bad", "en", "junk", 1) for i in range(40)] + [(200, good, "en", "junk", 1), (300, "bad", "en", "tiny", 1), (301, good, "en", None, 1)]
-    out = {x["doc_id"]: x for x in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out[0]["kept"] and not out[100]["kept"] and not out[200]["kept"] and out[301]["kept"]
-    assert not out[200]["base_failed"] and out[200]["host"] == "junk" and out[301]["host"] == ""
+    ordinary = {f"fine{i}": (54, 6) for i in range(8)}
+    out = quality_rules(hosts(spark, ordinary | {"junk": (5, 195), "tiny": (1, 2), None: (1, 0)})).collect()
+    kept = {h: [x["kept"] for x in out if x["host"] == h] for h in ("fine0", "junk", "tiny", "")}
+    assert kept == {"fine0": [True] * 54 + [False] * 6, "junk": [False] * 200, "tiny": [True, False, False], "": [True]}
+    assert sum(not x["base_failed"] and not x["kept"] for x in out) == 5
     assert quality.SYMBOLS == "#*$%&|<>"
 
 
+def test_the_strength_of_the_prior_alone_decides(spark):
+    """One host of the same counts is rejected where the others differ much, and kept where they are all alike."""
+    host = {"some": (2, 28)}
+    alike = {f"h{i}": (45, 5) for i in range(200)}
+    apart = {f"h{i}": (50, 0) if i % 10 else (0, 50) for i in range(200)}
+    verdict = {name: {x["kept"] for x in quality_rules(hosts(spark, others | host)).collect() if x["host"] == "some" and not x["base_failed"]} for name, others in (("alike", alike), ("apart", apart))}
+    assert verdict == {"alike": {True}, "apart": {False}}
+
+
+def test_a_host_of_a_third_of_all_rows_does_not_set_the_prior(spark):
+    out = quality_rules(hosts(spark, {f"h{i}": (90, 10) for i in range(20)} | {"hot": (60, 940)}))
+    assert not any(x["kept"] for x in out.where("host = 'hot'").collect())
+    assert out.where("host <> 'hot' and kept").count() == 1800
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    rows = [(1, "a\nb\nc\nown", 5, "r", 7, 9), (2, "x\na\nb\nc", 6, "s", 8, 10), (None, "a\nb\nc", 1, "t", 2, 3), (3, None, 1, "u", 2, 3)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines_removed int, gone string, row int, k int"))
+    assert out.columns == ["doc_id", "text", "n_lines_removed", "gone", "row", "k", "n_lines_removed_"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(*rows[0], 0), (2, "x", 6, "s", 8, 10, 3), (*rows[2], 0), (*rows[3], 0)], key=str)
+
+
 def test_mix_follows_weights_and_hands_on_shortages(spark):
     text = " ".join(["w"] * 10)
     rows = [(i, text, "en", "big", 1) for i in range(100)] + [(1000 + i, text, "en", "small", 1) for i in range(5)] + [(2000 + i, text, "fr", "other", 1) for i in range(100)]
