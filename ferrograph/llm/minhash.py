@@ -3,9 +3,10 @@
 A document's shingles are dealt to bins by one hash; the least hash of each bin is its signature, and an empty bin
 borrows from a bin that a universal hash names (optimal densification). Bands of bins name buckets. A bucket is not
 paired out but made a star around its smallest document, and every candidate is confirmed on the full shingle sets.
-Where a star's links leave a bucket in several components that may still be linked, its members are compared in blocks
-of bounded size, which return at most one link for each two components they join. The connected components of all
-confirmed links are the groups.
+Where a star's links leave a bucket in several components that may still be linked, its members are joined on the rarest
+shingles of their full sets (of two similar sets, each holds one of the other's), again by stars, round after round with
+more centres, until no shingle is left with members of two components. The connected components of all confirmed links
+are the groups.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, components, stash
+from .shared import blocks, components, drop, stash
 
 #: 192 bins in 32 bands of 6: two sets of similarity 0.85 share no band in 3 of 10 million cases, 0.8 in 5 of 100,000.
 BANDS, ROWS = 32, 6
@@ -83,9 +84,8 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """pairs (a, b) with `shared` and `total` shingles of their full sets, which are made again from the texts named."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def shingled(docs: DataFrame, named: DataFrame, size: int, name: str) -> DataFrame:
+    """(id, s) for the ids of `named`: the bytes of their sorted shingle hashes, from the documents (id, t)."""
 
     def sets(batches):
         hashes = WordHashes()
@@ -93,9 +93,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             made = [s.tobytes() for s in shingle_sets(texts, size, hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "s"])
 
-    whole = stash(docs.join(named.hint("merge"), "id", "left_semi").mapInArrow(sets, "id bigint, s binary"), "sets")
-    one = pairs.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = one.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
+    return stash(docs.join(named.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(sets, "id bigint, s binary").distinct(), name)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with `shared` and `total` shingles of their full sets (id, s)."""
+    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    both = one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").select("a", "b", "sa", "sb")
 
     def compared(batches):
         for batch in batches:
@@ -110,16 +114,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(compared, "a bigint, b bigint, shared bigint, total bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block: int = 96) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: key, n_shingles, component_id, kept (key = component_id).
 
     Documents are linked if 100 * shared >= percent * all shingles of `size` words; component_id is the smallest key
     reachable. Null and empty texts have no shingles and no links; rows with equal keys are one node. Keys must be whole
-    numbers (null keys: no links). Other columns are ignored.
+    numbers (null keys: no links, kept). Other columns are ignored.
 
     Copies (equal sets) are folded into their smallest document first, with a partial minimum, so groups of copies of any
-    size cost one node. Stars have one candidate edge a member. Links that stars cannot show are found in blocks (see
-    `linked_blocks`), so none is missed but those that share no band.
+    size cost one node. Stars have one candidate edge a member and bucket. Links that stars cannot show are found by
+    `rare_links`, so none is missed but those that share no band. What is joined to a bucket's rows is written first, so
+    that Spark may split a hot bucket in the join.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
 
@@ -141,12 +146,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     alive = signatures.where("sig is not null and id is not null")
     folded = alive.groupBy("sig").agg(F.min("id").alias("rep"))
     heads = alive.join(folded, (alive["id"] == folded["rep"]) & (alive["sig"] == folded["sig"]), "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
-    crowd = heads.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    spokes = stash(heads.join(crowd.select("bucket", "hub"), "bucket").where("id > hub"), "spokes")
-    judged = stash(confirmed(spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), source, size), "judged")
+    hubs = stash(heads.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
+    spokes = stash(heads.join(hubs.hint("merge"), "bucket").where("id > hub"), "spokes")
+    pairs = stash(spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    sets = shingled(source, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), size, "sets")
+    judged = stash(confirmed(pairs, sets), "judged")
     links = judged.where(f"100 * shared >= {percent} * total").select("a", "b")
     first = stash(components(links, "stars"), "stars")
-    links = links.union(linked_blocks(spokes, judged, first, source, size, percent, block))
+    members = open_members(spokes, judged, first, percent)
+    links = stash(links.union(rare_links(members, sets, percent)), "links")
+    drop(hubs, spokes, pairs, sets, judged, first, members)
     groups = components(links, "groups")
     # a document's representative, and that one's group
     group_of = folded.join(groups, folded["rep"] == groups["node"], "left").select("sig", F.coalesce("component", "rep").alias("g"))
@@ -156,76 +165,84 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def open_members(spokes: DataFrame, judged: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Members (bucket, id, c: component so far) of buckets in which two members of different components may be linked.
+    """Documents (id, c: component so far) of buckets in which two members of different components may be linked.
 
     The centre is settled with all. By the triangle inequality of the Jaccard distance, a member linked to the centre can
     be linked to one that is not only if it is itself far enough from the centre.
     """
     reach = 1 - percent / 100
     far = F.lit(1.0) - F.col("shared") / F.col("total")
-    seen = spokes.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), far.alias("far"), F.expr(f"100 * shared >= {percent} * total").alias("near")), ["hub", "id"])
-    seen = seen.join(first.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    least = seen.groupBy("bucket").agg(F.min(F.when(~F.col("near"), F.col("far"))).alias("least")).where("least is not null")
-    left = seen.join(least, "bucket").where(~F.col("near") | (F.col("far") >= F.col("least") - reach - 1e-9)).select("bucket", "id", "c")
-    mixed_ = left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    return left.join(mixed_.select("bucket"), "bucket", "left_semi")
-
+    seen = spokes.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), far.alias("far"), F.expr(f"100 * shared >= {percent} * total").alias("near")).hint("merge"), ["hub", "id"])
+    seen = stash(seen.join(first.withColumnsRenamed({"node": "id", "component": "c"}).hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "seen")
+    least = stash(seen.groupBy("bucket").agg(F.min(F.when(~F.col("near"), F.col("far"))).alias("least")).where("least is not null"), "least")
+    left = seen.join(least.hint("merge"), "bucket").where(~F.col("near") | (F.col("far") >= F.col("least") - reach - 1e-9)).select("bucket", "id", "c")
+    left = stash(left, "left")
+    several = stash(left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket"), "several")
+    members = stash(left.join(several.hint("merge"), "bucket", "left_semi").select("id", "c").distinct(), "open")
+    drop(seen, least, left, several)
+    return members
+
+
+def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1 << 20, rounds: int = 40) -> DataFrame:
+    """Links (a, b) that join members (id, c) of different components c to the components that all their links make.
+
+    Shingles are ordered by how many members hold one of their cell (a table of `cells` counts, whatever the input).
+    Two sets of n and m shingles that are linked share one of the first n - ceil(n * percent / 100) + 1 of each, so a
+    shingle's bucket holds those members only that have it so early: what most members share names no bucket unless
+    hardly anything else is in the set. In each round a bucket's members of other components are compared with its
+    centres, the least id of each of 1, 4, 16, ... parts by hash; centres then leave the bucket, links join components,
+    and buckets of one component are closed. Raises if buckets are open after `rounds`.
+    """
+    whole = members.join(sets.hint("merge"), "id").select("id", "c", "s")
 
-def linked_blocks(spokes: DataFrame, judged: DataFrame, first: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between components that the stars left apart, among documents that share an open bucket.
+    def counted(batches):
+        found = np.zeros(cells, np.int64)
+        for batch in batches:
+            for s in batch.column(2):
+                np.add.at(found, (np.frombuffer(s.as_py(), np.uint64) % np.uint64(cells)).astype(np.int64), 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["cell", "n"])
 
-    Documents joined by open buckets are a crowd, dealt by hash into blocks of about `block`. Each pair of a crowd's
-    blocks is one group of bounded size: it compares the full sets of documents that share a band and are not yet of one
-    component, and returns a link only where it joins two.
-    """
-    left = stash(open_members(spokes, judged, first, percent), "open")
-    hubs = left.groupBy("bucket").agg(F.min("id").alias("a"))
-    crowds = components(left.join(hubs, "bucket").select("a", F.col("id").alias("b")), "crowds")
-    crowds = stash(left.select("id", "c").distinct().join(crowds.withColumnsRenamed({"node": "id", "component": "crowd"}), "id"), "crowds")
-    parts = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = crowds.join(parts, "crowd").withColumn("x", F.pmod(F.xxhash64("id"), "parts"))
+    counts = whole.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(cells, np.int64)
+    table[np.asarray(counts["cell"], np.int64)] = np.asarray(counts["n"], np.int64)
+    shared = members.sparkSession.sparkContext.broadcast(table)
 
-    def sets(batches):
-        hashes = WordHashes()
-        for batch, texts in blocks(batches, 5):
-            made = [s.tobytes() for s in shingle_sets(texts, size, hashes)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(made, pa.binary())], ["id", "c", "crowd", "x", "parts", "s"])
-
-    schema = "id bigint, c bigint, crowd bigint, x bigint, parts bigint, s binary"
-    whole = stash(docs.join(dealt.hint("merge"), "id").select("id", "c", "crowd", "x", "parts", "t").mapInArrow(sets, schema), "members")
-    pairs = whole.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("id", "c", "crowd", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "s")
-
-    def compared(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, c, x = (np.asarray(table.column(k).combine_chunks()) for k in ("id", "c", "x"))
-        i = table.column("i")[0].as_py()
-        within = i == table.column("j")[0].as_py()
-        made = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("s")]
-        keys, n = np.array([band_keys(s) for s in made]), np.array([len(s) for s in made])
-        parent = {k: k for k in c.tolist()}
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        found = []
-        for a in range(len(ids)):
-            rest = np.arange(a + 1, len(ids))
-            if not within:
-                rest = rest[x[rest] != x[a]]
-            least = np.minimum(n[a], n[rest])
-            rest = rest[(100 * least >= percent * np.maximum(n[a], n[rest])) & (c[rest] != c[a])]
-            rest = rest[(keys[rest] == keys[a]).any(1)]
-            for b in rest.tolist():
-                one, two = root(int(c[a])), root(int(c[b]))
-                if one != two:
-                    shared = len(np.intersect1d(made[a], made[b], assume_unique=True))
-                    if 100 * shared >= percent * (n[a] + n[b] - shared):
-                        parent[max(one, two)] = min(one, two)
-                        found.append((ids[a], ids[b]))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return stash(pairs.groupBy("crowd", "i", "j").applyInArrow(compared, "a bigint, b bigint"), "blocks")
+    def early(batches):
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for i, s in enumerate(batch.column(2)):
+                tokens = np.frombuffer(s.as_py(), np.uint64)
+                held = shared.value[(tokens % np.uint64(cells)).astype(np.int64)]
+                kept = np.lexsort((tokens, held))[: len(tokens) - -(-len(tokens) * percent // 100) + 1]
+                kept = kept[held[kept] > 1]  # one holder has no partner
+                for column, value in zip(rows, (tokens[kept].view(np.int64), *(np.full(len(kept), x) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(tokens)))), strict=True):
+                    column.append(value)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["token", "id", "c", "n"])
+
+    open_ = stash(whole.mapInArrow(early, "token bigint, id bigint, c bigint, n bigint"), "rare")
+    links = None
+    for k in range(rounds):
+        several = open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+        left = stash(open_.join(several.hint("merge"), "token", "left_semi"), "left")
+        drop(open_)
+        if left.isEmpty():
+            drop(left)
+            return links if links is not None else members.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+        part = F.pmod(F.xxhash64("id"), F.lit(4**k))
+        centres = stash(left.groupBy("token", part).agg(F.min(F.struct("id", "c", "n")).alias("hub")).select("token", "hub"), "centres")
+        met = left.join(centres.hint("merge"), "token").where(f"id <> hub.id and c <> hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        pairs = stash(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "rarepairs")
+        found = stash(confirmed(pairs, sets).where(f"100 * shared >= {percent} * total").select("a", "b"), "rarelinks")
+        links = found if links is None else links.union(found)
+        used = centres.select("token", F.col("hub.id").alias("id"))
+        open_ = left.join(used.hint("merge"), ["token", "id"], "left_anti")
+        if not found.isEmpty():
+            label = left.select("id", "c").distinct()
+            edges = found.join(label.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(label.withColumnsRenamed({"id": "b", "c": "cb"}), "b")
+            into = stash(components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merged"), "into")
+            open_ = open_.join(into.withColumnsRenamed({"node": "c", "component": "now"}).hint("merge"), "c", "left").select("token", "id", F.coalesce("now", "c").alias("c"), "n")
+        open_ = stash(open_, "rare")
+        drop(left, centres, pairs)
+    raise RuntimeError(f"near duplicates are not settled after {rounds} rounds")

@@ -231,7 +231,7 @@ def test_near_duplicates_against_all_pairs(spark):
             words[r.randrange(200)] = f"x{r.randrange(9999)}"
         texts.append(" ".join(words))
     texts += ["", "one", "ONE", "one two", None]
-    got = {x["doc_id"]: x for x in near_duplicates(documents(spark, texts), size=3, percent=85, block=20).collect()}
+    got = {x["doc_id"]: x for x in near_duplicates(documents(spark, texts), size=3, percent=85).collect()}
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -253,6 +253,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(x["kept"] == (x["component_id"] == i) and x["n_shingles"] == len(sets[i]) for i, x in got.items())
 
 
+def test_near_duplicates_in_one_crowd_against_all_pairs(spark):
+    """5000 graded copies of three texts that share a long passage: crowded buckets, many members linked only by way of others."""
+    r = random.Random(16)
+    passage = [f"p{i}" for i in range(60)]
+    base = [passage + [f"w{r.randrange(4000)}" for _ in range(30)] for _ in range(3)]
+    texts = []
+    for i in range(5000):
+        words = list(base[i % 3])
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6])):
+            words[r.randrange(90)] = f"x{r.randrange(300)}"
+        texts.append(" ".join(words))
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(documents(spark, texts), size=3, percent=85).collect()}
+    ids: dict = {}
+    rows = [sorted({ids.setdefault(tuple(w[i : i + 3]), len(ids)) for i in range(88)}) for w in map(str.split, texts)]
+    holds = np.zeros((5000, len(ids)), np.float32)
+    for i, row in enumerate(rows):
+        holds[i, row] = 1
+    n, component = holds.sum(1), np.arange(5000)
+    near = []
+    for a in range(0, 5000, 500):
+        shared = holds[a : a + 500] @ holds.T
+        near.append(100 * shared >= 85 * (n[a : a + 500, None] + n - shared))
+    near = np.concatenate(near)
+    while True:  # the least component among the linked, until nothing changes
+        least = np.array([component[x].min() for x in near])
+        least = least[least]
+        if (least == component).all():
+            break
+        component = least
+    assert len(set(component.tolist())) > 20 and [got[i] for i in range(5000)] == component.tolist()
+
+
 @pytest.mark.parametrize("pass_bytes", [16_000_000, 60])
 def test_decontamination_against_brute_force(spark, pass_bytes):
     r = random.Random(7)
