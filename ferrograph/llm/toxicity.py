@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from .shared import blocks, per_text
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Lengths of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 6)
 #: A term's weight is halved where its z between the classes is this (rare and even terms weigh little, none is left out).
 HALF_Z = 10.0
 FOLDS = 4
@@ -36,10 +39,6 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
 
 
-def term_hash(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term.encode()) - (1 << 63)
-
-
 class Terms:
     """Texts as (terms, counts); a term is its 64-bit hash, or its place in `vocabulary` (sorted), others left out."""
 
@@ -47,17 +46,26 @@ class Terms:
         self.at = None if vocabulary is None else {h: i for i, h in enumerate(vocabulary.tolist())}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def of_word(self, word: str) -> tuple[int, ...]:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        terms = tuple(map(xxhash.xxh3_64_intdigest, terms_of(word)))
+        self.known[word] = terms = terms if self.at is None else tuple(self.at[t] for t in terms if t in self.at)
+        return terms
+
+    def lists(self, words: Iterable[str]) -> list[tuple[int, ...]]:
+        known = self.known.get
+        return [self.of_word(w) if (t := known(w)) is None else t for w in words]
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known, found = self.known, []
-        if len(known) > 300_000:
-            known.clear()
-        for word in WORD.findall(text.lower()):
-            terms = known.get(word)
-            if terms is None:
-                terms = [term_hash(t) for t in terms_of(word)]
-                terms = known[word] = tuple(terms if self.at is None else (self.at[t] for t in terms if t in self.at))
-            found += terms
-        return np.unique(np.array(found, np.int64), return_counts=True)
+        counts = Counter(WORD.findall(text.lower()))
+        lists = self.lists(counts)
+        each = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, lists), np.int64, len(lists)))
+        terms, at = np.unique(np.fromiter(chain.from_iterable(lists), np.uint64 if self.at is None else np.int64, len(each)), return_inverse=True)
+        return terms, np.bincount(at, each, len(terms)).astype(np.int64)
+
+    def distinct(self, text: str) -> set[int]:
+        return set(chain.from_iterable(self.lists(set(WORD.findall(text.lower())))))
 
 
 class Rows:
@@ -155,21 +163,20 @@ class Index:
         slots, own = spread(self.slots[terms[long]], self.slots[terms[long] + 1], weights[long])
         bound += np.repeat(np.bincount(self.slot_block[slots], own * self.top[slots], self.blocks), BLOCK)
         bound = bound[: len(self.labels)]
-        order = np.argsort(-bound, kind="stable")
         self.query[terms] = weights
-        seen, score, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, self.k
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 1e-9 >= least:
-            now = order[at : at + step]
-            now = now[bound[now] + 1e-9 >= least]
-            at, step = at + len(now), step * 2
+        seen, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        now = np.argpartition(-bound, self.k)[: self.k] if self.k < len(bound) else np.arange(len(bound))
+        while len(now):
             places, which = spread(self.row[now], self.row[now + 1], np.arange(len(now)))
             exact = np.bincount(which, self.query[self.row_terms[places]] * self.row_weights[places], len(now))
+            bound[now] = -1  # settled
             seen, score = np.concatenate([seen, now]), np.concatenate([score, exact])
             best = np.lexsort((seen, -np.round(score, 9)))
             best = best[score[best] > 0][: self.k]
             seen, score = seen[best], score[best]
-            if len(seen) == self.k:
-                least = score[-1]
+            least = score[-1] - 1e-9 if len(seen) == self.k else 0.0
+            now = np.flatnonzero((bound > 0) & (bound >= least))
+            now = now[np.argsort(-bound[now], kind="stable")[: 4 * self.k]]
         self.query[terms] = 0
         return seen, score
 
@@ -240,13 +247,13 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
         terms = Terms()
         for batch, whole in blocks(batches, 2):
             found = [terms.of(t) for t in whole]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
 
     sample = every.join(F.broadcast(few), "id").select("id", "y", "t").mapInArrow(counted, "id bigint, y int, terms array<bigint>, counts array<bigint>").toArrow().sort_by("id")
     names, ys = np.asarray(sample["id"], np.int64), np.asarray(sample["y"], np.int64)
     lists = sample["terms"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64) if len(names) else np.zeros(1, np.int64)
-    vocabulary, places = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    vocabulary, places = np.unique(np.asarray(lists.flatten(), np.int64).view(np.uint64), return_inverse=True)
     rows = Rows(first, places, np.asarray(sample["counts"].combine_chunks().flatten()))
     del sample, lists, places
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -256,7 +263,8 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
         for _, whole in blocks(batches, 1):
             n += len(whole)
             for t in whole:
-                found[terms.of(t)[0]] += 1
+                had = terms.distinct(t)
+                found[np.fromiter(had, np.int64, len(had))] += 1
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["term", "n"])
 
