@@ -41,36 +41,67 @@ HINTS = {
     "share": "share sharing social follow twitter facebook byline meta author date",
     "text": "article content main post entry story body text prose copy page",
 }
-HINT_OF = {w: kind for kind, words in HINTS.items() for w in words.split()}
+# The same in German, French and Spanish.
+FOREIGN = {
+    "menu": "navigation navigationsleiste menue menú menu brotkrumen fil-ariane migas",
+    "frame": "kopfzeile fusszeile fußzeile impressum entête entete pied cabecera pie",
+    "side": "seitenleiste randspalte verwandt barre laterale connexe lateral barra relacionados",
+    "advert": "werbung anzeige reklame publicité publicite pub publicidad anuncio",
+    "notice": "hinweis einwilligung datenschutz avis consentement aviso consentimiento",
+    "form": "suche anmeldung formular recherche connexion formulaire buscar acceso formulario",
+    "talk": "kommentar kommentare antworten commentaire commentaires réponse comentario comentarios respuestas",
+    "share": "teilen folgen autor partager suivre auteur compartir seguir",
+    "text": "artikel inhalt beitrag texte contenu artículo contenido",
+}
+# Words that head parts which are not the article, and that notices hold.
+HEADS = {
+    "talk": r"(?:\d+\s+)?(?:comments?|replies|responses|discussion|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)(?:\s*\(?\d+\)?)?:?|leave a (?:reply|comment)|post a comment|join the discussion|what do you think\??",
+    "side": r"related(?: \w+)?|recommended(?: \w+)?|popular(?: \w+)?|most read|trending(?: \w+)?|more (?:from|stories|articles|news)\b.*|read (?:more|next)|you (?:may|might) (?:also )?like|see also|tags|archives?|categories",
+    "share": r"share(?: this(?: \w+)?)?|follow us|teilen|partager|compartir",
+    "form": r"subscribe\b.*|newsletter|sign up\b.*|log ?in|search|contact us",
+}
+SAYS = {"notice": r"\bcookies?\b|\bconsent\b|\bGDPR\b|\bDatenschutz\b", "frame": r"©|\ball rights reserved\b|\bcopyright\b"}
+HINT_OF = {w: kind for table in (FOREIGN, HINTS) for kind, words in table.items() for w in words.split()}
+STEMS = re.compile("|".join(sorted((w for w in HINT_OF if len(w) > 4 and w.isalpha()), key=len, reverse=True)))
+HEAD_OF = re.compile("|".join(f"(?P<{k}>{p})" for k, p in HEADS.items()), re.I)
+SAID = re.compile("|".join(f"(?P<{k}>{p})" for k, p in SAYS.items()), re.I)
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|\Z)|</[^>]*>|<|[^<]+",
     re.S,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-ATTRIBUTE_WORD = re.compile(r"[a-z]+(?:-ad)?")
+ATTRIBUTE_WORD = re.compile(r"[^\W\d_]+(?:-ad\b)?")
+UNSHOWN = re.compile(r"(?:^|\s)hidden(?=$|[\s/=])|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*)\bdisplay\s*:\s*none", re.I)
+LEVELS = {f"h{k}": k for k in range(1, 7)}
 
 
 class Node:
-    __slots__ = ("parent", "tag", "kinds", "runs", "chars", "linked", "last")
+    __slots__ = ("parent", "tag", "kinds", "runs", "chars", "linked", "last", "first", "controls", "under", "shown")
 
     def __init__(self, parent: int, tag: str, kinds: frozenset):
         self.parent, self.tag, self.kinds, self.runs, self.chars, self.linked, self.last = parent, tag, kinds, [], 0, 0, ""
+        self.first, self.controls, self.under, self.shown = "", 0, "", True
 
 
 @cache
 def hints(rest: str) -> frozenset:
+    """What the attributes say of an element: kinds of the words in class, id and role, or of known words inside them."""
     found = set()
     for m in NAMED.finditer(rest):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        for word in ATTRIBUTE_WORD.findall(value):
-            found.add(HINT_OF.get(word, ""))
-    return frozenset(found - {""})
+        for word in ATTRIBUTE_WORD.findall((m[1] or m[2] or m[3] or "").lower()):
+            if kind := HINT_OF.get(word):
+                found.add(kind)
+            elif inner := STEMS.search(word):
+                found.add(HINT_OF[inner[0]])
+    return frozenset(found)
 
 
 def parse(page: str) -> list[Node]:
-    """The page's block elements, parents first; node 0 is the page itself. A run is [place in the page, text]."""
+    """The page's block elements, parents first; node 0 is the page itself. A run is [place in the page, text]. Linear in the page."""
     nodes, stack, place, links = [Node(-1, "page", frozenset())], [0], 0, 0
+    depths: dict[str, list[int]] = {}  # where in the stack elements of a tag are open
+    endless: set[str] = set()  # hidden elements that nothing ends any more
     run: list[str] = []
     linked = 0
 
@@ -78,15 +109,22 @@ def parse(page: str) -> list[Node]:
         nonlocal run, linked, place
         if run:
             text = " ".join(html.unescape("".join(run)).split())
-            if text:
-                node = nodes[stack[-1]]
+            node = nodes[stack[-1]]
+            if text and node.shown:
                 node.runs.append((place, text))
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
-                node.last = text[-1]
+                node.first, node.last = node.first or text, text[-1]
                 place += 1
             run, linked = [], 0
 
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            depths[nodes[stack.pop()].tag].pop()
+
+    def last_open(tags: set[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     at, size = 0, len(page)
     while at < size:
         m = PIECE.match(page, at)
@@ -103,12 +141,10 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        close()
-                        del stack[depth:]
-                        links = 0
-                        break
+                if depth := last_open({tag}):
+                    close()
+                    leave(depth)
+                    links = 0
             elif tag == "br":
                 run.append(" ")
             continue
@@ -117,10 +153,15 @@ def parse(page: str) -> list[Node]:
                 if tag in RAW:
                     end = re.compile(rf"</{tag}[^>]*>|\Z", re.I).search(page, at)
                     at = end.end()
-                else:
+                elif tag not in endless:
                     end = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
-                    at = end.end() if end else at
+                    if end:
+                        at = end.end()
+                    else:
+                        endless.add(tag)
             continue
+        if tag in ("input", "button", "select", "textarea"):
+            nodes[stack[-1]].controls += 1
         if tag == "a":
             links += 1
         elif tag in ("br", "wbr", "img", "input"):
@@ -129,28 +170,56 @@ def parse(page: str) -> list[Node]:
             close()
             links = 0
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
-            same, bounds = SAME.get(tag, {tag}), ENDED_BY.get(tag)
-            if bounds:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag in same:
-                        del stack[depth:]
-                        break
-                    if nodes[stack[depth]].tag in bounds:
-                        break
+                leave(len(stack) - 1)
+            if bounds := ENDED_BY.get(tag):
+                same = last_open(SAME.get(tag, {tag}))
+                if same > last_open(bounds):
+                    leave(same)
             nodes.append(Node(stack[-1], tag, hints(m["rest"]) if m["rest"] else frozenset()))
+            nodes[-1].shown = nodes[stack[-1]].shown and not (m["rest"] and UNSHOWN.search(m["rest"]))
             if tag != "hr":
+                depths.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     close()
+    headed(nodes)
     return nodes
 
 
+def headed(nodes: list[Node]) -> None:
+    """Mark what a telling heading heads: later elements of its parent, up to a heading as high, and the parent if it begins with it."""
+    now: dict[int, tuple[int, str]] = {}  # by parent: level and kind of the last heading
+    begun: set[int] = set()
+    for node in nodes[1:]:
+        level = LEVELS.get(node.tag, 0)
+        if level or (node.chars and node.chars < 40 and node.tag in ("summary", "legend", "dt", "p", "div")):
+            m = HEAD_OF.fullmatch(node.first.strip(" :")) if node.chars < 60 else None
+            before = now.get(node.parent)
+            if m:
+                now[node.parent] = (level or 6, m.lastgroup)
+                node.under = m.lastgroup
+                if node.parent not in begun and node.parent > 0 and nodes[node.parent].tag not in ("body", "article", "main"):
+                    nodes[node.parent].under = m.lastgroup
+            elif level and before and level <= before[0]:
+                del now[node.parent]
+        elif node.parent in now:
+            node.under = now[node.parent][1]
+        if node.parent in now and not node.under:
+            node.under = now[node.parent][1]
+        begun.add(node.parent)
+
+
 def features(node: Node) -> list[str]:
     found = [f"tag {node.tag}", *(f"hint {k}" for k in node.kinds)]
+    if node.under:
+        found.append(f"under {node.under}")
+    if node.controls:
+        found.append("holds controls")
     if node.chars:
         size = "short" if node.chars < 30 else "middle" if node.chars < 100 else "long"
         share = node.linked / node.chars
         found += [f"text {size} {'linked' if share > 0.5 else 'some' if share > 0.2 else 'plain'}"]
+        if node.chars < 400 and (said := {m.lastgroup for _, run in node.runs for m in SAID.finditer(run)}):
+            found += [f"says {k}" for k in said]
         if node.last in ".!?…:;\"'”»)":
             found.append("ends as a sentence")
     else:
@@ -160,8 +229,10 @@ def features(node: Node) -> list[str]:
 
 #: Kinds of parent-child pairs, each with a potential of its own for equal and for differing labels.
 def pair(parent: Node, child: Node) -> str:
-    marked = "marked" if child.kinds or child.tag in SECTIONS else "text" if child.chars else "box"
-    return f"{'page' if parent.parent <= 0 and parent.tag in ('page', 'body') else 'section' if parent.kinds or parent.tag in SECTIONS else 'inside'} {marked}"
+    marked = "headed" if child.under else "marked" if (child.kinds - {"text"}) or child.tag in SECTIONS - {"article", "main"} else "text" if child.chars else "box"
+    if parent.parent <= 0 and parent.tag in ("page", "body"):
+        return f"page {marked}"
+    return f"{'article' if parent.tag in ('article', 'main') or parent.kinds == {'text'} else 'section' if parent.kinds or parent.tag in SECTIONS else 'inside'} {marked}"
 
 
 def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float], list[tuple]]:
@@ -212,7 +283,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
     say = lambda low, high: " ".join(word() for _ in range(r.randint(low, high)))
     sentence = lambda: " ".join(say(2, 18).capitalize() + r.choice([".", ".", ".", "?", ", " + say(2, 4) + "."]) for _ in range(r.choice([1, 1, 2, 3, 4, 5])))
     link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
-    named = lambda kind: f' {r.choice(["class", "id"])}="{r.choice(HINTS[kind].split())}{r.choice(["", "-" + word(), " " + word()])}"'
+    known = lambda kind: r.choice((HINTS if r.random() < 0.8 else FOREIGN)[kind].split())
+    # a tenth of the names are words that no list holds
+    named = lambda kind: f' {r.choice(["class", "id"])}="{known(kind) if r.random() < 0.9 else word()}{r.choice(["", "-" + word(), " " + word(), word()])}"'
+    heads = {"talk": ["Comments", "3 Comments", "Leave a reply", "Kommentare", "Commentaires"], "side": ["Related", "Popular posts", "More from here", "See also"], "share": ["Share", "Follow us"], "form": ["Newsletter", "Subscribe now"]}
     pages = []
     for _ in range(count):
         out: list[str] = []
@@ -231,13 +305,16 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
                 attributes = named(kind) if tag in ("div", "section", "p") or r.random() < 0.4 else ""
             inner = {
                 "menu": listed, "frame": lambda: say(2, 6) + link() if r.random() < 0.5 else f"&copy; {say(1, 12)}.",
-                "side": lambda: f"<h3>{say(1, 3)}</h3>" + (listed() if r.random() < 0.6 else f"<p>{sentence()}</p>"),
-                "advert": sentence, "notice": lambda: r.choice([sentence(), f"<p>{sentence()}</p><button>{say(1, 2)}</button>"]),
+                "side": lambda: f"<h3>{r.choice(heads['side']) if r.random() < 0.5 else say(1, 3)}</h3>" + (listed() if r.random() < 0.6 else f"<p>{sentence()}</p>"),
+                "advert": sentence, "notice": lambda: r.choice([sentence(), f"<p>{say(2, 6).capitalize()} cookies {say(2, 9)}.</p><button>{say(1, 2)}</button>"]),
                 "form": lambda: f"<label>{say(1, 3)}</label><input name=q><button>{say(1, 2)}</button>" + r.choice(["", f"<p>{sentence()}</p>", f"<select><option>{word()}<option>{word()}</select>"]),
-                "talk": lambda: f"<h3>{say(1, 2)}</h3>" + "".join(f"<{t}{named('talk') if r.random() < 0.5 else ''}><p>{sentence()}</p></{t}>" for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 4))),
+                "talk": lambda: f"<h3>{r.choice(heads['talk']) if r.random() < 0.5 else say(1, 2)}</h3>" + "".join(f"<{t}{named('talk') if r.random() < 0.5 else ''}><p>{sentence()}</p></{t}>" for t in [r.choice(["div", "div", "li", "li", "article"])] for _ in range(r.randint(1, 4))),
                 "share": lambda: " ".join(link() for _ in range(3)) if r.random() < 0.5 else say(2, 5),
             }[kind]()
-            return f"<{tag}{attributes}>{inner if tag != 'p' else re.sub('<[^>]*>', ' ', inner)}</{tag}>"
+            whole = f"<{tag}{attributes}>{inner if tag != 'p' else re.sub('<[^>]*>', ' ', inner)}</{tag}>"
+            if kind in heads and r.random() < 0.25:  # its name says nothing, its heading does
+                whole = f"<section{named('text') if r.random() < 0.1 else ''}><h{(k := r.randint(2, 4))}>{r.choice(heads[kind])}</h{k}>{re.sub('<h3>.*?</h3>', '', inner)}</section>"
+            return whole
 
         def part() -> str:
             kind = r.random()
@@ -260,7 +337,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
 
         for _ in range(r.randint(0, 3)):
             out.append(junk())
-        tag, attributes = r.choice([("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", ""), ("", "")])
+        tag, attributes = r.choice([("article", ""), ("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", ""), ("", "")])
         inside = []
         if r.random() < 0.8:
             kept.append(title := say(3, 10))
@@ -283,7 +360,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
 
 
 @cache
-def trained(count: int = 500, seed: int = 11, rounds: int = 10) -> dict[str, float]:
+def trained(count: int = 900, seed: int = 11, rounds: int = 10) -> dict[str, float]:
     """Weights by stochastic gradient ascent (each weight with a step of its own) on labelled pages."""
     data = []
     for page, text in labelled_pages(count, seed):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import drop, free_name, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ["domain", "lang", "source"]
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], domain: Column, sha
     The budget is `share` of all tokens (words); a document is used at most `epochs` times; `weights` gives whole-number
     weights by level ("domain", "lang", "source") and name, 1 elsewhere. An epoch's order is that of
     md5(seed:epoch:key), then key; its prefix ends with the document that reaches the quota. Null languages, sources and
-    domains are "", null texts have no tokens. Rows of one key and text are taken or left together; columns of docs are kept.
+    domains are "", null texts have no tokens. Rows of one key and text are taken or left together. Columns of docs are
+    kept whatever their names; mix_epoch and mix_quota get underscores until they are free.
 
     Only sums by leaf and by slice of a leaf's order (4096 slices) are shuffled, after partial sums; the last slice of a
     leaf alone is ordered row by row. The choice is then a comparison with one row a leaf, so texts are not shuffled.
@@ -100,12 +101,15 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], domain: Column, sha
         .agg(F.max(F.struct("h", "k")).alias("mix_cut"))
     )
     chosen = stash(plan.join(cut, LEVELS, "left").select(*(F.col(x).alias(f"mix_{x}") for x in LEVELS), F.col("quota").alias("mix_quota"), F.col("full").alias("mix_full"), "mix_cut"), "cuts")
-    keep = docs.columns
-    marked = docs.withColumns({f"mix_{x}": c for x, c in names.items()} | {"mix_n": n}).where("mix_n > 0")
+    drop(narrow, plan)
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), n.alias("mix_n"), *(c.alias(f"mix_{x}") for x, c in names.items())).where("mix_n > 0")
     taken = marked.join(chosen, [f"mix_{x}" for x in LEVELS])
-    partly = F.coalesce(F.struct(order("mix_full", key).alias("h"), F.col(key).alias("k")) <= F.col("mix_cut"), F.lit(False))
+    partly = F.coalesce(F.struct(order("mix_full", "k").alias("h"), "k") <= F.col("mix_cut"), F.lit(False))
     times = (F.col("mix_full") + partly.cast("bigint")).cast("int")
-    return taken.withColumn("mix_times", times).where("mix_times > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_epoch"), "mix_quota")
+    epoch, quota = free_name(docs.columns, "mix_epoch"), free_name(docs.columns, "mix_quota")
+    taken = taken.withColumn("mix_times", times).where("mix_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_epoch"), "mix_quota")
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("mix_epoch").alias(epoch), F.col("mix_quota").alias(quota))
 
 
 # The mix of the queries: domains are four groups of sources, by the CRC of the name.

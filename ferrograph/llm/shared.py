@@ -53,11 +53,10 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
     """
     source = df.select(*keep, F.col(text).alias("__text"))
     fields = [source.schema[k] for k in keep]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = StructType.fromDDL(f"{head}, {schema}")
+    out = StructType([*fields, *StructType.fromDDL(schema).fields])
     arrow = to_arrow_schema(out)
 
     def run(batches):
