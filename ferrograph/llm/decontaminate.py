@@ -1,8 +1,8 @@
 """Benchmark decontamination by multi-pattern search over words (operator 7).
 
 Patterns are the word windows of the benchmark items. As in Wu and Manber's search, a table says how far the search may
-shift for the last two words seen, only a shift of zero opens the bucket of patterns with that suffix, the pattern's
-first two words select among them, and a direct comparison confirms. Windows of one length share one set of tables.
+shift for the last two words seen, only a pair that ends a pattern opens the bucket of patterns with that suffix, the
+pattern's first two words select among them, and a direct comparison confirms. Windows of one length share one set of tables.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import blocks, per_text, stash
 
@@ -26,47 +28,61 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Patterns:
-    """Search tables for word windows: number of items, and for each window length its shift table and buckets."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.names, self.ids = [], {}
-        by_length: dict[int, dict[tuple, set[int]]] = {}
-        for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            self.names.append(name)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(len(self.names) - 1)
+    """Search tables for word windows, for each window length: a shift table, whose zeros name buckets, and the windows as one matrix.
+
+    Words are numbers, two words in a row one number; a bucket is a range of rows that end alike, ordered by how they begin.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.names, self.ids = [name for name, _ in items], {}
+        texts = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.int64) for _, text in items]
+        self.base = len(self.ids) + 1
         self.tables = []
-        for size, windows in sorted(by_length.items()):
+        for size in sorted({min(window, len(t)) for t in texts} - {0}):
+            of = [k for k, t in enumerate(texts) if min(window, len(t)) == size]
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(texts[k], size) for k in of]).astype(np.int32)
+            owner = np.repeat(of, [len(texts[k]) - size + 1 for k in of])
+            rows, which = np.unique(rows, axis=0, return_inverse=True)
             block = min(2, size)
-            shift: dict[tuple, int] = {}
-            buckets: dict[tuple, dict[tuple, list]] = {}
-            for w, owners in windows.items():
-                for end in range(block, size + 1):
-                    key = w[end - block : end]
-                    shift[key] = min(shift.get(key, size), size - end)
-                buckets.setdefault(w[-block:], {}).setdefault(w[:block], []).append((list(w), tuple(owners)))
-            self.tables.append((size, block, size - block + 1, shift, buckets))
+            suffix, prefix = self.pairs(rows, size - block), self.pairs(rows, 0)
+            order = np.lexsort((prefix, suffix))
+            rows, suffix, prefix = rows[order], suffix[order], prefix[order]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            owned = np.unique(np.stack([place[which.reshape(-1)], owner], 1), axis=0)
+            first = np.searchsorted(owned[:, 0], np.arange(len(rows) + 1))
+            # the shift of two words is the least distance to a window's end at which they stand
+            shift: dict[int, int] = {}
+            for end in range(block, size):
+                for key in np.unique(self.pairs(rows, end - block)).tolist():
+                    shift[key] = size - end
+            keys, low = np.unique(suffix, return_index=True)
+            for k, key in enumerate(keys.tolist()):
+                shift[key] = -k
+            self.tables.append((size, block, size - block + 1, shift, np.append(low, len(rows)), prefix, rows, first, owned[:, 1].astype(np.int32)))
+
+    def pairs(self, rows: np.ndarray, at: int) -> np.ndarray:
+        """The word at a place, or it and the next as one number where rows are longer."""
+        return rows[:, at].astype(np.int64) * self.base + rows[:, at + 1] if rows.shape[1] > 1 else rows[:, at].astype(np.int64)
 
     def search(self, text: str) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Words of the text, (start, end) of the windows that occur, in order and merged, and the items they are of."""
         known = self.ids.get
         words = [known(w, 0) for w in words_of(text)]
-        n, spans, owners = len(words), [], set()
-        for size, block, most, shift, buckets in self.tables:
-            at = size - 1
+        n, base, spans, owners = len(words), self.base, [], set()
+        pairs = [a * base + b for a, b in zip(words, words[1:], strict=False)]
+        for size, block, most, shift, low, prefix, rows, first, owner in self.tables:
+            blocks_, at = pairs if block == 2 else words, size - 1
             while at < n:
-                key = (words[at - 1], words[at]) if block == 2 else (words[at],)
-                step = shift.get(key, most)
-                if step:
+                step = shift.get(blocks_[at - block + 1], most)
+                if step > 0:
                     at += step
                     continue
-                start = at - size + 1
-                for window, of in buckets[key].get(tuple(words[start : start + block]), ()):
-                    if words[start : at + 1] == window:
+                start, bucket = at - size + 1, prefix[low[-step] : low[1 - step]]
+                for k in range(*(low[-step] + np.searchsorted(bucket, [blocks_[start], blocks_[start] + 1])).tolist()):
+                    if rows[k].tolist() == words[start : at + 1]:
                         spans.append((start, at + 1))
-                        owners.update(of)
+                        owners.update(owner[first[k] : first[k + 1]].tolist())
                 at += 1
         return n, merged(spans), owners
 
@@ -83,22 +99,23 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def digest(n: int, spans: list[tuple[int, int]], names) -> tuple:
     hit = sum(b - a for a, b in spans)
-    return n, hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0
+    return n, hit, len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), hit > 0
 
 
 SCHEMA = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, pass_bytes: int = 16_000_000) -> DataFrame:
-    """Per document: key, n_words, n_hit (words inside an occurrence of an item's window), n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, pass_bytes: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: key, the columns `keep`, n_words, n_hit (words inside an occurrence of an item's window), n_items, items_sha256, contaminated.
 
     A window is `window` consecutive words of an item; a shorter item is one window; items without words have none.
-    Null texts have no words; repeated rows are judged each by itself; other columns are ignored. The benchmark's size
-    is measured first: while its text has at most `pass_bytes` bytes its tables go with the tasks and one pass over the
-    documents, without a shuffle, is all. A larger benchmark is searched in as many passes of that size, whose findings
-    (only documents with hits have any) are then merged by document.
+    Items that share an id are one; those without an id count as one more, which items_sha256 leaves out. Null texts have
+    no words; repeated rows are judged each by itself; other columns are ignored. The benchmark's size is measured first:
+    while its text has at most `pass_bytes` bytes its tables (some 30 bytes of memory for each) go with the tasks and one
+    pass over the documents, without a shuffle, is all. A larger benchmark is searched in as many passes of that size,
+    whose findings (only documents with hits have any) are then merged by document.
     """
-    items = benchmark.select(F.col(item).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("words")).where("name is not null")
+    items = benchmark.select(F.col(item).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("words"))
     total = items.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
     passes = max(1, -(-total // pass_bytes))
     spark = docs.sparkSession
@@ -111,9 +128,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             found = (patterns.search(t) for t in texts)
             return [list(c) for c in zip(*(digest(n, spans, {patterns.names[k] for k in owners}) for n, spans, owners in found), strict=True)]
 
-        return per_text(docs, [key], text, SCHEMA, work)
+        return per_text(docs, [key, *keep], text, SCHEMA, work)
 
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"))
     found = None
     for k in range(passes):
         tables = spark.sparkContext.broadcast(Patterns(part(k), window))
@@ -124,29 +141,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 for i, t in enumerate(texts):
                     _, spans, owners = patterns.search(t)
                     if spans:
-                        out.append((batch.column(0)[i].as_py(), t, list(chain(*spans)), [patterns.names[o] for o in owners]))
+                        out.append((i, hashlib.sha256(t.encode()).hexdigest(), list(chain(*spans)), [patterns.names[o] for o in owners]))
                 if out:
-                    keys, whole, spans, names = zip(*out, strict=True)
-                    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in whole]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(hashes), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["k", "h", "spans", "names"])
+                    at, hashes, spans, names = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hashes), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["k", "h", "spans", "names"])
 
-        one = stash(rows.mapInArrow(search, f"k {rows.schema['k'].dataType.simpleString()}, h string, spans array<bigint>, names array<string>"), "hits")
+        out = StructType([rows.schema["k"], *StructType.fromDDL("h string, spans array<bigint>, names array<string>").fields])
+        one = stash(rows.select("k", "t").mapInArrow(search, out), "hits")
         found = one if found is None else found.union(one)
     found = found.distinct().groupBy("k", "h").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
-    counts = per_text(rows, ["k", "t"], "t", "n bigint", lambda texts: [[len(words_of(t)) for t in texts]])
-    joined = counts.select("k", F.sha2("t", 256).alias("h"), "n").join(found, ["k", "h"], "left")
+    counts = per_text(rows, ["k", "t", "kept"], "t", "n bigint", lambda texts: [[len(words_of(t)) for t in texts]])
+    counts = counts.select("k", F.sha2("t", 256).alias("h"), "kept", "n")
+    joined = counts.alias("c").join(found.alias("f"), F.expr("c.k <=> f.k and c.h = f.h"), "left")
 
     def finish(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                spans = merged((s[i], s[i + 1]) for s in r["spans"] or () for i in range(0, len(s), 2))
-                out.append((r["k"], *digest(r["n"], spans, set(r["names"] or ()))))
-            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            for n, spans, names in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                out.append(digest(n, merged((s[i], s[i + 1]) for s in spans or () for i in range(0, len(s), 2)), set(names or ())))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [key, *(x.split()[0] for x in SCHEMA.split(", "))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["k", "kept", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return joined.select("k", "n", "spans", "names").mapInArrow(finish, f"`{key}` {rows.schema['k'].dataType.simpleString()}, {SCHEMA}")
+    out = StructType([rows.schema["k"], rows.schema["kept"], *StructType.fromDDL(SCHEMA).fields])
+    done = joined.select("c.k", "c.kept", "c.n", "f.spans", "f.names").mapInArrow(finish, out)
+    return done.select(F.col("k").alias(key), *(F.col("kept")[c].alias(c) for c in keep), *(x.split()[0] for x in SCHEMA.split(", ")))
 
 
 #: The same in DuckDB's SQL, over documents and benchmark.

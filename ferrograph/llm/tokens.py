@@ -128,12 +128,25 @@ def starts_of(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begun[:n])
 
 
+def check(made: dict) -> None:
+    """Raise on settings that the machines do not follow, rather than count otherwise than the library."""
+    before, model = made.get("pre_tokenizer") or {}, made["model"]
+    wrong = [k for k in ("normalizer", "truncation", "padding") if made.get(k)]
+    wrong += [k for k, wanted in (("type", "ByteLevel"), ("add_prefix_space", False)) if before.get(k) != wanted]
+    wrong += ["use_regex"] * (not before.get("use_regex", True))
+    wrong += ["model type"] * (model.get("type", "BPE") != "BPE")
+    wrong += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [f"added token {t['content']!r}" for t in made["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if wrong:
+        raise ValueError(f"the tokenizer has settings that are not supported: {', '.join(wrong)}")
+
+
 class ByteMachine:
-    """Counts the tokens of pre-tokens for a byte-level pair encoding read from a tokenizer's .json file."""
+    """Counts the tokens of pre-tokens for a byte-level pair encoding, given as the content of a tokenizer's .json file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
+    def __init__(self, content: str):
+        made = json.loads(content)
+        check(made)
         self.special = [t["content"] for t in made["added_tokens"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -281,20 +294,29 @@ class ByteMachine:
 
 
 @cache
+def machine_of(content: str) -> ByteMachine:
+    return ByteMachine(content)
+
+
 def machine(path: str) -> ByteMachine:
-    return ByteMachine(path)
+    with open(path, encoding="utf-8") as file:
+        return machine_of(file.read())
 
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """Per document: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    `tokenizer` is the path of a byte-level pair encoding's .json file, there on every worker. A null or
-    empty text has no bytes and no tokens; other columns of docs are ignored; repeated rows stay repeated.
+    `tokenizer` is the path of a byte-level pair encoding's .json file, read here; its content (some megabytes, which
+    its vocabulary bounds) goes to the workers. Raises on settings that the machines do not follow. A null or empty text has no bytes and no tokens; other columns of docs are ignored; repeated rows stay repeated.
     One pass over the rows, no shuffle; a worker holds one block of texts and the bounded machines.
     """
 
+    machine(tokenizer)  # settings are checked before any task runs
+    with open(tokenizer, encoding="utf-8") as file:
+        content = docs.sparkSession.sparkContext.broadcast(file.read())
+
     def work(texts: list[str]) -> list[list]:
-        n = machine(tokenizer).counts(texts)
+        n = machine_of(content.value).counts(texts)
         return [[len(t.encode()) for t in texts], n, [x > limit for x in n]]
 
     return per_text(docs, [key], text, "n_bytes bigint, n_tokens bigint, over_limit boolean", work)

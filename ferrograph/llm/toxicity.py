@@ -27,7 +27,7 @@ from .shared import blocks, per_text
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Lengths of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
-BEGINNINGS = (4, 6)
+BEGINNINGS = (5,)
 #: A term's weight is halved where its z between the classes is this (rare and even terms weigh little, none is left out).
 HALF_Z = 10.0
 FOLDS = 4
@@ -276,7 +276,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     return vocabulary, fitted(names, ys, rows, idf, prior, k)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 2500, k: int = 31) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, examples: int = 1200, k: int = 31) -> DataFrame:
     """Per document: key, score (P(label 1), also for null and empty texts), predicted (1 if score >= threshold), evidence.
 
     `labels` holds the rows to learn from; unlabelled and repeated ids are no trouble (a repeated id counts once, with

@@ -18,7 +18,7 @@ from ferrograph.llm.mixing import mix
 from ferrograph.llm.pii import personal_data
 from ferrograph.llm.quality import quality_rules
 from ferrograph.llm.substrings import repeated_substrings
-from ferrograph.llm.tokens import machine, token_counts
+from ferrograph.llm.tokens import machine, machine_of, token_counts
 from ferrograph.llm import toxicity as toxicity_module
 from ferrograph.llm.toxicity import toxicity
 
@@ -78,6 +78,43 @@ def test_hard_rows_and_empty_tables(spark, name):
     assert empty.count() == 0 and empty.columns == out.columns
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b", "en", "s", 777, 1, 2, "x"), (2, "c d", "en", "s", 778, 3, 4, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, mix_n int, mix_epoch int, mix_quota int, domain string")
+    out = mix(docs, {}, F.lit("d"), share=1.0, epochs=1)
+    assert out.columns == [*docs.columns, "mix_epoch_", "mix_quota_"]
+    assert sorted(map(tuple, out.collect())) == [(*r, 1, 4) for r in rows]
+
+
+def test_settings_of_tokenizers_that_are_not_followed(tmp_path):
+    import json
+
+    made = json.loads(open(tokenizer()).read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": made["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError, match="not supported"):
+            machine_of(json.dumps(made | change))
+
+
+@pytest.mark.parametrize("name", ["substrings", "lines", "decontaminate", "pii", "tokens", "toxicity"])
+def test_texts_longer_than_two_blocks(spark, name):
+    """A text of 2.1 million characters is a block by itself, and counts as its parts would."""
+    r = random.Random(12)
+    part = "\n".join(" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(12)) for _ in range(3500))
+    long = "\n".join(f"{part[i:]}{part[:i]}" for i in range(0, 12_000, 1200))[:2_100_000]
+    docs = documents(spark, ["short", long + " x@y.zz", "", "short"])
+    assert len(docs.collect()[1]["text"]) > 2_000_000
+    out = {x["doc_id"]: x for x in OPERATORS[name](spark, docs).collect()}
+    wanted = {
+        "substrings": lambda x: x["n_bytes"] == len(long) + 7 and x["n_removed"] > 1_500_000,
+        "lines": lambda x: x["n_lines_removed"] > 10_000,
+        "decontaminate": lambda x: x["n_words"] == len(re.findall("[0-9a-z]+", long)) + 3,
+        "pii": lambda x: x["spans"] == f"email:{len(long) + 1}:{len(long) + 7}",
+        "tokens": lambda x: x["n_bytes"] == len(long) + 7 and x["n_tokens"] > len(long) / 6,
+        "toxicity": lambda x: 0 <= x["score"] <= 1,
+    }
+    assert len(out) == 4 and wanted[name](out[1])
+
+
 def test_mix_of_hard_rows(spark):
     out = mix(hard(spark), {}, F.lit(None).cast("string"), share=1.0, epochs=1)
     assert {x["doc_id"] for x in out.collect()} == {3, 4, 6, None}
@@ -101,7 +138,7 @@ def test_toxicity_from_text_to_score_against_brute_force(spark):
     def counted(t):
         found = {}
         for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
-            for term in [w, *(w[:k] + "~" for k in (4, 6) if len(w) > k)]:
+            for term in [w, *(w[:k] + "~" for k in (5,) if len(w) > k)]:
                 found[term] = found.get(term, 0) + 1
         return found
 
@@ -151,18 +188,52 @@ def test_toxicity_learns_words(spark):
     assert sum(out[i] == int(i % 5 == 0) for i in range(1, 400, 2)) >= 195
 
 
+SAID = "A long paragraph of text that says something, and ends here."
+
+
 def test_pages_held_out():
     weights = html_text.trained()
     pages = html_text.labelled_pages(200, 77)
     assert sum(html_text.main_text(p, weights) == t for p, t in pages) >= 180
 
 
+def test_marginals_against_enumeration():
+    r, weights = random.Random(4), html_text.trained()
+    for page, _ in html_text.labelled_pages(60, 5):
+        nodes = html_text.parse(page)[: r.randint(2, 9)]
+        score = {}
+        for code in range(1 << (len(nodes) - 1)):
+            label = [0, *(code >> k & 1 for k in range(len(nodes) - 1))]
+            score[tuple(label)] = math.exp(
+                sum(label[i] * sum(weights.get(f, 0.0) for f in html_text.features(x)) + weights.get(f"pair {html_text.pair(nodes[x.parent], x)} {label[x.parent]}{label[i]}", 0.0) for i, x in enumerate(nodes) if i)
+            )
+        z = sum(score.values())
+        assert html_text.marginals(nodes, weights)[0] == pytest.approx([sum(s for label, s in score.items() if label[i]) / z for i in range(len(nodes))], abs=1e-9)
+
+
+def test_parsing_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "</p>" * n, "<svg>" * n, "<ul>" + "<div>" * n + "<li></li>" * n, "<table><tr>" + "<div>" * n + "<td>" * n):
+            html_text.parse(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * seconds(4000)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
         ("", ""),
         ("<p>Only a piece of text that is long enough to be read as such, &amp; ends.", "Only a piece of text that is long enough to be read as such, & ends."),
         ("<script>var a='</p>';</script><article><h1>A head</h1><p>One  two<br>three.</p><p>A &lt; b</article><nav><a href=x>Menu</a></nav>", "A head One two three. A < b"),
+        (f"<nav><a href=x>Home</a></nav><article><h1>A head</h1><p>{SAID}</p></article><section><h2>Comments</h2><div><p>I liked it a lot, thanks.</p></div></section>", f"A head {SAID}"),
+        (f"<div class=cc-window><p>We use cookies to improve this site.</p><button>OK</button></div><article><p>{SAID}</p></article>", SAID),
+        (f"<div class=seitenleiste><p>Some other text that is found beside it.</p></div><div class=artikel><p>{SAID}</p></div>", SAID),
+        (f"<article><p>{SAID}</p><div hidden><p>Not shown at all, nobody sees it.</p></div></article>", SAID),
     ],
 )
 def test_pages_by_hand(page, text):
