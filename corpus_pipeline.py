@@ -1,7 +1,9 @@
 """A corpus pipeline: documents in, the mixed training set out, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir), works on all its predecessor kept, and is written before the next
-reads it. All stages but the last return the columns of documents.
+reads it. All stages but the last return the columns of documents. Any column may be null and rows may repeat: quality
+and benchmark judge each row by its own text, whatever its id; lines and near go by ids, so rows of one id are one
+document there, and rows without an id are compared with none and stay.
 """
 
 from __future__ import annotations
@@ -16,36 +18,42 @@ from ferrograph.llm.lines import dedup_lines
 from ferrograph.llm.minhash import near_duplicates
 from ferrograph.llm.mixing import WEIGHTS, mix, source_domain
 from ferrograph.llm.quality import quality_rules
-from ferrograph.llm.shared import shared_dir
-
-
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id a verdict keeps. A merge join at every size: verdicts grow with the documents."""
-    return docs.join(verdicts.where("kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(docs.columns)
+from ferrograph.llm.shared import free_name, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep."""
-    return _kept(docs, quality_rules(docs))
+    """Documents that the rules and their host's verdict keep.
+
+    A verdict is joined back by id, source and a hash of the text, nulls equal; a merge join at every size, as verdicts
+    grow with the documents. An empty table stays empty.
+    """
+    mark = F.struct("doc_id", "source", F.xxhash64("text").alias("hash"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"), "text", "source")
+    kept = quality_rules(marked, key="mark").where("kept").select("mark").distinct()
+    return marked.join(kept.hint("merge"), "mark", "left_semi").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of lines, n_chars brought up to date; those with nothing left go."""
+    """Documents without repeated runs of lines, n_chars brought up to date; those with nothing left go, null and empty texts stay."""
+    removed = free_name(docs.columns, "n_lines_removed")
     found = dedup_lines(docs)
-    changed = F.col("n_lines_removed") > 0
+    changed = F.col(removed) > 0
     found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return found.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
-    return _kept(docs, near_duplicates(docs))
+    """One document of each group of near duplicates, the one of the smallest doc_id; texts without words and rows without an id stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, found.withColumn("kept", ~F.col("contaminated")))
+    """Documents that hold no window of a benchmark item; rows travel with their verdict, so nothing is joined back."""
+    row, mark = free_name(docs.columns, "row"), free_name(docs.columns, "mark")
+    rows = docs.select(F.struct(*docs.columns).alias(row), F.col("doc_id").alias(mark), "text")
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=mark, keep=(row,))
+    return found.where("not contaminated").select(f"{row}.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
