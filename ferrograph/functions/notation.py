@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .scalars import tanimoto
 
-# Shapes of identifiers; spellings of statuses; the units a formula may not be mistaken for.
+# Shapes of identifiers; spellings of statuses; the element symbols that formulas are made of.
 KEY_27 = r"^[A-Z]{14}-[A-Z]{10}-[A-Z]$"
 ALIASES = {"done": "completed", "complete": "completed", "ok": "completed", "finished": "completed", "fail": "failed", "error": "failed", "view": "started", "purchase": "completed"}
-ELEMENTS = "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Fe Cu Zn Br Ag Sn I Au Hg Pb Pd Pt Ni".split()
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi"
+).split()
 
 
 def normal_name(x: Column) -> Column:
@@ -29,10 +32,10 @@ def is_reaction(x: Column) -> Column:
 
 
 def is_formula(x: Column) -> Column:
-    """Only element symbols with optional counts, and at least two of them or a count."""
-    parts = F.regexp_extract_all(x, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(1))
-    known = F.forall(parts, lambda p: p.isin(*ELEMENTS))
-    return x.rlike("^([A-Z][a-z]?[0-9]*)+$") & known & ((F.size(parts) > 1) | x.rlike("[0-9]"))
+    """Only element symbols with optional counts, a charge's sign at the end apart: at least two symbols, and a count."""
+    plain = F.regexp_replace(x, "[+-]$", "")
+    parts = F.regexp_extract_all(plain, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(1))
+    return plain.rlike("^([A-Z][a-z]?[0-9]*)+$") & F.forall(parts, lambda p: p.isin(*ELEMENTS)) & (F.size(parts) > 1) & plain.rlike("[0-9]")
 
 
 def from_alias(x: Column) -> Column:
@@ -74,6 +77,12 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return tanimoto(parts(a), parts(b))
 
 
+def participants(left: Column, right: Column) -> Column:
+    """Two lists as a+b=>c, none for an empty one."""
+    side = lambda x: F.coalesce(F.nullif(F.array_join(x, "+"), F.lit("")), F.lit("none"))
+    return F.concat(side(left), F.lit("=>"), side(right))
+
+
 def numeric_order(x: Column) -> list[Column]:
     """Sort keys that put lane2 before lane10."""
     return [F.regexp_replace(x, "[0-9]+$", ""), F.nullif(F.regexp_extract(x, "([0-9]+)$", 1), F.lit("")).cast("bigint")]

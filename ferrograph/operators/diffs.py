@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 
 def rows_diff(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -26,10 +27,31 @@ def revisions_diff(rows: DataFrame, parent: list[str], order: list[str], key: st
     return out.withColumn("delta", F.round(number, 4))
 
 
+def flattened(record: Column, kind: DataType, prefix: str = "") -> Column:
+    """A map of a nested record's fields as text, inner ones under their record's name and a dot; absent ones are left out."""
+    leaves: list[Column] = []
+
+    def walk(column: Column, kind: DataType, name: str) -> None:
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                walk(column.getField(f.name), f.dataType, f"{name}.{f.name}" if name else f.name)
+        else:
+            leaves.append(F.when(column.isNotNull(), F.struct(F.lit(name).alias("key"), column.cast("string").alias("value"))))
+
+    walk(record, kind, prefix)
+    return F.map_from_entries(F.array_compact(F.array(*leaves)))
+
+
+def map_changes(a: Column, b: Column) -> Column:
+    """(field, before, after) for the keys of two maps whose values differ, in order; an absent key is null."""
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    every = F.transform(keys, lambda k: F.struct(k.alias("field"), F.element_at(a, k).alias("before"), F.element_at(b, k).alias("after")))
+    return F.filter(every, lambda x: ~x["before"].eqNullSafe(x["after"]))
+
+
 def map_diff(a: Column, b: Column) -> Column:
     """Keys of two maps whose values differ, sorted and joined by +."""
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    return F.array_join(F.filter(keys, lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k))), "+")
+    return F.array_join(F.transform(map_changes(a, b), lambda x: x["field"]), "+")
 
 
 def correction_patterns(changes: DataFrame, family: str, field: str, old: str, new: str, event: str, use: str) -> DataFrame:

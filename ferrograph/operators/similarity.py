@@ -12,19 +12,6 @@ from ..tables import stash
 from .graphs import components
 
 
-def nearest(rows: DataFrame, vector: list[float] | None, metric: str, k: int, where: list[Column] = (), vector_column: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k rows nearest a query vector, with `distance`, after all conditions; ties by key; none without a vector. No shuffle: a top-k a task."""
-    from ..functions.scalars import distance
-
-    if vector is None:
-        rows, vector = rows.where("false"), [0.0]
-    for condition in where:
-        rows = rows.where(condition)
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    found = rows.withColumn("distance", F.round(distance(metric, F.col(vector_column), query), 9))
-    return found.orderBy("distance", key).limit(k)
-
-
 def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024, metric: str | None = None, where: list[Column] = ()) -> DataFrame:
     """For each query row (key, vector) its k rows of greatest cosine among rows, itself left out: key, other, cosine, place.
 
@@ -90,19 +77,25 @@ def tanimoto_links(sets: DataFrame, key: str, bits: str, percent: int) -> DataFr
     """Per item: key, class_id (smallest key with the same set), n_links: other items with 100 * shared >= percent * all bits.
 
     Equal sets are folded to classes first. Classes meet through prefixes: with bits ordered rarest first, two sets that
-    reach the threshold share one of the first size - ceil(percent / 100 * size) + 1. Empty sets have no links.
+    reach the threshold share one of the first size - ceil(percent / 100 * size) + 1. A pair goes on only if the sizes, and
+    what is left of both sets behind the places where they meet, allow it. Bits travel as numbers. Empty sets have no links.
     """
-    items = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(bits)).alias("s"))
-    classes = items.groupBy("s").agg(F.min("id").alias("c"), F.count("*").alias("n"))
+    items = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(bits, lambda b: F.xxhash64(b)))).alias("s"))
+    classes = stash(items.groupBy("s").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
     full = classes.where(F.size("s") > 0)
     spread = full.select("c", F.explode("s").alias("bit"))
     rare = spread.groupBy("bit").agg(F.count("*").alias("df"))
     ordered = spread.join(rare, "bit").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "bit"))).alias("o"))
     size = F.size("o")
-    heads = ordered.select("c", F.explode(F.slice("o", F.lit(1), size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1)).alias("h")).select("c", F.col("h.bit").alias("bit"))
-    met = heads.join(heads.withColumnRenamed("c", "d"), "bit").where("c < d").select("c", "d").distinct()
-    pair = met.join(full.select("c", F.col("s").alias("x"), F.col("n").alias("n_c")), "c").join(full.select(F.col("c").alias("d"), F.col("s").alias("y"), F.col("n").alias("n_d")), "d")
-    linked = pair.where(F.lit(100) * F.size(F.array_intersect("x", "y")) >= F.lit(percent) * F.size(F.array_union("x", "y")))
+    heads = ordered.select("c", size.alias("size"), F.posexplode(F.slice("o", F.lit(1), size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1)).alias("i", "h")).select("c", "size", "i", F.col("h.bit").alias("bit"))
+    other = heads.select(F.col("c").alias("d"), F.col("size").alias("size_d"), F.col("i").alias("j"), "bit")
+    # at a first meeting at places i and j at most 1 + min(size - i, size_d - j) - 1 bits are shared
+    most = F.least(F.col("size") - F.col("i"), F.col("size_d") - F.col("j"))
+    met = heads.join(other, "bit").where(f"c < d and 100 * least(size, size_d) >= {percent} * greatest(size, size_d)")
+    met = met.groupBy("c", "d").agg(F.max(most).alias("most"), F.first("size").alias("size"), F.first("size_d").alias("size_d")).where(f"100 * most >= {percent} * (size + size_d - most)")
+    pair = met.select("c", "d").join(full.select("c", F.col("s").alias("x"), F.col("n").alias("n_c")), "c").join(full.select(F.col("c").alias("d"), F.col("s").alias("y"), F.col("n").alias("n_d")), "d")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = pair.withColumn("shared", shared).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("shared")))
     counts = linked.select("c", F.col("n_d").alias("m")).union(linked.select("d", "n_c")).groupBy("c").agg(F.sum("m").alias("m"))
     known = classes.join(counts, "c", "left").select("s", "c", (F.coalesce("m", F.lit(0)) + F.when(F.size("s") > 0, F.col("n") - 1).otherwise(0)).cast("bigint").alias("n_links"))
     return items.join(known, "s").select(F.col("id").alias(key), F.col("c").alias("class_id"), "n_links")
@@ -145,28 +138,12 @@ def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     member = components(edges)
     inside = edges.join(member, edges["a"] == member["node"]).select("component", "a", "b", "score")
     ends = inside.select("component", F.col("a").alias("node"), "score").union(inside.select("component", "b", "score"))
-    degree = ends.groupBy("component", "node").agg(F.count("*").alias("d"), F.round(F.sum("score"), 6).alias("s"))
+    degree = ends.groupBy("component", "node").agg(F.count("*").alias("d"), F.sum(F.col("score").cast("decimal(18,6)")).alias("s"))
     best = degree.groupBy("component").agg(F.count("*").alias("n_members"), (-F.max(F.struct("d", "s", (-F.col("node")).alias("m")))["m"]).alias("representative"))
-    stats = inside.groupBy("component").agg(F.count("*").alias("n_edges"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("min_score"))
+    stats = inside.groupBy("component").agg(F.count("*").alias("n_edges"), F.round(F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("*"), 9).alias("mean_score"), F.min("score").alias("min_score"))
     return best.join(stats, "component").where(F.col("n_members") >= least).select(F.col("component").alias("cluster"), "n_members", "n_edges", "mean_score", "min_score", "representative")
 
 
-def neighbour_scores(rows: DataFrame, key: str, vector: str, label: str, reach: int) -> DataFrame:
-    """Component scores (a, b, component, score) of rows at most `reach` keys apart: embedding, fingerprint (sign bits), semantic."""
-    from ..functions.scalars import cosine, sign_bits
-
-    one = rows.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.col(label).alias("la"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")).withColumn("b", F.col("a") + F.col("k"))
-    both = one.join(rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.col(label).alias("lb")), "b")
-    parts = F.array_compact(
-        F.array(
-            F.struct(F.lit("embedding").alias("component"), F.round(cosine(F.col("va"), F.col("vb")), 9).alias("score")),
-            F.struct(F.lit("fingerprint").alias("component"), F.round(tanimoto(sign_bits(F.col("va")), sign_bits(F.col("vb"))), 9).alias("score")),
-            F.when(F.col("la") == F.col("lb"), F.struct(F.lit("semantic").alias("component"), F.lit(0.95).alias("score"))),
-        )
-    )
-    return both.select("a", "b", F.explode(parts).alias("p")).select("a", "b", "p.component", "p.score")
-
-
 def all_scores(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
     """Component scores (a, b, component, score) of all pairs of rows, however far apart, whose "hybrid" score is `least` or more.
 

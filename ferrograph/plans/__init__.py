@@ -1,6 +1,6 @@
 """The operators bound to the supplied tables."""
 
-from . import graphs, lookups, notations, ordered, similarity, steps, streams, textual, written  # noqa: F401
+from . import clusters, graphs, links, lookups, notations, ordered, rollups, similarity, steps, streams, textual, written  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -38,23 +38,10 @@ def affected(spark, sf_dir):
     return graphs.reachable(edges, spark.createDataFrame([(5,)], "node bigint"))
 
 
-@query("""
-with recursive e as (select distinct l_orderkey as a, 1000000000 + l_partkey as b from lineitem where l_quantity >= 49),
-w as (select a as u, b as v from e union select b, a from e),
-r as (select u as node, u as low from w union select w.v, r.low from r join w on w.u = r.node and r.low < 1000000000)
-select node, min(low) as component from r group by 1""")
-def components(spark, sf_dir):
-    """Orders and parts linked by large line items (components_all: by any), as connected components."""
-    return linked(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
-
-
 @query()
-def components_all(spark, sf_dir):
-    """Orders and parts linked by line items, as connected components; the recursion in SQL is too slow for all of them."""
-    return linked(table(spark, sf_dir, "lineitem"))
-
-
-def linked(lines):
+def components(spark, sf_dir):
+    """Orders and parts linked by line items, as connected components; recursion in SQL is too slow, so a test has a model."""
+    lines = table(spark, sf_dir, "lineitem")
     return graphs.components(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1000000000).alias("b")))
 
 
@@ -62,35 +49,20 @@ def linked(lines):
 def spanning_forest(spark, sf_dir):
     """The maximum spanning forest of the edges between all vectors; those under 0.35 are worked out only if the others do not span."""
     from ..operators.similarity import similar_edges
-    from .similarity import LEAST
 
     rows = table(spark, sf_dir, "embeddings")
     forest = lambda least: graphs.spanning_forest(similar_edges(rows, "vec_id", "embedding", "label", least).select("a", "b", F.col("score").alias("w")))
-    found = forest(LEAST)
+    found = forest(0.35)
     return found if found.count() >= rows.count() - 1 else forest(-1.0)
 
 
-DEPENDENTS = """
-with e as (select distinct c_nationkey as a, s_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey{where})
-select b as nation, count(*) as n_dependents, string_agg(a::varchar, ',' order by a) as dependents from e group by 1"""
-
-
-@query(DEPENDENTS.format(where=" where l_quantity >= 50 and l_discount = 0"))
+@query("""
+with e as (select distinct c_nationkey as a, s_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)
+select b as nation, count(*) as n_dependents, string_agg(a::varchar, ',' order by a) as dependents from e group by 1""")
 def dependents(spark, sf_dir):
-    """Reverse adjacency of large lines without discount: the nations whose customers buy from a nation's suppliers."""
-    return buyers(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount = 0"))
-
-
-@query(DEPENDENTS.format(where=""))
-def dependents_all(spark, sf_dir):
-    """Reverse adjacency over every line item."""
-    return buyers(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
-def buyers(spark, sf_dir, lines):
+    """Reverse adjacency over every line item: the nations whose customers buy from a nation's suppliers."""
     t = lambda n: table(spark, sf_dir, n)
-    lines = lines.select("l_orderkey", "l_suppkey")
-    orders, customers = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
+    lines, orders, customers = t("lineitem").select("l_orderkey", "l_suppkey"), t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
     met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     found = met.select(F.col("s_nationkey").alias("nation"), "c_nationkey").distinct().groupBy("nation").agg(F.array_sort(F.collect_set("c_nationkey")).alias("d"))
     return found.select("nation", F.size("d").cast("bigint").alias("n_dependents"), F.array_join(F.transform("d", lambda x: x.cast("string")), ",").alias("dependents"))

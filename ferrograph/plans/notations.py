@@ -22,15 +22,22 @@ def aliased_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", notation.from_alias(F.col("event_type")).alias("status"))
 
 
-FORMULA = "case p_partkey % 4 when 0 then 'C' || p_size || 'H' || (p_size + 2) when 1 then 'NaCl' when 2 then 'Xq' || p_size else 'O' end"
+#: What the made-up formulas are put together of: elements, what only looks like one, and nothing.
+SYMBOLS = [*notation.ELEMENTS, "Xq", "Jz", "e", "Q", ""]
+_n = len(SYMBOLS)
+MADE = f"list_extract({SYMBOLS!r}, (p_partkey % {_n} + 1)::int) || case when p_size % 3 > 0 then (p_size % 3)::varchar else '' end || list_extract({SYMBOLS!r}, (p_partkey * 7 % {_n} + 1)::int) || case when p_size % 4 > 1 then p_size::varchar else '' end || case when p_size % 5 = 0 then '+' else '' end"
+REACTIONS = ["A.B>>C", "A.B>>", "A>>B>>C", " >>C", "A.B"]
 
 
-@query(f"select p_partkey, f, p_partkey % 4 in (0, 1) as formula, case p_partkey % 3 when 0 then true else false end as reaction from (select *, {FORMULA} as f from part)")
+@query(f"""
+with t as (select p_partkey, {MADE} as f, list_extract({REACTIONS!r}, (p_partkey % 5 + 1)::int) as r from part)
+select p_partkey, f, regexp_matches(f, '^(?:(?:{"|".join(notation.ELEMENTS)})[0-9]*){{2,}}[+-]?$') and regexp_matches(f, '[0-9]') as formula, regexp_matches(r, '^[^>]*[^> ][^>]*>>[^>]*[^> ][^>]*$') as reaction from t""")
 def notation_checks(spark, sf_dir):
-    """Which of several made-up notations are formulas and reactions."""
-    k = F.col("p_partkey")
-    f = F.when(k % 4 == 0, F.concat(F.lit("C"), "p_size", F.lit("H"), F.col("p_size") + 2)).when(k % 4 == 1, "NaCl").when(k % 4 == 2, F.concat(F.lit("Xq"), "p_size")).otherwise("O")
-    r = F.when(k % 3 == 0, "A.B>>C").when(k % 3 == 1, "A.B>>").otherwise("A>>B>>C")
+    """Which of many made-up notations are formulas and reactions."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    symbol = lambda i: F.element_at(F.array(*map(F.lit, SYMBOLS)), (i % _n + 1).cast("int"))
+    f = F.concat(symbol(k), F.when(size % 3 > 0, (size % 3).cast("string")).otherwise(""), symbol(k * 7), F.when(size % 4 > 1, size.cast("string")).otherwise(""), F.when(size % 5 == 0, "+").otherwise(""))
+    r = F.element_at(F.array(*map(F.lit, REACTIONS)), (k % 5 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", f.alias("f"), notation.is_formula(f).alias("formula"), notation.is_reaction(r).alias("reaction"))
 
 
@@ -62,7 +69,10 @@ def numeric_ordering(spark, sf_dir):
     return top.select("name", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*notation.numeric_order(F.col("lane")), "name")).alias("place"))
 
 
-@query("select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then round(l_quantity / 60, 6) when 1 then l_quantity else l_quantity * 24 end as hours from lineitem")
+@query("""
+with t as (select l_orderkey, l_linenumber, 'stirred for ' || l_quantity::int || ' ' || (['min', 'h', 'd'])[(l_linenumber % 3 + 1)::int] || ' at rt' as said from lineitem),
+d as (select *, regexp_extract(said, '([0-9]+) (min|h|d)', 1)::double as n, regexp_extract(said, '([0-9]+) (min|h|d)', 2) as unit from t)
+select l_orderkey, l_linenumber, round(case unit when 'min' then n / 60 when 'h' then n when 'd' then n * 24 end, 6) as hours from d""")
 def durations(spark, sf_dir):
     unit = F.element_at(F.array(F.lit("min"), F.lit("h"), F.lit("d")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     said = F.concat(F.lit("stirred for "), F.col("l_quantity").cast("int"), F.lit(" "), unit, F.lit(" at rt"))
@@ -101,26 +111,15 @@ def minimal_set_status(spark, sf_dir):
     return out.select("c_custkey", "n_orders", "n_priorities", "finished", F.when(F.col("n_orders") == 0, "needs_author_input").when(F.col("p") > 0, "fixable_by_suggestion").otherwise("complete").alias("completeness"))
 
 
-RANKING = """
-with x as (select vec_id as id, 'local' as origin, label / 10.0::double as score, null::double as distance from embeddings where vec_id % 3 = 0 union all select vec_id, 'remote', null, label / 10.0::double from embeddings where vec_id % 3 {remote})
-select id, origin, round(coalesce(score, -distance, 0), 6) + 0.0 as rank from x order by coalesce(score, -distance, 0) desc, origin, id limit {n}"""
-
-
-@query(RANKING.format(remote="= 1", n=30))
+@query("""
+with x as (select vec_id as id, 'local' as origin, embedding[1]::double as score, null::double as distance from embeddings where label % 2 = 0 union all select vec_id, 'remote', null, abs(embedding[2]::double) from embeddings where label % 2 <> 0 union all select page_id, 'remote', null, null from pages)
+select id, origin, round(coalesce(score, -distance, 0), 6) + 0.0 as rank from x""")
 def hybrid_ranking(spark, sf_dir):
-    """Local and remote hits in one ranking: score, else minus distance; local first on ties. Ids of remainder 2 by 3 are out."""
-    return ranking(spark, sf_dir, F.col("vec_id") % 3 == 1).limit(30)
-
-
-@query(RANKING.format(remote="<> 0", n=1000000000))
-def hybrid_ranking_all(spark, sf_dir):
-    """hybrid_ranking with every vector, local or remote, ranked."""
-    return ranking(spark, sf_dir, F.col("vec_id") % 3 != 0)
-
-
-def ranking(spark, sf_dir, remote):
+    """Every local and remote hit in one ranking: score, else minus distance, else 0; local first on ties."""
     e = table(spark, sf_dir, "embeddings")
-    part = lambda held, origin, s, d: e.where(held).select(F.col("vec_id").alias("id"), F.lit(origin).alias("origin"), s.cast("double").alias("score"), d.cast("double").alias("distance"))
-    x = part(F.col("vec_id") % 3 == 0, "local", F.col("label") / 10, F.lit(None)).unionByName(part(remote, "remote", F.lit(None), F.col("label") / 10))
+    none = F.lit(None).cast("double")
+    hits = lambda rows, key, origin, s, d: rows.select(F.col(key).alias("id"), F.lit(origin).alias("origin"), s.cast("double").alias("score"), d.cast("double").alias("distance"))
+    x = hits(e.where("label % 2 = 0"), "vec_id", "local", F.col("embedding")[0], none).unionByName(hits(e.where("label % 2 <> 0"), "vec_id", "remote", none, F.abs(F.col("embedding")[1].cast("double"))))
+    x = x.unionByName(hits(table(spark, sf_dir, "pages"), "page_id", "remote", none, none))
     rank = F.coalesce("score", -F.col("distance"), F.lit(0.0))
     return x.orderBy(rank.desc(), "origin", "id").select("id", "origin", (F.round(rank, 6) + 0.0).alias("rank"))

@@ -18,40 +18,6 @@ DISTANCE = {
 }
 
 
-def first_vector(rows: DataFrame) -> list[float] | None:
-    row = rows.where("vec_id = 0").select("embedding").first()
-    return row and row["embedding"]
-
-
-def knn(spark: SparkSession, sf_dir: str, metric: str, where=()) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return similarity.nearest(rows, first_vector(rows), metric, 8, where).select("vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
-
-
-def knn_sql(metric: str, where: str = "") -> str:
-    return f"with q as (select embedding as v from embeddings where vec_id = 0) select vec_id, label, round(d, 6) + 0.0 as distance from (select vec_id, label, round({DISTANCE[metric]}, 9) as d from embeddings e, q {where} order by d, vec_id limit 8)"
-
-
-@query(knn_sql("cosine"))
-def knn_cosine(spark, sf_dir):
-    return knn(spark, sf_dir, "cosine")
-
-
-@query(knn_sql("l2"))
-def knn_l2(spark, sf_dir):
-    return knn(spark, sf_dir, "l2")
-
-
-@query(knn_sql("inner_product"))
-def knn_inner_product(spark, sf_dir):
-    return knn(spark, sf_dir, "inner_product")
-
-
-@query(knn_sql("cosine", "where label in (1, 2, 3) and vec_id <> 0"))
-def knn_filtered(spark, sf_dir):
-    return knn(spark, sf_dir, "cosine", [F.col("label").isin(1, 2, 3), F.col("vec_id") != 0])
-
-
 @query(f"""
 with p as (select a.vec_id, b.vec_id as other, round({COS.format(a='a.embedding', b='b.embedding')}, 9) as c
   from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
@@ -73,22 +39,6 @@ def embedding_backfill(spark, sf_dir):
     return docs.join(known, "doc_id", "left").select("doc_id", F.col("known").isNotNull().alias("has_embedding"), "n_chars")
 
 
-@query(f"""
-with q as (select embedding as v from embeddings where vec_id = 0),
-h as (select vec_id, label, round({DISTANCE['cosine']}, 9) as d from embeddings e, q order by d, vec_id limit 50)
-select h.vec_id, round(d, 6) + 0.0 as distance, lang, url,
-  concat_ws('+', case when lang is null or trim(lang) = '' then 'lang' end, case when url is null or trim(url) = '' then 'url' end) as missing,
-  not (lang is null or trim(lang) = '' or url is null or trim(url) = '') as citable
-from h left join documents on doc_id = vec_id left join pages on page_id = vec_id""")
-def retrieval_with_citations(spark, sf_dir):
-    """The nearest vectors with their documents and pages; hits that lack a field are not citable."""
-    rows = table(spark, sf_dir, "embeddings")
-    hits = similarity.nearest(rows, first_vector(rows), "cosine", 50).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("vec_id"), "url")
-    return chunks.citations(hits.join(docs, "vec_id", "left").join(pages, "vec_id", "left"), ["lang", "url"])
-
-
 def searches(spark: SparkSession, sf_dir: str, metric: str, k: int, where=()) -> DataFrame:
     """The k nearest of every row whose id is divisible by 20, itself left out."""
     rows = table(spark, sf_dir, "embeddings")
@@ -101,22 +51,22 @@ def searches_sql(metric: str, k: int, where: str = "true") -> str:
 
 
 @query(searches_sql("cosine", 8))
-def searches_cosine(spark, sf_dir):
+def knn_cosine(spark, sf_dir):
     return searches(spark, sf_dir, "cosine", 8)
 
 
 @query(searches_sql("l2", 8))
-def searches_l2(spark, sf_dir):
+def knn_l2(spark, sf_dir):
     return searches(spark, sf_dir, "l2", 8)
 
 
 @query(searches_sql("inner_product", 8))
-def searches_inner_product(spark, sf_dir):
+def knn_inner_product(spark, sf_dir):
     return searches(spark, sf_dir, "inner_product", 8)
 
 
 @query(searches_sql("cosine", 8, "label in (1, 2, 3)"))
-def searches_filtered(spark, sf_dir):
+def knn_filtered(spark, sf_dir):
     return searches(spark, sf_dir, "cosine", 8, [F.col("label").isin(1, 2, 3)])
 
 
@@ -126,8 +76,8 @@ select h.vec_id, other, distance, place, lang, url,
   concat_ws('+', case when lang is null or trim(lang) = '' then 'lang' end, case when url is null or trim(url) = '' then 'url' end) as missing,
   not (lang is null or trim(lang) = '' or url is null or trim(url) = '') as citable
 from h left join documents on doc_id = other left join pages on page_id = other""")
-def searches_with_citations(spark, sf_dir):
-    """retrieval_with_citations for every row whose id is divisible by 20."""
+def retrieval_with_citations(spark, sf_dir):
+    """The fifty nearest of every row whose id is divisible by 20, with their documents and pages; hits that lack a field are not citable."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), "lang")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("other"), "url")
     return chunks.citations(searches(spark, sf_dir, "cosine", 50).join(docs, "other", "left").join(pages, "other", "left"), ["lang", "url"])
@@ -168,64 +118,42 @@ def semantic_pairs(spark, sf_dir):
 @query("""
 with s as (select user_id, list_sort(list(distinct strftime(ts, '%j') || event_type)) as s from events group by 1),
 c as (select s, min(user_id) as c, count(*) as n from s group by 1),
-l as (select x.c, sum(y.n) as m from c x join c y on x.c <> y.c and 100 * len(list_intersect(x.s, y.s)) >= 70 * len(list_distinct(list_concat(x.s, y.s))) group by 1)
+l as (select x.c, sum(y.n) as m from c x join c y on x.c <> y.c and 100 * len(list_intersect(x.s, y.s)) >= 40 * len(list_distinct(list_concat(x.s, y.s))) group by 1)
 select user_id, c.c as class_id, (coalesce(m, 0) + n - 1)::bigint as n_links from s join c using (s) left join l using (c)""")
 def tanimoto_links(spark, sf_dir):
-    """Users by the set of their (day, event type) bits: class of equal sets, and number of users of Tanimoto 0.7 or more."""
-    bits = F.collect_set(F.concat(F.date_format("ts", "DDD"), "event_type"))
-    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(bits.alias("bits"))
-    return similarity.tanimoto_links(sets, "user_id", "bits", 70)
-
-
-@query()
-def tanimoto_links_40(spark, sf_dir):
-    """As tanimoto_links, with a Tanimoto of 0.4 or more; all pairs in SQL take too long, so a test has brute force."""
+    """Users by the set of their (day, event type) bits: class of equal sets, and number of users of Tanimoto 0.4 or more."""
     bits = F.collect_set(F.concat(F.date_format("ts", "DDD"), "event_type"))
     sets = table(spark, sf_dir, "events").groupBy("user_id").agg(bits.alias("bits"))
     return similarity.tanimoto_links(sets, "user_id", "bits", 40)
 
 
+#: The least score of an edge; those below are no candidates.
+LEAST = similarity.CANDIDATE
 HYBRID = f"""
-n as (select a.vec_id as a, b.vec_id as b, a.label as la, b.label as lb, a.embedding as va, b.embedding as vb from embeddings a join embeddings b on b.vec_id - a.vec_id between 1 and 3),
-bits as (select a, b, list_filter(range(64), lambda i: va[i + 1] > 0) as x, list_filter(range(64), lambda i: vb[i + 1] > 0) as y from n),
-e as (select n.a, n.b, round({COS.format(a='va', b='vb')}, 9) as emb, case when len(list_distinct(list_concat(x, y))) = 0 then 0 else round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) end as fp,
-  case when la = lb then 0.95::double end as sem from n join bits using (a, b)),
-h as (select a, b, round(coalesce(0.2 * sem, 0) + 0.3 * fp + 0.25 * emb + (1 - (case when sem is null then 0 else 0.2 end + 0.3 + 0.25)) * fp, 6) as score,
-  concat_ws('+', case when sem is not null then 'semantic' end, 'fingerprint', 'embedding') as basis from e)"""
+k as (select embedding as v, label as l, min(vec_id) as c from embeddings group by 1, 2),
+n as (select x.c as a, y.c as b, x.l as la, y.l as lb, x.v as va, y.v as vb from k x join k y on x.c < y.c union all select c, vec_id, l, l, v, v from k join embeddings on embedding = v and label = l and vec_id <> c),
+s as (select a, b, la = lb as same, round({COS.format(a='va', b='vb')}, 9) as emb, list_filter(range(64), lambda i: va[i + 1] > 0) as x, list_filter(range(64), lambda i: vb[i + 1] > 0) as y from n),
+f as (select a, b, same, emb, case when len(list_distinct(list_concat(x, y))) = 0 then 0 else round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) end as fp from s),
+h as (select a, b, round(case when same then 0.2 * 0.95 else 0 end + 0.3 * fp + 0.25 * emb + (1 - (case when same then 0.2 else 0 end + 0.3 + 0.25)) * fp, 6) as score,
+  concat_ws('+', case when same then 'semantic' end, 'fingerprint', 'embedding') as basis from f),
+g as (select * from h where score >= {LEAST})"""
 
 
-@query(f"with {HYBRID} select a, b, score, basis, true as computed, false as conflict, case when score >= 0.75 then 'strict' when score >= 0.55 then 'candidate' else 'none' end as class from h")
+@query(f"with {HYBRID} select a, b, score, basis, true as computed, false as conflict, case when score >= 0.75 then 'strict' else 'candidate' end as class from g")
 def hybrid_edges(spark, sf_dir):
-    """Edges between vectors at most 3 ids apart (similar_edges has all pairs), scored by cosine, sign bits, equal labels."""
-    return similarity.hybrid_edges(similarity.neighbour_scores(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 3))
+    """Candidate edges between all vectors, whatever their ids, scored by cosine, sign bits and equal labels; copies are linked to the first of their class."""
+    return similarity.similar_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", LEAST)
 
 
 @query(f"""
-with recursive {HYBRID}, g as (select a, b, score from h where score >= 0.35),
+with recursive {HYBRID},
 w as (select a as u, b as v from g union select b, a from g union select a, a from g union select b, b from g),
 r as (select u as node, u as low from w union select w.v, r.low from r join w on w.u = r.node),
 m as (select node, min(low) as c from r group by 1),
-d as (select c, node, count(*) as d, round(sum(score), 6) as s from (select a as node, score from g union all select b, score from g) join m using (node) group by 1, 2),
+d as (select c, node, count(*) as d, sum(score::decimal(18, 6)) as s from (select a as node, score from g union all select b, score from g) join m using (node) group by 1, 2),
 rep as (select c, count(*) as n_members, arg_max(node, (d, s, -node)) as representative from d group by 1)
-select rep.c as cluster, n_members, count(*) as n_edges, round(avg(score), 6) as mean_score, min(score) as min_score, representative
+select rep.c as cluster, n_members, count(*) as n_edges, round(sum(score::decimal(18, 6))::double / count(*), 9) as mean_score, min(score) as min_score, representative
 from rep join m using (c) join g on g.a = m.node group by all having n_members >= 2""")
 def semantic_groups(spark, sf_dir):
-    """Connected components of the edges of 0.35 or more between nearby ids (similar_groups: all), with a representative each."""
-    edges = hybrid_edges(spark, sf_dir).where("score >= 0.35")
-    return similarity.clusters(edges)
-
-
-#: The least score of an edge between any two vectors, that of semantic_groups.
-LEAST = 0.35
-
-
-@query()
-def similar_edges(spark, sf_dir):
-    """Edges of 0.35 or more between all vectors, whatever their ids; copies are linked to the first of their class."""
-    return similarity.similar_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", LEAST)
-
-
-@query()
-def similar_groups(spark, sf_dir):
-    """Connected components of similar_edges, with a representative each."""
-    return similarity.clusters(stash(similar_edges(spark, sf_dir), "edges"))
+    """Connected components of the hybrid edges, with a representative each."""
+    return similarity.clusters(stash(hybrid_edges(spark, sf_dir), "edges"))

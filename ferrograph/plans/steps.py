@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import plansteps
 from ..tables import table
 from .registry import query
-from .similarity import HYBRID, hybrid_edges, similar_edges
+from .similarity import HYBRID, hybrid_edges
 
 STEPS = "s as (select user_id, (event_id % 10)::int as step, bool_or(event_type = 'purchase') as done from events group by all)"
 
@@ -23,20 +23,13 @@ def ready_steps(spark, sf_dir):
     return plansteps.ready(steps, n.where("step >= k").select("step", (F.col("step") - F.col("k")).alias("needs")), "user_id", "step")
 
 
-@query(f"with {HYBRID} select h.a, h.b, x.label as cluster from h join embeddings x on x.vec_id = h.a join embeddings y on y.vec_id = h.b and x.label = y.label")
+@query(f"with {HYBRID} select g.a, g.b, x.label as cluster from g join embeddings x on x.vec_id = g.a join embeddings y on y.vec_id = g.b and x.label = y.label")
 def cluster_edges(spark, sf_dir):
-    """Edges between vectors of one label at most 3 ids apart (similar_cluster_edges has all)."""
+    """The hybrid edges between vectors of one label."""
     members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))
     return plansteps.inside(hybrid_edges(spark, sf_dir).select("a", "b"), members).select("a", "b", "cluster")
 
 
-@query()
-def similar_cluster_edges(spark, sf_dir):
-    """The similar_edges between vectors of one label."""
-    members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))
-    return plansteps.inside(similar_edges(spark, sf_dir).select("a", "b"), members).select("a", "b", "cluster")
-
-
 @query("""
 with m as (select p_partkey as node, unnest(['brand ' || p_brand, 'type ' || p_type, 'size ' || p_size]) as cluster from part), c as (select cluster, count(*) as n from m group by 1)
 select node, cluster, n from (select *, row_number() over (partition by node order by n desc, cluster) as p from m join c using (cluster)) where p = 1""")
