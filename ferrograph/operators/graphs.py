@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import stash
+from ..tables import drop, stash
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: smaller neighbours and the node itself are linked to the smallest
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        now = stash(small, name)
+        last, now = now, stash(small, name)
+        drop(last)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("d")).first()
         if got == seen and got["n"] == got["d"]:
             break
@@ -54,7 +55,8 @@ def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     now = stash(edges.select("a", "b").where("a is not null and b is not null").distinct(), "peel")
     n = now.count()
     for _ in range(rounds):
-        now = stash(now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peel")
+        last, now = now, stash(now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peel")
+        drop(last)
         left = now.count()
         if left == n:
             return now
@@ -87,7 +89,8 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
         chosen = took.select("a", "b", "w") if chosen is None else chosen.union(took.select("a", "b", "w"))
         into = components(took.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge")
         moved = open_.join(into.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(into.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left")
-        open_ = stash(moved.select("a", "b", "w", F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y"), "forest")
+        last, open_ = open_, stash(moved.select("a", "b", "w", F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y"), "forest")
+        drop(last)
         if open_.isEmpty():
             return chosen
     raise RuntimeError(f"more than {rounds} rounds")

@@ -30,11 +30,11 @@ def enclosing(points: DataFrame, ranges: DataFrame, scope: str, width: int) -> D
 def longest_prefix(rows: DataFrame, name: Column, rules: DataFrame, sep: str = ".") -> DataFrame:
     """rows with `kind` of the rule (prefix, kind) whose prefix, cut at separators, is the longest of their name's."""
     parts = F.split(name, f"[{sep}]")
-    tried = rows.withColumn("__id", F.monotonically_increasing_id()) if "__id" not in rows.columns else rows
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), sep))
-    found = F.aggregate(F.col("__rules"), F.lit(None).cast("string"), lambda best, r: F.when(F.array_contains(prefixes, r["prefix"]) & (best.isNull() | (F.length(r["prefix"]) > F.length(F.substring_index(best, "\n", 1)))), F.concat(r["prefix"], F.lit("\n"), r["kind"])).otherwise(best))
-    table = rules.agg(F.collect_list(F.struct("prefix", "kind")).alias("__rules"))
-    return tried.crossJoin(F.broadcast(table)).withColumn("kind", F.substring_index(found, "\n", -1)).drop("__rules", "__id")
+    # names are judged once each: a name's prefixes meet the rules by equality, and the longest that has one stays
+    tried = rows.select(name.alias("name"), F.explode(prefixes).alias("prefix")).distinct().join(rules, "prefix")
+    best = tried.groupBy("name").agg(F.max(F.struct(F.length("prefix").alias("n"), "kind")).alias("m")).select("name", F.col("m.kind").alias("kind"))
+    return rows.withColumn("name", name).join(best, "name", "left").drop("name")
 
 
 def unique_definition(names: DataFrame, definitions: DataFrame, name: str) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in `order`."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The row of each key that is greatest in `order`: a partial maximum, so a key of many rows is reduced before it is shuffled."""
+    best = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rows.columns).alias("row"))
+    return rows.groupBy(*keys).agg(F.max(best).alias("best")).select("best.row.*")
 
 
 def ranked(rows: DataFrame, series: str, value: str, order: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from .registry import query
 
 @query("select * exclude (n) from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1")
 def latest_per_key(spark, sf_dir):
-    return series.latest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return series.latest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
 
 
 @query("select o_orderkey, o_custkey, o_totalprice, (row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey))::int as place from orders")

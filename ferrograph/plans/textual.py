@@ -132,13 +132,14 @@ def inventory(spark, sf_dir):
 select 'documents::' || doc_id as chunk_id, 'documents' as kind, length(text) as n_chars, md5(text) as text_md5 from documents where trim(text) <> ''
 union all select 'benchmark::' || item_id, 'benchmark', length(text), md5(text) from benchmark where trim(text) <> ''
 union all select 'conversations::' || conv_id || '/' || turn, 'conversations', length(text), md5(text) from conversations where trim(text) <> ''
-union all select 'pages::' || page_id, 'pages', length(url), md5(url) from pages where trim(url) <> ''""")
+union all select 'pages::' || page_id, 'pages', length(t), md5(t) from (select page_id, trim(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]*>|[ \n\t]+', ' ', 'g')) as t from pages) where t <> ''""")
 def retrieval_chunks(spark, sf_dir):
+    """Texts of several tables as chunks; a page's text is its html without scripts, styles and marks."""
     t = lambda n: table(spark, sf_dir, n)
     col = F.col
     found = chunks.chunks([
         ("documents", t("documents"), col("doc_id"), col("text")), ("benchmark", t("benchmark"), col("item_id"), col("text")),
-        ("conversations", t("conversations"), F.concat_ws("/", "conv_id", "turn"), col("text")), ("pages", t("pages"), col("page_id"), col("url")),
+        ("conversations", t("conversations"), F.concat_ws("/", "conv_id", "turn"), col("text")), ("pages", t("pages"), col("page_id"), F.trim(F.regexp_replace("html", r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]*>|[ \n\t]+", " "))),
     ])
     return found.select("chunk_id", "kind", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 

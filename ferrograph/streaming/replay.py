@@ -17,14 +17,15 @@ def step_states(events: DataFrame, run: str, step: str, status: Column) -> DataF
     return events.groupBy(run, step).agg(F.max(rank).alias("rank"), F.count("*").alias("n_events"))
 
 
-def replay_files(spark: SparkSession, folder: str, pattern: str, run: str, step: Column, status: Column) -> DataFrame:
+def replay_files(spark: SparkSession, folder: str, pattern: str, run: str, step: Column, status: Column, at: str | None = None) -> DataFrame:
     """All files of a folder that match, read as a stream until none is left; the final states as a table.
 
-    State and results are in the shared folder, so a restarted query goes on where it stopped.
+    State and results are in a folder of their own for each call, so a lost executor costs tasks; another call begins anew,
+    unless it is given the folder (`at`) of one that stopped, whose state it goes on from.
     """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder).withColumn("step", step)
-    at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    at = at or f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     states = step_states(events, run, "step", status)
     write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/states")
     states.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
