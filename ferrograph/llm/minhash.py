@@ -189,9 +189,11 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
     Shingles are ordered by how many members hold one of their cell (a table of `cells` counts, whatever the input).
     Two sets of n and m shingles that are linked share one of the first n - ceil(n * percent / 100) + 1 of each, so a
     shingle's bucket holds those members only that have it so early: what most members share names no bucket unless
-    hardly anything else is in the set. In each round a bucket's members of other components are compared with its
-    centres, the least id of each of 1, 4, 16, ... parts by hash; centres then leave the bucket, links join components,
-    and buckets of one component are closed. Raises if buckets are open after `rounds`.
+    hardly anything else is in the set. A place in the order also bounds what two sets may share: sets of n and m shingles
+    that first meet at places i and j share min(n - i, m - j) at most, so a member leaves a bucket none of whose sets is
+    small enough, and a pair is compared only if that bound allows a link. In each round a bucket's members of other
+    components are compared with its centres, the least id of each of 1, 4, 16, ... parts by hash; centres then leave the
+    bucket, links join components, and buckets of one component are closed. Raises if buckets are open after `rounds`.
     """
     whole = members.join(sets.hint("merge"), "id").select("id", "c", "s")
 
@@ -210,30 +212,36 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
 
     def early(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for i, s in enumerate(batch.column(2)):
                 tokens = np.frombuffer(s.as_py(), np.uint64)
                 held = shared.value[(tokens % np.uint64(cells)).astype(np.int64)]
                 kept = np.lexsort((tokens, held))[: len(tokens) - -(-len(tokens) * percent // 100) + 1]
-                kept = kept[held[kept] > 1]  # one holder has no partner
-                for column, value in zip(rows, (tokens[kept].view(np.int64), *(np.full(len(kept), x) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(tokens)))), strict=True):
+                place = np.flatnonzero(held[kept] > 1)  # one holder has no partner
+                kept = kept[place]
+                for column, value in zip(rows, (tokens[kept].view(np.int64), *(np.full(len(kept), x) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(tokens))), len(tokens) - place), strict=True):
                     column.append(value)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["token", "id", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["token", "id", "c", "n", "rest"])
 
-    open_ = stash(whole.mapInArrow(early, "token bigint, id bigint, c bigint, n bigint"), "rare")
+    # rest: the shingles of a set from this one on
+    open_ = stash(whole.mapInArrow(early, "token bigint, id bigint, c bigint, n bigint, rest bigint"), "rare")
     links = None
     for k in range(rounds):
-        several = open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        left = stash(open_.join(several.hint("merge"), "token", "left_semi"), "left")
+        several = stash(open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least"), "several")
+        left = open_.join(several.hint("merge"), "token").where(f"100 * rest >= {percent} * (n + greatest(least, rest) - rest)").drop("least")
+        left = stash(left, "left")
+        drop(several)
         drop(open_)
         if left.isEmpty():
             drop(left)
             return links if links is not None else members.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
         part = F.pmod(F.xxhash64("id"), F.lit(4**k))
-        centres = stash(left.groupBy("token", part).agg(F.min(F.struct("id", "c", "n")).alias("hub")).select("token", "hub"), "centres")
+        centres = stash(left.groupBy("token", part).agg(F.min(F.struct("id", "c", "n", "rest")).alias("hub")).select("token", "hub"), "centres")
         met = left.join(centres.hint("merge"), "token").where(f"id <> hub.id and c <> hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-        pairs = stash(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "rarepairs")
+        met = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), (F.col("n") + F.col("hub.n")).alias("both"), F.least("rest", "hub.rest").alias("most"))
+        met = met.groupBy("a", "b").agg(F.max("most").alias("most"), F.max("both").alias("both")).where(f"100 * most >= {percent} * (both - most)")
+        pairs = stash(met.select("a", "b"), "rarepairs")
         found = stash(confirmed(pairs, sets).where(f"100 * shared >= {percent} * total").select("a", "b"), "rarelinks")
         links = found if links is None else links.union(found)
         used = centres.select("token", F.col("hub.id").alias("id"))
@@ -242,7 +250,7 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
             label = left.select("id", "c").distinct()
             edges = found.join(label.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(label.withColumnsRenamed({"id": "b", "c": "cb"}), "b")
             into = stash(components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merged"), "into")
-            open_ = open_.join(into.withColumnsRenamed({"node": "c", "component": "now"}).hint("merge"), "c", "left").select("token", "id", F.coalesce("now", "c").alias("c"), "n")
+            open_ = open_.join(into.withColumnsRenamed({"node": "c", "component": "now"}).hint("merge"), "c", "left").select("token", "id", F.coalesce("now", "c").alias("c"), "n", "rest")
         open_ = stash(open_, "rare")
         drop(left, centres, pairs)
     raise RuntimeError(f"near duplicates are not settled after {rounds} rounds")
