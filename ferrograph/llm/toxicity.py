@@ -12,13 +12,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +23,8 @@ from .shared import blocks, per_text
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-#: Lengths of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
-BEGINNINGS = (5,)
+#: Length of the beginnings of longer words that are terms beside the words, so that inflected forms meet.
+BEGINNING = 5
 #: A term's weight is halved where its z between the classes is this (rare and even terms weigh little, none is left out).
 HALF_Z = 10.0
 FOLDS = 4
@@ -35,37 +32,81 @@ FOLDS = 4
 ESSENTIAL = 0.99
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
+#: The odd multiplier of the hash of a word, what tells beginnings from words, and the mixing constants.
+BASE, BEGUN, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+@cache
+def letters() -> np.ndarray:
+    """Which code points are in words."""
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    table = np.zeros(0x110000, bool)
+    for m in WORD.finditer(every):
+        table[m.start() : m.end()] = True
+    return table
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each."""
+    found = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        found.append(np.multiply.accumulate(p))
+    return found[0], found[1]
+
+
+def hashed_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the 64-bit hash of every word, and of the beginning of every longer word; the words of a block at once, by prefix sums."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer(("\0".join(low) + "\0").encode("utf-32-le"), np.uint32)
+    inside = np.concatenate([[False], letters()[codes], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[0::2], edges[1::2]
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), start, side="right")
+    up, down = powers(1 << int(len(codes)).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
+
+    def mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        x = (sums[last] - sums[first]) * down[first]
+        x = (x ^ (x >> np.uint64(30))) * MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * MIX[1]
+        return x ^ (x >> np.uint64(31))
+
+    longer = end - start > BEGINNING
+    return np.concatenate([owner, owner[longer]]), np.concatenate([mixed(start, end), mixed(start[longer], start[longer] + BEGINNING) ^ BEGUN])
 
 
 class Terms:
     """Texts as (terms, counts); a term is its 64-bit hash, or its place in `vocabulary` (sorted), others left out."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
-        self.at = None if vocabulary is None else {h: i for i, h in enumerate(vocabulary.tolist())}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        terms = tuple(map(xxhash.xxh3_64_intdigest, terms_of(word)))
-        self.known[word] = terms = terms if self.at is None else tuple(self.at[t] for t in terms if t in self.at)
-        return terms
-
-    def lists(self, words: Iterable[str]) -> list[tuple[int, ...]]:
-        known = self.known.get
-        return [self.of_word(w) if (t := known(w)) is None else t for w in words]
+        self.vocabulary = vocabulary
+
+    def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of each distinct term of each text, text after text."""
+        owner, terms = hashed_terms(texts)
+        if self.vocabulary is None:
+            order = np.lexsort((terms, owner))
+            owner, terms = owner[order], terms[order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (terms[1:] != terms[:-1])])) if len(terms) else np.zeros(0, np.int64)
+            return owner[first], terms[first], np.diff(np.append(first, len(terms)))
+        size = max(1, len(self.vocabulary))
+        place = np.searchsorted(self.vocabulary, terms)
+        known = place < len(self.vocabulary)
+        known[known] = self.vocabulary[place[known]] == terms[known]
+        keys, counts = np.unique(owner[known] * size + place[known], return_counts=True)
+        return keys // size, keys % size, counts
+
+    def each(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of each text."""
+        owner, terms, counts = self.counted(texts)
+        cuts = np.searchsorted(owner, np.arange(1, len(texts)))
+        return list(zip(np.split(terms, cuts), np.split(counts, cuts), strict=True))
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(WORD.findall(text.lower()))
-        lists = self.lists(counts)
-        each = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, lists), np.int64, len(lists)))
-        terms, at = np.unique(np.fromiter(chain.from_iterable(lists), np.uint64 if self.at is None else np.int64, len(each)), return_inverse=True)
-        return terms, np.bincount(at, each, len(terms)).astype(np.int64)
-
-    def distinct(self, text: str) -> set[int]:
-        return set(chain.from_iterable(self.lists(set(WORD.findall(text.lower())))))
+        return self.each([text])[0]
 
 
 class Rows:
@@ -246,7 +287,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     def counted(batches):
         terms = Terms()
         for batch, whole in blocks(batches, 2):
-            found = [terms.of(t) for t in whole]
+            found = terms.each(whole)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
 
     sample = every.join(F.broadcast(few), "id").select("id", "y", "t").mapInArrow(counted, "id bigint, y int, terms array<bigint>, counts array<bigint>").toArrow().sort_by("id")
@@ -262,9 +303,7 @@ def build_index(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
         terms, found, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
         for _, whole in blocks(batches, 1):
             n += len(whole)
-            for t in whole:
-                had = terms.distinct(t)
-                found[np.fromiter(had, np.int64, len(had))] += 1
+            found += np.bincount(terms.counted(whole)[1], minlength=len(found))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["term", "n"])
 
@@ -292,7 +331,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         vocabulary, known = index.value
         if not readers:
             readers.append(Terms(vocabulary))
-        found = [known.score(*readers[0].of(t)) for t in texts]
+        found = [known.score(*t) for t in readers[0].each(texts)]
         return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
     return per_text(docs, [key], text, "score double, predicted int, evidence string", work)
