@@ -183,7 +183,7 @@ def open_members(spokes: DataFrame, judged: DataFrame, first: DataFrame, percent
     return members
 
 
-def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1 << 20, rounds: int = 40) -> DataFrame:
+def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1 << 20, rounds: int = 15) -> DataFrame:
     """Links (a, b) that join members (id, c) of different components c to the components that all their links make.
 
     Shingles are ordered by how many members hold one of their cell (a table of `cells` counts, whatever the input).
@@ -192,8 +192,9 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
     hardly anything else is in the set. A place in the order also bounds what two sets may share: sets of n and m shingles
     that first meet at places i and j share min(n - i, m - j) at most, so a member leaves a bucket none of whose sets is
     small enough, and a pair is compared only if that bound allows a link. In each round a bucket's members of other
-    components are compared with its centres, the least id of each of 1, 4, 16, ... parts by hash; centres then leave the
-    bucket, links join components, and buckets of one component are closed. Raises if buckets are open after `rounds`.
+    components are compared with its centres, the least id of each of 1, 16, 256, ... parts by hash; centres then leave the
+    bucket, links join components, and buckets of one component are closed. What is joined to a bucket's rows is written, so Spark broadcasts it where its
+    files are small. Raises if buckets are open after `rounds`.
     """
     whole = members.join(sets.hint("merge"), "id").select("id", "c", "s")
 
@@ -229,28 +230,28 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
     links = None
     for k in range(rounds):
         several = stash(open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least"), "several")
-        left = open_.join(several.hint("merge"), "token").where(f"100 * rest >= {percent} * (n + greatest(least, rest) - rest)").drop("least")
+        left = open_.join(several, "token").where(f"100 * rest >= {percent} * (n + greatest(least, rest) - rest)").drop("least")
         left = stash(left, "left")
         drop(several)
         drop(open_)
         if left.isEmpty():
             drop(left)
             return links if links is not None else members.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
-        part = F.pmod(F.xxhash64("id"), F.lit(4**k))
+        part = F.pmod(F.xxhash64("id"), F.lit(16**k))
         centres = stash(left.groupBy("token", part).agg(F.min(F.struct("id", "c", "n", "rest")).alias("hub")).select("token", "hub"), "centres")
-        met = left.join(centres.hint("merge"), "token").where(f"id <> hub.id and c <> hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        met = left.join(centres, "token").where(f"id <> hub.id and c <> hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
         met = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), (F.col("n") + F.col("hub.n")).alias("both"), F.least("rest", "hub.rest").alias("most"))
         met = met.groupBy("a", "b").agg(F.max("most").alias("most"), F.max("both").alias("both")).where(f"100 * most >= {percent} * (both - most)")
         pairs = stash(met.select("a", "b"), "rarepairs")
         found = stash(confirmed(pairs, sets).where(f"100 * shared >= {percent} * total").select("a", "b"), "rarelinks")
         links = found if links is None else links.union(found)
         used = centres.select("token", F.col("hub.id").alias("id"))
-        open_ = left.join(used.hint("merge"), ["token", "id"], "left_anti")
+        open_ = left.join(used, ["token", "id"], "left_anti")
         if not found.isEmpty():
             label = left.select("id", "c").distinct()
             edges = found.join(label.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(label.withColumnsRenamed({"id": "b", "c": "cb"}), "b")
             into = stash(components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merged"), "into")
-            open_ = open_.join(into.withColumnsRenamed({"node": "c", "component": "now"}).hint("merge"), "c", "left").select("token", "id", F.coalesce("now", "c").alias("c"), "n", "rest")
+            open_ = open_.join(into.withColumnsRenamed({"node": "c", "component": "now"}), "c", "left").select("token", "id", F.coalesce("now", "c").alias("c"), "n", "rest")
         open_ = stash(open_, "rare")
         drop(left, centres, pairs)
     raise RuntimeError(f"near duplicates are not settled after {rounds} rounds")
