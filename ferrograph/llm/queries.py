@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import compress, compress_sql
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .html_text import extract_text
 from .lines import dedup_lines
@@ -15,6 +16,7 @@ from .quality import QUALITY_SQL, quality_rules
 from .substrings import repeated_substrings
 from .tokens import token_counts
 from .toxicity import toxicity
+from .trie import crc_mod, placed, rebuilt, trie, trie_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +71,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c")
+    return trie(*rebuilt(*placed(table(spark, sf_dir, "conversations")), base=c - c % 5, heads=crc_mod(c, 9), longest=8))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_repeated_substrings, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_repeated_substrings, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts, op11_vector_codes, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op8_mix": mix_sql()}
+    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op8_mix": mix_sql(), "op11_vector_codes": compress_sql(), "op12_prefix_trie": trie_sql()}
