@@ -11,6 +11,7 @@ from .html_text import extract_text
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import WEIGHTS, mix, mix_sql, source_domain
+from .ngrams import ngram_groups, ngram_sql
 from .pii import personal_data
 from .quality import QUALITY_SQL, quality_rules
 from .substrings import repeated_substrings
@@ -80,9 +81,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(*placed(table(spark, sf_dir, "conversations")), base=c - c % 5, heads=crc_mod(c, 9), longest=8))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_repeated_substrings, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts, op11_vector_codes, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_repeated_substrings, op4_line_dedup, op5_quality_rules, op6_minhash, op7_decontaminate, op8_mix, op9_personal_data, op10_token_counts, op11_vector_codes, op12_prefix_trie, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op8_mix": mix_sql(), "op11_vector_codes": compress_sql(), "op12_prefix_trie": trie_sql()}
+    return {"op5_quality_rules": QUALITY_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op8_mix": mix_sql(), "op11_vector_codes": compress_sql(), "op12_prefix_trie": trie_sql(), "op13_ngram_join": ngram_sql()}
