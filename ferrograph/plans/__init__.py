@@ -1,6 +1,6 @@
 """The operators bound to the supplied tables."""
 
-from . import clusters, graphindex, graphs, links, lookups, notations, ordered, prose, rollups, similarity, steps, streams, textual, written  # noqa: F401
+from . import clusters, graphindex, graphs, links, lookups, mentions, notations, ordered, prose, rollups, similarity, steps, streams, textual, written  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
