@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import stash
-from .minhash import MIX, WordHashes, mixed, shingle_sets
+from .minhash import MIX, mixed
 from .shared import blocks, components, drop, release
 
 #: Cells of the table of token counts, whatever the input, and how many of them make a chunk.
 CELLS, CHUNK = 1 << 20, 1 << 12
 #: The seeds of the orders by hash.
 SEEDS = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+#: Rows of a bucket beyond which its token is dealt over several buckets by a salt, which the token's low byte holds (0: not dealt).
+SALTED, LOW = 50_000, 0xFF
+#: Ids up to which a list of them is broadcast to filter texts by; beyond, texts are joined with it.
+IDS = 1_000_000
 #: Rows up to which a table's hot key may be one task's work; beyond, what is joined to it is written, so that Spark may split it.
 SPLIT = 1_000_000
 
@@ -33,6 +37,54 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+#: A factor for each byte and each place in a word (more places are worked out when a word is longer), and the bytes that end words.
+FACTORS = mixed(np.arange(1, 4353, dtype=np.uint64) * MIX[0])
+BYTES, PLACES = FACTORS[:256], FACTORS[256:]
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a block (A-Z lower-cased, words end at ASCII white space), and how many each text has.
+
+    A word's hash is the sum of its bytes' factors, each times that of its place, so all bytes are worked on at once.
+    """
+    raw = [t.encode() for t in texts]
+    codes = np.frombuffer((b"\n".join(raw) + b"\n").lower(), np.uint8)
+    inside = np.flatnonzero(~BLANK[codes])
+    if not len(inside):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1] + 1]))
+    sizes = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    most = int(sizes.max())
+    factors = PLACES if most <= len(PLACES) else mixed(np.arange(257, most + 257, dtype=np.uint64) * MIX[0])
+    found = mixed(np.add.reduceat(BYTES[codes[inside]] * factors[place], first) ^ sizes.astype(np.uint64))
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return found, np.diff(np.searchsorted(inside[first], np.concatenate([[0], ends])))
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles of `size` words as sorted 64-bit hashes; shorter texts are one shingle, empty ones none.
+
+    All words of a block are hashed together; the shingles that cross from text to text are left out.
+    """
+    words, counts = word_hashes(texts)
+    whole = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for i in range(size):
+        whole = mixed(whole * MIX[0] + words[i : len(words) - size + 1 + i])
+    found = []
+    for n, end in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+        if n >= size:
+            one = np.sort(whole[end - n : end - size + 1])
+            found.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+        else:
+            total = np.full(min(n, 1), n, np.uint64)
+            for w in words[end - n : end]:
+                total = mixed(total * MIX[0] + w)
+            found.append(total)
+    return found
+
+
 def packed(df: DataFrame) -> DataFrame:
     """Rows with n and rest taken out of `size` (n << 32 | rest)."""
     return df.withColumn("n", F.shiftright("size", 32)).withColumn("rest", F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -42,14 +94,13 @@ def read(docs: DataFrame, size: int) -> DataFrame:
     """For documents (id, t): rows (id, n, sig), and each task's counts of cells in rows (chunk, at, counts); at is null where counts has the whole chunk."""
 
     def run(batches):
-        hashes, table = WordHashes(), np.zeros(CELLS, np.int32)
+        table = np.zeros(CELLS, np.int32)
         names = ["id", "n", "sig", "chunk", "at", "counts"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch, texts in blocks(batches, 1):
-            sets = shingle_sets(texts, size, hashes)
+            sets = shingle_sets(texts, size)
             if sets:
-                cells, held = np.unique((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), return_counts=True)
-                table[cells] += held.astype(np.int32)
+                table += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
             columns = [batch.column(0), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), *(pa.nulls(len(texts), t) for t in types[3:])], names)
         rows: list[tuple] = []
@@ -90,21 +141,31 @@ def cell_counts(chunks: DataFrame) -> np.ndarray:
     return table
 
 
-def first_tokens(tokens: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set's prefix, rarest first, less tokens that no other set can hold; and how many tokens the set has from each on."""
+def first_tokens(tokens: np.ndarray, table: np.ndarray, mean: float, percent: int, twin: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's prefix, rarest first, less tokens that no other set can hold; and how many tokens the set has from each on.
+
+    A token is named by its upper 56 bits. One held by many more sets than the mean cell is dealt over buckets: its low byte
+    is a salt, by the set's hash `twin`.
+    """
     held = table[(tokens % np.uint64(CELLS)).astype(np.int64)]
-    kept = np.lexsort((mixed(tokens ^ MIX[0]), held))[: prefix_length(len(tokens), percent)]
+    order = (np.minimum(held, (1 << 31) - 1).astype(np.uint64) << np.uint64(32)) | (tokens >> np.uint64(32))
+    n = prefix_length(len(tokens), percent)
+    kept = np.argpartition(order, n - 1)[:n]
+    kept = kept[np.argsort(order[kept])]
     place = np.flatnonzero(held[kept] > 1)
-    return tokens[kept[place]], len(tokens) - place
+    kept = kept[place]
+    salts = np.minimum((held[kept] - 2 * mean) // SALTED, LOW - 1).clip(0).astype(np.int64)
+    salt = np.where(salts > 0, 1 + twin % (salts + 1), 0).astype(np.uint64)
+    return (tokens[kept] & ~np.uint64(LOW)) | salt, len(tokens) - place
 
 
 def pieces(batches, most: int = 200_000):
     """Sorted rows in pieces of whole buckets (equal first column) as lists of arrays, with whether the first and the last bucket may be cut.
 
-    A bucket of more than `most` rows is cut, and so may be the first and last of all.
+    A bucket of more than `most` rows is cut.
     """
     held: list[np.ndarray] | None = None
-    front = True
+    front = False
     for batch in batches:
         columns = [np.asarray(c, np.int64) for c in batch.columns]
         held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
@@ -117,15 +178,15 @@ def pieces(batches, most: int = 200_000):
                 yield held, True, True
                 held, front = None, True
     if held is not None and len(held[0]):
-        yield held, front, True
+        yield held, front, False
 
 
 def starred(rows: DataFrame) -> DataFrame:
     """Rows (token, twin, id, c, size) of buckets with partners, with their bucket's hub (its first row) and `border`.
 
-    Rows are sorted by ranges of (token, twin, id) and read in order; of equal sets (one twin) the first one stays. A
-    bucket that is cut has a hub in each piece and is marked, as those hubs have still to meet. So no bucket is held
-    in memory, and a hot one is dealt over ranges.
+    Rows are dealt and sorted by token, salts and all, and read in order; of equal sets (one twin) the first one stays. A
+    bucket that a salt or the reading in pieces has cut has several hubs and is marked, as those have still to meet. So no
+    bucket is held in memory, and a hot one is dealt over tasks. Tokens come back without salts.
     """
     order, names = ["token", "twin", "id"], ["token", "id", "c", "size", "hub", "border"]
 
@@ -135,27 +196,27 @@ def starred(rows: DataFrame) -> DataFrame:
             token, _, *rest = [c[np.concatenate([[True], ~same])] for c in columns]
             new = np.concatenate([[True], token[1:] != token[:-1]])
             bucket, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            border = (bucket == 0) & front | (bucket == bucket[-1]) & back
+            border = (bucket == 0) & front | (bucket == bucket[-1]) & back | ((token & LOW) != 0)
             shown = np.flatnonzero(border | (np.bincount(bucket)[bucket] > 1))
             hubs = [c[first[bucket[shown]]] for c in rest]
             hub = pa.StructArray.from_arrays([pa.array(c) for c in hubs], ["id", "c", "size"])
-            yield pa.RecordBatch.from_arrays([pa.array(token[shown]), *(pa.array(c[shown]) for c in rest), hub, pa.array(border[shown])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(token[shown] & ~LOW), *(pa.array(c[shown]) for c in rest), hub, pa.array(border[shown])], names)
 
     schema = "token bigint, id bigint, c bigint, size bigint, hub struct<id: bigint, c: bigint, size: bigint>, border boolean"
-    return rows.select(*order, "c", "size").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.select(*order, "c", "size").repartition("token").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, s, prefixes) for the documents (id, t) named in ids: the bytes of the sorted shingle hashes, and the prefixes under the orders by hash."""
 
     def sets(batches):
-        hashes = WordHashes()
         for batch, texts in blocks(batches, 1):
-            made = shingle_sets(texts, size, hashes)
+            made = shingle_sets(texts, size)
             prefixes = [[s[np.argsort(mixed(s ^ seed))[: prefix_length(len(s), percent)]].view(np.int64) for seed in SEEDS] for s in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "s", "prefixes"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, s binary, prefixes array<array<bigint>>")
+    listed = F.broadcast(ids) if ids.count() <= IDS else ids
+    return docs.join(listed, "id", "left_semi").mapInArrow(sets, "id bigint, s binary, prefixes array<array<bigint>>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,17 +253,12 @@ def settled(rows: DataFrame, percent: int, sets: DataFrame | None = None, make_s
     meet at a token share the lesser rest at most, so no pair is compared whose bound forbids a link, and a row leaves a bucket
     that holds no set small enough. In round k a bucket's rows of other components are compared with its centres, the
     least of each of 16**k parts by hash; centres then leave the bucket, links join components, and buckets of one
-    component are closed. As parts outgrow buckets, the rounds end. Sets (id, s) are given, or made by make_sets for
-    the ids that the first round compares or later rounds may.
+    component are closed. As parts outgrow buckets, the rounds end. Sets (id, s) are given, or made by make_sets for a
+    written table of ids: those that the first round compares, then those that later rounds may.
     """
     open_ = stash(starred(rows), "open")
-    if sets is None:
-        sets = stash(make_sets(open_.select("id").distinct()), "sets")
-        given = False
-    else:
-        given = True
     release(open_)
-    links = None
+    links, given = None, sets is not None
     low = "least(rest, hub_rest)"
     bound = f"c <> hub_c and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and 100 * {low} >= {percent} * (n + hub_n - {low})"
     for k in count():
@@ -216,6 +272,11 @@ def settled(rows: DataFrame, percent: int, sets: DataFrame | None = None, make_s
         met = packed(met.where("id <> hub.id")).withColumn("hub_c", F.col("hub.c"))
         met = met.withColumn("hub_n", F.shiftright("hub.size", 32)).withColumn("hub_rest", F.col("hub.size").bitwiseAND(F.lit(0xFFFFFFFF)))
         pairs = stash(met.where(bound).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "pairs")
+        if not given and k < 2:
+            ids = (open_ if k else pairs.select(F.explode(F.array("a", "b")).alias("id"))).select("id").distinct()
+            listed = stash(ids, "ids")
+            last, sets = sets, stash(make_sets(listed), "sets")
+            drop(listed, *([last] if last else []))
         found = stash(verified(pairs, sets, percent), "found")
         drop(pairs)
         links = found if links is None else links.union(found)
@@ -253,18 +314,18 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     signatures = stash(read(source, size), "signatures")
-    shared = docs.sparkSession.sparkContext.broadcast(cell_counts(signatures.where("chunk is not null").select("chunk", "at", "counts")))
+    table = cell_counts(signatures.where("chunk is not null").select("chunk", "at", "counts"))
+    shared = docs.sparkSession.sparkContext.broadcast((table, float(table.mean())))
 
     def tokens(batches):
-        hashes = WordHashes()
         for batch, texts in blocks(batches, 1):
-            made = shingle_sets(texts, size, hashes)
+            made = shingle_sets(texts, size)
             out: list[list] = [[], [], [], []]
             for i, s in enumerate(made):
                 if len(s):
-                    kept, rest = first_tokens(s, shared.value, percent)
-                    twin = np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    for column, value in zip(out, (kept.view(np.int64), np.full(len(kept), twin), np.full(len(kept), batch.column(0)[i].as_py()), (len(s) << 32) | rest), strict=True):
+                    twin = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    kept, rest = first_tokens(s, *shared.value, percent, twin)
+                    for column, value in zip(out, (kept.view(np.int64), np.full(len(kept), twin, np.int64), np.full(len(kept), batch.column(0)[i].as_py()), (len(s) << 32) | rest), strict=True):
                         column.append(value)
             if out[0]:
                 token, twin, ids, sizes = (pa.array(np.concatenate(c).astype(np.int64)) for c in out)
@@ -284,7 +345,8 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def ngram_sql(size: int = 4, percent: int = 85) -> str:
     """DuckDB's SQL for the query's rows: all pairs of sets that share a shingle, then the closure of their links."""
     return rf"""
-with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 sh as materialized (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {size} + 2, least(len(w), 1) + 1)::bigint), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) as s from w where w is not null),
 tok as materialized (select doc_id as id, md5(unnest(s)) as k from sh),
 pairs as (select a.id as a, b.id as b, count(*) as n from tok a join tok b on a.k = b.k and a.id < b.id group by all),
