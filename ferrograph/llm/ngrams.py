@@ -9,6 +9,7 @@ not a set of pairs; `settled` goes on with more centres until no bucket holds tw
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -206,36 +207,43 @@ def starred(rows: DataFrame) -> DataFrame:
     return rows.select(*order, "c", "size").repartition("token").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, s, prefixes) for the documents (id, t) named in ids: the bytes of the sorted shingle hashes, and the prefixes under the orders by hash."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, s) for the documents (id, t) named in ids (a written table): the bytes of the sorted shingle hashes."""
 
     def sets(batches):
         for batch, texts in blocks(batches, 1):
-            made = shingle_sets(texts, size)
-            prefixes = [[s[np.argsort(mixed(s ^ seed))[: prefix_length(len(s), percent)]].view(np.int64) for seed in SEEDS] for s in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "s", "prefixes"])
+            made = [s.tobytes() for s in shingle_sets(texts, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "s"])
 
     listed = F.broadcast(ids) if ids.count() <= IDS else ids
-    return docs.join(listed, "id", "left_semi").mapInArrow(sets, "id bigint, s binary, prefixes array<array<bigint>>")
+    return docs.join(listed, "id", "left_semi").mapInArrow(sets, "id bigint, s binary")
+
+
+def prefix(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
+    """A set's prefix under the order by hash with this seed, as sorted hashes."""
+    order, n = mixed(tokens ^ seed), prefix_length(len(tokens), percent)
+    return np.sort(np.partition(order, n - 1)[:n])
+
+
+def meet(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays share a value."""
+    at = np.searchsorted(y, x)
+    return bool((y[np.minimum(at, len(y) - 1)] == x).any())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose prefixes meet under every other order (where sets have prefixes) and whose whole sets are similar."""
-    side = lambda x, *what: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in what))
-    if "prefixes" in sets.columns:
-        both = pairs.join(side("a", "prefixes"), "a").join(side("b", "prefixes"), "b")
-        for k in range(len(SEEDS)):
-            both = both.where(F.arrays_overlap(F.col("prefixes_a")[k], F.col("prefixes_b")[k]))
-        pairs = both.select("a", "b")
-    both = pairs.join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "s_a", "s_b")
+    """Of the pairs (a, b), those whose prefixes meet under every other order too, and whose whole sets are similar."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
 
     def compared(batches):
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
+            for i, sides in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in sides)
+                if all(meet(prefix(x, seed, percent), prefix(y, seed, percent)) for seed in SEEDS):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(linked))
 
     return both.mapInArrow(compared, "a bigint, b bigint").distinct()
@@ -246,19 +254,19 @@ def sized(df: DataFrame, rows: int, name: str) -> DataFrame:
     return stash(df, name) if rows > SPLIT else df
 
 
-def settled(rows: DataFrame, percent: int, sets: DataFrame | None = None, make_sets=None) -> DataFrame:
+def settled(rows: DataFrame, percent: int, make_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) that join all nodes with tokens (token, twin, id, c, size) in common that are linked, given that nodes of one c are joined.
 
     size holds n, a set's tokens, and rest, how many of them come from this token on in the first order. Sets that first
     meet at a token share the lesser rest at most, so no pair is compared whose bound forbids a link, and a row leaves a bucket
     that holds no set small enough. In round k a bucket's rows of other components are compared with its centres, the
     least of each of 16**k parts by hash; centres then leave the bucket, links join components, and buckets of one
-    component are closed. As parts outgrow buckets, the rounds end. Sets (id, s) are given, or made by make_sets for a
-    written table of ids: those that the first round compares, then those that later rounds may.
+    component are closed. As parts outgrow buckets, the rounds end. make_sets gives the sets
+    (id, s) of a written table of ids: a round moves the sets that it compares, and no others.
     """
     open_ = stash(starred(rows), "open")
     release(open_)
-    links, given = None, sets is not None
+    links = None
     low = "least(rest, hub_rest)"
     bound = f"c <> hub_c and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) and 100 * {low} >= {percent} * (n + hub_n - {low})"
     for k in count():
@@ -272,13 +280,10 @@ def settled(rows: DataFrame, percent: int, sets: DataFrame | None = None, make_s
         met = packed(met.where("id <> hub.id")).withColumn("hub_c", F.col("hub.c"))
         met = met.withColumn("hub_n", F.shiftright("hub.size", 32)).withColumn("hub_rest", F.col("hub.size").bitwiseAND(F.lit(0xFFFFFFFF)))
         pairs = stash(met.where(bound).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "pairs")
-        if not given and k < 2:
-            ids = (open_ if k else pairs.select(F.explode(F.array("a", "b")).alias("id"))).select("id").distinct()
-            listed = stash(ids, "ids")
-            last, sets = sets, stash(make_sets(listed), "sets")
-            drop(listed, *([last] if last else []))
+        ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets = stash(make_sets(ids), "sets")
         found = stash(verified(pairs, sets, percent), "found")
-        drop(pairs)
+        drop(pairs, ids, sets)
         links = found if links is None else links.union(found)
         left = open_.join(centres.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti") if k else open_.where("id <> hub.id or border")
         left = left.select("token", "id", "c", "size")
@@ -294,8 +299,6 @@ def settled(rows: DataFrame, percent: int, sets: DataFrame | None = None, make_s
         drop(last)
         if open_.isEmpty():
             drop(open_)
-            if not given:
-                drop(sets)
             return links
 
 
@@ -308,8 +311,8 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     nothing and have no component. Rows with equal keys count as one document if their texts are equal; else each row
     shows the component of its own text. Other columns are ignored.
 
-    Texts are read three times and never shuffled but for those that have partners in a bucket: once for sizes and
-    counts, once for prefixes, once for whole sets. Equal sets are one node, named by the least key. All links between
+    Texts are read once for sizes and counts, once for prefixes, and once a round for the sets that are compared; they are
+    not shuffled while a round compares fewer than a million documents (whose ids are then broadcast). Equal sets are one node, named by the least key. All links between
     different sets are found or implied by a path of links.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
@@ -332,7 +335,7 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 yield pa.RecordBatch.from_arrays([token, twin, ids, ids, sizes], ["token", "twin", "id", "c", "size"])
 
     rows = source.where("id is not null").mapInArrow(tokens, "token bigint, twin bigint, id bigint, c bigint, size bigint")
-    links = stash(settled(rows, percent, make_sets=lambda ids: sets_of(source, ids, size, percent)), "links")
+    links = stash(settled(rows, percent, lambda ids: sets_of(source, ids, size)), "links")
     texts = signatures.where("chunk is null").select("id", "n", F.coalesce("sig", F.lit(b"")).alias("sig"))
     folded = texts.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
     groups = components(links, "groups")
