@@ -74,14 +74,15 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 ATTRIBUTE_WORD = re.compile(r"[^\W\d_]+(?:-ad\b)?")
 UNSHOWN = re.compile(r"(?:^|\s)hidden(?=$|[\s/=])|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*)\bdisplay\s*:\s*none", re.I)
 LEVELS = {f"h{k}": k for k in range(1, 7)}
+PROSE = frozenset(["p", "blockquote", "pre", "td", *LEVELS])
 
 
 class Node:
-    __slots__ = ("parent", "tag", "kinds", "runs", "chars", "linked", "last", "first", "controls", "under", "shown")
+    __slots__ = ("parent", "tag", "kinds", "runs", "chars", "linked", "last", "first", "controls", "under", "shown", "inside")
 
     def __init__(self, parent: int, tag: str, kinds: frozenset):
         self.parent, self.tag, self.kinds, self.runs, self.chars, self.linked, self.last = parent, tag, kinds, [], 0, 0, ""
-        self.first, self.controls, self.under, self.shown = "", 0, "", True
+        self.first, self.controls, self.under, self.shown, self.inside = "", 0, "", True, False
 
 
 @cache
@@ -177,6 +178,7 @@ def parse(page: str) -> list[Node]:
                     leave(same)
             nodes.append(Node(stack[-1], tag, hints(m["rest"]) if m["rest"] else frozenset()))
             nodes[-1].shown = nodes[stack[-1]].shown and not (m["rest"] and UNSHOWN.search(m["rest"]))
+            nodes[-1].inside = nodes[stack[-1]].inside or nodes[stack[-1]].tag in ("article", "main")
             if tag != "hr":
                 depths.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
@@ -208,10 +210,16 @@ def headed(nodes: list[Node]) -> None:
         begun.add(node.parent)
 
 
+def headed_by(node: Node) -> str:
+    """What the heading above says of the node; nothing if the node is an article's own piece of text, as sections of articles have such names too."""
+    own = node.inside and node.tag in PROSE and node.chars and node.linked * 2 <= node.chars and not node.kinds and not node.controls
+    return "" if own else node.under
+
+
 def features(node: Node) -> list[str]:
     found = [f"tag {node.tag}", *(f"hint {k}" for k in node.kinds)]
-    if node.under:
-        found.append(f"under {node.under}")
+    if under := headed_by(node):
+        found.append(f"under {under}")
     if node.controls:
         found.append("holds controls")
     if node.chars:
@@ -219,7 +227,7 @@ def features(node: Node) -> list[str]:
         share = node.linked / node.chars
         found += [f"text {size} {'linked' if share > 0.5 else 'some' if share > 0.2 else 'plain'}"]
         if node.chars < 400 and (said := {m.lastgroup for _, run in node.runs for m in SAID.finditer(run)}):
-            found += [f"says {k}" for k in said]
+            found += [f"says {k} {'inside' if node.inside else 'marked' if node.kinds or node.controls else 'plain'}" for k in said]
         if node.last in ".!?…:;\"'”»)":
             found.append("ends as a sentence")
     else:
@@ -229,7 +237,7 @@ def features(node: Node) -> list[str]:
 
 #: Kinds of parent-child pairs, each with a potential of its own for equal and for differing labels.
 def pair(parent: Node, child: Node) -> str:
-    marked = "headed" if child.under else "marked" if (child.kinds - {"text"}) or child.tag in SECTIONS - {"article", "main"} else "text" if child.chars else "box"
+    marked = "headed" if headed_by(child) else "marked" if (child.kinds - {"text"}) or child.tag in SECTIONS - {"article", "main"} else "text" if child.chars else "box"
     if parent.parent <= 0 and parent.tag in ("page", "body"):
         return f"page {marked}"
     return f"{'article' if parent.tag in ('article', 'main') or parent.kinds == {'text'} else 'section' if parent.kinds or parent.tag in SECTIONS else 'inside'} {marked}"
@@ -242,10 +250,10 @@ def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float]
     edge: list = [None] * n
     up: list = [None] * n
     exp, log = math.exp, math.log
-    for i in range(n - 1, -1, -1):
+    # the page itself is content only if text stands in no block at all
+    below[0][1] += sum(weights.get(f, 0.0) for f in features(nodes[0])) if nodes[0].runs else -1e9
+    for i in range(n - 1, 0, -1):
         node, own = nodes[i], below[i]
-        if i == 0:
-            break
         own[1] += sum(weights.get(f, 0.0) for f in features(node))
         kind = pair(nodes[node.parent], node)
         edge[i] = tuple(weights.get(f"pair {kind} {a}{b}", 0.0) for a in (0, 1) for b in (0, 1))
@@ -258,7 +266,6 @@ def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float]
         parent = below[node.parent]
         parent[0] += up[i][0]
         parent[1] += up[i][1]
-    below[0][1] -= 1e9  # the page itself is no content
     total = [list(b) for b in below]
     joint: list[tuple] = [()] * n
     for i in range(1, n):
@@ -272,11 +279,12 @@ def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float]
         for b in (0, 1):
             s = score[b] + score[2 + b]
             total[i][b] = log(s) if s > 0 else -1e9
-    return [0.0] + [j[1] + j[3] for j in joint[1:]], joint
+    odds = total[0][1] - total[0][0]
+    return [1 / (1 + exp(-odds)) if odds > -700 else 0.0] + [j[1] + j[3] for j in joint[1:]], joint
 
 
-def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
-    """Pages of varied layouts beside their main text."""
+def labelled_pages(count: int, seed: int, names: bool = True) -> list[tuple[str, str]]:
+    """Pages of varied layouts beside their main text. Articles have sections and sentences with the words of menus and notices, too; without `names`, classes and ids are words that say nothing."""
     r = random.Random(seed)
     syllables = "ka lo mi ren tas vo shi un ble dor a en is que".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -285,8 +293,12 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
     link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
     known = lambda kind: r.choice((HINTS if r.random() < 0.8 else FOREIGN)[kind].split())
     # a tenth of the names are words that no list holds
-    named = lambda kind: f' {r.choice(["class", "id"])}="{known(kind) if r.random() < 0.9 else word()}{r.choice(["", "-" + word(), " " + word(), word()])}"'
+    named = lambda kind: f' {r.choice(["class", "id"])}="{known(kind) if names and r.random() < 0.9 else word()}{r.choice(["", "-" + word(), " " + word(), word()])}"'
     heads = {"talk": ["Comments", "3 Comments", "Leave a reply", "Kommentare", "Commentaires"], "side": ["Related", "Popular posts", "More from here", "See also"], "share": ["Share", "Follow us"], "form": ["Newsletter", "Subscribe now"]}
+    # Headings that articles have as other parts of pages do, and words of notices in plain sentences.
+    sections = ["Search", "Discussion", "Related work", "Comments", "Archives", "Contact us", "Tags", "Popular belief", "Share", "Responses", "More from the field", "Newsletter", "See also"]
+    notices = ["cookies", "consent", "copyright", "©", "GDPR", "all rights reserved", "Datenschutz"]
+    spoken = lambda: sentence() if r.random() < 0.93 else f"{say(1, 6).capitalize()} {r.choice(notices)} {say(1, 6)}{r.choice(['.', '.', ''])}"
     pages = []
     for _ in range(count):
         out: list[str] = []
@@ -311,17 +323,21 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
                 "talk": lambda: f"<h3>{r.choice(heads['talk']) if r.random() < 0.5 else say(1, 2)}</h3>" + "".join(f"<{t}{named('talk') if r.random() < 0.5 else ''}><p>{sentence()}</p></{t}>" for t in [r.choice(["div", "div", "li", "li", "article"])] for _ in range(r.randint(1, 4))),
                 "share": lambda: " ".join(link() for _ in range(3)) if r.random() < 0.5 else say(2, 5),
             }[kind]()
-            whole = f"<{tag}{attributes}>{inner if tag != 'p' else re.sub('<[^>]*>', ' ', inner)}</{tag}>"
+            made = f"<{tag}{attributes}>{inner if tag != 'p' else re.sub('<[^>]*>', ' ', inner)}</{tag}>"
             if kind in heads and r.random() < 0.25:  # its name says nothing, its heading does
-                whole = f"<section{named('text') if r.random() < 0.1 else ''}><h{(k := r.randint(2, 4))}>{r.choice(heads[kind])}</h{k}>{re.sub('<h3>.*?</h3>', '', inner)}</section>"
-            return whole
+                made = f"<section{named('text') if r.random() < 0.1 else ''}><h{(k := r.randint(2, 4))}>{r.choice(heads[kind])}</h{k}>{re.sub('<h3>.*?</h3>', '', inner)}</section>"
+            return made
 
         def part() -> str:
             kind = r.random()
             if kind < 0.7:
-                text = sentence()
+                text = spoken() if r.random() < 0.9 else say(1, 4)
                 kept.append(text)
                 return f"<p>{text}</p>" if r.random() < 0.9 else f"<p>{text}"
+            if kind < 0.73 and whole:  # in an article's own element
+                head, text = r.choice(sections), spoken()
+                kept.extend([head, text])
+                return f"<h2>{head}</h2><p>{text}</p>"
             if kind < 0.8:
                 text = say(2, 7)
                 kept.append(text)
@@ -339,8 +355,16 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, str]]:
             out.append(junk())
         tag, attributes = r.choice([("article", ""), ("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", ""), ("", "")])
         inside = []
+        whole = tag in ("article", "main")
+        if r.random() < 0.04:  # text in no block of its own
+            lines = [spoken() for _ in range(r.randint(1, 6))]
+            out.append((bare := r.choice(["<br>", "<br><br>", " <br/> "]).join(lines)))
+            kept.append(" ".join(lines))
+            out += [junk() for _ in range(r.choice([0, 0, 1, 2]))]
+            pages.append((r.choice(["<html><head><title>x</title></head><body>{}</body></html>", "<body>{}</body>", "{}"]).format("".join(out)) if len(out) > 1 or r.random() < 0.7 else bare, " ".join(kept)))
+            continue
         if r.random() < 0.8:
-            kept.append(title := say(3, 10))
+            kept.append(title := say(3, 10) if r.random() < 0.93 else f"{say(1, 3)} {r.choice(notices)} {say(0, 2)}".strip())
             inside.append(f"<h1>{title}</h1>")
         if r.random() < 0.3:
             first = sentence()
@@ -367,13 +391,13 @@ def trained(count: int = 900, seed: int = 11, rounds: int = 10) -> dict[str, flo
         nodes, at, truth = parse(page), 0, {}
         for _, i, run in sorted((place, i, run) for i, node in enumerate(nodes) for place, run in node.runs):
             hit = text.startswith(run, at)
-            truth[i] = int(hit)
+            truth[i] = max(truth.get(i, 0), int(hit))
             at += (len(run) + 1) * hit
         for i in range(len(nodes) - 1, 0, -1):  # a container is content if most of what it holds is
             if i not in truth:
                 below = [(truth.get(k, 0), len(nodes[k].runs)) for k in range(i + 1, len(nodes)) if nodes[k].parent == i]
                 truth[i] = int(sum(y for y, _ in below) * 2 > len(below))
-        data.append((nodes, [0, *(truth[i] for i in range(1, len(nodes)))]))
+        data.append((nodes, [truth.get(0, 0), *(truth[i] for i in range(1, len(nodes)))]))
     weights: dict[str, float] = {}
     squares: dict[str, float] = {}
     order = random.Random(seed)
@@ -381,7 +405,7 @@ def trained(count: int = 900, seed: int = 11, rounds: int = 10) -> dict[str, flo
         order.shuffle(data)
         for nodes, truth in data:
             content, joint = marginals(nodes, weights)
-            step: dict[str, float] = {}
+            step: dict[str, float] = {f: truth[0] - content[0] for f in features(nodes[0])} if nodes[0].runs else {}
             for i in range(1, len(nodes)):
                 for f in features(nodes[i]):
                     step[f] = step.get(f, 0.0) + truth[i] - content[i]

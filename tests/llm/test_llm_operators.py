@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,6 +196,12 @@ def test_pages_held_out():
     weights = html_text.trained()
     pages = html_text.labelled_pages(200, 77)
     assert sum(html_text.main_text(p, weights) == t for p, t in pages) >= 180
+    # layouts whose class names say nothing: how much of the words is right
+    hit = shown = wanted = 0
+    for page, text in html_text.labelled_pages(200, 78, names=False):
+        got, true = Counter(html_text.main_text(page, weights).split()), Counter(text.split())
+        hit, shown, wanted = hit + (got & true).total(), shown + got.total(), wanted + true.total()
+    assert hit / wanted > 0.95 and hit / shown > 0.82  # 0.97 and 0.86: an advert in a nameless block looks like a paragraph
 
 
 def test_marginals_against_enumeration():
@@ -202,10 +209,12 @@ def test_marginals_against_enumeration():
     for page, _ in html_text.labelled_pages(60, 5):
         nodes = html_text.parse(page)[: r.randint(2, 9)]
         score = {}
-        for code in range(1 << (len(nodes) - 1)):
-            label = [0, *(code >> k & 1 for k in range(len(nodes) - 1))]
+        for code in range(1 << len(nodes)):
+            label = [code >> k & 1 for k in range(len(nodes))]
+            if label[0] and not nodes[0].runs:  # a page without text of its own is no content
+                continue
             score[tuple(label)] = math.exp(
-                sum(label[i] * sum(weights.get(f, 0.0) for f in html_text.features(x)) + weights.get(f"pair {html_text.pair(nodes[x.parent], x)} {label[x.parent]}{label[i]}", 0.0) for i, x in enumerate(nodes) if i)
+                sum(label[i] * sum(weights.get(f, 0.0) for f in html_text.features(x)) + (weights.get(f"pair {html_text.pair(nodes[x.parent], x)} {label[x.parent]}{label[i]}", 0.0) if i else 0.0) for i, x in enumerate(nodes))
             )
         z = sum(score.values())
         assert html_text.marginals(nodes, weights)[0] == pytest.approx([sum(s for label, s in score.items() if label[i]) / z for i in range(len(nodes))], abs=1e-9)
@@ -233,6 +242,12 @@ def test_parsing_is_linear():
         (f"<nav><a href=x>Home</a></nav><article><h1>A head</h1><p>{SAID}</p></article><section><h2>Comments</h2><div><p>I liked it a lot, thanks.</p></div></section>", f"A head {SAID}"),
         (f"<div class=cc-window><p>We use cookies to improve this site.</p><button>OK</button></div><article><p>{SAID}</p></article>", SAID),
         (f"<div class=seitenleiste><p>Some other text that is found beside it.</p></div><div class=artikel><p>{SAID}</p></div>", SAID),
+        (f"{SAID}<br>{SAID}", f"{SAID} {SAID}"),
+        (f"<html><body><div class=menu><a href=a>Home</a> <a href=b>About</a></div>{SAID}<br><br>{SAID}<footer>&copy; X 2020</footer></body></html>", f"{SAID} {SAID}"),
+        (f"<article><h1>A study</h1><p>{SAID}</p><h2>Search</h2><p>{SAID}</p><h2>Discussion</h2><p>{SAID}</p></article>", f"A study {SAID} Search {SAID} Discussion {SAID}"),
+        (f"<body><article><h1>A study</h1><p>{SAID}</p><h2>Related work</h2><p>{SAID}</p><p>{SAID}</p></article><footer>&copy; 2020</footer></body>", f"A study {SAID} Related work {SAID} {SAID}"),
+        ("<html><body><h1>How to bake cookies</h1><p>Mix the flour.</p><p>Bake them well.</p></body></html>", "How to bake cookies Mix the flour. Bake them well."),
+        ("<article><p>a&nbsp;b A©</p></article>", "a b A©"),
         (f"<article><p>{SAID}</p><div hidden><p>Not shown at all, nobody sees it.</p></div></article>", SAID),
     ],
 )
