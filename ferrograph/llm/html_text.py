@@ -310,8 +310,8 @@ def labelled_pages(count: int, seed: int, names: bool = True) -> list[tuple[str,
         def junk() -> str:
             kind = r.choice("menu frame side advert notice form talk share".split())
             tag = {"menu": "nav", "side": "aside", "form": "form", "frame": r.choice(["header", "footer"])}.get(kind, r.choice(["div", "section", "p"]))
-            if r.random() < 0.4:
-                tag = r.choice(["div", "section"])
+            if r.random() < 0.6:
+                tag = r.choice(["div", "div", "section"])
                 attributes = named(kind)
             else:
                 attributes = named(kind) if tag in ("div", "section", "p") or r.random() < 0.4 else ""
@@ -356,7 +356,7 @@ def labelled_pages(count: int, seed: int, names: bool = True) -> list[tuple[str,
         tag, attributes = r.choice([("article", ""), ("article", ""), ("article", named("text")), ("main", ""), ("div", named("text")), ("div", named("text")), ("section", named("text")), ("div", ""), ("", "")])
         inside = []
         whole = tag in ("article", "main")
-        if r.random() < 0.04:  # text in no block of its own
+        if r.random() < 0.08:  # text in no block of its own
             lines = [spoken() for _ in range(r.randint(1, 6))]
             out.append((bare := r.choice(["<br>", "<br><br>", " <br/> "]).join(lines)))
             kept.append(" ".join(lines))
@@ -384,7 +384,7 @@ def labelled_pages(count: int, seed: int, names: bool = True) -> list[tuple[str,
 
 
 @cache
-def trained(count: int = 900, seed: int = 11, rounds: int = 10) -> dict[str, float]:
+def trained(count: int = 1200, seed: int = 11, rounds: int = 10) -> dict[str, float]:
     """Weights by stochastic gradient ascent (each weight with a step of its own) on labelled pages."""
     data = []
     for page, text in labelled_pages(count, seed):
