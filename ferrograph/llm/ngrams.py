@@ -207,16 +207,21 @@ def starred(rows: DataFrame) -> DataFrame:
     return rows.select(*order, "c", "size").repartition("token").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def listed(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id is in the written table ids, which is broadcast while it is small."""
+    return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s) for the documents (id, t) named in ids (a written table): the bytes of the sorted shingle hashes."""
+    """(id, s, counts) for the documents (id, t) named in ids: the bytes of the sorted shingle hashes, and of how many fall in each of 64 parts."""
 
     def sets(batches):
         for batch, texts in blocks(batches, 1):
-            made = [s.tobytes() for s in shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "s"])
+            made = shingle_sets(texts, size)
+            counts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int32).tobytes() for s in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(counts, pa.binary())], ["id", "s", "counts"])
 
-    listed = F.broadcast(ids) if ids.count() <= IDS else ids
-    return docs.join(listed, "id", "left_semi").mapInArrow(sets, "id bigint, s binary")
+    return listed(docs, ids).mapInArrow(sets, "id bigint, s binary, counts binary")
 
 
 def prefix(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
@@ -232,9 +237,20 @@ def meet(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose prefixes meet under every other order too, and whose whole sets are similar."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
+    """Of the pairs (a, b), those whose prefixes meet under every other order too, and whose whole sets are similar.
+
+    Two sets share at most the sum of the lesser counts of their parts; pairs that this bound rules out move no set.
+    """
+
+    def joined(pairs: DataFrame, df: DataFrame, what: str) -> DataFrame:
+        side = lambda x: df.select(F.col("id").alias(x), F.col(what).alias(f"s_{x}"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
+
+    def possible(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, 64).astype(np.int64) for c in (2, 3))
+            most = np.minimum(x, y).sum(1)
+            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most)))
 
     def compared(batches):
         for batch in batches:
@@ -246,7 +262,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(linked))
 
-    return both.mapInArrow(compared, "a bigint, b bigint").distinct()
+    left = stash(joined(pairs, sets, "counts").mapInArrow(possible, "a bigint, b bigint").distinct(), "possible")
+    ids = stash(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    found = stash(joined(left, listed(sets, ids), "s").mapInArrow(compared, "a bigint, b bigint").distinct(), "found")
+    drop(left, ids)
+    return found
 
 
 def sized(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -282,7 +302,7 @@ def settled(rows: DataFrame, percent: int, make_sets: Callable[[DataFrame], Data
         pairs = stash(met.where(bound).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "pairs")
         ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = stash(make_sets(ids), "sets")
-        found = stash(verified(pairs, sets, percent), "found")
+        found = verified(pairs, sets, percent)
         drop(pairs, ids, sets)
         links = found if links is None else links.union(found)
         left = open_.join(centres.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti") if k else open_.where("id <> hub.id or border")
