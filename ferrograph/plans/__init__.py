@@ -1,6 +1,6 @@
 """The operators bound to the supplied tables."""
 
-from . import clusters, cycles, graphindex, graphs, links, lookups, machines, mentions, notations, ordered, pivots, prose, rollups, similarity, steps, streams, textual, written  # noqa: F401
+from . import centers, clusters, cycles, graphindex, graphs, links, lookups, machines, mentions, notations, ordered, pivots, prose, rollups, similarity, steps, streams, textual, written  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
