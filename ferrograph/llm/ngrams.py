@@ -213,12 +213,12 @@ def listed(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s, counts) for the documents (id, t) named in ids: the bytes of the sorted shingle hashes, and of how many fall in each of 64 parts."""
+    """(id, s, counts) for the documents (id, t) named in ids: the bytes of the sorted shingle hashes, and of how many fall in each of 256 parts (255: that many or more)."""
 
     def sets(batches):
         for batch, texts in blocks(batches, 1):
             made = shingle_sets(texts, size)
-            counts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int32).tobytes() for s in made]
+            counts = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(counts, pa.binary())], ["id", "s", "counts"])
 
     return listed(docs, ids).mapInArrow(sets, "id bigint, s binary, counts binary")
@@ -248,9 +248,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def possible(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, 64).astype(np.int64) for c in (2, 3))
-            most = np.minimum(x, y).sum(1)
-            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most)))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int64) for c in (2, 3))
+            most, full = np.minimum(x, y).sum(1), (np.maximum(x, y) == 255).any(1)
+            yield batch.select([0, 1]).filter(pa.array(full | (100 * most >= percent * (x.sum(1) + y.sum(1) - most))))
 
     def compared(batches):
         for batch in batches:
