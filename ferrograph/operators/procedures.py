@@ -31,6 +31,10 @@ MINUTES = {"s": 1 / 60, "m": 1, "h": 60, "d": 1440}
 AMOUNT = re.compile(r"\b([0-9]+(?:\.[0-9]+)?)\s*(mg|kg|g|mL|L|mmol|mol|equiv)\b")
 AGENT = re.compile(r"\b(?:with|over|in)\s+((?!an?\b|the\b)[A-Za-z][A-Za-z0-9()/-]*)")
 SURE, UNSURE, OBSERVED = 0.84, 0.35, 0.78
+# Families of steps that come after a reaction; how sure a product and a material that is carried over are.
+WORKUP = ["quench", "extract", "wash", "dry", "filter", "concentrate", "purify"]
+PRODUCT = r"(?is)\b(?:to\s+yield|yielded|afforded)\s+(.+?)(?:\.|$)"
+EXPLICIT, CARRIED = 0.82, 0.67
 FRAME = "place int, kind string, family string, start int, end_ int, temperature double, minutes double, amount double, unit string, repeats int, material string, confidence double, diagnostic string"
 
 
@@ -193,3 +197,52 @@ def cover(framed: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame
     heads = ends.join(first, key, "left").select(key, F.lit(0).alias("start"), F.coalesce("first", "length").alias("end_"))
     open_ = gaps.union(heads).where("start < end_").withColumn("covered", F.lit(False))
     return merged.select(key, "start", "end_", F.lit(True).alias("covered")).union(open_)
+
+
+def reaction_facts(framed: DataFrame, key: str) -> DataFrame:
+    """What the steps of each text tell of a reaction: key, place, role, raw, confidence, accepted.
+
+    Up to the first step of a work-up, what is charged is a reactant, what is added a reagent (a step that names no material
+    means the latest one named before, less surely), heating and cooling give the temperature, stirring the time. Materials
+    of work-up steps are rejected reagents.
+    """
+    steps = framed.where("kind = 'step'")
+    order = Window.partitionBy(key).orderBy("place")
+    late = F.min(F.when(F.col("family").isin(WORKUP), F.col("place"))).over(Window.partitionBy(key))
+    before = F.last("material", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = steps.withColumn("late", late).withColumn("referent", before)
+    early = F.coalesce(F.col("place") < F.col("late"), F.lit(True))
+    fact = lambda when, role, raw, sure, accepted=True: F.when(when & raw.isNotNull(), F.struct(F.lit(role).alias("role"), raw.alias("raw"), sure.alias("confidence"), F.lit(accepted).alias("accepted")))
+    family, own = F.col("family"), F.col("material")
+    text = lambda c: F.col(c).cast("string")
+    found = F.array_compact(F.array(
+        fact(early & (family == "charge"), "reactant", own, F.lit(SURE)), fact(early & (family == "add"), "reagent", F.coalesce(own, "referent"), F.when(own.isNotNull(), SURE).otherwise(CARRIED)),
+        fact(early & family.isin("heat", "cool"), "temperature", text("temperature"), F.lit(SURE)), fact(early & (family == "hold"), "time", text("minutes"), F.lit(SURE)),
+        fact(family.isin(WORKUP), "reagent", own, F.lit(SURE), False),
+    ))
+    return rows.select(key, "place", F.explode(found).alias("f")).select(key, "place", "f.*")
+
+
+def reaction_candidates(framed: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a text that tells of any fact: key, reactants, reagents, temperature, time, product, rejected, confidence, status.
+
+    Of several temperatures and times the surest counts, then the first. A candidate needs a reactant and a reagent or condition, and a
+    product that the text names (`product_required` without one, `insufficient` where there is no such skeleton). confidence
+    is the mean of the facts that count. Lists are in order, each name once.
+    """
+    facts = reaction_facts(framed, key)
+    one = lambda role: F.col("accepted") & (F.col("role") == role)
+    listed = lambda when: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("place", "raw")))), lambda x: x["raw"])), "+")
+    best = lambda role: F.max(F.when(one(role), F.struct("confidence", (-F.col("place")).alias("p"), "raw")))["raw"]
+    condition = lambda role: F.max(F.when(one(role), F.col("confidence")))
+    sums = facts.groupBy(key).agg(
+        listed(one("reactant")).alias("reactants"), listed(one("reagent")).alias("reagents"), best("temperature").alias("temperature"), best("time").alias("time"), listed(~F.col("accepted")).alias("rejected"),
+        F.sum(F.when(one("reactant") | one("reagent"), F.col("confidence").cast("decimal(10,4)"))).alias("s"), F.count_if(one("reactant") | one("reagent")).alias("n"), condition("temperature").alias("ct"), condition("time").alias("cm"),
+    )
+    named = F.nullif(F.trim(F.regexp_extract(F.col(text), PRODUCT, 1)), F.lit(""))
+    out = sums.join(texts.select(key, named.alias("product")), key)
+    sure = F.coalesce(F.col("s").cast("double"), F.lit(0.0)) + F.coalesce("ct", F.lit(0.0)) + F.coalesce("cm", F.lit(0.0)) + F.when(F.col("product").isNotNull(), EXPLICIT).otherwise(0.0)
+    n = F.col("n") + F.col("ct").isNotNull().cast("int") + F.col("cm").isNotNull().cast("int") + F.col("product").isNotNull().cast("int")
+    skeleton = (F.col("reactants") != "") & ((F.col("reagents") != "") | F.col("ct").isNotNull() | F.col("cm").isNotNull())
+    status = F.when(~skeleton, "insufficient").when(F.col("product").isNull(), "product_required").otherwise("candidate")
+    return out.select(key, "reactants", "reagents", "temperature", "time", "product", "rejected", F.round(F.when(n > 0, sure / n), 4).alias("confidence"), status.alias("status"))

@@ -23,6 +23,7 @@ SENTENCES = [
     [("ADDED", "step", "add"), (" ,, .",)],
     [("Heating at {t}.5 °C for 1.5 h gave no product", "step", "heat", "{t}.5", "90"), (".",)],
     [("NaBH4 was added portionwise, and then, after {q} min", "step", "add", None, "{q}"), (", ",), ("extracted 4 times", "step", "extract", None, None, None, None, "4"), (".",)],
+    [("It afforded the ester no {q}", "unparsed", "observe"), (".",)],
 ]
 KNOWN = [f for f in dict.fromkeys(f for f, _ in ACTIONS.values()) if f not in ("dry", "filter", "cool")]
 
@@ -90,3 +91,28 @@ def procedure_gaps(spark, sf_dir):
     """Every procedure cut into what frames cover and what they leave open."""
     texts = stash(told(spark, sf_dir), "told")
     return procedures.cover(procedures.lowered(texts, "key", "t"), texts, "key", "t")
+
+
+_workup = ", ".join(f"'{f}'" for f in procedures.WORKUP)
+
+
+@query(f"""
+with {PIECES},
+st as (select *, min(case when family in ({_workup}) then place end) over (partition by key) as late, last_value(material ignore nulls) over (partition by key order by place rows between unbounded preceding and 1 preceding) as ref_ from fr where kind = 'step'),
+fa as (select key, place, 'reactant' as role, material as raw, 0.84 as c, true as ok from st where coalesce(place < late, true) and family = 'charge'
+  union all select key, place, 'reagent', coalesce(material, ref_), case when material is null then 0.67 else 0.84 end, true from st where coalesce(place < late, true) and family = 'add'
+  union all select key, place, 'temperature', temperature::varchar, 0.84, true from st where coalesce(place < late, true) and family in ('heat', 'cool')
+  union all select key, place, 'time', minutes::varchar, 0.84, true from st where coalesce(place < late, true) and family = 'hold' union all select key, place, 'reagent', material, 0.84, false from st where family in ({_workup})),
+fb as (select * from fa where raw is not null),
+fd as (select key, role, ok, raw, min(place) as place from fb group by all),
+g as (select key, coalesce((select string_agg(raw, '+' order by place) from fd where fd.key = fb.key and role = 'reactant'), '') as reactants, coalesce((select string_agg(raw, '+' order by place) from fd where fd.key = fb.key and role = 'reagent' and ok), '') as reagents,
+  arg_min(raw, place) filter (where role = 'temperature') as temperature, arg_min(raw, place) filter (where role = 'time') as time, coalesce((select string_agg(raw, '+' order by place) from fd where fd.key = fb.key and not ok), '') as rejected,
+  coalesce(sum(c) filter (where ok and role in ('reactant', 'reagent')), 0) + 0.84 * (count(*) filter (where role = 'temperature') > 0)::int + 0.84 * (count(*) filter (where role = 'time') > 0)::int as sure,
+  count(*) filter (where ok and role in ('reactant', 'reagent')) + (count(*) filter (where role = 'temperature') > 0)::int + (count(*) filter (where role = 'time') > 0)::int as n from fb group by key),
+h as (select g.*, (select regexp_extract(text, 'afforded (.*)', 1) from s where s.key = g.key and starts_with(text, 'It afforded') order by end_ limit 1) as product from g)
+select key, reactants, reagents, temperature, time, product, rejected, round(case when n + (product is not null)::int > 0 then (sure + case when product is not null then 0.82 else 0 end)::double / (n + (product is not null)::int) end, 4) as confidence,
+  case when reactants = '' or (reagents = '' and temperature is null and time is null) then 'insufficient' when product is null then 'product_required' else 'candidate' end as status from h""")
+def reaction_candidates(spark, sf_dir):
+    """What each order's procedure tells of a reaction, by role, with what it lacks."""
+    texts = stash(told(spark, sf_dir), "told")
+    return procedures.reaction_candidates(procedures.lowered(texts, "key", "t"), texts, "key", "t")

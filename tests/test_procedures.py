@@ -2,7 +2,7 @@
 
 import pytest
 
-from ferrograph.operators.procedures import clauses, coverage, cover, entries, frames, lowered, sentences
+from ferrograph.operators.procedures import clauses, coverage, cover, entries, frames, lowered, reaction_candidates, sentences
 
 
 @pytest.mark.parametrize(
@@ -51,3 +51,16 @@ def test_cover_merges_what_overlaps(spark):
     docs = spark.createDataFrame([(1, "x" * 30)], "id bigint, t string")
     spans = spark.createDataFrame([(1, "step", 2, 9), (1, "step", 4, 6), (1, "observation", 8, 12), (1, "step", 12, 14), (1, "unparsed", 15, 20), (1, "step", 22, 30)], "id bigint, kind string, start int, end_ int")
     assert sorted((r["start"], r["end_"], r["covered"]) for r in cover(spans, docs, "id", "t").collect()) == [(0, 2, False), (2, 14, True), (14, 22, False), (22, 30, True)]
+
+
+def test_reaction_candidates(spark):
+    texts = {
+        1: "The flask was charged with NaCl. NaOH was added with HCl. Then more was added. It was heated to 50 °C, cooled to 0 °C and stirred for 2 h. It was washed with brine to yield the salt.",
+        2: "It was charged with KOH and stirred for 5 min.", 3: "It was washed with brine. It was charged with KOH, heated to 40 °C.", 4: "Nothing.", 5: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "id bigint, t string")
+    got = {r["id"]: tuple(r)[1:] for r in reaction_candidates(lowered(docs, "id", "t"), docs, "id", "t").collect()}
+    assert got == {
+        1: ("NaCl", "HCl", "50.0", "120.0", "the salt", "brine", round((0.84 * 2 + 0.67 + 0.84 * 2 + 0.82) / 6, 4), "candidate"),
+        2: ("KOH", "", None, "5.0", None, "", 0.84, "product_required"), 3: ("", "", None, None, None, "brine", None, "insufficient"),
+    }
