@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +66,20 @@ def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"more than {rounds} rounds")
 
 
-def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """Simple cycles of at most `longest` nodes as arrays, each once, beginning at its smallest node; self-loops count."""
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles as arrays, each once, beginning at its smallest node; self-loops count. Of at most `longest` nodes, if that is given.
+
+    All cycles are listed, which may be very many in a dense graph; operators/cycles.py finds one of each component.
+    """
     core = on_cycles(edges)
     paths = core.where("b >= a").select(F.array("a").alias("path"), F.col("b").alias("next"))
     found = paths.where(F.col("path")[0] == F.col("next")).select("path")
-    for _ in range(longest - 1):
+    for _ in range(longest - 1) if longest else count():
         grown = paths.where("path[0] <> next").select(F.concat("path", F.array("next")).alias("path"))
         paths = stash(grown.join(core, F.element_at("path", -1) == F.col("a")).select("path", F.col("b").alias("next")).where("next >= path[0] and (next = path[0] or not array_contains(path, next))"), "paths")
         found = found.union(paths.where("path[0] = next").select("path"))
+        if paths.where("path[0] <> next").isEmpty():
+            break
     return found
 
 

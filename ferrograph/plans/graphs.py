@@ -21,10 +21,10 @@ def transitions(spark, sf_dir):
 TRANSITIONS = "t as (select a, b, count(*) as w from (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events) where b is not null group by 1, 2)"
 
 
-@query(f"with recursive {TRANSITIONS}, p as (select [a] as path, b as next from t where b >= a union all select list_append(path, next), t.b from p join t on t.a = p.next where p.next <> path[1] and t.b >= path[1] and (t.b = path[1] or not list_contains(list_append(path, next), t.b)) and len(path) < 4) select array_to_string(path, '>') as cycle, len(path)::int as n from p where next = path[1]")
+@query(f"with recursive {TRANSITIONS}, p as (select [a] as path, b as next from t where b >= a union all select list_append(path, next), t.b from p join t on t.a = p.next where p.next <> path[1] and t.b >= path[1] and (t.b = path[1] or not list_contains(list_append(path, next), t.b))) select array_to_string(path, '>') as cycle, len(path)::int as n from p where next = path[1]")
 def cycles(spark, sf_dir):
-    """Simple cycles of up to four event types in the graph of transitions."""
-    found = graphs.cycles(transitions(spark, sf_dir), 4)
+    """All simple cycles of event types in the graph of transitions."""
+    found = graphs.cycles(transitions(spark, sf_dir))
     return found.select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("n"))
 
 
