@@ -230,6 +230,8 @@ def features(node: Node) -> list[str]:
             found += [f"says {k} {'inside' if node.inside else 'marked' if node.kinds or node.controls else 'plain'}" for k in said]
         if node.last in ".!?…:;\"'”»)":
             found.append("ends as a sentence")
+        if node.tag in ("page", "html", "body"):
+            found.append(f"bare {size}")
     else:
         found.append("holds no text")
     return found
@@ -384,7 +386,7 @@ def labelled_pages(count: int, seed: int, names: bool = True) -> list[tuple[str,
 
 
 @cache
-def trained(count: int = 1200, seed: int = 11, rounds: int = 10) -> dict[str, float]:
+def trained(count: int = 1500, seed: int = 11, rounds: int = 10) -> dict[str, float]:
     """Weights by stochastic gradient ascent (each weight with a step of its own) on labelled pages."""
     data = []
     for page, text in labelled_pages(count, seed):
