@@ -36,7 +36,7 @@ def changed_rollup(spark, sf_dir):
     """Checks of changed files by nation."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", "o_totalprice")
     met = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(orders, "c_custkey", "left")
-    return met.groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n_files"), F.count("o_orderkey").alias("n_checks"), F.count_if(F.col("o_orderstatus") == "F").alias("n_ok"), F.count_if(F.col("o_orderstatus") == "P").alias("n_failing"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    return met.groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n_files"), F.count("o_orderkey").alias("n_checks"), F.sum((F.col("o_orderstatus") == "F").cast("bigint")).alias("n_ok"), F.sum((F.col("o_orderstatus") == "P").cast("bigint")).alias("n_failing"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("select o_custkey, (sum(o_totalprice::decimal(18, 2)) filter (where o_orderpriority = '1-URGENT' and o_orderstatus = 'P'))::double as equivalents from orders group by 1")

@@ -241,3 +241,19 @@ def test_similar_edges_against_all_pairs(spark):
     every = similarity.hybrid_edges(spark.createDataFrame(scores, "a bigint, b bigint, component string, score double")).where("score >= 0.5").collect()
     assert got == pytest.approx({(x["a"], x["b"]): x["score"] for x in every})
     assert (0, 1003) in got and any(b - a > 100 for a, b in got)
+
+
+def test_a_customer_without_orders_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from ferrograph import plans
+
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(10, 1, "F", "a"), (11, 1, "O", "b"), (12, 3, None, "a")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    columns = "c_custkey, n_orders, n_priorities, finished, completeness"
+    wanted = con.sql(f"select {columns} from ({plans.oracle_sql()['minimal_set_status']})").fetchall()
+    assert sorted(map(tuple, plans.queries()["minimal_set_status"](spark, str(tmp_path)).select(columns.split(", ")).collect())) == sorted(wanted)
