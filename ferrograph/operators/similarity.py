@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     With a metric ("cosine", "l2" or "inner_product") its k nearest rows instead: key, other, distance, place. Conditions
     restrict the rows that are found, not the queries.
 
-    Both sides are packed into blocks of `block` vectors; each pair of blocks is one matrix product and keeps k rows a
-    query, so what is shuffled is a block a pair and then k rows a query and block. Null vectors and zero vectors have none.
+    Both sides are packed into blocks of `block` vectors; each pair of blocks is one matrix product. A task merges what its
+    pairs find, so what is shuffled is a block a pair and then k rows a query and task. Null vectors and zero vectors have none.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +36,14 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))).join(left, "q")
 
     def product(batches):
-        for pdf in batches:
-            for q_rows, d_rows in zip(pdf["q_rows"], pdf["d_rows"], strict=True):
-                ids, a = np.array([r["id"] for r in q_rows]), np.array([np.asarray(r["v"]) for r in q_rows])
-                others, b = np.array([r["id"] for r in d_rows]), np.array([np.asarray(r["v"]) for r in d_rows])
+        found: dict[int, tuple] = {}
+
+        def merged(one: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in one], [key, "other", "cosine"])
+
+        for batch in batches:
+            for q, q_rows, d_rows in zip(*batch.columns, strict=True):
+                (ids, a), (others, b) = square(q_rows.values), square(d_rows.values)
                 a_length, b_length = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
                 with np.errstate(all="ignore"):
                     if metric == "l2":  # dimension by dimension: the product's form loses small distances
@@ -44,11 +51,16 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                     else:
                         cos = np.round(a @ b.T if metric == "inner_product" else (a @ b.T) / a_length[:, None] / b_length[None], 9)
                 cos[(ids[:, None] == others[None]) | ~np.isfinite(cos)] = -np.inf
-                order = np.lexsort((np.broadcast_to(others, cos.shape), -cos), axis=1)[:, :k]
-                got = pd.DataFrame({key: np.repeat(ids, order.shape[1]), "other": others[order].reshape(-1), "cosine": np.take_along_axis(cos, order, 1).reshape(-1)})
-                yield got[got["cosine"] > -np.inf]
-
-    found = pairs.select("q_rows", "d_rows").mapInPandas(product, f"{key} bigint, other bigint, cosine double")
+                got = foremost(cos, ids, others, k)
+                q = q.as_py()
+                if q in found:
+                    got = first_k(*(np.concatenate(c) for c in zip(found[q], got, strict=True)), k)
+                elif len(found) >= 64:
+                    yield merged(found.pop(next(iter(found))))
+                found[q] = got
+        yield from map(merged, found.values())
+
+    found = pairs.select("q", "q_rows", "d_rows").mapInArrow(product, f"{key} bigint, other bigint, cosine double")
     best = Window.partitionBy(key).orderBy(F.desc("cosine"), "other")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     if metric is None:
@@ -57,6 +69,26 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return found.select(key, "other", distance.alias("distance"), "place")
 
 
+def square(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block's rows (id, v), and their vectors, all of one length, as a matrix."""
+    return np.asarray(rows.field("id"), np.int64), np.asarray(rows.field("v").flatten(), np.float64).reshape(len(rows), -1)
+
+
+def first_k(ids: np.ndarray, others: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id the k rows of greatest cosine, ties by smaller other."""
+    order = np.lexsort((others, -cos, ids))
+    ids, others, cos = ids[order], others[order], cos[order]
+    kept = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+    return ids[kept], others[kept], cos[kept]
+
+
+def foremost(cos: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first_k of a matrix (ids by others): only what reaches a row's k-th value is sorted."""
+    least = -np.partition(-cos, k - 1, axis=1)[:, k - 1] if cos.shape[1] > k else np.full(len(ids), -np.inf)
+    i, j = np.nonzero((cos >= least[:, None]) & (cos > -np.inf))
+    return first_k(ids[i], others[j], cos[i, j], k)
+
+
 def class_pairs(items: DataFrame, key: str, bases: dict[str, Column], scores: dict[str, float]) -> DataFrame:
     """Pairs of classes that share at least one basis: a, b (smallest keys), n_a, n_b, basis (names joined), score, confidence.
 
@@ -115,7 +147,12 @@ def hybrid_edges(scores: DataFrame, preset: str = "hybrid") -> DataFrame:
     """
     w = WEIGHTS[preset]
     pairs = scores.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "component", "score").where("a <> b")
-    wide = pairs.groupBy("a", "b").agg(*[F.max(F.when(F.col("component") == c, F.col("score"))).alias(c) for c in w])
+    return scored(pairs.groupBy("a", "b").agg(*[F.max(F.when(F.col("component") == c, F.col("score"))).alias(c) for c in w]), preset)
+
+
+def scored(wide: DataFrame, preset: str = "hybrid") -> DataFrame:
+    """hybrid_edges of pairs (a, b) that hold their components as columns, each pair once."""
+    w = WEIGHTS[preset]
     have = {c: F.when(F.col(c).isNotNull(), F.lit(x)).otherwise(0.0) for c, x in w.items()}
     total = sum((x for x in have.values()), F.lit(0.0))
     plain = sum((x * F.coalesce(c, F.lit(0.0)) for c, x in have.items()), F.lit(0.0))
@@ -144,62 +181,163 @@ def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     return best.join(stats, "component").where(F.col("n_members") >= least).select(F.col("component").alias("cluster"), "n_members", "n_edges", "mean_score", "min_score", "representative")
 
 
-def all_scores(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
-    """Component scores (a, b, component, score) of all pairs of rows, however far apart, whose "hybrid" score is `least` or more.
+#: Blocks that travel as one row.
+PACK = 4
+PARTS = "a bigint, b bigint, semantic double, fingerprint double, center double, embedding double"
+
+
+def packed_classes(rows: DataFrame, key: str, vector: str, label: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, q, p_rows, q_rows) of packs of classes, and (a, b) with components for each class a and its further members b.
 
     Rows of equal vector and label are folded to a class, named by its smallest key: classes are paired with each other, and
-    a class with each of its further members, so copies are linked but never paired out. Classes are packed into blocks;
-    each pair of blocks is one matrix product, and only pairs that reach `least` leave it. Null vectors meet by label only.
+    a class with each of its further members, so copies are linked but never paired out.
     """
     from ..functions.scalars import cosine, sign_bits
 
     known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("l")).where("v is not null or l is not null")
     classes = stash(known.groupBy("v", "l").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
-    n = max(1, -(-classes.count() // block))
+    n = max(1, -(-classes.count() // (PACK * block)))
     packed = classes.select(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("p"), F.struct(F.col("c").alias("id"), "l", "v").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows"))
     left = packed.withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(n - 1))))
-    pairs = left.join(packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows")), "q")
-    w = WEIGHTS["hybrid"]
-
-    def unpacked(side, width):
-        size = np.array([-1 if r["v"] is None else len(r["v"]) for r in side])
-        v = np.zeros((len(side), width))
-        for i, r in enumerate(side):
-            v[i, : max(0, size[i])] = r["v"] if size[i] > 0 else 0
-        return np.array([r["id"] for r in side], np.int64), np.array([r["l"] for r in side], object), size, v, (v > 0).astype(float)
+    pairs = left.join(packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows")), "q").select("p", "q", "p_rows", "q_rows")
+    copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c")
+    has = F.col("v").isNotNull()
+    within = copies.select(
+        F.col("c").alias("a"), F.col("id").alias("b"), F.when(F.col("l").isNotNull(), 0.95).alias("semantic"), F.when(has, F.round(tanimoto(sign_bits(F.col("v")), sign_bits(F.col("v"))), 9)).alias("fingerprint"),
+        F.lit(None).cast("double").alias("center"), F.when(has, F.round(cosine(F.col("v"), F.col("v")), 9)).alias("embedding"),
+    )
+    return pairs, within
+
+
+def tiles(p: int, q: int, x: pa.StructArray, y: pa.StructArray, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Two packs in tiles of at most `block` rows a side: ids, ids, cosine, common sign bits, equal labels, both vectors known, score, to be paired."""
+
+    def side(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+        lists = rows.field("v")
+        size = np.asarray(lists.value_lengths().fill_null(-1), np.int64)
+        v = np.zeros((len(rows), width))
+        v[np.arange(width)[None] < size[:, None]] = np.asarray(lists.flatten(), np.float64)
+        return np.asarray(rows.field("id"), np.int64), size, v, (v > 0).astype(float)
+
+    longest = lambda rows: max((n for n in rows.field("v").value_lengths().to_pylist() if n), default=0)
+    width, w = max(longest(x), longest(y)), WEIGHTS["hybrid"]
+    names: dict[str, int] = {}
+    labels = [np.array([-1 if t is None else names.setdefault(t, len(names)) for t in r.field("l").to_pylist()], np.int64) for r in (x, y)]
+    left, right = side(x), side(y)
+    for i in range(0, len(x), block):
+        for j in range(i if p == q else 0, len(y), block):
+            a, na, va, ba = (c[i : i + block] for c in left)
+            b, nb, vb, bb = (c[j : j + block] for c in right)
+            la, lb = labels[0][i : i + block], labels[1][j : j + block]
+            norm = np.linalg.norm(va, axis=1)[:, None] * np.linalg.norm(vb, axis=1)[None]
+            shared = ba @ bb.T
+            every = ba.sum(1)[:, None] + bb.sum(1)[None] - shared
+            emb = np.where((norm > 0) & (na[:, None] == nb[None]), np.round(np.clip(va @ vb.T / np.where(norm > 0, norm, 1), -1, 1), 9), 0)
+            fp = np.round(shared / np.maximum(every, 1), 9)
+            same = (la[:, None] == lb[None]) & (la >= 0)[:, None]
+            both = (na >= 0)[:, None] & (nb >= 0)[None]
+            # term by term as in `scored`, so that both round alike
+            plain = same * w["semantic"] * 0.95 + w["fingerprint"] * fp + w["embedding"] * emb
+            score = plain + (1.0 - (same * w["semantic"] + w["fingerprint"] + w["embedding"])) * fp
+            score = np.where(both, score, np.where(same, 0.95, -np.inf))
+            yield a, b, emb, fp, same, both, score, (a[:, None] < b[None]) if p == q and i == j else (a[:, None] != b[None])
+
+
+def all_parts(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
+    """Pairs (a, b), each once, with their components of all rows, however far apart, whose "hybrid" score is `least` or more.
+
+    Classes of equal rows are packed into blocks; each pair of blocks is one matrix product, and only pairs that reach
+    `least` leave it. Null vectors meet by label only.
+    """
+    pairs, within = packed_classes(rows, key, vector, label, block)
 
     def product(batches):
-        for pdf in batches:
-            for p, q, x, y in zip(pdf["p"], pdf["q"], pdf["p_rows"], pdf["q_rows"], strict=True):
-                width = max(len(r["v"]) if r["v"] is not None else 0 for r in (*x, *y))
-                (a, la, na, va, ba), (b, lb, nb, vb, bb) = unpacked(x, width), unpacked(y, width)
-                norm = np.linalg.norm(va, axis=1)[:, None] * np.linalg.norm(vb, axis=1)[None]
-                shared = ba @ bb.T
-                every = ba.sum(1)[:, None] + bb.sum(1)[None] - shared
-                emb = np.where((norm > 0) & (na[:, None] == nb[None]), np.round(np.clip(va @ vb.T / np.where(norm > 0, norm, 1), -1, 1), 9), 0)
-                fp = np.round(shared / np.maximum(every, 1), 9)
-                same = (la[:, None] == lb[None]) & np.array([s is not None for s in la], bool)[:, None]
-                both = (na >= 0)[:, None] & (nb >= 0)[None]
-                total = same * w["semantic"] + w["fingerprint"] + w["embedding"]
-                score = same * w["semantic"] * 0.95 + w["fingerprint"] * fp + w["embedding"] * emb + (1 - total) * fp
-                score = np.where(both, score, np.where(same, 0.95, -np.inf))
-                i, j = np.nonzero((score >= least - 1e-6) & ((a[:, None] < b[None]) | (p != q) & (a[:, None] != b[None])))
-                for name, value, has in (("embedding", emb[i, j], both[i, j]), ("fingerprint", fp[i, j], both[i, j]), ("semantic", np.full(len(i), 0.95), same[i, j])):
-                    yield pd.DataFrame({"a": a[i][has], "b": b[j][has], "component": name, "score": value[has]})
-
-    between = pairs.select("p", "q", "p_rows", "q_rows").mapInPandas(product, "a bigint, b bigint, component string, score double")
-    copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c")
-    parts = F.array_compact(
-        F.array(
-            F.when(F.col("v").isNotNull(), F.struct(F.lit("embedding").alias("component"), F.round(cosine(F.col("v"), F.col("v")), 9).alias("score"))),
-            F.when(F.col("v").isNotNull(), F.struct(F.lit("fingerprint").alias("component"), F.round(tanimoto(sign_bits(F.col("v")), sign_bits(F.col("v"))), 9).alias("score"))),
-            F.when(F.col("l").isNotNull(), F.struct(F.lit("semantic").alias("component"), F.lit(0.95).alias("score"))),
-        )
-    )
-    within = copies.select(F.col("c").alias("a"), F.col("id").alias("b"), F.explode(parts).alias("p")).select("a", "b", "p.component", "p.score")
-    return between.unionByName(within)
+        for batch in batches:
+            for p, q, x, y in zip(*batch.columns, strict=True):
+                for a, b, emb, fp, same, both, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
+                    i, j = np.nonzero((score >= least - 1e-6) & paired)
+                    known = lambda value, has: pa.array(value, mask=~has)
+                    vectors = both[i, j]
+                    none = pa.nulls(len(i), pa.float64())
+                    made = [known(np.full(len(i), 0.95), same[i, j]), known(fp[i, j], vectors), none, known(emb[i, j], vectors)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), *made], [f.split()[0] for f in PARTS.split(", ")])
+
+    return pairs.mapInArrow(product, PARTS).unionByName(within)
 
 
 def similar_edges(rows: DataFrame, key: str, vector: str, label: str, least: float = CANDIDATE, block: int = 1024) -> DataFrame:
     """The hybrid edges of score `least` or more among all pairs of classes of equal rows, and from a class to its copies."""
-    return hybrid_edges(all_scores(rows, key, vector, label, least, block)).where(F.col("score") >= least)
+    return scored(all_parts(rows, key, vector, label, least, block)).where(F.col("score") >= least)
+
+
+def millionths(score: np.ndarray) -> np.ndarray:
+    """Scores to 6 places, halves up as Spark rounds them, as whole millionths."""
+    near = np.floor(score * 1e6 + 0.5)
+    i, j = np.nonzero(np.abs(score * 1e6 - np.floor(score * 1e6) - 0.5) < 1e-6)
+    near[i, j] = [int(Decimal(repr(x)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in score[i, j].tolist()]
+    return near.astype(np.int64)
+
+
+def tile_forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, paired: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The maximum spanning forest (a, b, millionths) of a tile's edges, ties by smaller (a, b), node by node from the best edge so far."""
+    nodes = np.unique(np.concatenate([a, b]))
+    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    size, usable = len(nodes), paired & (score > -np.inf)
+    low, high = np.minimum(x[:, None], y[None]), np.maximum(x[:, None], y[None])
+    none = np.iinfo(np.int64).min
+    rank = np.where(usable, millionths(np.where(usable, score, 0.0)) * size * size - (low * size + high), none)
+    at_a, at_b = np.full(size, -1), np.full(size, -1)
+    at_a[x], at_b[y] = np.arange(len(x)), np.arange(len(y))
+    best, outside = np.full(size, none), np.ones(size, bool)
+    for _ in range(size):
+        v = int(np.where(outside, best, none).argmax())
+        if not outside[v] or best[v] == none:
+            v = int(outside.argmax())
+        else:
+            w, pair = divmod(int(best[v]) + size * size - 1, size * size)
+            pair = size * size - 1 - pair
+            yield int(nodes[pair // size]), int(nodes[pair % size]), w
+        outside[v], best[v] = False, none
+        if at_a[v] >= 0:
+            best[y] = np.maximum(best[y], np.where(outside[y], rank[at_a[v]], none))
+        if at_b[v] >= 0:
+            best[x] = np.maximum(best[x], np.where(outside[x], rank[:, at_b[v]], none))
+
+
+def kept_edges(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The maximum spanning forest of edges (a, b, w), ties by smaller (a, b)."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    kept = []
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = root(a), root(b)
+        if x != y:
+            above[x] = y
+            kept.append((a, b, w))
+    return kept
+
+
+def forest_edges(rows: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
+    """Edges (a, b, w) among which the maximum spanning forest of all pairs of rows lies, whatever their score.
+
+    An edge that is not in the forest of two packs' own edges is not in the whole forest either (ties have one order), so two packs
+    of n rows leave 2n - 1 edges at most, not their n² pairs.
+    """
+    pairs, within = packed_classes(rows, key, vector, label, block)
+
+    def forests(batches):
+        for batch in batches:
+            for p, q, x, y in zip(*batch.columns, strict=True):
+                edges: list[tuple[int, int, int]] = []
+                for a, b, _, _, _, _, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
+                    edges += tile_forest(a, b, score, paired)
+                kept = np.array(kept_edges(edges), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1]), pa.array(kept[:, 2] / 1e6)], ["a", "b", "w"])
+
+    return pairs.mapInArrow(forests, "a bigint, b bigint, w double").unionByName(scored(within).select("a", "b", F.col("score").alias("w")))

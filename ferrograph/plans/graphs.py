@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs
-from ..tables import table
+from ..tables import stash, table
 from .registry import query
 
 
@@ -47,13 +47,10 @@ def components(spark, sf_dir):
 
 @query()
 def spanning_forest(spark, sf_dir):
-    """The maximum spanning forest of the edges between all vectors; those under 0.35 are worked out only if the others do not span."""
-    from ..operators.similarity import similar_edges
+    """The maximum spanning forest of the edges between all vectors, whatever their score."""
+    from ..operators.similarity import forest_edges
 
-    rows = table(spark, sf_dir, "embeddings")
-    forest = lambda least: graphs.spanning_forest(similar_edges(rows, "vec_id", "embedding", "label", least).select("a", "b", F.col("score").alias("w")))
-    found = forest(0.35)
-    return found if found.count() >= rows.count() - 1 else forest(-1.0)
+    return graphs.spanning_forest(stash(forest_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "pairs"))
 
 
 @query("""

@@ -257,3 +257,25 @@ def test_a_customer_without_orders_as_in_sql(spark, tmp_path):
     columns = "c_custkey, n_orders, n_priorities, finished, completeness"
     wanted = con.sql(f"select {columns} from ({plans.oracle_sql()['minimal_set_status']})").fetchall()
     assert sorted(map(tuple, plans.queries()["minimal_set_status"](spark, str(tmp_path)).select(columns.split(", ")).collect())) == sorted(wanted)
+
+
+def test_forest_edges_hold_the_forest_of_all_pairs(spark):
+    r = random.Random(5)
+    vectors = [[r.choice([-1.0, -0.5, 0.5, 1.0]) for _ in range(4)] for _ in range(40)]
+    rows = [(i, r.choice(vectors) if r.random() < 0.9 else None, r.choice([None, 1, 2])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, l int")
+    every = graphs.spanning_forest(similarity.similar_edges(df, "id", "v", "l", -1.0).select("a", "b", F.col("score").alias("w")))
+    edges = similarity.forest_edges(df, "id", "v", "l", block=6)
+    assert edges.count() < 1200
+    assert sorted(map(tuple, graphs.spanning_forest(edges).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_top_neighbours_over_many_blocks(spark):
+    r = random.Random(6)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for metric in ("l2", "inner_product"):
+        far = lambda x, y: round(sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) ** 0.5, 9) if metric == "l2" else -sum(p * q for p, q in zip(x, y, strict=True))  # noqa: B023, E731
+        got = similarity.top_neighbours(df, df.where("vec_id % 4 = 0"), 5, block=7, metric=metric)
+        wanted = {(i, n + 1): o for i, v in rows if i % 4 == 0 for n, (_, o) in enumerate(sorted((far(v, y), j) for j, y in rows if j != i)[:5])}
+        assert {(x["vec_id"], x["place"]): x["other"] for x in got.collect()} == wanted
