@@ -105,30 +105,58 @@ def class_pairs(items: DataFrame, key: str, bases: dict[str, Column], scores: di
     return out.withColumn("confidence", band(F.col("score"), 0.85, 0.65))
 
 
-def tanimoto_links(sets: DataFrame, key: str, bits: str, percent: int) -> DataFrame:
+#: Bits that one product of two packs of sets covers.
+CHUNK = 2048
+
+
+def common(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Of two columns of sets of numbers, how many each of the one shares with each of the other."""
+    sides = [np.asarray(c.flatten(), np.int64) for c in (x, y)]
+    owners = [np.repeat(np.arange(len(c)), np.asarray(c.value_lengths())) for c in (x, y)]
+    bits = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    shared = np.zeros((len(x), len(y)))
+    for at in range(0, len(bits), CHUNK):
+        some = bits[at : at + CHUNK]
+        made = []
+        for owner, side, column in zip(owners, sides, (x, y), strict=True):
+            place = np.minimum(np.searchsorted(some, side), len(some) - 1)
+            held = some[place] == side
+            matrix = np.zeros((len(column), len(some)), np.float32)
+            matrix[owner[held], place[held]] = 1
+            made.append(matrix)
+        shared += made[0] @ made[1].T
+    return shared
+
+
+def tanimoto_links(sets: DataFrame, key: str, bits: str, percent: int, pack: int = 2048) -> DataFrame:
     """Per item: key, class_id (smallest key with the same set), n_links: other items with 100 * shared >= percent * all bits.
 
-    Equal sets are folded to classes first. Classes meet through prefixes: with bits ordered rarest first, two sets that
-    reach the threshold share one of the first size - ceil(percent / 100 * size) + 1. A pair goes on only if the sizes, and
-    what is left of both sets behind the places where they meet, allow it. Bits travel as numbers. Empty sets have no links.
+    Equal sets are folded to classes first. Classes are packed, by number and by bits; a pair of packs is one product of 0-1
+    matrices over the bits that both hold, `CHUNK` bits at a time, and only counts of links leave it. All pairs of classes are
+    compared, as at low thresholds hardly any prefix tells sets apart. Bits travel as numbers. Empty sets have no links.
     """
     items = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(bits, lambda b: F.xxhash64(b)))).alias("s"))
     classes = stash(items.groupBy("s").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
     full = classes.where(F.size("s") > 0)
-    spread = full.select("c", F.explode("s").alias("bit"))
-    rare = spread.groupBy("bit").agg(F.count("*").alias("df"))
-    ordered = spread.join(rare, "bit").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "bit"))).alias("o"))
-    size = F.size("o")
-    heads = ordered.select("c", size.alias("size"), F.posexplode(F.slice("o", F.lit(1), size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1)).alias("i", "h")).select("c", "size", "i", F.col("h.bit").alias("bit"))
-    other = heads.select(F.col("c").alias("d"), F.col("size").alias("size_d"), F.col("i").alias("j"), "bit")
-    # at a first meeting at places i and j at most 1 + min(size - i, size_d - j) - 1 bits are shared
-    most = F.least(F.col("size") - F.col("i"), F.col("size_d") - F.col("j"))
-    met = heads.join(other, "bit").where(f"c < d and 100 * least(size, size_d) >= {percent} * greatest(size, size_d)")
-    met = met.groupBy("c", "d").agg(F.max(most).alias("most"), F.first("size").alias("size"), F.first("size_d").alias("size_d")).where(f"100 * most >= {percent} * (size + size_d - most)")
-    pair = met.select("c", "d").join(full.select("c", F.col("s").alias("x"), F.col("n").alias("n_c")), "c").join(full.select(F.col("c").alias("d"), F.col("s").alias("y"), F.col("n").alias("n_d")), "d")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = pair.withColumn("shared", shared).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("shared")))
-    counts = linked.select("c", F.col("n_d").alias("m")).union(linked.select("d", "n_c")).groupBy("c").agg(F.sum("m").alias("m"))
+    size = full.agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("bits")).first()
+    packs = max(1, -(-size["n"] // pack), -(-(size["bits"] or 0) // (1024 * pack)))
+    packed = full.select(F.pmod(F.xxhash64("c"), F.lit(packs)).cast("int").alias("p"), F.struct(F.col("c").cast("bigint").alias("c"), "n", "s").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows"))
+    left = packed.withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(packs - 1))))
+    pairs = left.join(packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows")), "q").select("p", "q", "p_rows", "q_rows")
+
+    def linked(batches):
+        for batch in batches:
+            for p, q, x, y in zip(*batch.columns, strict=True):
+                x, y = x.values, y.values
+                over = (100 + percent) * common(x.field("s"), y.field("s")) >= percent * np.add.outer(*(np.asarray(r.field("s").value_lengths(), np.float64) for r in (x, y)))
+                if p.as_py() == q.as_py():
+                    np.fill_diagonal(over, False)
+                for mine, other, held in ((x, y, over), (y, x, over.T))[: 1 if p.as_py() == q.as_py() else 2]:
+                    m = held @ np.asarray(other.field("n"), np.float64)
+                    some = np.flatnonzero(m)
+                    yield pa.RecordBatch.from_arrays([mine.field("c").take(pa.array(some)), pa.array(m[some].astype(np.int64))], ["c", "m"])
+
+    counts = pairs.mapInArrow(linked, "c bigint, m bigint").groupBy("c").agg(F.sum("m").alias("m"))
     known = classes.join(counts, "c", "left").select("s", "c", (F.coalesce("m", F.lit(0)) + F.when(F.size("s") > 0, F.col("n") - 1).otherwise(0)).cast("bigint").alias("n_links"))
     return items.join(known, "s").select(F.col("id").alias(key), F.col("c").alias("class_id"), "n_links")
 

@@ -279,3 +279,17 @@ def test_top_neighbours_over_many_blocks(spark):
         got = similarity.top_neighbours(df, df.where("vec_id % 4 = 0"), 5, block=7, metric=metric)
         wanted = {(i, n + 1): o for i, v in rows if i % 4 == 0 for n, (_, o) in enumerate(sorted((far(v, y), j) for j, y in rows if j != i)[:5])}
         assert {(x["vec_id"], x["place"]): x["other"] for x in got.collect()} == wanted
+
+
+def test_tanimoto_links_over_packs_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CHUNK", 5)
+    r = random.Random(9)
+    sets = {i: sorted({r.randrange(30) for _ in range(r.randrange(0, 20))}) for i in range(90)}
+    df = spark.createDataFrame([*sets.items(), (200, sets[3])], "id bigint, s array<bigint>")
+    sets[200] = sets[3]
+    found = similarity.tanimoto_links(df, "id", "s", 40, pack=8)
+    # classes meet in packs: no join pairs them out by their bits
+    assert "bit#" not in found._jdf.queryExecution().toString()
+    for x in found.collect():
+        s = set(sets[x["id"]])
+        assert x["n_links"] == sum(1 for j, t in sets.items() if j != x["id"] and s and 100 * len(s & set(t)) >= 40 * len(s | set(t)))
