@@ -22,6 +22,8 @@ from ..tables import drop, stash
 SLACK = 1e-6
 #: Summaries of blocks that one task compares with as many others.
 TILE = 1024
+#: Blocks of a group: those of two groups meet in one task. Of few blocks there are FEWEST groups, so that several tasks have work.
+GROUP, FEWEST = 64, 6
 
 
 @dataclass
@@ -134,20 +136,44 @@ def near_blocks(left: PivotIndex, right: PivotIndex) -> DataFrame:
 
 
 def compared(pairs: DataFrame, left: PivotIndex, right: PivotIndex, keep, schema: str) -> DataFrame:
-    """What `keep` (ids, vectors, ids, vectors of two blocks) yields as arrays for each pair (a, b) of blocks."""
-    one = lambda index, x: index.blocks.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"v_{x}"))
-    both = pairs.select("a", "b").join(one(left, "a"), "a").join(one(right, "b"), "b").select("a", "b", "ids_a", "v_a", "ids_b", "v_b")
+    """What `keep` (ids, vectors, ids, vectors of two blocks) yields as arrays for each pair (a, b) of blocks.
+
+    Blocks travel by groups of GROUP on either side: a block goes to a task once for all its pairs with a group, not once a pair.
+    """
+
+    def groups(index: PivotIndex, side: str) -> tuple[DataFrame, DataFrame]:
+        n = index.blocks.count()
+        n = max(1, min(n, FEWEST), -(-n // GROUP))
+        of = index.blocks.select(F.col("block").alias(side), F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias(f"g{side}"))
+        return of, index.blocks.select(F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias(f"g{side}"), "block", "ids", "vectors")
+
+    (of_a, from_a), (of_b, from_b) = groups(left, "a"), groups(right, "b")
+    met = pairs.select("a", "b").join(of_a, "a").join(of_b, "b").groupBy("ga", "gb").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    met = stash(met, "met")
+    used = lambda x, other: met.select("ga", "gb", F.explode(F.array_distinct(F.transform("pairs", lambda p: p[x]))).alias("block"), F.lit(x).alias("side"))
+    sent_a = used("a", "b").join(from_a, ["ga", "block"]).select("ga", "gb", "side", "block", "ids", "vectors")
+    sent_b = used("b", "a").join(from_b, ["gb", "block"]).select("ga", "gb", "side", "block", "ids", "vectors")
+    asked = met.select("ga", "gb", F.lit("").alias("side"), F.explode("pairs").alias("p")).select("ga", "gb", "side", F.col("p.a").alias("block"), F.col("p.b").alias("other"))
+    none = F.lit(None)
+    rows = sent_a.unionByName(sent_b).withColumn("other", none.cast("bigint")).unionByName(asked.withColumns({"ids": none.cast("binary"), "vectors": none.cast("binary")}))
     names, length = [f.split()[0] for f in schema.split(", ")], left.length
 
     def run(batches):
+        at, held = None, {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                _, _, ids_a, v_a, ids_b, v_b = (c[i] for c in batch.columns)
-                x, y = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, length) for v in (v_a, v_b))
-                made = keep(np.frombuffer(ids_a.as_buffer(), np.int64), x, np.frombuffer(ids_b.as_buffer(), np.int64), y)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names)
+            for ga, gb, side, block, ids, vectors, other in zip(*batch.columns, strict=True):
+                now = ga.as_py(), gb.as_py()
+                if now != at:
+                    at, held = now, {}
+                if side.as_py():
+                    held[side.as_py(), block.as_py()] = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors.as_py(), np.float64).reshape(-1, length)
+                else:
+                    made = keep(*held["a", block.as_py()], *held["b", other.as_py()])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names)
 
-    return both.mapInArrow(run, schema)
+    # sides sort behind pairs as letters, so in falling order blocks come first
+    dealt = rows.repartition(max(1, met.count()), "ga", "gb").sortWithinPartitions("ga", "gb", F.desc("side"))
+    return dealt.select("ga", "gb", "side", "block", "ids", "vectors", "other").mapInArrow(run, schema)
 
 
 PAIR = "a bigint, b bigint, cosine double"
@@ -158,14 +184,14 @@ def rounded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def over(least: float):
-    """Pairs of two blocks of cosine `least` or more, the smaller id first, each pair of ids once."""
+    """Pairs of two blocks of cosine `least` or more, the smaller id first; a block's pairs with itself once."""
 
     def keep(ids_a, x, ids_b, y):
         cos = rounded(x, y)
         i, j = np.nonzero(cos >= least)
         a, b = ids_a[i], ids_b[j]
-        ok = a < b
-        return a[ok], b[ok], cos[i, j][ok]
+        ok = a < b if np.array_equal(ids_a, ids_b) and np.array_equal(x, y) else a != b
+        return np.minimum(a, b)[ok], np.maximum(a, b)[ok], cos[i, j][ok]
 
     return keep
 
@@ -174,6 +200,7 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, pivots: i
     """All pairs (a, b, cosine) of rows, a < b, whose cosine (to 9 places) is `least` or more."""
     index = pivot_index(rows, key, vector, pivots, block)
     every = stash(near_blocks(index, index), "near")
+    every = every.where("a <= b")
     pairs = stash(every.where(F.col("bound") <= float(np.arccos(np.clip(least, -1, 1))) + SLACK), "pairs")
     return Compared(compared(pairs, index, index, over(least), PAIR), pairs.count(), every.count())
 
@@ -208,8 +235,7 @@ def top_pairs(rows: DataFrame, key: str, vector: str, k: int, pivots: int = 64,
         upto = limit if r == rounds - 1 else float(every.where((F.col("a") < F.col("b")) & (F.col("bound") > reach) & (F.col("bound") <= limit)).agg(F.percentile_approx("bound", (r + 1) / rounds)).first()[0] or 0.0)
         now = stash(every.where((F.col("a") <= F.col("b")) & (F.col("a") != F.col("b")) & (F.col("bound") > reach) & (F.col("bound") <= min(upto, limit))), "now")
         n += now.count()
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))  # either block may have the smaller id
-        before, found = found, stash(best(found.union(compared(both, index, index, top(least), PAIR))), "top")
+        before, found = found, stash(best(found.union(compared(now, index, index, top(least), PAIR))), "top")
         drop(before, now)
         reach = max(reach, min(upto, limit))
         if upto >= limit:

@@ -53,3 +53,17 @@ def test_few_rows_and_none(spark):
     for none in (df.where("false"), df.where("id = 2400")):
         assert pivots.cosine_pairs(none, "id", "v", 0.5).rows.count() == 0 and pivots.top_pairs(none, "id", "v", 5).rows.count() == 0
         assert pivots.neighbours(none, none, 5, "id", "v").rows.count() == 0
+
+
+def test_a_block_travels_once_a_group_of_blocks(spark):
+    rows, df = clustered(spark, n=600)
+    index = pivots.pivot_index(df, "id", "v", 8, 20)
+    pairs = pivots.near_blocks(index, index).where("a <= b")
+
+    def keep(ids_a, x, ids_b, y):
+        return np.array([len(ids_a)]), np.array([len(ids_b)]), np.array([0.0])
+
+    found = pivots.compared(pairs, index, index, keep, pivots.PAIR)
+    assert found.count() == pairs.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ids_a" not in plan and "v_b" not in plan  # no row holds the vectors of both blocks of a pair
