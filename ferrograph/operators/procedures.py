@@ -6,8 +6,9 @@ One pass over each text finds its frames; coverage and gaps are joins and window
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ ACTION = re.compile("|".join(rf"(?P<{name}>\b{pattern}\b)" for name, (_, pattern
 SEEN = re.compile(rf"\b(?:{OBSERVATION}|turned|became|precipitat\w*|bubbles?)\b", re.I)
 # Abbreviations that end no sentence; words that part clauses; what may stand before a clause's action.
 SHORT = re.compile(r"(?:\b(?i:e\.g|i\.e|ca|approx|etc|vs|no|fig|dr|eq|equiv|temp|aq|sat)|(?<![0-9°]\s)(?<![0-9°])\b[A-Z])\.$")
+STOP = re.compile(r"[.!?]+(?=\s|$)")
 PARTING = re.compile(r"[,;]|\b(?:and then|followed by|and|then)\b", re.I)
 LEAD = re.compile(r"[\s,]*(?:(?:and|then|was|were|is|are)\s+|(?:it|they|the(?:\s+[\w-]+){1,3}|[\w-]+)\s+(?:was|were)\s+)*", re.I)
 MARK = re.compile(r"\s*(?:[0-9]+[.)]|[-*•])\s+")
@@ -49,7 +51,7 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
     for begin, end in lines:
         mark = MARK.match(text, begin, end)
         begin = mark.end() if mark else begin
-        for m in re.compile(r"[.!?]+(?=\s|$)").finditer(text, begin, end):
+        for m in STOP.finditer(text, begin, end):
             if m.end() < end and text[m.end() - 1] == "." and SHORT.search(text, max(begin, m.end() - 12), m.end()):
                 continue
             yield from trimmed(text, begin, m.end())
@@ -113,90 +115,118 @@ def frames(text: str, known: frozenset[str] | None = None) -> list[tuple]:
     """
     found: list[tuple] = []
     for a, b in sentences(text):
-        for start, end in clauses(text, a, b):
-            depth = depths(text, start, end)
-            acts = [m for m in ACTION.finditer(text, start, end) if not depth[m.start() - start] and (known is None or FAMILIES[m.lastgroup] in known)]
-            for k, m in enumerate(acts):
-                first, last = (start if not k else m.start()), (acts[k + 1].start() if k + 1 < len(acts) else end)
-                tail = re.compile(r"(?:[\s,;]+(?:and|then))*[\s,;]*\Z", re.I).search(text[first:last])
-                last = first + tail.start()
-                found.append((len(found), "step", FAMILIES[m.lastgroup], first, last, *parameters(text[first:last]), SURE, None))
-            if not acts and any(c.isalnum() for c in text[start:end]):
-                seen = SEEN.search(text, start, end)
-                nothing = (None,) * 6
-                found.append((len(found), "observation", None, start, end, *nothing, OBSERVED, None) if seen else (len(found), "unparsed", "observe", start, end, *nothing, UNSURE, "W805"))
+        found += [(len(found) + k, kind, family, a + start, a + end, *rest) for k, (kind, family, start, end, *rest) in enumerate(said(text[a:b], known))]
     return found
 
 
-def lowered(texts: DataFrame, key: str, text: str, known: list[str] | None = None) -> DataFrame:
-    """Frames of each text: key and FRAME (spans in code points, end exclusive). Null and empty texts have none; no shuffle."""
-    only = frozenset(known) if known is not None else None
-    names, kind = [f.split()[0] for f in FRAME.split(", ")], texts.schema[key].dataType.simpleString()
-    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string()]
+def said(sentence: str, known: frozenset[str] | None = None) -> list[tuple]:
+    """Frames of one sentence, without their places."""
+    found: list[tuple] = []
+    for start, end in clauses(sentence, 0, len(sentence)):
+        depth = depths(sentence, start, end)
+        acts = [m for m in ACTION.finditer(sentence, start, end) if not depth[m.start() - start] and (known is None or FAMILIES[m.lastgroup] in known)]
+        for k, m in enumerate(acts):
+            first, last = (start if not k else m.start()), (acts[k + 1].start() if k + 1 < len(acts) else end)
+            tail = re.compile(r"(?:[\s,;]+(?:and|then))*[\s,;]*\Z", re.I).search(sentence[first:last])
+            last = first + tail.start()
+            found.append(("step", FAMILIES[m.lastgroup], first, last, *parameters(sentence[first:last]), SURE, None))
+        if not acts and any(c.isalnum() for c in sentence[start:end]):
+            seen = SEEN.search(sentence, start, end)
+            nothing = (None,) * 6
+            found.append(("observation", None, start, end, *nothing, OBSERVED, None) if seen else ("unparsed", "observe", start, end, *nothing, UNSURE, "W805"))
+    return found
+
+
+#: Sentences that a task remembers what was found in.
+REMEMBERED = 50_000
+ARROW = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def by_sentence(texts: DataFrame, key: str, text: str, find: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """What `find` gives for each sentence of each text: key, place in the text, and the schema's columns, with start and end_ counted from the text's beginning.
+
+    A sentence begins and ends beside white space, so no word reaches over it and it is read by itself: each different one of a batch once.
+    """
+    columns, kind = [tuple(f.split()) for f in schema.split(", ")], texts.schema[key].dataType.simpleString()
+    names = [n for n, _ in columns]
 
     def run(batches):
+        memory: dict[str, list[tuple]] = {}
         for batch in batches:
-            rows = [(i, f) for i, t in enumerate(batch.column(1)) if t.is_valid for f in frames(t.as_py(), only)]
-            keys = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array([f[k] for _, f in rows], t) for k, t in enumerate(types))], ["key", *names])
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            number: dict[str, int] = {}
+            which, owner, at = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for a, b in sentences(t) if t else ():
+                    which.append(number.setdefault(t[a:b], len(number)))
+                    owner.append(i)
+                    at.append(a)
+            lists = [memory[s] if s in memory else memory.setdefault(s, find(s)) for s in number]
+            flat = [f for found in lists for f in found]
+            sizes = np.array([len(found) for found in lists], np.int64)
+            which, owner, at = (np.array(x, np.int64) for x in (which, owner, at))
+            n = sizes[which] if len(which) else which
+            first = (np.cumsum(sizes) - sizes)[which] if len(which) else which
+            rows = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            owners, shift = np.repeat(owner, n), np.repeat(at, n)
+            place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+            made = [pa.array([f[k] for f in flat], ARROW[t]).take(pa.array(rows)) for k, (_, t) in enumerate(columns)]
+            made = [pa.array((np.asarray(c) + shift).astype(np.int32)) if name in ("start", "end_") else c for name, c in zip(names, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(place.astype(np.int32)), *made], ["key", "place", *names])
+
+    return texts.select(key, text).mapInArrow(run, f"key {kind}, place int, {schema}").withColumnRenamed("key", key)
 
-    return texts.select(key, text).mapInArrow(run, f"key {kind}, {FRAME}").withColumnRenamed("key", key)
+
+def lowered(texts: DataFrame, key: str, text: str, known: list[str] | None = None) -> DataFrame:
+    """Frames of each text: key and FRAME (spans in code points, end exclusive). Null and empty texts have none; no shuffle."""
+    only = frozenset(known) if known is not None else None
+    return by_sentence(texts, key, text, lambda sentence: said(sentence, only), FRAME.removeprefix("place int, "))
 
 
 def entries(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """What in a text looks like an action, an observation or a material: key, source, action, family, start, end_."""
+    """What in a text looks like an action, an observation or a material: key, source, action, family, start, end_. Each is one word."""
     seen, material = re.compile(rf"\b{OBSERVATION}\b", re.I), re.compile(rf"\b{MATERIAL}\b")
-    kind = texts.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, t in enumerate(batch.column(1)):
-                t = t.as_py() or ""
-                rows += [(i, "english_action_keyword", m.lastgroup, FAMILIES[m.lastgroup], m.start(), m.end()) for m in ACTION.finditer(t)]
-                rows += [(i, source, None, None, m.start(), m.end()) for source, p in (("observation_keyword", seen), ("material_like", material)) for m in p.finditer(t)]
-            keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types))], ["key", "source", "action", "family", "start", "end_"])
+    def find(t: str) -> list[tuple]:
+        found = [("english_action_keyword", m.lastgroup, FAMILIES[m.lastgroup], m.start(), m.end()) for m in ACTION.finditer(t)]
+        return found + [(source, None, None, m.start(), m.end()) for source, p in (("observation_keyword", seen), ("material_like", material)) for m in p.finditer(t)]
 
-    return texts.select(key, text).mapInArrow(run, f"key {kind}, source string, action string, family string, start int, end_ int").withColumnRenamed("key", key)
+    return by_sentence(texts, key, text, find, "source string, action string, family string, start int, end_ int").drop("place")
 
 
 def coverage(found: DataFrame, framed: DataFrame, key: str, width: int = 64) -> DataFrame:
     """entries (from `entries`) with status: covered_by_step if a step of their family overlaps them, covered_by_observation if an observation
     does, else uncovered_action_like; observation words are covered_by_observation, materials uncovered_material_like.
 
-    Spans meet in bins of `width` characters, so a long text's spans are not paired out.
+    Actions alone meet frames, in bins of `width` characters, so a long text's spans are not paired out. An action word is shorter
+    than a bin: it is in the bin where it begins, a frame in its bins and the one before, and so an action's rows stay together.
     """
-    e = found.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end_") - 1) / width))))
+    e = found.where("source = 'english_action_keyword'").withColumn("bin", F.floor(F.col("start") / width))
     f = framed.where("kind <> 'unparsed'").select(key, "kind", F.col("family").alias("of"), F.col("start").alias("s"), F.col("end_").alias("e"))
-    f = f.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
+    f = f.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width) - 1, F.floor((F.col("e") - 1) / width))))
     met = e.join(f, [key, "bin"], "left").withColumn("over", F.coalesce((F.col("s") < F.col("end_")) & (F.col("start") < F.col("e")), F.lit(False)))
     step = F.max((F.col("over") & (F.col("kind") == "step") & (F.col("of") == F.col("family"))).cast("int")) == 1
     seen = F.max((F.col("over") & (F.col("kind") == "observation")).cast("int")) == 1
-    flags = met.groupBy(key, "source", "action", "family", "start", "end_").agg(step.alias("step"), seen.alias("seen"))
-    status = (
-        F.when(F.col("source") == "observation_keyword", "covered_by_observation").when(F.col("source") == "material_like", "uncovered_material_like")
-        .when(F.col("step"), "covered_by_step").when(F.col("seen"), "covered_by_observation").otherwise("uncovered_action_like")
-    )
-    return flags.select(key, "source", "action", "family", "start", "end_", status.alias("status"))
+    flags = met.groupBy(key, "bin", "start", "end_", "source", "action", "family").agg(step.alias("step"), seen.alias("seen"))
+    status = F.when(F.col("step"), "covered_by_step").when(F.col("seen"), "covered_by_observation").otherwise("uncovered_action_like")
+    plain = F.when(F.col("source") == "observation_keyword", "covered_by_observation").otherwise("uncovered_material_like")
+    columns = [key, "source", "action", "family", "start", "end_"]
+    return flags.select(*columns, status.alias("status")).union(found.where("source <> 'english_action_keyword'").select(*columns, plain.alias("status")))
 
 
 def cover(framed: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """The text cut into covered and open intervals: key, start, end_, covered. Steps and observations are merged where they overlap or touch."""
-    spans = framed.where("kind <> 'unparsed'").select(key, "start", "end_")
-    before = Window.partitionBy(key).orderBy("start", "end_").rowsBetween(Window.unboundedPreceding, -1)
-    reach = spans.withColumn("reach", F.max("end_").over(before))
-    islands = reach.withColumn("island", F.sum((F.coalesce("reach", F.lit(-1)) < F.col("start")).cast("int")).over(Window.partitionBy(key).orderBy("start", "end_")))
-    merged = islands.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end_").alias("end_"))
-    ends = texts.where(F.length(text) > 0).select(key, F.length(text).alias("length"))
-    order = Window.partitionBy(key).orderBy("start")
-    gaps = merged.select(key, F.col("end_").alias("start"), F.lead("start").over(order).alias("next"))
-    first = merged.groupBy(key).agg(F.min("start").alias("first"))
-    gaps = gaps.join(ends, key).select(key, "start", F.coalesce("next", "length").alias("end_"))
-    heads = ends.join(first, key, "left").select(key, F.lit(0).alias("start"), F.coalesce("first", "length").alias("end_"))
-    open_ = gaps.union(heads).where("start < end_").withColumn("covered", F.lit(False))
-    return merged.select(key, "start", "end_", F.lit(True).alias("covered")).union(open_)
+    # a text's end is a row without an end of its own, behind all spans, so one shuffle brings all together
+    ends = texts.where(F.length(text) > 0).select(key, F.length(text).alias("start"), F.lit(None).cast("int").alias("end_"))
+    rows = framed.where("kind <> 'unparsed'").select(key, "start", "end_").union(ends)
+    order = Window.partitionBy(key).orderBy("start", F.col("end_").isNull(), "end_")
+    reach = rows.withColumn("reach", F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    cuts = reach.where("reach is null or start > reach or end_ is null").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    cuts = cuts.withColumn("until", F.lead("reach").over(order))
+    part = lambda when, start, end, covered: F.when(when, F.struct(F.col(start).alias("start"), F.col(end).alias("end_"), F.lit(covered).alias("covered")))
+    parts = F.array_compact(F.array(part(F.col("start") > F.col("reach"), "reach", "start", False), part(F.col("end_").isNotNull(), "start", "until", True)))
+    return cuts.select(key, F.explode(parts).alias("p")).select(key, "p.*")
 
 
 def reaction_facts(framed: DataFrame, key: str) -> DataFrame:

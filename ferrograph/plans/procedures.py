@@ -30,12 +30,16 @@ KNOWN = [f for f in dict.fromkeys(f for f, _ in ACTIONS.values()) if f not in ("
 
 def told(spark, sf_dir):
     """Each order's procedure; every 50th has none, every 51st a blank one."""
-    q = F.col("l_quantity").cast("int")
-    text = F.element_at(F.array(*[F.lit("".join(p[0] for p in s)) for s in SENTENCES]), (F.col("l_suppkey") % len(SENTENCES) + 1).cast("int"))
-    text = F.replace(F.replace(text, F.lit("{q}"), q.cast("string")), F.lit("{t}"), (q + 40).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", q.alias("q"), text.alias("text")))).alias("ls"))
-    said = F.array_join(F.col("ls.text"), " ")
-    return rows.select("key", F.when(F.col("key") % 50 == 0, F.lit(None)).when(F.col("key") % 51 == 0, F.lit(" \n ")).otherwise(said).alias("t"))
+    q = F.col("l_quantity").cast("int").alias("q")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", q))).alias("ls"))
+
+    def line(x):
+        """A line's sentence, written behind the shuffle."""
+        text = F.element_at(F.array(*[F.lit("".join(p[0] for p in s)) for s in SENTENCES]), (x["l_suppkey"] % len(SENTENCES) + 1).cast("int"))
+        return F.replace(F.replace(text, F.lit("{q}"), x["q"].cast("string")), F.lit("{t}"), (x["q"] + 40).cast("string"))
+
+    told = F.array_join(F.transform("ls", line), " ")
+    return rows.select("key", F.when(F.col("key") % 50 == 0, F.lit(None)).when(F.col("key") % 51 == 0, F.lit(" \n ")).otherwise(told).alias("t"))
 
 
 def _value(x: str | None) -> str:

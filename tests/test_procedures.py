@@ -64,3 +64,19 @@ def test_reaction_candidates(spark):
         1: ("NaCl", "HCl", "50.0", "120.0", "the salt", "brine", round((0.84 * 2 + 0.67 + 0.84 * 2 + 0.82) / 6, 4), "candidate"),
         2: ("KOH", "", None, "5.0", None, "", 0.84, "product_required"), 3: ("", "", None, None, None, "brine", None, "insufficient"),
     }
+
+
+def test_a_sentence_is_read_once_a_batch(spark):
+    from ferrograph.operators.procedures import by_sentence
+
+    docs = spark.createDataFrame([(i, "Go on. It was heated. Go on. " * 3) for i in range(20)], "id bigint, t string").coalesce(1)
+    reads = spark.sparkContext.accumulator(0)
+
+    def find(sentence):
+        reads.add(1)
+        return [("x", 0, len(sentence))]
+
+    got = sorted((r["id"], r["place"], r["start"], r["end_"]) for r in by_sentence(docs, "id", "t", find, "kind string, start int, end_ int").collect())
+    one = [(29 * k + a, 29 * k + b) for k in range(3) for a, b in ((0, 6), (7, 21), (22, 28))]
+    assert got == [(i, n, a, b) for i in range(20) for n, (a, b) in enumerate(one)]
+    assert reads.value == 2
