@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import blocks, components, drop, stash
@@ -183,6 +183,28 @@ def open_members(spokes: DataFrame, judged: DataFrame, first: DataFrame, percent
     return members
 
 
+def early(percent: int) -> Column:
+    """Whether a row (n, rest) of a bucket could be linked with one like itself.
+
+    Rows (n, rest) and (m, more) may be linked only if (100 + percent) * rest and (100 + percent) * more are both
+    percent * (n + m) or more; were neither row early, the first would need m < n and the second n < m.
+    """
+    return F.expr(f"{100 + percent} * rest >= {2 * percent} * n")
+
+
+def early_centres(rows: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Centres (token, hub) of buckets of rows (token, id, c, n, rest): the early row of least id of each of `parts` parts by hash."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    return rows.where(early(percent)).groupBy("token", part).agg(F.min(F.struct("id", "c", "n", "rest")).alias("hub")).select("token", "hub")
+
+
+def meetings(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's row and centre of different components whose places there allow a link."""
+    most = "least(rest, hub.rest)"
+    met = rows.join(centres, "token").where(f"id <> hub.id and c <> hub.c and 100 * {most} >= {percent} * (n + hub.n - {most})")
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+
+
 def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1 << 20, rounds: int = 15) -> DataFrame:
     """Links (a, b) that join members (id, c) of different components c to the components that all their links make.
 
@@ -191,10 +213,11 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
     shingle's bucket holds those members only that have it so early: what most members share names no bucket unless
     hardly anything else is in the set. A place in the order also bounds what two sets may share: sets of n and m shingles
     that first meet at places i and j share min(n - i, m - j) at most, so a member leaves a bucket none of whose sets is
-    small enough, and a pair is compared only if that bound allows a link. In each round a bucket's members of other
-    components are compared with its centres, the least id of each of 1, 16, 256, ... parts by hash; centres then leave the
-    bucket, links join components, and buckets of one component are closed. What is joined to a bucket's rows is written, so Spark broadcasts it where its
-    files are small. Raises if buckets are open after `rounds`.
+    small enough, and a pair meets only if that bound allows a link. Of two that may be linked, one at least is early (see
+    `early`), so only early members are centres, and a bucket without one is closed however large it is. In each round a
+    bucket's members of other components are compared with its centres, the least id of each of 1, 16, 256, ... parts by hash;
+    centres then leave the bucket, links join components, and buckets of one component are closed. What is joined to a
+    bucket's rows is written, so Spark broadcasts it where its files are small. Raises if buckets are open after `rounds`.
     """
     whole = members.join(sets.hint("merge"), "id").select("id", "c", "s")
 
@@ -211,7 +234,7 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
     table[np.asarray(counts["cell"], np.int64)] = np.asarray(counts["n"], np.int64)
     shared = members.sparkSession.sparkContext.broadcast(table)
 
-    def early(batches):
+    def prefixes(batches):
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for i, s in enumerate(batch.column(2)):
@@ -226,10 +249,10 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["token", "id", "c", "n", "rest"])
 
     # rest: the shingles of a set from this one on
-    open_ = stash(whole.mapInArrow(early, "token bigint, id bigint, c bigint, n bigint, rest bigint"), "rare")
+    open_ = stash(whole.mapInArrow(prefixes, "token bigint, id bigint, c bigint, n bigint, rest bigint"), "rare")
     links = None
     for k in range(rounds):
-        several = stash(open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least"), "several")
+        several = stash(open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(early(percent), F.col("n"))).alias("least")).where("low < high and least is not null").select("token", "least"), "several")
         left = open_.join(several, "token").where(f"100 * rest >= {percent} * (n + greatest(least, rest) - rest)").drop("least")
         left = stash(left, "left")
         drop(several)
@@ -237,12 +260,8 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int, cells: int = 1
         if left.isEmpty():
             drop(left)
             return links if links is not None else members.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
-        part = F.pmod(F.xxhash64("id"), F.lit(16**k))
-        centres = stash(left.groupBy("token", part).agg(F.min(F.struct("id", "c", "n", "rest")).alias("hub")).select("token", "hub"), "centres")
-        met = left.join(centres, "token").where(f"id <> hub.id and c <> hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-        met = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), (F.col("n") + F.col("hub.n")).alias("both"), F.least("rest", "hub.rest").alias("most"))
-        met = met.groupBy("a", "b").agg(F.max("most").alias("most"), F.max("both").alias("both")).where(f"100 * most >= {percent} * (both - most)")
-        pairs = stash(met.select("a", "b"), "rarepairs")
+        centres = stash(early_centres(left, percent, 16**k), "centres")
+        pairs = stash(meetings(left, centres, percent).distinct(), "rarepairs")
         found = stash(confirmed(pairs, sets).where(f"100 * shared >= {percent} * total").select("a", "b"), "rarelinks")
         links = found if links is None else links.union(found)
         used = centres.select("token", F.col("hub.id").alias("id"))

@@ -14,7 +14,7 @@ from ferrograph.llm import html_text, pii, quality, substrings
 from ferrograph.llm.decontaminate import decontaminate
 from ferrograph.llm.html_text import extract_text
 from ferrograph.llm.lines import dedup_lines
-from ferrograph.llm.minhash import near_duplicates
+from ferrograph.llm.minhash import early_centres, meetings, near_duplicates
 from ferrograph.llm.mixing import mix
 from ferrograph.llm.pii import personal_data
 from ferrograph.llm.quality import quality_rules
@@ -339,6 +339,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(x["kept"] == (x["component_id"] == i) and x["n_shingles"] == len(sets[i]) for i, x in got.items())
 
 
+def test_a_crowd_of_late_members_of_a_bucket_is_not_paired_out(spark):
+    """Of two rows that may be linked one is early; 400 late ones of different components meet the two early ones or nothing."""
+    late = [(7, i, i, 100, 85) for i in range(400)]  # only sets of 91 shingles or fewer could be linked from place 15 on
+    rows = spark.createDataFrame([*late, (7, 900, 900, 90, 90), (7, 901, 901, 100, 95)], "token long, id long, c long, n long, rest long")
+    centres = early_centres(rows, 80, 1 << 40)
+    assert {r["hub"]["id"] for r in centres.collect()} == {900, 901}
+    possible = {(min(x, y), max(x, y)) for x, n, r in [(r["id"], r["n"], r["rest"]) for r in rows.collect()] for y, m, s in [(900, 90, 90), (901, 100, 95)] if x != y and 180 * min(r, s) >= 80 * (n + m)}
+    got = [tuple(r) for r in meetings(rows, centres, 80).collect()]
+    assert set(got) == possible and {(i, 900) for i in range(400)} < possible and len(got) <= 402
+
+
 def test_near_duplicates_in_one_crowd_against_all_pairs(spark):
     """5000 graded copies of three texts that share a long passage: crowded buckets, many members linked only by way of others."""
     r = random.Random(16)
