@@ -10,25 +10,46 @@ from pyspark.sql import functions as F
 from ..tables import drop, stash
 
 
+#: Rows of one node beyond which a join by it would burden one task.
+HOT = 100_000
+
+
+def with_least(rows: DataFrame, by: str, least: DataFrame) -> DataFrame:
+    """rows (a, b) with m: that of the node `by` in least (a, m), null if it has none.
+
+    Nodes of more than HOT rows are few; their m is broadcast, so that their rows stay where they are and no task gets them all.
+    Both tables are written, as they are read more than once.
+    """
+    found = least.select(F.col("a").alias(by), "m")
+    if rows.count() <= HOT:
+        return rows.join(found, by, "left").select("a", "b", "m")
+    hot = stash(rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > HOT).join(found, by, "left").select(by, F.col("m").alias("hot_m"), F.lit(True).alias("hot")), "hot")
+    if hot.isEmpty():
+        return rows.join(found, by, "left").select("a", "b", "m")
+    told = rows.join(F.broadcast(hot), by, "left")
+    cold = told.where("hot is null").select("a", "b").join(found, by, "left").select("a", "b", "m")
+    return told.where("hot").select("a", "b", F.col("hot_m").alias("m")).union(cold)
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component) for each node of undirected edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each keeps connectivity and moves every node towards its
-    smallest neighbour, so chains halve in length and no node's neighbours are ever gathered in one row.
+    smallest neighbour, so chains halve in length and no node's neighbours are ever gathered in one row or one task.
     Ends when a round changes no edge. Raises if `rounds` do not suffice.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     for _ in range(rounds):
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: each larger neighbour is linked to the smallest of the neighbourhood
-        large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # large star: a node's larger neighbours are linked to the smallest of its neighbourhood, itself included
+        low = stash(now.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = with_least(now, "b", low).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = stash(large, "large")
         # small star: smaller neighbours and the node itself are linked to the smallest
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = with_least(large, "a", least).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         last, now = now, stash(small, name)
-        drop(last)
+        drop(last, low, large, least)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("d")).first()
         if got == seen and got["n"] == got["d"]:
             break

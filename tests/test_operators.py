@@ -293,3 +293,13 @@ def test_tanimoto_links_over_packs_and_chunks(spark, monkeypatch):
     for x in found.collect():
         s = set(sets[x["id"]])
         assert x["n_links"] == sum(1 for j, t in sets.items() if j != x["id"] and s and 100 * len(s & set(t)) >= 40 * len(s | set(t)))
+
+
+def test_components_of_nodes_with_many_neighbours(spark, monkeypatch):
+    """With a small bound stars and chains have hot nodes on either end, whose rows are not dealt by node."""
+    from ferrograph.operators import graphs
+
+    monkeypatch.setattr(graphs, "HOT", 5)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 500) for i in range(100, 140)] + [(i, i + 1) for i in range(600, 640)] + [(39, 100), (7, 7)]
+    got = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 600 if i >= 600 else 0 for i in [*range(40), *range(100, 140), 500, *range(600, 641)]}
