@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from ..tables import drop, stash
 
 #: Rounds beyond which a loop is taken not to end, and the edges a removed node that make a round of contraction worth its jobs.
 ROUNDS, WORTH = 10_000, 12
+#: Edges up to which a group is worked on within one task; larger ones go through the rounds.
+WITHIN = 100_000
 
 
 def removable(edges: DataFrame, round_: int, keep: DataFrame | None = None) -> DataFrame:
@@ -56,7 +59,101 @@ def contracted(edges: DataFrame, keep: DataFrame | None = None, paths: bool = Fa
     raise RuntimeError(f"more than {ROUNDS} rounds")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong(ways: dict) -> dict:
+    """For each node of ways (node: its successors, every node a key) the least node of its strongly connected component."""
+    order, low, stack, found = {}, {}, [], {}
+    for root in ways:
+        todo = [] if root in order else [(root, iter(ways[root]))]
+        while todo:
+            v, onward = todo[-1]
+            if v not in order:
+                order[v] = low[v] = len(order)
+                stack.append(v)
+            for w in onward:
+                if w not in order:
+                    todo.append((w, iter(ways[w])))
+                    break
+                if w not in found:
+                    low[v] = min(low[v], order[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == order[v]:
+                    at = len(stack) - 1
+                    while stack[at] != v:
+                        at -= 1
+                    found |= dict.fromkeys(stack[at:], min(stack[at:]))
+                    del stack[at:]
+    return found
+
+
+def least_cycle(start, ways: dict) -> list | None:
+    """The shortest way from start back to it, of those the least, node by node; None if there is none."""
+    before: dict = {}
+    for a, onward in ways.items():
+        for b in onward:
+            before.setdefault(b, []).append(a)
+    far, front = {start: 0}, [start]
+    while front:
+        front = [w for v in front for w in before.get(v, ()) if far.setdefault(w, far[v] + 1) == far[v] + 1 and w != start]
+        front = list(dict.fromkeys(front))
+    if start in ways[start]:
+        return [start]
+    left, path = min((far[w] for w in ways[start] if w in far), default=None), [start]
+    if left is None:
+        return None
+    while left:
+        path.append(min(w for w in ways[path[-1]] if far.get(w) == left))
+        left -= 1
+    return path
+
+
+def within_groups(edges: DataFrame, group: str, cycles: bool) -> tuple[DataFrame, DataFrame]:
+    """Results for the groups of WITHIN edges or fewer, one after the other within tasks, and the edges (a, b) of larger ones.
+
+    Edges of different groups must share no node. Results are (node, component), or with `cycles` (component, n_nodes, cycle).
+    """
+    clean = stash(edges.select(F.col(group).alias("g"), "a", "b").where("a is not null and b is not null").distinct(), "grouped")
+    large = stash(clean.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > WITHIN).select("g"), "large")
+    small = clean.join(large, clean["g"].eqNullSafe(large["g"]), "left_anti")
+    kind = clean.schema["a"].dataType.simpleString()
+    schema = f"component {kind}, n_nodes bigint, cycle array<{kind}>" if cycles else f"node {kind}, component {kind}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def settled(ways: dict) -> list[tuple]:
+        found = strong(ways)
+        if not cycles:
+            return list(found.items())
+        members: dict = {}
+        for node, c in found.items():
+            members.setdefault(c, []).append(node)
+        inner = {c: {v: [w for w in ways[v] if found[w] == c] for v in nodes} for c, nodes in members.items() if len(nodes) > 1 or c in ways[c]}
+        return [(c, len(members[c]), path) for c, ways_ in inner.items() if (path := least_cycle(c, ways_))]
+
+    def run(batches):
+        now, ways, rows = None, {}, []
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(1).type, pa.int64(), pa.list_(batch.schema.field(1).type)] if cycles else [batch.schema.field(1).type] * 2
+            for g, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != now:
+                    rows += settled(ways)
+                    now, ways = g, {}
+                ways.setdefault(a, []).append(b)
+                ways.setdefault(b, [])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows = []
+        rows = settled(ways)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    found = small.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+    return stash(found, "within"), clean.join(large, clean["g"].eqNullSafe(large["g"]), "left_semi").select("a", "b")
+
+
+def strong_components(edges: DataFrame, group: str | None = None) -> DataFrame:
     """(node, component) for each node of directed edges (a, b): component is the least node of its strongly connected component.
 
     Edges with a null end are ignored. Nodes with one way in or out are passed by first, so long chains and rings cost
@@ -64,7 +161,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     node and those of that colour that reach it are a component, which is taken out, and the rest goes on. Nodes
     passed by then return in reverse: a node is in the component that it has both a way from and a way to, if there is one.
     Every step is written, and no node's edges are gathered in one row.
+
+    With a column `group` of edges, of which no two share a node, groups of WITHIN edges or fewer are settled within tasks,
+    after one shuffle of the edges, and only larger ones go through these rounds. Nodes are then texts or whole numbers.
     """
+    if group:
+        found, rest = within_groups(edges, group, False)
+        return found if rest.isEmpty() else found.unionByName(strong_components(rest))
     clean = stash(edges.select("a", "b").where("a is not null and b is not null").distinct(), "directed")
     core, rounds, _ = contracted(clean.where("a <> b"))
     found = stash(clean.where("false").select(F.col("a").alias("node"), F.col("a").alias("s")), "strong")
@@ -117,13 +220,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def canonical_cycles(edges: DataFrame) -> DataFrame:
+def canonical_cycles(edges: DataFrame, group: str | None = None) -> DataFrame:
     """One cycle of each strongly connected component that has one: component, n_nodes (of the component), cycle (an array of nodes).
 
     The cycle is the shortest through the component's least node, where it begins; of those the least, node by node. A node
     with an edge to itself alone is a cycle of one. Lengths have no bound: other nodes with one way in or out are
     passed by first, edges carrying the nodes between, and shortest paths then grow by one edge of the rest a round.
+    With `group`, as for strong_components, only groups of more than WITHIN edges go through these rounds.
     """
+    if group:
+        found, rest = within_groups(edges, group, True)
+        return found if rest.isEmpty() else found.unionByName(canonical_cycles(rest))
     member = stash(strong_components(edges), "member")
     sizes = member.groupBy("component").agg(F.count("*").alias("n_nodes"))
     clean = edges.select("a", "b").where("a is not null and b is not null").distinct()

@@ -11,10 +11,12 @@ from .registry import query
 
 
 def walks(spark, sf_dir):
-    """Edges between the states (user, event type, tens of the value) that a user's successive events visit."""
-    state = F.concat_ws(":", F.lpad(F.col("user_id").cast("string"), 6, "0"), "event_type", F.floor(F.col("value") / 10).cast("string"))
+    """Edges (walker, a, b) between the states (user, event type, tens of the value) that a user's successive events visit."""
+    # what a state's name shows of its user, which is the same for some users of seven digits
+    walker = F.lpad(F.col("user_id").cast("string"), 6, "0")
+    state = F.concat_ws(":", walker, "event_type", F.floor(F.col("value") / 10).cast("string"))
     events = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id")).withColumn("state", state)
-    return neighbours(events, "user_id", "at", F.col("state")).select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).where("b is not null").distinct()
+    return neighbours(events, "user_id", "at", F.col("state")).select(walker.alias("walker"), F.col("from_node").alias("a"), F.col("to_node").alias("b")).where("b is not null").distinct()
 
 
 WALKS = """
@@ -27,7 +29,7 @@ m as materialized (select x.a as node, least(x.a, min(y.b)) as component from (s
 @query(f"with recursive {WALKS} select node, component from m")
 def strong_states(spark, sf_dir):
     """The strongly connected component of each state."""
-    return strong_components(walks(spark, sf_dir))
+    return strong_components(walks(spark, sf_dir), "walker")
 
 
 @query(f"""
@@ -42,4 +44,4 @@ best as (select c, min({{'n': n, 'p': path}}).p as cycle from z group by c)
 select c as component, (select count(*) from m where component = c) as n_nodes, array_to_string(cycle, ' > ') as cycle from best""")
 def state_cycles(spark, sf_dir):
     """One canonical cycle of each strongly connected component, whatever its length."""
-    return canonical_cycles(walks(spark, sf_dir)).select("component", "n_nodes", F.array_join("cycle", " > ").alias("cycle"))
+    return canonical_cycles(walks(spark, sf_dir), "walker").select("component", "n_nodes", F.array_join("cycle", " > ").alias("cycle"))

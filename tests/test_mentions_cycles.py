@@ -110,3 +110,37 @@ def test_a_ring_of_ten_thousand_nodes(spark):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "a bigint, b bigint")
     assert strong_components(none).count() == 0 and canonical_cycles(none).count() == 0
+
+
+def test_grouped_graphs_against_a_model(spark):
+    """Groups are settled within tasks; a null group is one too."""
+    import random
+
+    from ferrograph.operators import cycles
+
+    r = random.Random(9)
+    edges = [(g, f"{g}:{r.randrange(n):02}", f"{g}:{r.randrange(n):02}") for g, n in (("a", 6), ("b", 12), ("c", 14), (None, 9)) for _ in range(18)]
+    edges += [("d", f"d:{i:03}", f"d:{(i + 1) % 40:03}") for i in range(40)] + [("e", "e:1", "e:1"), ("e", "e:1", "e:2"), ("f", "f:1", "f:2"), ("f", "f:2", "f:1"), ("f", "f:2", "f:2")]
+    ways: dict = {}
+    for _, a, b in edges:
+        ways.setdefault(a, set()).add(b)
+        ways.setdefault(b, set())
+    reach = {}
+    for v in ways:  # nodes that one step or more lead to
+        seen, todo = set(), [v]
+        while todo:
+            new = ways[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[v] = seen
+    component = {v: min([v, *(w for w in reach[v] if v in reach[w])]) for v in ways}
+    cycle = {}
+    for c in {c for c in component.values() if c in reach[c]}:
+        paths = {c: [c]}
+        while c not in (last := {p[-1]: p for p in sorted(([*p, w] for p in paths.values() for w in ways[p[-1]]), reverse=True)}):
+            paths = last
+        cycle[c] = last[c][:-1]
+    rows = spark.createDataFrame(edges, "g string, a string, b string")
+    assert {x["node"]: x["component"] for x in cycles.strong_components(rows, "g").collect()} == component
+    got = {x["component"]: (x["n_nodes"], x["cycle"]) for x in cycles.canonical_cycles(rows, "g").collect()}
+    assert got == {c: (sum(x == c for x in component.values()), path) for c, path in cycle.items()}
