@@ -209,26 +209,37 @@ def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     return best.join(stats, "component").where(F.col("n_members") >= least).select(F.col("component").alias("cluster"), "n_members", "n_edges", "mean_score", "min_score", "representative")
 
 
-#: Blocks that travel as one row.
-PACK = 4
+#: Blocks that travel as one row where whole tiles are looked at, and rows of a pack where few pairs are.
+PACK, LARGE = 4, 16384
+#: Parts in which the pairs of one pack are dealt.
+SHARES = 4
 PARTS = "a bigint, b bigint, semantic double, fingerprint double, center double, embedding double"
 
 
-def packed_classes(rows: DataFrame, key: str, vector: str, label: str, block: int) -> tuple[DataFrame, DataFrame]:
+def packed_classes(rows: DataFrame, key: str, vector: str, label: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (p, q, p_rows, q_rows) of packs of classes, and (a, b) with components for each class a and its further members b.
 
     Rows of equal vector and label are folded to a class, named by its smallest key: classes are paired with each other, and
-    a class with each of its further members, so copies are linked but never paired out.
+    a class with each of its further members, so copies are linked but never paired out. There are some 16 packs, so that
+    every core has pairs, of `least` rows or more and `most` or fewer. Each pack meets the half of the others that follow
+    it in a ring, so all packs have as many pairs, which are dealt in `SHARES` parts.
     """
     from ..functions.scalars import cosine, sign_bits
 
-    known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("l")).where("v is not null or l is not null")
+    double = F.transform("v", lambda x: x.cast("double"))
+    known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l")).where("v is not null or l is not null")
+    if known.schema["v"].dataType.elementType.typeName() != "float":  # floats travel as they are, in half the bytes
+        known = known.withColumn("v", double)
     classes = stash(known.groupBy("v", "l").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
-    n = max(1, -(-classes.count() // (PACK * block)))
-    packed = classes.select(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("p"), F.struct(F.col("c").alias("id"), "l", "v").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows"))
-    left = packed.withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(n - 1))))
-    pairs = left.join(packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows")), "q").select("p", "q", "p_rows", "q_rows")
-    copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c")
+    size = classes.count()
+    n = max(1, -(-size // most), min(16, -(-size // least)))
+    packed = stash(classes.select(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("p"), F.struct(F.col("c").alias("id"), "l", "v").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows")), "packs")
+    left = packed.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n // 2)))).where(f"2 * d < {n} or 2 * p < {n}")
+    left = left.select("p", "p_rows", ((F.col("p") + F.col("d")) % n).alias("q"), (F.col("d") % SHARES).alias("share"))
+    right = packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    dealt = [side.repartition(SHARES * n, "q", "share") for side in (left, right)]
+    pairs = dealt[0].join(dealt[1], ["q", "share"]).select("p", "q", "p_rows", "q_rows")
+    copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c").withColumn("v", double)
     has = F.col("v").isNotNull()
     within = copies.select(
         F.col("c").alias("a"), F.col("id").alias("b"), F.when(F.col("l").isNotNull(), 0.95).alias("semantic"), F.when(has, F.round(tanimoto(sign_bits(F.col("v")), sign_bits(F.col("v"))), 9)).alias("fingerprint"),
@@ -237,58 +248,129 @@ def packed_classes(rows: DataFrame, key: str, vector: str, label: str, block: in
     return pairs, within
 
 
-def tiles(p: int, q: int, x: pa.StructArray, y: pa.StructArray, block: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Two packs in tiles of at most `block` rows a side: ids, ids, cosine, common sign bits, equal labels, both vectors known, score, to be paired."""
+class Side:
+    """The rows of a pack as matrices: id, label (-1: none) and length (-1: no vector), vectors filled up with zeros, their sign bits."""
 
-    def side(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    def __init__(self, rows: pa.StructArray, labels: np.ndarray, width: int):
         lists = rows.field("v")
-        size = np.asarray(lists.value_lengths().fill_null(-1), np.int64)
-        v = np.zeros((len(rows), width))
-        v[np.arange(width)[None] < size[:, None]] = np.asarray(lists.flatten(), np.float64)
-        return np.asarray(rows.field("id"), np.int64), size, v, (v > 0).astype(float)
-
-    longest = lambda rows: max((n for n in rows.field("v").value_lengths().to_pylist() if n), default=0)
-    width, w = max(longest(x), longest(y)), WEIGHTS["hybrid"]
-    names: dict[str, int] = {}
-    labels = [np.array([-1 if t is None else names.setdefault(t, len(names)) for t in r.field("l").to_pylist()], np.int64) for r in (x, y)]
-    left, right = side(x), side(y)
+        self.id, self.label = np.asarray(rows.field("id"), np.int64), labels
+        self.size = np.asarray(lists.value_lengths().fill_null(-1), np.int64)
+        self.v = np.zeros((len(rows), width))
+        self.v[np.arange(width)[None] < self.size[:, None]] = np.asarray(lists.flatten(), np.float64)
+        self.norm, self.bits = np.linalg.norm(self.v, axis=1), self.v > 0
+        self.count = self.bits.sum(1)
+
+    @classmethod
+    def both(cls, x: pa.StructArray, y: pa.StructArray) -> tuple[Side, Side]:
+        labels = np.asarray(pa.concat_arrays([x.field("l"), y.field("l")]).dictionary_encode().indices.fill_null(-1), np.int64)
+        width = max((n for r in (x, y) for n in r.field("v").value_lengths().to_pylist() if n), default=0)
+        return cls(x, labels[: len(x)], width), cls(y, labels[len(x) :], width)
+
+    def even(self) -> set[int]:
+        """Lengths of its vectors, and -1 if a norm is too small, too great or no number, so that no bound can be relied on."""
+        odd = (self.norm != 0) & ~((self.norm > 1e-100) & (self.norm < 1e100))
+        return {*np.unique(self.size[self.size >= 0]).tolist(), *([-1] if odd.any() else [])}
+
+    def directions(self) -> np.ndarray:
+        """Of each row its bits over the root of twice their number, and its vector of length 1: the one's products are half the bits' cosine."""
+        bits = self.bits / np.sqrt(2 * np.maximum(self.count, 1))[:, None]
+        return np.hstack([bits, self.v / np.where(self.norm > 0, self.norm, 1)[:, None]]).astype(np.float32)
+
+
+def candidates(x: Side, y: Side, alone: bool, least: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in two packs, or in one if `alone`, of all pairs whose score may be `least` or more, each once; few others.
+
+    A fingerprint is f = r / (1 - r), r being the common bits over the sum of both counts, at most half the bits' cosine. What
+    f must be at least, as no cosine is above 1, is known; from there on f lies under its chord up to r = 1/2. So a weighted
+    sum of the bits' cosine and the vectors' is a bound of the score, and one product of matrices gives it for a tile.
+    Pairs of one label, which need less, are looked at by label.
+    """
+    w = WEIGHTS["hybrid"]
+    bounded = len(lengths := x.even() | y.even()) < 2 and -1 not in lengths
+    width = x.v.shape[1]
+    left = x.directions() if bounded else None
+    right = left if alone else y.directions() if bounded else None
+
+    def tile_pairs(rows: np.ndarray, others: np.ndarray, base: float, weight: float, same: bool):
+        low = min(max((least - base - w["embedding"]) / weight, 0.0), 0.999)
+        r = low / (1 + low)
+        slope = (1 - low) / (0.5 - r)
+        need = least - base - weight * (low - slope * r) - 1e-4  # room for 32-bit products
+        scale = np.repeat([weight * slope, w["embedding"]], width).astype(np.float32)
+        for i in range(0, len(rows), block):
+            a = rows[i : i + block]
+            mine = left[a] * scale if bounded else None
+            for j in range(i if alone else 0, len(others), block):
+                b = others[j : j + block]
+                over = mine @ right[b].T >= need if bounded else np.ones((len(a), len(b)), bool)
+                if same:  # rows without a vector meet by label only
+                    over |= (x.size[a] < 0)[:, None] | (y.size[b] < 0)[None]
+                found = np.flatnonzero(over)
+                k, m = a[found // len(b)], b[found % len(b)]
+                kept = ((x.label[k] == y.label[m]) & (x.label[k] >= 0)) == same
+                if alone and i == j:
+                    kept &= x.id[k] < y.id[m]
+                yield k[kept], m[kept]
+
+    yield from tile_pairs(np.arange(len(x.id)), np.arange(len(y.id)), 0.0, 1.0 - w["embedding"], False)
+    order = [np.argsort(s.label, kind="stable") for s in (x, y)]
+    for label in np.intersect1d(x.label, y.label):
+        if label >= 0:
+            of = [o[slice(*np.searchsorted(s.label[o], [label, label + 1]))] for s, o in zip((x, y), order, strict=True)]
+            yield from tile_pairs(*of, w["semantic"] * 0.95, 1.0 - w["semantic"] - w["embedding"], True)
+
+
+def tiles(p: int, q: int, x: pa.StructArray, y: pa.StructArray, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Two packs in tiles of at most `block` rows a side: ids, ids, score, to be paired."""
+    left, right = Side.both(x, y)
     for i in range(0, len(x), block):
         for j in range(i if p == q else 0, len(y), block):
-            a, na, va, ba = (c[i : i + block] for c in left)
-            b, nb, vb, bb = (c[j : j + block] for c in right)
-            la, lb = labels[0][i : i + block], labels[1][j : j + block]
-            norm = np.linalg.norm(va, axis=1)[:, None] * np.linalg.norm(vb, axis=1)[None]
-            shared = ba @ bb.T
-            every = ba.sum(1)[:, None] + bb.sum(1)[None] - shared
-            emb = np.where((norm > 0) & (na[:, None] == nb[None]), np.round(np.clip(va @ vb.T / np.where(norm > 0, norm, 1), -1, 1), 9), 0)
-            fp = np.round(shared / np.maximum(every, 1), 9)
-            same = (la[:, None] == lb[None]) & (la >= 0)[:, None]
-            both = (na >= 0)[:, None] & (nb >= 0)[None]
-            # term by term as in `scored`, so that both round alike
-            plain = same * w["semantic"] * 0.95 + w["fingerprint"] * fp + w["embedding"] * emb
-            score = plain + (1.0 - (same * w["semantic"] + w["fingerprint"] + w["embedding"])) * fp
-            score = np.where(both, score, np.where(same, 0.95, -np.inf))
-            yield a, b, emb, fp, same, both, score, (a[:, None] < b[None]) if p == q and i == j else (a[:, None] != b[None])
+            a, b = slice(i, i + block), slice(j, j + block)
+            norm = left.norm[a, None] * right.norm[None, b]
+            shared = left.bits[a].astype(float) @ right.bits[b].astype(float).T
+            *_, score = parts(left, right, (a, None), (None, b), shared, left.v[a] @ right.v[b].T, norm)
+            ids, others = left.id[a], right.id[b]
+            yield ids, others, score, (ids[:, None] < others[None]) if p == q and i == j else (ids[:, None] != others[None])
+
+
+def parts(x: Side, y: Side, i, j, shared: np.ndarray, product: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows i of x and j of y: cosine, common sign bits, equal labels, both vectors known, score."""
+    w = WEIGHTS["hybrid"]
+    emb = np.where((norm > 0) & (x.size[i] == y.size[j]), np.round(np.clip(product / np.where(norm > 0, norm, 1), -1, 1), 9), 0)
+    fp = np.round(shared / np.maximum(x.count[i] + y.count[j] - shared, 1), 9)
+    same = (x.label[i] == y.label[j]) & (x.label[i] >= 0)
+    both = (x.size[i] >= 0) & (y.size[j] >= 0)
+    # term by term as in `scored`, so that both round alike
+    plain = same * w["semantic"] * 0.95 + w["fingerprint"] * fp + w["embedding"] * emb
+    score = plain + (1.0 - (same * w["semantic"] + w["fingerprint"] + w["embedding"])) * fp
+    return emb, fp, same, both, np.where(both, score, np.where(same, 0.95, -np.inf))
 
 
 def all_parts(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
     """Pairs (a, b), each once, with their components of all rows, however far apart, whose "hybrid" score is `least` or more.
 
-    Classes of equal rows are packed into blocks; each pair of blocks is one matrix product, and only pairs that reach
+    Classes of equal rows are packed; in each pair of packs all pairs pass a bound, a product of 32-bit matrices by tiles of
+    `block` rows, and those it leaves are scored exactly, so a task holds two packs and a tile. Only pairs that reach
     `least` leave it. Null vectors meet by label only.
     """
-    pairs, within = packed_classes(rows, key, vector, label, block)
+    pairs, within = packed_classes(rows, key, vector, label, block, max(block, LARGE))
+    names = [f.split()[0] for f in PARTS.split(", ")]
 
     def product(batches):
         for batch in batches:
-            for p, q, x, y in zip(*batch.columns, strict=True):
-                for a, b, emb, fp, same, both, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
-                    i, j = np.nonzero((score >= least - 1e-6) & paired)
-                    known = lambda value, has: pa.array(value, mask=~has)
-                    vectors = both[i, j]
-                    none = pa.nulls(len(i), pa.float64())
-                    made = [known(np.full(len(i), 0.95), same[i, j]), known(fp[i, j], vectors), none, known(emb[i, j], vectors)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), *made], [f.split()[0] for f in PARTS.split(", ")])
+            for p, q, x_rows, y_rows in zip(*batch.columns, strict=True):
+                alone = p.as_py() == q.as_py()
+                x, y = Side.both(x_rows.values, y_rows.values)
+                for found in candidates(x, y, alone, least - 1e-6, block):
+                    for at in range(0, len(found[0]), LARGE):
+                        i, j = (c[at : at + LARGE] for c in found)
+                        shared = (x.bits[i] & y.bits[j]).sum(1)
+                        emb, fp, same, both, score = parts(x, y, i, j, shared, np.einsum("ij,ij->i", x.v[i], y.v[j]), x.norm[i] * y.norm[j])
+                        k = np.flatnonzero(score >= least - 1e-6)
+                        known = lambda value, has: pa.array(value[k], mask=~has[k])
+                        made = [known(np.full(len(i), 0.95), same), known(fp, both), pa.nulls(len(k), pa.float64()), known(emb, both)]
+                        a, b = x.id[i[k]], y.id[j[k]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *made], names)
 
     return pairs.mapInArrow(product, PARTS).unionByName(within)
 
@@ -357,13 +439,13 @@ def forest_edges(rows: DataFrame, key: str, vector: str, label: str, block: int
     An edge that is not in the forest of two packs' own edges is not in the whole forest either (ties have one order), so two packs
     of n rows leave 2n - 1 edges at most, not their n² pairs.
     """
-    pairs, within = packed_classes(rows, key, vector, label, block)
+    pairs, within = packed_classes(rows, key, vector, label, PACK * block, PACK * block)
 
     def forests(batches):
         for batch in batches:
             for p, q, x, y in zip(*batch.columns, strict=True):
                 edges: list[tuple[int, int, int]] = []
-                for a, b, _, _, _, _, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
+                for a, b, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
                     edges += tile_forest(a, b, score, paired)
                 kept = np.array(kept_edges(edges), np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1]), pa.array(kept[:, 2] / 1e6)], ["a", "b", "w"])
