@@ -156,4 +156,4 @@ select rep.c as cluster, n_members, count(*) as n_edges, round(sum(score::decima
 from rep join m using (c) join g on g.a = m.node group by all having n_members >= 2""")
 def semantic_groups(spark, sf_dir):
     """Connected components of the hybrid edges, with a representative each."""
-    return similarity.clusters(stash(hybrid_edges(spark, sf_dir), "edges"))
+    return similarity.clusters(stash(hybrid_edges(spark, sf_dir).select("a", "b", "score"), "edges"))
