@@ -23,6 +23,8 @@ CANONICAL, ALIAS, FORMULA_SCORE, BONUS, REACH, TOP = 0.96, 0.90, 0.62, 0.04, 32,
 DASHES = re.compile("[‐‑‒–—]")
 #: Characters that a lexicon may hold, as it is broadcast.
 MOST = 20_000_000
+#: Mentions that a task holds before it hands them on.
+HELD = 2048
 
 
 def folded(text: str) -> str:
@@ -110,7 +112,8 @@ def lexicon_mentions(docs: DataFrame, key: str, text: str, lexicon: DataFrame, c
     out unless `overlapping`. Null texts and texts without mentions give no row.
 
     The lexicon goes to every task, so it may hold 20 million characters at most (else ValueError); texts are read in one
-    pass each, whatever the number of aliases, and nothing is shuffled.
+    pass each, whatever the number of aliases, and nothing is shuffled. A task holds one batch of texts, and the mentions of
+    one text and of `HELD` more.
     """
     columns = ["entry", "name", "alias", "category", *(["score"] if "score" in lexicon.columns else [])]
     size = lexicon.agg(F.sum(F.length("alias"))).first()[0] or 0
@@ -132,9 +135,17 @@ def lexicon_mentions(docs: DataFrame, key: str, text: str, lexicon: DataFrame, c
             machine.append(Automaton(r["alias"] for r in entries))
         names = ["key", "start", "end", "mention", "name", "entry", "category", "source", "score", "chosen"]
         types = [None, pa.int32(), pa.int32(), *[pa.string()] * 5, pa.float64(), pa.bool_()]
+        rows: list[list] = [[] for _ in names]
+        owner: list[int] = []
+
+        def handed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = batch.column(0).take(pa.array(owner, pa.int64()))
+            made = pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(rows[1:], types[1:], strict=True))], names)
+            for column in (owner, *rows):
+                column.clear()
+            return made
+
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            owner: list[int] = []
             for i, value in enumerate(batch.column(1)):
                 if not value.is_valid:
                     continue
@@ -154,8 +165,10 @@ def lexicon_mentions(docs: DataFrame, key: str, text: str, lexicon: DataFrame, c
                         owner.append(i)
                         for column, v in zip(rows[1:], (a, b, t[a:b], name, entry, category, source, s, n in chosen), strict=True):
                             column.append(v)
-            keys = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(rows[1:], types[1:], strict=True))], names)
+                if len(owner) >= HELD:
+                    yield handed(batch)
+            if owner:
+                yield handed(batch)
 
     schema = f"key {kind}, start int, end int, mention string, name string, entry string, category string, source string, score double, chosen boolean"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
