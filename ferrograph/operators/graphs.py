@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,21 +107,110 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     return found
 
 
-def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Edges (a, b, w) of the maximum spanning forest, ties by smaller (a, b): rounds in which each component takes its best edge."""
+#: Edges that one task settles by itself.
+SMALL = 1 << 20
+
+
+def ringless(x: np.ndarray, y: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of edges (x, y) taken in an order, the places of those that close no ring."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    ends = ends.reshape(2, -1)[:, order]
+    above, kept, step = np.arange(len(nodes)), [], max(1 << 14, len(nodes) // 4)
+    for at in range(0, len(order), step):
+        i, j = above[ends[0, at : at + step]], above[ends[1, at : at + step]]
+        apart = np.flatnonzero(i != j)
+        if not len(apart):
+            continue
+        under = above.tolist()
+        for place, u, v in zip(apart.tolist(), i[apart].tolist(), j[apart].tolist(), strict=True):
+            while under[u] != u:
+                under[u] = u = under[under[u]]
+            while under[v] != v:
+                under[v] = v = under[under[v]]
+            if u != v:
+                under[max(u, v)] = min(u, v)
+                kept.append(at + place)
+        above = np.array(under)
+        while (above != (up := above[above])).any():
+            above = up
+    return order[np.array(kept, np.int64)]
+
+
+def forest_places(a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the maximum spanning forest of edges between nodes x and y, ties by smaller (a, b)."""
+    return ringless(x, y, np.lexsort((b, a, -np.where(np.isnan(w), np.inf, w))))
+
+
+def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's own edges; of those it has read so far, it holds 2 * SMALL besides the forest at most."""
+    held, least = [], 0
+
+    def forest() -> pa.Table:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.take(pa.array(np.sort(forest_places(*(np.asarray(c) for c in table.columns)))))
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) > least + 2 * SMALL:
+            held = forest().to_batches()
+            least = sum(map(len, held))
+    if held:
+        yield from forest().to_batches(1 << 16)
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """components of written edges (a, b) of no loops; few ones are settled in one task."""
+    if edges.count() > SMALL:
+        return components(edges, "merge")
+
+    def settle(batches):
+        if held := list(batches):
+            a, b = (np.asarray(c, np.int64) for c in pa.Table.from_batches(held).columns)
+            nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            x, y = ends.reshape(2, -1)
+            least = np.arange(len(nodes))
+            while (least[x] != least[y]).any():
+                low = np.minimum(least[x], least[y])
+                last = least.copy()
+                for end in (last[x], last[y]):  # the least numbers of both ends' trees meet
+                    np.minimum.at(least, end, low)
+                while (least != (up := least[least])).any():
+                    least = up
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], ["node", "component"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(settle, "node bigint, component bigint")
+
+
+def settled(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Edges (a, b, w) of the maximum spanning forest of edges (a, b, w, x, y) between nodes x and y, ties by smaller (a, b).
+
+    In a round each component takes its best edge; once there are few components, each task leaves the forest of its own
+    edges (what is not in it is not in the whole forest either), until one task can settle what is left.
+    """
     rank = F.struct(F.col("w").alias("w"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w"))
-    open_ = stash(edges.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")), "forest")
+    edges = edges.where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "x", "y")
+    open_ = stash(edges.groupBy("a", "b").agg(F.max("w").alias("w"), F.max(F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).alias("e")).select("a", "b", "w", "e.x", "e.y"), "forest")
     chosen = None
     for _ in range(rounds):
-        sides = open_.select(F.col("x").alias("c"), rank.alias("r")).union(open_.select(F.col("y").alias("c"), rank.alias("r")))
-        best = sides.groupBy("c").agg(F.max("r").alias("r")).select((-F.col("r.na")).alias("a"), (-F.col("r.nb")).alias("b")).distinct()
-        took = stash(open_.join(best, ["a", "b"]), "took")
-        chosen = took.select("a", "b", "w") if chosen is None else chosen.union(took.select("a", "b", "w"))
-        into = components(took.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge")
-        moved = open_.join(into.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(into.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left")
-        last, open_ = open_, stash(moved.select("a", "b", "w", F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y"), "forest")
+        n = open_.count()
+        if n <= SMALL:
+            rest = open_.repartition(1).mapInArrow(sieve, open_.schema).select("a", "b", "w")
+            return rest if chosen is None else chosen.union(rest)
+        last = open_
+        if 4 * open_.select(F.col("x").alias("c")).union(open_.select("y")).distinct().count() <= SMALL:
+            open_ = stash(open_.repartition(-(-n // SMALL)).mapInArrow(sieve, open_.schema), "forest")
+        else:
+            sides = open_.select(F.col("x").alias("c"), rank.alias("r")).union(open_.select(F.col("y").alias("c"), rank.alias("r")))
+            best = sides.groupBy("c").agg(F.max("r").alias("r")).select((-F.col("r.na")).alias("a"), (-F.col("r.nb")).alias("b")).distinct()
+            took = stash(open_.join(best, ["a", "b"]), "took")
+            chosen = took.select("a", "b", "w") if chosen is None else chosen.union(took.select("a", "b", "w"))
+            into = stash(merged(took.select(F.col("x").alias("a"), F.col("y").alias("b"))), "into")
+            moved = open_.join(into.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(into.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left")
+            open_ = stash(moved.select("a", "b", "w", F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y"), "forest")
         drop(last)
-        if open_.isEmpty():
-            return chosen
     raise RuntimeError(f"more than {rounds} rounds")
+
+
+def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Edges (a, b, w) of the maximum spanning forest, ties by smaller (a, b)."""
+    return settled(edges.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")), rounds)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, tanimoto
-from ..tables import stash
-from .graphs import components
+from ..tables import drop, stash
+from .graphs import components, forest_places, merged, settled
 
 
 def top_neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024, metric: str | None = None, where: list[Column] = ()) -> DataFrame:
@@ -209,21 +209,15 @@ def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     return best.join(stats, "component").where(F.col("n_members") >= least).select(F.col("component").alias("cluster"), "n_members", "n_edges", "mean_score", "min_score", "representative")
 
 
-#: Blocks that travel as one row where whole tiles are looked at, and rows of a pack where few pairs are.
-PACK, LARGE = 4, 16384
+#: Rows of a pack at most.
+LARGE = 16384
 #: Parts in which the pairs of one pack are dealt.
 SHARES = 4
 PARTS = "a bigint, b bigint, semantic double, fingerprint double, center double, embedding double"
 
 
-def packed_classes(rows: DataFrame, key: str, vector: str, label: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (p, q, p_rows, q_rows) of packs of classes, and (a, b) with components for each class a and its further members b.
-
-    Rows of equal vector and label are folded to a class, named by its smallest key: classes are paired with each other, and
-    a class with each of its further members, so copies are linked but never paired out. There are some 16 packs, so that
-    every core has pairs, of `least` rows or more and `most` or fewer. Each pack meets the half of the others that follow
-    it in a ring, so all packs have as many pairs, which are dealt in `SHARES` parts.
-    """
+def folded(rows: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, l, v) of rows of equal vector and label, named by their smallest key, and (a, b) with components for each class a and its further members b."""
     from ..functions.scalars import cosine, sign_bits
 
     double = F.transform("v", lambda x: x.cast("double"))
@@ -231,21 +225,45 @@ def packed_classes(rows: DataFrame, key: str, vector: str, label: str, least: in
     if known.schema["v"].dataType.elementType.typeName() != "float":  # floats travel as they are, in half the bytes
         known = known.withColumn("v", double)
     classes = stash(known.groupBy("v", "l").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
-    size = classes.count()
-    n = max(1, -(-size // most), min(16, -(-size // least)))
-    packed = stash(classes.select(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("p"), F.struct(F.col("c").alias("id"), "l", "v").alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows")), "packs")
-    left = packed.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n // 2)))).where(f"2 * d < {n} or 2 * p < {n}")
-    left = left.select("p", "p_rows", ((F.col("p") + F.col("d")) % n).alias("q"), (F.col("d") % SHARES).alias("share"))
-    right = packed.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    dealt = [side.repartition(SHARES * n, "q", "share") for side in (left, right)]
-    pairs = dealt[0].join(dealt[1], ["q", "share"]).select("p", "q", "p_rows", "q_rows")
     copies = known.join(classes.where("n > 1").withColumnsRenamed({"v": "cv", "l": "cl"}), F.col("v").eqNullSafe(F.col("cv")) & F.col("l").eqNullSafe(F.col("cl"))).where("id <> c").withColumn("v", double)
     has = F.col("v").isNotNull()
     within = copies.select(
         F.col("c").alias("a"), F.col("id").alias("b"), F.when(F.col("l").isNotNull(), 0.95).alias("semantic"), F.when(has, F.round(tanimoto(sign_bits(F.col("v")), sign_bits(F.col("v"))), 9)).alias("fingerprint"),
         F.lit(None).cast("double").alias("center"), F.when(has, F.round(cosine(F.col("v"), F.col("v")), 9)).alias("embedding"),
     )
-    return pairs, within
+    return classes.select(F.col("c").alias("id"), "l", "v"), within
+
+
+def packs(items: DataFrame, size: int, least: int, most: int) -> tuple[DataFrame, int]:
+    """Packs (p, p_rows) of items (id and others), and their number: some 16, so that every core has pairs, of `least` rows or more and `most` or fewer."""
+    n = max(1, -(-size // most), min(16, -(-size // least)))
+    return stash(items.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("p"), F.struct("id", *[c for c in items.columns if c != "id"]).alias("r")).groupBy("p").agg(F.collect_list("r").alias("p_rows")), "packs"), n
+
+
+def dealt(left: DataFrame, right: DataFrame, n: int, spread: int = 1) -> DataFrame:
+    """Pairs (p, q, p_rows, q_rows) of packs (p, p_rows, q, share) with those of n packs (p, p_rows) whose number is q, in `SHARES` parts each.
+
+    There are `spread` tasks a part; with more of them, fewer parts share one.
+    """
+    right = right.select(F.col("p").alias("q"), F.col("p_rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    sides = [side.repartition(spread * SHARES * n, "q", "share") for side in (left, right)]
+    return sides[0].join(sides[1], ["q", "share"]).select("p", "q", "p_rows", "q_rows")
+
+
+def ring(packed: DataFrame, n: int, spread: int = 1) -> DataFrame:
+    """All pairs of n packs, also of one with itself: each meets the half of the others that follow it in a ring, so all have as many pairs."""
+    left = packed.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n // 2)))).where(f"2 * d < {n} or 2 * p < {n}")
+    return dealt(left.select("p", "p_rows", ((F.col("p") + F.col("d")) % n).alias("q"), (F.col("d") % SHARES).alias("share")), packed, n, spread)
+
+
+def packed_classes(rows: DataFrame, key: str, vector: str, label: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, q, p_rows, q_rows) of packs of classes, and (a, b) with components for each class a and its further members b.
+
+    Rows of equal vector and label are folded to a class, named by its smallest key: classes are paired with each other, and
+    a class with each of its further members, so copies are linked but never paired out.
+    """
+    classes, within = folded(rows, key, vector, label)
+    return ring(*packs(classes, classes.count(), least, most)), within
 
 
 class Side:
@@ -346,6 +364,12 @@ def parts(x: Side, y: Side, i, j, shared: np.ndarray, product: np.ndarray, norm:
     return emb, fp, same, both, np.where(both, score, np.where(same, 0.95, -np.inf))
 
 
+def exact_parts(x: Side, y: Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """`parts` of the pairs of rows i of x and j of y."""
+    shared = (x.bits[i] & y.bits[j]).sum(1)
+    return parts(x, y, i, j, shared, np.einsum("ij,ij->i", x.v[i], y.v[j]), x.norm[i] * y.norm[j])
+
+
 def all_parts(rows: DataFrame, key: str, vector: str, label: str, least: float, block: int = 1024) -> DataFrame:
     """Pairs (a, b), each once, with their components of all rows, however far apart, whose "hybrid" score is `least` or more.
 
@@ -364,8 +388,7 @@ def all_parts(rows: DataFrame, key: str, vector: str, label: str, least: float,
                 for found in candidates(x, y, alone, least - 1e-6, block):
                     for at in range(0, len(found[0]), LARGE):
                         i, j = (c[at : at + LARGE] for c in found)
-                        shared = (x.bits[i] & y.bits[j]).sum(1)
-                        emb, fp, same, both, score = parts(x, y, i, j, shared, np.einsum("ij,ij->i", x.v[i], y.v[j]), x.norm[i] * y.norm[j])
+                        emb, fp, same, both, score = exact_parts(x, y, i, j)
                         k = np.flatnonzero(score >= least - 1e-6)
                         known = lambda value, has: pa.array(value[k], mask=~has[k])
                         made = [known(np.full(len(i), 0.95), same), known(fp, both), pa.nulls(len(k), pa.float64()), known(emb, both)]
@@ -383,71 +406,150 @@ def similar_edges(rows: DataFrame, key: str, vector: str, label: str, least: flo
 def millionths(score: np.ndarray) -> np.ndarray:
     """Scores to 6 places, halves up as Spark rounds them, as whole millionths."""
     near = np.floor(score * 1e6 + 0.5)
-    i, j = np.nonzero(np.abs(score * 1e6 - np.floor(score * 1e6) - 0.5) < 1e-6)
-    near[i, j] = [int(Decimal(repr(x)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in score[i, j].tolist()]
+    at = np.nonzero(np.abs(score * 1e6 - np.floor(score * 1e6) - 0.5) < 1e-6)
+    near[at] = [int(Decimal(repr(x)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in score[at].tolist()]
     return near.astype(np.int64)
 
 
-def tile_forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, paired: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """The maximum spanning forest (a, b, millionths) of a tile's edges, ties by smaller (a, b), node by node from the best edge so far."""
-    nodes = np.unique(np.concatenate([a, b]))
-    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-    size, usable = len(nodes), paired & (score > -np.inf)
-    low, high = np.minimum(x[:, None], y[None]), np.maximum(x[:, None], y[None])
-    none = np.iinfo(np.int64).min
-    rank = np.where(usable, millionths(np.where(usable, score, 0.0)) * size * size - (low * size + high), none)
-    at_a, at_b = np.full(size, -1), np.full(size, -1)
-    at_a[x], at_b[y] = np.arange(len(x)), np.arange(len(y))
-    best, outside = np.full(size, none), np.ones(size, bool)
-    for _ in range(size):
-        v = int(np.where(outside, best, none).argmax())
-        if not outside[v] or best[v] == none:
-            v = int(outside.argmax())
-        else:
-            w, pair = divmod(int(best[v]) + size * size - 1, size * size)
-            pair = size * size - 1 - pair
-            yield int(nodes[pair // size]), int(nodes[pair % size]), w
-        outside[v], best[v] = False, none
-        if at_a[v] >= 0:
-            best[y] = np.maximum(best[y], np.where(outside[y], rank[at_a[v]], none))
-        if at_b[v] >= 0:
-            best[x] = np.maximum(best[x], np.where(outside[x], rank[:, at_b[v]], none))
-
-
-def kept_edges(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The maximum spanning forest of edges (a, b, w), ties by smaller (a, b)."""
-    above: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while above.setdefault(x, x) != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    kept = []
-    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        x, y = root(a), root(b)
-        if x != y:
-            above[x] = y
-            kept.append((a, b, w))
-    return kept
+#: Tasks for each part of a pack's pairs where there are more than 16 packs, so that few parts share a task.
+SPREAD = 4
+#: Rows whose best edges tell the least score of a pass, the share of them that may go without an edge, and millionths below any score.
+PROBES, FEW, NONE = 1024, 1 / 64, -(10**9)
+EDGES = "a bigint, b bigint, w double, x bigint, y bigint"
 
 
-def forest_edges(rows: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
-    """Edges (a, b, w) among which the maximum spanning forest of all pairs of rows lies, whatever their score.
+def rough_tiles(x: Side, y: Side, block: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Scores of all rows of x and y in tiles of at most `block` rows a side, from 32-bit products: some 1e-5 off; not for rows that are not even()."""
+    w = WEIGHTS["hybrid"]
+    one, two = ((s.bits.astype(np.float32), (s.v / np.where(s.norm > 0, s.norm, 1)[:, None]).astype(np.float32), s.count.astype(np.float32)) for s in (x, y))
+    for i in range(0, len(x.id), block):
+        for j in range(0, len(y.id), block):
+            a, b = slice(i, i + block), slice(j, j + block)
+            shared = one[0][a] @ two[0][b].T
+            fp = shared / np.maximum(one[2][a, None] + two[2][None, b] - shared, np.float32(1))
+            same = (x.label[a, None] == y.label[None, b]) & (x.label[a, None] >= 0)
+            score = np.float32(1 - w["embedding"]) * fp + one[1][a] @ (np.float32(w["embedding"]) * two[1][b]).T
+            yield a, b, np.where(same, score + np.float32(w["semantic"]) * (np.float32(0.95) - fp), score)
 
-    An edge that is not in the forest of two packs' own edges is not in the whole forest either (ties have one order), so two packs
-    of n rows leave 2n - 1 edges at most, not their n² pairs.
-    """
-    pairs, within = packed_classes(rows, key, vector, label, PACK * block, PACK * block)
+
+def best_scores(probe: DataFrame, packed: list[DataFrame], block: int) -> list[int]:
+    """Of the rows of one pack `probe`, the millionths (or a few less) of the best edge of each that has one to another component among the packs' rows, in order."""
+
+    def best(batches):
+        for batch in batches:
+            for _, rows, mine in zip(*batch.columns, strict=True):
+                top = np.full(len(mine.values), -np.inf)
+                at_x, at_y = (np.asarray(r.values.field("x"), np.int64) for r in (mine, rows))
+                x, y = Side.both(mine.values, rows.values)
+                if len(lengths := x.even() | y.even()) < 2 and -1 not in lengths:
+                    found = rough_tiles(x, y, block)
+                else:
+                    places = ((slice(i, i + block), slice(j, j + block)) for i in range(0, len(at_x), block) for j in range(0, len(at_y), block))
+                    found = ((a, b, t[2]) for (a, b), t in zip(places, tiles(0, 1, mine.values, rows.values, block), strict=True))
+                for a, b, score in found:
+                    usable = (at_x[a, None] != at_y[None, b]) & (score > -np.inf)
+                    top[a] = np.maximum(top[a], np.where(usable, score, -np.inf).max(1))
+                some = np.flatnonzero(top > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.floor(top[some] * 1e6).astype(np.int64) - 50)], ["i", "w"])
+
+    all_packs = packed[0] if len(packed) == 1 else packed[0].union(packed[1])
+    pairs = all_packs.crossJoin(F.broadcast(probe.select(F.col("p_rows").alias("mine"))))
+    return sorted(r["w"] for r in pairs.mapInArrow(best, "i bigint, w bigint").groupBy("i").agg(F.max("w").alias("w")).collect())
+
+
+def edges_of(pairs: DataFrame, least: int, block: int) -> DataFrame:
+    """Edges (a, b, w, x, y) of `least` millionths or more between rows of two components x and y; of each pair of packs, only its forest of them."""
 
     def forests(batches):
         for batch in batches:
-            for p, q, x, y in zip(*batch.columns, strict=True):
-                edges: list[tuple[int, int, int]] = []
-                for a, b, score, paired in tiles(p.as_py(), q.as_py(), x.values, y.values, block):
-                    edges += tile_forest(a, b, score, paired)
-                kept = np.array(kept_edges(edges), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1]), pa.array(kept[:, 2] / 1e6)], ["a", "b", "w"])
+            for p, q, x_rows, y_rows in zip(*batch.columns, strict=True):
+                alone = p.as_py() == q.as_py()
+                x, y = Side.both(x_rows.values, y_rows.values)
+                at_x, at_y = (np.asarray(r.values.field("x"), np.int64) for r in (x_rows, y_rows))
+                held = [np.zeros((5, 0), np.int64)]
+                size = bound = 0
+
+                def forest():
+                    a, b, w, u, v = edges = np.concatenate(held, axis=1)  # noqa: B023
+                    return edges[:, np.sort(forest_places(a, b, w, u, v))]
+
+                for found in candidates(x, y, alone, least / 1e6 - 2e-6, block):
+                    apart = at_x[found[0]] != at_y[found[1]]
+                    i_all, j_all = (c[apart] for c in found)
+                    for at in range(0, len(i_all), LARGE):
+                        i, j = i_all[at : at + LARGE], j_all[at : at + LARGE]
+                        *_, score = exact_parts(x, y, i, j)
+                        usable = np.flatnonzero(score > -np.inf)
+                        w = millionths(score[usable])
+                        k = usable[w >= least]
+                        a, b = x.id[i[k]], y.id[j[k]]
+                        held.append(np.stack([np.minimum(a, b), np.maximum(a, b), w[w >= least], at_x[i[k]], at_y[j[k]]]))
+                        size += len(k)
+                    if size > bound + 16 * LARGE:
+                        held = [forest()]
+                        size = bound = held[0].shape[1]
+                made = forest()
+                yield pa.RecordBatch.from_arrays([pa.array(c / 1e6 if n == 2 else c) for n, c in enumerate(made)], ["a", "b", "w", "x", "y"])
 
-    return pairs.mapInArrow(forests, "a bigint, b bigint, w double").unionByName(scored(within).select("a", "b", F.col("score").alias("w")))
+    return pairs.mapInArrow(forests, EDGES)
+
+
+def forest_edges(rows: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
+    """Edges (a, b, w) of the maximum spanning forest of all pairs of rows, whatever their score, ties by smaller (a, b).
+
+    Passes go down the scores. Each looks at every pair of two components that could reach a least score, by the bound of
+    `candidates`, and settles the forest of all edges from there up to the last pass's least score. Rows of the largest
+    component need not meet each other any more, so after the first pass few rows are left that meet all. What the least score
+    is changes time, not results: it is such that of `PROBES` rows only few lack an edge. Copies, and rows without a vector (which
+    meet those of their label), have edges by themselves.
+    """
+    classes, within = folded(rows, key, vector, label)
+    known = classes.where("v is not null")
+    bare = classes.where("v is null").select(F.col("id").alias("c"), "l")
+    met = bare.join(known.select("id", "l"), "l").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b"), F.lit(0.95).alias("w")).where("a <> b")
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    extra = stash(scored(within).select(*ends, F.col("score").alias("w")).union(met), "copies")
+    at = stash(classes.select("id").union(extra.select("a")).union(extra.select("b")).distinct().withColumn("x", F.col("id")), "at")
+    number, chosen, last = known.count(), None, None
+
+    def settle(edges: DataFrame) -> DataFrame:
+        nonlocal chosen, at
+        took = stash(settled(edges), "chosen")
+        chosen = took if chosen is None else chosen.union(took)
+        into = stash(merged(stash(placed(took).select(F.col("x").alias("a"), F.col("y").alias("b")), "ends")).select(F.col("node").alias("x"), F.col("component").alias("c")), "into")
+        before, at = at, stash(at.join(into, "x", "left").select("id", F.coalesce("c", "x").alias("x")), "at")
+        drop(before)
+        return at
+
+    def placed(edges: DataFrame) -> DataFrame:
+        one, two = at.select(F.col("id").alias("a"), "x"), at.select(F.col("id").alias("b"), F.col("x").alias("y"))
+        return edges.join(one, "a").join(two, "b").select("a", "b", "w", "x", "y")
+
+    while number > 1:
+        items = known.join(at, "id")
+        most = None if chosen is None else items.groupBy("x").count().orderBy(F.desc("count"), "x").first()
+        inside = most["count"] if most else 0
+        if number == inside:
+            break
+        parts_of = [(items, number)] if not most else [(items.where(F.col("x") != most["x"]), number - inside), (items.where(F.col("x") == most["x"]), inside)]
+        packed = [packs(some, size, block, max(block, LARGE)) for some, size in parts_of]
+        probe = parts_of[0][0].orderBy(F.xxhash64("id"), "id").limit(PROBES).agg(F.collect_list(F.struct("id", "l", "v", "x")).alias("p_rows"))
+        best = best_scores(probe, [p for p, _ in packed], block)
+        least = best[int(len(best) * FEW) if number - inside > PROBES else 0] if best else NONE
+        pairs = ring(*packed[0], SPREAD if packed[0][1] > 16 else 1)
+        if most:
+            (few, _), (rest, n) = packed
+            spread = few.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("p", "p_rows", "q", (F.col("p") % SHARES).alias("share"))
+            pairs = pairs.union(dealt(spread, rest, n).select((-1 - F.col("p")).alias("p"), "q", "p_rows", "q_rows"))
+        found = stash(edges_of(pairs, least, block), "found")
+        drop(*(p for p, _ in packed))
+        more = extra.where(F.round(F.col("w") * 1e6) >= least)
+        settle(found.union(placed(more if last is None else more.where(F.round(F.col("w") * 1e6) < last))))
+        drop(found)
+        last = least
+        if not best:
+            break
+    rest = extra if last is None else extra.where(F.round(F.col("w") * 1e6) < last)
+    if not rest.isEmpty():
+        settle(placed(rest))
+    return chosen if chosen is not None else extra.select("a", "b", "w")

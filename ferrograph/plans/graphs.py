@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs
-from ..tables import stash, table
+from ..tables import table
 from .registry import query
 
 
@@ -50,7 +50,7 @@ def spanning_forest(spark, sf_dir):
     """The maximum spanning forest of the edges between all vectors, whatever their score."""
     from ..operators.similarity import forest_edges
 
-    return graphs.spanning_forest(stash(forest_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "pairs"))
+    return forest_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query("""

@@ -270,6 +270,41 @@ def test_forest_edges_hold_the_forest_of_all_pairs(spark):
     assert sorted(map(tuple, graphs.spanning_forest(edges).collect())) == sorted(map(tuple, every.collect()))
 
 
+def test_forest_edges_are_the_forest_itself(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PROBES", 8, raising=False)
+    r = random.Random(12)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    near = lambda c: [x + r.gauss(0, 0.3) for x in c]
+    rows = [(i, near(r.choice(centres)) if r.random() < 0.9 else None, r.choice([None, 1, 2, 3])) for i in range(120)]
+    rows += [(500 + i, rows[i][1], rows[i][2]) for i in range(0, 30, 3)]  # copies
+    rows += [(700, None, 9), (701, [0.0] * 6, None), (702, [float("nan")] * 6, 2), (7, near(centres[0]), 3)]  # alone, no length, no numbers, an id again
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, l int")
+    every = graphs.spanning_forest(similarity.similar_edges(df, "id", "v", "l", -1.0).select("a", "b", F.col("score").alias("w")))
+    assert sorted(map(tuple, similarity.forest_edges(df, "id", "v", "l", block=16).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_spanning_forest_by_rounds_and_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SMALL", 200, raising=False)
+    r = random.Random(13)
+    edges = {(a, b): float(r.randrange(20)) for a in range(90) for b in range(a + 1, 90) if r.random() < 0.2}
+    edges |= {(a, a + 1): 30.0 + a % 7 for a in range(100, 180) if a % 9}
+    seen = list(range(200))
+
+    def root(x):
+        while seen[x] != x:
+            x = seen[x]
+        return x
+
+    wanted = []
+    for (a, b), w in sorted(edges.items(), key=lambda e: (-e[1], e[0])):
+        if root(a) != root(b):
+            seen[root(a)] = root(b)
+            wanted.append((a, b, w))
+    given = [(b, a, w) if (a + b) % 2 else (a, b, w) for (a, b), w in edges.items()]
+    found = graphs.spanning_forest(spark.createDataFrame([*given, (3, 3, 99.0)], "a bigint, b bigint, w double"))
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_top_neighbours_over_many_blocks(spark):
     r = random.Random(6)
     rows = [(i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(120)]
